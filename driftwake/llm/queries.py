@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from driftwake.llm import packing, secrets, sharding, topk
+from driftwake.llm import packing, quality, secrets, sharding, simhash, topk, urls
 
 QUERIES = {
     "op2_best_fit": packing.op2_best_fit,
     "op3_entropy": secrets.op3_entropy,
     "op4_maxscore": topk.op4_maxscore,
+    "op5_markov": urls.op5_markov,
+    "op7_pivots": simhash.op7_pivots,
+    "op8_subwords": quality.op8_subwords,
     "op9_virtual_slots": sharding.op9_virtual_slots,
 }
 
