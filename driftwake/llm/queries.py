@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from driftwake.llm import packing, quality, secrets, sharding, simhash, topk, urls
+from driftwake.llm import decontaminate, packing, quality, secrets, sharding, simhash, topk, urls
 
 QUERIES = {
+    "op1_windows": decontaminate.op1_windows,
     "op2_best_fit": packing.op2_best_fit,
     "op3_entropy": secrets.op3_entropy,
     "op4_maxscore": topk.op4_maxscore,
@@ -15,5 +16,6 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_windows": decontaminate.OP1_SQL,
     "op4_maxscore": topk.OP4_SQL,
 }
