@@ -22,14 +22,17 @@ from pyspark.sql import functions as F
 
 from driftwake.llm.common import ascii_lower, cut, table
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # words are what this parts, after lower-casing
+EDGES = "".join(chr(i) for i in range(128) if not (48 <= i <= 57 or 97 <= i <= 122))
 WINDOW = 10
 SHINGLE = 3
 BROADCAST_ROWS = 1_000_000
 
 
 def words(text: Column) -> Column:
-    return F.coalesce(F.regexp_extract_all(ascii_lower(text), F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
+    """Split, as it takes a tenth of the time of finding all matches; trimmed first, so that no word is empty."""
+    t = F.btrim(ascii_lower(text), F.lit(EDGES))
+    return F.when(F.octet_length(t) > 0, F.split(t, BETWEEN)).otherwise(F.array().cast("array<string>"))
 
 
 def key(words_: Column, at: Column, size: int) -> Column:
