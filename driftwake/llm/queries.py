@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from driftwake.llm import decontaminate, packing, quality, secrets, sharding, simhash, topk, urls
+from driftwake.llm import decontaminate, lines, packing, quality, secrets, sharding, simhash, topk, urls
 
 QUERIES = {
     "op1_windows": decontaminate.op1_windows,
@@ -13,9 +13,11 @@ QUERIES = {
     "op7_pivots": simhash.op7_pivots,
     "op8_subwords": quality.op8_subwords,
     "op9_virtual_slots": sharding.op9_virtual_slots,
+    "op10_deletions": lines.op10_deletions,
 }
 
 ORACLE_SQL = {
     "op1_windows": decontaminate.OP1_SQL,
     "op4_maxscore": topk.OP4_SQL,
+    "op10_deletions": lines.OP10_SQL,
 }
