@@ -142,15 +142,16 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str
 def score(docs: DataFrame, model: Model, columns: list[str], text_col: str = "text") -> DataFrame:
     """The named columns of docs, and score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    n = len(columns)
+    passed = [*columns, *([] if text_col in columns else [text_col])]
+    at, n = passed.index(text_col), len(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = shared.value.scorer()
         for b in batches:
-            scores = pa.array([one(t.as_py()) for t in b.column(n)], pa.float64())
+            scores = pa.array([one(t.as_py()) for t in b.column(at)], pa.float64())
             yield pa.RecordBatch.from_arrays([*b.columns[:n], scores], names=[*columns, "score"])
 
-    rows = docs.select(*columns, F.col(text_col).alias("_text"))
+    rows = docs.select(*passed)
     schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes[:n])
     return rows.mapInArrow(run, f"{schema}, score double")
 

@@ -23,7 +23,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftwake.llm.common import cut, table
@@ -54,15 +54,17 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
     return int(np.packbits(count * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long)."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row: list[Column] = ()) -> DataFrame:
+    """doc_id, fp (the 64 bits as a signed long), and the longs of row, named r0, r1 and so on."""
+    names = [f"r{i}" for i in range(len(row))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.array([fingerprint(t.as_py()) for t in b.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), *b.columns[2:]], names=["doc_id", "fp", *names])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    told = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *(c.alias(n) for c, n in zip(row, names)))
+    return told.mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", "fp", *names)))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -196,14 +198,31 @@ def near(fps: DataFrame, bound: int = BOUND, crowd: int = CROWD) -> DataFrame:
     return out
 
 
+def grouped(prints: DataFrame, bound: int = BOUND) -> DataFrame:
+    """prints(doc_id, fp, ...) -> (fp, root): one row a distinct fingerprint; root is the least one it reaches."""
+    own = prints.select("fp").distinct()
+    found = roots(near(own, bound))
+    return own.join(found, own["fp"] == found["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bound: int = BOUND) -> DataFrame:
     """doc_id, fp, component_id for every row of docs."""
     prints = cut(fingerprints(docs, id_col, text_col))
-    own = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    found = roots(near(own.select("fp"), bound))
-    grouped = own.join(found, own["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(grouped.select("fp", "root").join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    groups = grouped(prints, bound)
+    own = prints.groupBy("fp").agg(F.min("doc_id").alias("least")).join(groups, "fp")
+    least = own.groupBy("root").agg(F.min("least").alias("component_id"))
+    return prints.join(own.select("fp", "root").join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bound: int = BOUND) -> DataFrame:
+    """docs less all rows of a component but one: that with the least id (nulls last), then the least hash of the text.
+    Rows are known by 128 bits of id and text; of repeated rows one stays."""
+    a, b = F.xxhash64(id_col, text_col), F.xxhash64(F.lit(1), id_col, text_col)
+    prints = cut(fingerprints(docs, id_col, text_col, [a, b]))
+    first = prints.groupBy("fp").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "r0", "r1")).alias("least"))
+    least = first.join(grouped(prints, bound), "fp").groupBy("root").agg(F.min("least").alias("least"))
+    stay = least.select(F.col("least.r0").alias("_r0"), F.col("least.r1").alias("_r1"))
+    return docs.withColumn("_r0", a).withColumn("_r1", b).join(stay, ["_r0", "_r1"]).dropDuplicates(["_r0", "_r1"]).select(*docs.columns)
 
 
 def op7_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
