@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from driftwake.llm import decontaminate, lines, packing, quality, secrets, sharding, simhash, topk, urls
+from driftwake.llm import decontaminate, lines, lm, packing, quality, secrets, sharding, simhash, topk, urls
 
 QUERIES = {
     "op1_windows": decontaminate.op1_windows,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_entropy": secrets.op3_entropy,
     "op4_maxscore": topk.op4_maxscore,
     "op5_markov": urls.op5_markov,
+    "op6_attention": lm.op6_attention,
     "op7_pivots": simhash.op7_pivots,
     "op8_subwords": quality.op8_subwords,
     "op9_virtual_slots": sharding.op9_virtual_slots,
