@@ -84,25 +84,33 @@ def firsts(lines: DataFrame) -> DataFrame:
     return lines.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "h", "no")).alias("pos"))
 
 
+def marked(numbers: DataFrame, of: str) -> np.ndarray:
+    """A bitmap of the buckets of a column: BUCKETS bits, whatever the table."""
+    bits = np.zeros(BUCKETS, bool)
+    bits[[r[0] for r in numbers.select(F.pmod(F.col(of), F.lit(BUCKETS))).distinct().collect()]] = True
+    return bits
+
+
 def candidates(lines: DataFrame) -> DataFrame:
-    """k1, k2, front, back: distinct lines that share a half with another, and which."""
+    """k1, k2, front, back: distinct lines that share a half with another, and which.
+
+    Shared halves are found first, on two numbers a row. Rows go to the join with them only if their bucket is
+    marked: at most BUCKETS numbers are broadcast, and where all are marked, all rows go."""
     halves = lines.filter("front IS NOT NULL").select("k1", "k2", F.explode(F.array(
         F.struct(F.col("front").alias("half"), F.lit(True).alias("front")),
         F.struct(F.col("back").alias("half"), F.lit(False).alias("front")),
         F.struct(F.col("other").alias("half"), F.col("other_front").alias("front")),
     )).alias("x")).select("k1", "k2", "x.half", "x.front")
-    shared = halves.groupBy("half").agg(F.min("k1").alias("a"), F.max("k1").alias("b")).filter("a <> b").select("half")
-    return halves.join(shared, "half", "left_semi").groupBy("k1", "k2").agg(F.max("front").alias("front"), F.max(~F.col("front")).alias("back"))
+    shared = cut(halves.groupBy("half").agg(F.min("k1").alias("a"), F.max("k1").alias("b")).filter("a <> b").select("half"))
+    buckets = F.broadcast(shared.select(F.pmod("half", F.lit(BUCKETS)).alias("bucket")).distinct())  # BUCKETS rows at most
+    perhaps = halves.withColumn("bucket", F.pmod("half", F.lit(BUCKETS))).join(buckets, "bucket", "left_semi").drop("bucket")
+    return perhaps.join(shared, "half", "left_semi").groupBy("k1", "k2").agg(F.max("front").alias("front"), F.max(~F.col("front")).alias("back"))
 
 
 def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """wanted (k1, k2, pos, ...) with line: their texts, from a second scan. Lines are taken to the join if their
-    bucket is wanted: at most BUCKETS numbers are sent, and where all are wanted, all lines go."""
-    spark = docs.sparkSession
-    bucket = F.pmod(F.col("k1"), F.lit(BUCKETS))
-    bits = np.zeros(BUCKETS, bool)
-    bits[[r[0] for r in wanted.select(bucket).distinct().collect()]] = True
-    shared = spark.sparkContext.broadcast(np.packbits(bits))
+    """wanted (k1, k2, ...) with pos and line: where each stands first, and its text, from a second scan. Lines are
+    taken to the join if their bucket is wanted, as above."""
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(marked(wanted, "k1")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.unpackbits(shared.value).tolist()
@@ -119,9 +127,9 @@ def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=["doc_id", "h", "no", "k1", "k2", "line"])
 
     found = docs.mapInArrow(run, "doc_id long, h long, no int, k1 long, k2 long, line binary")
-    first = found.select("k1", "k2", F.struct("doc_id", "h", "no").alias("at"), "line")
-    # repeated rows stand at one place: any of their equal lines will do
-    return first.join(wanted, ["k1", "k2"]).filter(F.col("at") == F.col("pos")).drop("at").dropDuplicates(["k1", "k2"])
+    named = found.select("k1", "k2", F.struct("doc_id", "h", "no").alias("pos"), "line")
+    first = named.groupBy("k1", "k2").agg(F.min("pos").alias("pos"), F.first("line").alias("line"))  # lines of a name are equal
+    return first.join(wanted, ["k1", "k2"])
 
 
 def variants(texts: DataFrame) -> DataFrame:
@@ -189,8 +197,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     (Columns of docs with these two names are replaced.)"""
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
     lines = cut(line_table(base))
-    sharing = candidates(lines).join(firsts(lines), ["k1", "k2"])
-    texts = cut(texts_of(base, cut(sharing)))
+    texts = cut(texts_of(base, cut(candidates(lines))))
     gone = cut(near_later(texts))
     stay = firsts(lines).join(gone, ["k1", "k2"], "left_anti")
     kept = stay.groupBy(F.col("pos.doc_id").alias("_id"), F.col("pos.h").alias("_h")).agg(F.collect_list("pos.no").alias("_kept"))
