@@ -14,6 +14,7 @@ repeated documents are scored as often as they come; an empty table gives no row
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -92,15 +93,15 @@ def train(rows: list[tuple[str | None, int]], seed: int = 1) -> Model:
     labels = [int(bool(q)) for _, q in rows]
     if len(set(labels)) < 2:
         return Model(None, float(labels[0]) if labels else 1.0)
-    known: dict[bytes, list[int]] = {}
+    known: dict[bytes, array] = {}
     docs = []
     for text, _ in rows:
         found = words(text)
         counts: Counter = Counter({AGAIN: n} if (n := repeats(found)) else {})
         for word, times in Counter(found).items():
-            for f in known.get(word) or known.setdefault(word, features(word)):
+            for f in known.get(word) or known.setdefault(word, array("i", features(word))):
                 counts[f] += times
-        ids, n = np.fromiter(counts.keys(), np.int64, len(counts)), np.fromiter(counts.values(), np.float32, len(counts))
+        ids, n = np.fromiter(counts.keys(), np.int32, len(counts)), np.fromiter(counts.values(), np.float32, len(counts))
         docs.append((ids, n / max(1.0, n.sum())))
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / DIMENSIONS, 1 / DIMENSIONS, (BUCKETS, DIMENSIONS)).astype(np.float32)
