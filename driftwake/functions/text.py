@@ -56,6 +56,15 @@ def name_words(name: Column) -> Column:
     return F.transform(F.regexp_extract_all(name, F.lit(NAME_WORDS), F.lit(0)), lambda w: F.lower(w))
 
 
+def shingles(words: Column, size: int) -> Column:
+    """W8. Hashes of each `size` consecutive words. Shifted copies are zipped, since a lambda that slices the words
+    would have their expression worked out again for each place."""
+    n = F.size(words)
+    shifted = [F.slice(words, i + 1, F.greatest(n, F.lit(1))) for i in range(size)]
+    whole = F.slice(F.arrays_zip(*shifted), 1, F.greatest(n - size + 1, F.lit(0)))
+    return F.transform(whole, lambda x: F.xxhash64(x))
+
+
 def short_hash(*parts: Column) -> Column:
     """F1. The first 12 hex digits of the SHA-1 of the parts, parted by NUL."""
     return F.substring(F.sha1(F.concat_ws("\0", *parts)), 1, 12)

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftwake.operators.graph import cut
+
 MAX_ITEMS, MIN_SUPPORT, MIN_CONFIDENCE = 25, 4, 0.6
 
 
@@ -30,8 +32,9 @@ def similar_pairs(sets: DataFrame, key: str, items: str, least: float, ratio: fl
     An exact prefix-filtered self-join: items are ordered from the rarest; two sets that are similar enough share one
     of the first |s| - ceil(least*|s|) + 1. Only those are joined. Equal sets are joined as one and expanded at the end.
     """
-    base = sets.select(F.col(key).alias("k"), F.array_sort(F.array_distinct(items)).alias("s")).filter(F.size("s") > 0)
-    same = base.groupBy("s").agg(F.array_sort(F.collect_list("k")).alias("ks")).select(F.xxhash64("s").alias("g"), "s", "ks")
+    base = sets.select(F.col(key).alias("k"), F.sort_array(F.array_distinct(items)).alias("s"))
+    grouped = base.groupBy("s").agg(F.sort_array(F.collect_list("k")).alias("ks")).filter(F.size("s") > 0)
+    same = cut(grouped.select(F.xxhash64("s").alias("g"), "s", "ks"))  # used five times below
     freq = same.select(F.explode("s").alias("x")).groupBy("x").agg(F.count("*").alias("n"))
     ordered = same.select("g", F.explode("s").alias("x"), F.size("s").alias("size")).join(freq, "x")
     rank = Window.partitionBy("g").orderBy("n", "x")

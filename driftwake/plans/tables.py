@@ -293,7 +293,7 @@ SELECT a, b, round(c / (x.n + y.n - c), 6) AS similarity FROM p JOIN n x ON x.do
 def f8_near_duplicates(spark, read):
     """Definitions of at least 30 tokens, by Jaccard similarity of their shingles of 4 tokens."""
     w = read("documents").select("doc_id", F.filter(F.split("text", r"\s+"), lambda x: x != "").alias("w")).filter(F.size("w") >= 30)
-    s = w.select("doc_id", F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 3, F.lit(1))), lambda i: F.xxhash64(F.slice("w", i, 4))).alias("s"))
+    s = w.select("doc_id", T.shingles(C("w"), 4).alias("s"))
     return mining.similar_pairs(s, "doc_id", "s", 0.82, 0.6).withColumn("similarity", F.round("similarity", 6))
 
 
