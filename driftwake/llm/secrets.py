@@ -48,7 +48,7 @@ def windows(text: str, size: int, bits: float) -> Iterator[tuple[int, int]]:
 
     Entropy of a window is log2(size) - sum(c*log2(c))/size; moving by one changes two terms of the sum.
     """
-    term = [0.0, 0.0, *(c * math.log2(c) for c in range(2, size + 1))]
+    term = [0.0, 0.0, *(c * math.log2(c) for c in range(2, size + 2))]  # the new character comes before the old one goes
     counts: dict[str, int] = {}
     total, digits, letters, most = 0.0, 0, 0, (math.log2(size) - bits) * size
     begin = end = -1
