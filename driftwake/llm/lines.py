@@ -200,15 +200,16 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     texts = cut(texts_of(base, cut(candidates(lines))))
     gone = cut(near_later(texts))
     stay = firsts(lines).join(gone, ["k1", "k2"], "left_anti")
-    kept = stay.groupBy(F.col("pos.doc_id").alias("_id"), F.col("pos.h").alias("_h")).agg(F.collect_list("pos.no").alias("_kept"))
-    others = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    joined = docs.select(*others).withColumn("_key", F.xxhash64(text_col)).join(kept, (F.col("_h") == F.col("_key")) & F.col("_id").eqNullSafe(F.col(id_col).cast("long")), "left")
-    parts = F.split(F.col(text_col), "\n")
-    keep = F.coalesce("_kept", F.array().cast("array<int>"))
+    kept = stay.groupBy(F.col("pos.doc_id").alias("id"), F.col("pos.h").alias("h")).agg(F.collect_list("pos.no").alias("kept"))
+    # columns of docs travel in a struct, where their names meet none of ours
+    whole = docs.select(F.struct(*(c for c in docs.columns if c not in ("n_lines", "n_dropped"))).alias("doc")).withColumn("key", F.xxhash64(F.col("doc")[text_col]))
+    joined = whole.join(kept, (F.col("h") == F.col("key")) & F.col("id").eqNullSafe(F.col("doc")[id_col].cast("long")), "left")
+    parts = F.split(F.col("doc")[text_col], "\n")
+    keep = F.coalesce("kept", F.array().cast("array<int>"))
     rest = F.filter(parts, lambda x, i: (F.btrim(x, F.lit(BLANK)) == "") | F.array_contains(keep, i))
-    joined = joined.withColumn("_rest", rest)
-    sizes = F.coalesce(F.size(parts), F.lit(0)).alias("n_lines"), F.coalesce(F.size(parts) - F.size("_rest"), F.lit(0)).alias("n_dropped")
-    return joined.select(*(F.array_join("_rest", "\n").alias(c) if c == text_col else F.col(c) for c in others), *(s for s in sizes))
+    joined = joined.withColumn("rest", rest)
+    sizes = F.coalesce(F.size(parts), F.lit(0)).alias("n_lines"), F.coalesce(F.size(parts) - F.size("rest"), F.lit(0)).alias("n_dropped")
+    return joined.select(*((F.array_join("rest", "\n") if c == text_col else F.col("doc")[c]).alias(c) for c in docs.columns if c not in ("n_lines", "n_dropped")), *sizes)
 
 
 def op10_deletions(spark: SparkSession, sf_dir: str) -> DataFrame:

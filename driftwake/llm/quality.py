@@ -153,7 +153,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str
 
 
 def score(docs: DataFrame, model: Model, columns: list[str], text_col: str = "text") -> DataFrame:
-    """The named columns of docs, and score."""
+    """The named columns of docs, and score (which replaces one of that name)."""
+    columns = [c for c in columns if c != "score"]
     shared = docs.sparkSession.sparkContext.broadcast(model)
     passed = [*columns, *([] if text_col in columns else [text_col])]
     at, n = passed.index(text_col), len(columns)

@@ -221,8 +221,9 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     prints = cut(fingerprints(docs, id_col, text_col, [a, b]))
     first = prints.groupBy("fp").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "r0", "r1")).alias("least"))
     least = first.join(grouped(prints, bound), "fp").groupBy("root").agg(F.min("least").alias("least"))
-    stay = least.select(F.col("least.r0").alias("_r0"), F.col("least.r1").alias("_r1"))
-    return docs.withColumn("_r0", a).withColumn("_r1", b).join(stay, ["_r0", "_r1"]).dropDuplicates(["_r0", "_r1"]).select(*docs.columns)
+    stay = least.select("least.r0", "least.r1")
+    whole = docs.select(F.struct(*docs.columns).alias("doc"), a.alias("r0"), b.alias("r1"))  # no name of docs meets ours
+    return whole.join(stay, ["r0", "r1"]).dropDuplicates(["r0", "r1"]).select("doc.*")
 
 
 def op7_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
