@@ -80,7 +80,7 @@ def lost_and_gained(before: DataFrame, after: DataFrame, holder: str, name: str)
     """J24. Holders that lost exactly one name and gained exactly one: holder, lost, gained (a renaming)."""
     b, a = (df.groupBy(holder).agg(F.collect_set(name).alias(c)) for df, c in ((before, "b"), (after, "a")))
     j = b.join(a, holder).select(holder, F.array_except("b", "a").alias("lost"), F.array_except("a", "b").alias("gained"))
-    return j.filter("size(lost) = 1 AND size(gained) = 1").select(holder, F.col("lost")[0].alias("lost"), F.col("gained")[0].alias("gained"))
+    return j.filter("size(lost) = 1 AND size(gained) = 1").select(holder, F.get("lost", F.lit(0)).alias("lost"), F.get("gained", F.lit(0)).alias("gained"))
 
 
 def single_variant_change(before: DataFrame, after: DataFrame, key: Sequence[str], variant: str) -> DataFrame:
