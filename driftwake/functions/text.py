@@ -65,7 +65,7 @@ def shingles(words: Column, size: int) -> Column:
     return F.transform(whole, lambda x: F.xxhash64(x))
 
 
-def short_hash(*parts: Column) -> Column:
+def short_hash(*parts: Column | str) -> Column:
     """F1. The first 12 hex digits of the SHA-1 of the parts, parted by NUL."""
     return F.substring(F.sha1(F.concat_ws("\0", *parts)), 1, 12)
 

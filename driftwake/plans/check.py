@@ -17,7 +17,7 @@ from driftwake.sources import facts as sources
 SEEDS = {"removed": 1.0, "renamed": 1.0, "signature": 0.95, "value": 0.8, "body": 0.6}
 STEPS = {"calls": 0.9, "reads": 0.85}
 GUESS = 0.5
-BLOCKING = ("signature-break", "removed-still-referenced", "undefined-name")
+BLOCKING = ("signature-break", "removed-still-referenced", "undefined-name", "dependency-removed-still-used", "recursive-cycle")
 NEAR_TOKENS, NEAR_LEAST, NEAR_RATIO, NEAR_SHINGLE = 30, 0.82, 0.6, 4
 
 
@@ -173,6 +173,13 @@ def unreferenced(files: DataFrame, defs: DataFrame, changes: DataFrame, after: s
     return new.join(quiet.select("word"), "word", "left_semi").select(F.lit("new-unreferenced").alias("rule"), F.lit("low").alias("severity"), F.concat(F.lit("nothing uses "), "name").alias("message"), "path", "line")
 
 
+def dependencies(files: DataFrame, imports: DataFrame, before: str, after: str) -> DataFrame:
+    from driftwake.sources import manifests
+
+    modules = files.filter(F.col("path").endswith(".py")).select(_module("path").alias("module")).distinct()
+    return manifests.findings(manifests.third_party(imports, modules), manifests.declared(files), before, after)
+
+
 def _module(path: str) -> Column:
     from driftwake.functions.text import module_name
 
@@ -213,7 +220,7 @@ def check(files: DataFrame, before: str = "before", after: str = "after", disabl
     parts = [
         of_files, of_names, signature_breaks(changes, new_edges), removed_uses(changes, new_edges, new_imports, now), reused_values(changes, old_edges, new_edges),
         environment_changes(sources.table(told, "env"), before, after), import_cycles(imports, files, before, after), call_circles(old_edges, new_edges),
-        near_duplicates(sources.table(told, "tokens"), changes, after), unreferenced(files, defs, changes, after),
+        near_duplicates(sources.table(told, "tokens"), changes, after), unreferenced(files, defs, changes, after), dependencies(files, imports, before, after),
     ]
     found = parts[0].select("rule", "severity", "message", "path", "line")
     for p in parts[1:]:
