@@ -441,3 +441,55 @@ SELECT o_custkey, o_orderkey, place, greatest(n - 3, 0) AS omitted FROM (SELECT
 def topk_omitted(spark, read):
     o = read("orders").select("o_custkey", "o_orderkey", "o_totalprice")
     return ranking.top_with_omitted(o, ["o_custkey"], [F.desc("o_totalprice"), C("o_orderkey")], 3).select("o_custkey", "o_orderkey", "place", "omitted")
+
+
+@query("SELECT a.n_name AS a, b.n_name AS b FROM nation a JOIN nation b ON a.n_name < b.n_name")
+def j21_team_pairs(spark, read):
+    from driftwake.plans import team
+
+    return team.pairs(read("nation"), "n_name")
+
+
+@query(f"""
+WITH RECURSIVE {EDGES}, b(node, d) AS (SELECT c_custkey, 0 FROM customer WHERE c_custkey % 300 = 1 UNION SELECT e.src, b.d + 1 FROM b JOIN e ON e.dst = b.node WHERE b.d < 3),
+n AS (SELECT node, min(d) AS d FROM b GROUP BY 1)
+SELECT c_nationkey, count(*) AS definitions, min(d) AS nearest FROM n JOIN customer ON c_custkey = node WHERE d > 0 GROUP BY 1
+""")
+def a17_reach_rollup(spark, read):
+    start = read("customer").filter(mod("c_custkey", 300) == 1).select(C("c_custkey").alias("node"))
+    got = graph.reach(graph.cut(order_edges(read)), start, 3, backward=True).filter("hops > 0")
+    return got.join(read("customer"), C("c_custkey") == C("node")).groupBy("c_nationkey").agg(F.count("*").alias("definitions"), F.min("hops").alias("nearest"))
+
+
+@query("SELECT 'd/' || doc_id AS path FROM documents WHERE doc_id % 7 = 0 OR doc_id % 11 = 0")
+def u2_changed_paths(spark, read):
+    from driftwake.sources import files
+
+    d = read("documents").select("doc_id", F.concat(F.lit("d/"), C("doc_id").cast("string")).alias("path"), "text")
+    after = d.filter(mod("doc_id", 11) != 0).select(F.lit("after").alias("snapshot"), "path", F.when(mod("doc_id", 7) == 0, F.concat("text", F.lit("x"))).when(mod("doc_id", 5) == 0, F.regexp_replace("text", "\n", "\r\n")).otherwise(C("text")).alias("text"))
+    return files.changed_paths(d.select(F.lit("before").alias("snapshot"), "path", "text").unionByName(after), "before", "after")
+
+
+@query("""
+WITH p AS (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'src/' ELSE '' END || CASE p_partkey % 5 WHEN 1 THEN 'tests/' WHEN 2 THEN '.cache/' ELSE '' END || replace(p_name, ' ', '/') || CASE p_partkey % 4 WHEN 0 THEN '/__init__.py' WHEN 1 THEN '_test.py' ELSE '.py' END AS path FROM part)
+SELECT p_partkey, replace(regexp_replace(regexp_replace(regexp_replace(path, '^src/', ''), '\\.py$', ''), '(^|/)__init__$', ''), '/', '.') AS module,
+  regexp_matches(path, '(^|/)tests?/') OR regexp_matches(path, '_test\\.py$') AS test_path, regexp_matches(path, '_test\\.py$') AS test_file, contains(path, '.cache/') AS skipped FROM p
+""")
+def p1_paths(spark, read):
+    """P1, P3, P4, P5 over made-up paths."""
+    n = lambda k: mod("p_partkey", k)
+    path = F.concat(F.when(n(3) == 0, "src/").otherwise(""), F.when(n(5) == 1, "tests/").when(n(5) == 2, ".cache/").otherwise(""), F.translate("p_name", " ", "/"), F.when(n(4) == 0, "/__init__.py").when(n(4) == 1, "_test.py").otherwise(".py"))
+    return read("part").select("p_partkey", T.module_name(path).alias("module"), T.is_test_path(path).alias("test_path"), T.is_test_file(path).alias("test_file"), T.in_skipped_dir(path).alias("skipped"))
+
+
+@query("SELECT doc_id, substr(sha256(replace(text, chr(13) || chr(10), chr(10))), 1, 16) AS hash FROM documents")
+def f2_content_hash(spark, read):
+    return read("documents").select("doc_id", T.content_hash(C("text")).alias("hash"))
+
+
+@query("""
+WITH t AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS s FROM documents)
+SELECT doc_id, CASE WHEN length(s) > 40 THEN rtrim(substr(s, 1, 39)) || '…' ELSE s END AS short FROM t
+""")
+def p16_shortened(spark, read):
+    return read("documents").select("doc_id", T.shortened(C("text"), 40).alias("short"))
