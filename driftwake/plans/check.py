@@ -17,7 +17,7 @@ from driftwake.sources import facts as sources
 SEEDS = {"removed": 1.0, "renamed": 1.0, "signature": 0.95, "value": 0.8, "body": 0.6}
 STEPS = {"calls": 0.9, "reads": 0.85}
 GUESS = 0.5
-BLOCKING = ("signature-break", "removed-still-referenced", "undefined-name", "dependency-removed-still-used", "recursive-cycle")
+BLOCKING = ("signature-break", "removed-still-referenced", "undefined-name", "dependency-removed-still-used", "recursive-cycle", "leap-day-date")
 NEAR_TOKENS, NEAR_LEAST, NEAR_RATIO, NEAR_SHINGLE = 30, 0.82, 0.6, 4
 
 

@@ -1,0 +1,173 @@
+"""Rules of a single file that look at more than one node: dates, regexes, threads. Each yields (rule, node, message)."""
+
+from __future__ import annotations
+
+import ast
+import re
+from collections.abc import Iterator
+from re import _constants as codes
+from re import _parser as parser
+
+ALL = frozenset(range(32, 127)) | {9, 10, 13}
+#: Members of the ASCII categories.
+CATEGORIES = {codes.CATEGORY_DIGIT: r"\d", codes.CATEGORY_NOT_DIGIT: r"\D", codes.CATEGORY_SPACE: r"\s", codes.CATEGORY_NOT_SPACE: r"\S", codes.CATEGORY_WORD: r"\w", codes.CATEGORY_NOT_WORD: r"\W"}
+
+
+def name_of(node: ast.AST | None) -> str:
+    if isinstance(node, ast.Attribute):
+        left = name_of(node.value)
+        return f"{left}.{node.attr}" if left else ""
+    return node.id if isinstance(node, ast.Name) else ""
+
+
+def moved_year(node: ast.AST) -> str | None:
+    """x, if the node is x.year plus or minus something."""
+    if isinstance(node, ast.BinOp) and isinstance(node.op, (ast.Add, ast.Sub)):
+        if isinstance(node.right, ast.Constant) and isinstance(node.right.value, int) and node.right.value % 4 == 0:
+            return None  # four years on there is a leap day again, but for centuries
+        return next((name_of(s.value) for s in (node.left, node.right) if isinstance(s, ast.Attribute) and s.attr == "year" and name_of(s.value)), None)
+    return None
+
+
+def dates(tree: ast.AST) -> Iterator[tuple[str, ast.AST, str]]:
+    """A date made with another year and the same month and day, which fails on 29 February; quiet inside a try, and where
+    the function shows that it knows of leap days."""
+    def walk(node: ast.AST, safe: bool) -> Iterator[tuple[str, ast.AST, str]]:
+        if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
+            said = ast.unparse(node)
+            safe = "isleap" in said or "leap" in node.name.lower() or re.search(r"% 4\b|\b29\b|\b28\b", said) is not None
+        if isinstance(node, ast.Try) and node.handlers:
+            for part in (*node.handlers, *node.orelse, *node.finalbody):
+                yield from walk(part, safe)
+            for part in node.body:
+                yield from walk(part, True)
+            return
+        if isinstance(node, ast.Call) and not safe:
+            given = {k.arg: k.value for k in node.keywords}
+            year = given.get("year", node.args[0] if node.args else None)
+            of = moved_year(year) if year is not None else None
+            if of and name_of(node.func) == f"{of}.replace" and not given.keys() & {"month", "day"} and len(node.args) < 2:
+                yield "leap-day-date", node, f"`{ast.unparse(node)}` fails when {of} is 29 February"
+            elif of and name_of(node.func).rpartition(".")[2] in ("date", "datetime"):
+                rest = [given.get(k, node.args[i] if len(node.args) > i else None) for i, k in ((1, "month"), (2, "day"))]
+                if [name_of(r) for r in rest] == [f"{of}.month", f"{of}.day"]:
+                    yield "leap-day-date", node, f"`{ast.unparse(node)}` fails when {of} is 29 February"
+        for child in ast.iter_child_nodes(node):
+            yield from walk(child, safe)
+
+    yield from walk(tree, False)
+
+
+def members(item) -> frozenset[int]:
+    """ASCII characters that a single-character item can take; nothing for others."""
+    op, value = item
+    if op is codes.LITERAL:
+        return frozenset({value})
+    if op is codes.NOT_LITERAL:
+        return ALL - {value}
+    if op is codes.ANY:
+        return ALL - {10}
+    if op is codes.RANGE:
+        return frozenset(range(value[0], min(value[1], 126) + 1))
+    if op is codes.CATEGORY:
+        return frozenset(c for c in ALL if re.match(CATEGORIES[value], chr(c), re.ASCII)) if value in CATEGORIES else ALL
+    if op is codes.IN:
+        negated = value and value[0][0] is codes.NEGATE
+        got = frozenset().union(*(members(x) for x in value if x[0] is not codes.NEGATE))
+        return ALL - got if negated else got
+    return frozenset()
+
+
+def unbounded(item) -> bool:
+    return item[0] in (codes.MAX_REPEAT, codes.MIN_REPEAT) and item[1][1] is codes.MAXREPEAT
+
+
+def inner(item) -> list[list]:
+    """The sequences that stand within an item."""
+    op, value = item
+    if op in (codes.MAX_REPEAT, codes.MIN_REPEAT):
+        return [list(value[2])]
+    if op is codes.SUBPATTERN:
+        return [list(value[3])]
+    if op is codes.BRANCH:
+        return [list(b) for b in value[1]]
+    return []
+
+
+def first_chars(seq: list) -> frozenset[int]:
+    """Characters that a sequence's unbounded parts can take."""
+    return frozenset().union(*(members(i) | frozenset().union(*map(first_chars, inner(i))) for i in seq))
+
+
+def backtracks(seq: list) -> str | None:
+    """exponential: a repeat without bound in another, both able to take the same character, with nothing between that
+    cannot be in the inner one; polynomial: three or more overlapping ones in a row, and something after that can fail."""
+    run: list[frozenset[int]] = []
+    for i, item in enumerate(seq):
+        if unbounded(item):
+            body = list(item[1][2])
+            flat = body
+            while len(flat) == 1 and flat[0][0] is codes.SUBPATTERN:
+                flat = list(flat[0][1][3])
+            loops = [x for x in flat if unbounded(x)]
+            if loops:
+                taken = first_chars(list(loops[0][1][2]))
+                fixed = [members(x) for x in flat if not unbounded(x)]
+                if all(f & taken for f in fixed):
+                    return "exponential"
+            own = members(body[0]) if len(body) == 1 else frozenset()
+            run = [*run, own] if run and own & run[-1] else [own] if own else []
+            if len(run) >= 3 and i + 1 < len(seq):
+                return "polynomial"
+        elif not (members(item) and run and members(item) & run[-1]):
+            run = []
+        for s in inner(item):
+            worst = backtracks(s)
+            if worst:
+                return worst
+    return None
+
+
+def regexes(tree: ast.AST) -> Iterator[tuple[str, ast.AST, str]]:
+    for node in ast.walk(tree):
+        if isinstance(node, ast.Call) and name_of(node.func).split(".")[0] in ("re", "regex") and node.args and isinstance(node.args[0], ast.Constant) and isinstance(node.args[0].value, str):
+            try:
+                worst = backtracks(list(parser.parse(node.args[0].value)))
+            except (re.error, RecursionError, OverflowError):
+                continue
+            if worst:
+                yield "regex-catastrophic-backtracking", node, f"{node.args[0].value!r} can take {worst} time"
+
+
+def threads(tree: ast.AST) -> Iterator[tuple[str, ast.AST, str]]:
+    """Fields of a class that methods started as threads share, one of them changing it, without a lock held."""
+    for cls in (n for n in ast.walk(tree) if isinstance(n, ast.ClassDef)):
+        methods = {m.name: m for m in cls.body if isinstance(m, (ast.FunctionDef, ast.AsyncFunctionDef))}
+        started = {name_of(k.value).removeprefix("self.") for n in ast.walk(cls) if isinstance(n, ast.Call) and name_of(n.func).rpartition(".")[2] in ("Thread", "Timer") for k in n.keywords if k.arg in ("target", "function")}
+        bases = {name_of(b).rpartition(".")[2] for b in cls.bases}
+        started = (started | ({"run"} if "Thread" in bases else set())) & methods.keys()
+        seen: dict[str, dict[str, tuple[bool, ast.AST]]] = {}
+
+        def walk(node: ast.AST, who: str, locked: bool) -> None:
+            if isinstance(node, (ast.With, ast.AsyncWith)):
+                locked = locked or any(re.search("lock|mutex|condition|semaphore", ast.unparse(i.context_expr), re.I) for i in node.items)
+            if isinstance(node, ast.Attribute) and isinstance(node.value, ast.Name) and node.value.id == "self" and not locked and node.attr not in methods:
+                wrote = isinstance(node.ctx, (ast.Store, ast.Del))
+                old = seen.setdefault(node.attr, {}).get(who)
+                if old is None or wrote and not old[0]:
+                    seen[node.attr][who] = (wrote, node)
+            for child in ast.iter_child_nodes(node):
+                walk(child, who, locked)
+
+        for m in sorted(started):
+            walk(methods[m], m, False)
+        for field, by in sorted(seen.items()):
+            writers = [w for w, (wrote, _) in by.items() if wrote]
+            if len(by) > 1 and writers:
+                yield "unsynchronized-shared-state", by[writers[0]][1], f"self.{field} is changed in {writers[0]}() and used in {', '.join(sorted(set(by) - {writers[0]}))}() without a lock"
+
+
+def all_of(tree: ast.AST) -> Iterator[tuple[str, str, ast.AST, str]]:
+    for rule in (dates, regexes, threads):
+        for name, node, message in rule(tree):
+            yield name, "high", node, message

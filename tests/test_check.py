@@ -64,6 +64,9 @@ def test_marks_settings(spark):
     assert [x.rule for x in r.suppressed.collect()] == ["signature-break"]
 
 
+THREADS = "import threading\nclass C:\n    def go(self):\n        threading.Thread(target=self.a).start()\n        threading.Thread(target=self.b).start()\n    def a(self):\n        self.n += 1\n    def b(self):\n        return self.n\n"
+
+
 @pytest.mark.parametrize(
     ("text", "rules"),
     [
@@ -72,7 +75,13 @@ def test_marks_settings(spark):
         ("def f():\n    return 1\n    g = 2\n", {"unreachable-code"}), ("def f():\n    return\n    yield\n", set()),
         ("if False:\n    x = 1\n", {"constant-condition"}), ("while True:\n    break\n", set()), ("if 1:\n    x = 1\nelse:\n    x = 2\n", {"constant-condition"}),
         ("import contextlib\nwith contextlib.suppress(Exception):\n    x = 1\n", {"swallowed-exception"}), ("def f():\n    print(1)\n", {"debug-leftover"}), ("def show():\n    print(1)\n", set()),
-        ("def f():\n    breakpoint()\n", {"debug-leftover"}), ("def f(a=dict()):\n    return a\n", {"mutable-default-argument"}), ("x = nope\n", {"undefined-name"}), ("from m import *\nx = nope\n", set()),
+        ("def f():\n    breakpoint()\n", {"debug-leftover"}), ("def f(a=dict()):\n    return a\n", {"mutable-default-argument"}), ("x = nope\n", {"undefined-name"}),
+        ("def f(d):\n    return d.replace(year=d.year + 1)\n", {"leap-day-date"}), ("def f(d):\n    return d.replace(year=d.year + 4)\n", set()),
+        ("from datetime import date\ndef f(d):\n    return date(d.year - 1, d.month, d.day)\n", {"leap-day-date"}), ("def f(d):\n    try:\n        return d.replace(year=d.year + 1)\n    except ValueError:\n        return d\n", set()),
+        ("import re\nP = re.compile(r'(a+)+$')\n", {"regex-catastrophic-backtracking"}), ("import re\nP = re.compile(r'.*.*.*=.*')\n", {"regex-catastrophic-backtracking"}),
+        ("import re\nP = re.compile(r'(\\w+,)+x')\n", set()), ("import re\nP = re.compile(r'[a-z]+\\d+[a-z]+$')\n", set()),
+        (THREADS, {"unsynchronized-shared-state"}), (THREADS.replace("self.n += 1", "with self.lock:\n            self.n += 1").replace("return self.n", "with self.lock:\n            return self.n"), set()),
+ ("from m import *\nx = nope\n", set()),
     ],
 )
 def test_file_rules_fire_and_stay_quiet(text, rules):
