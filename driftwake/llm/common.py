@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import string
 import tempfile
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +30,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
+    """df as a Parquet table in the shared folder, for what is too large to keep uncompressed, and a call that
+    deletes it, once nothing that is still to run reads it."""
+    spark = df.sparkSession
+    home = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(home)
+    path = spark._jvm.org.apache.hadoop.fs.Path(home)
+    return spark.read.schema(df.schema).parquet(home), lambda: path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only. lower() is the cheap way for texts of ASCII alone, where both agree."""
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))

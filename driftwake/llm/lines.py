@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwake.llm.common import cut, table
+from driftwake.llm.common import cut, table, written
 
 MIN_WORDS = 5
 BLANK = " \t\r\x0b\x0c"
@@ -196,11 +196,12 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """docs with text_col less its repeated and near-repeated lines, and two columns more: n_lines, n_dropped.
     (Columns of docs with these two names are replaced.)"""
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
-    lines = cut(line_table(base))
+    lines, delete = written(line_table(base))
     texts = cut(texts_of(base, cut(candidates(lines))))
     gone = cut(near_later(texts))
     stay = firsts(lines).join(gone, ["k1", "k2"], "left_anti")
-    kept = stay.groupBy(F.col("pos.doc_id").alias("id"), F.col("pos.h").alias("h")).agg(F.collect_list("pos.no").alias("kept"))
+    kept = cut(stay.groupBy(F.col("pos.doc_id").alias("id"), F.col("pos.h").alias("h")).agg(F.collect_list("pos.no").alias("kept")))
+    delete()
     # columns of docs travel in a struct, where their names meet none of ours
     whole = docs.select(F.struct(*(c for c in docs.columns if c not in ("n_lines", "n_dropped"))).alias("doc")).withColumn("key", F.xxhash64(F.col("doc")[text_col]))
     joined = whole.join(kept, (F.col("h") == F.col("key")) & F.col("id").eqNullSafe(F.col("doc")[id_col].cast("long")), "left")
