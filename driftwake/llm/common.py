@@ -40,6 +40,18 @@ def written(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
     return spark.read.schema(df.schema).parquet(home), lambda: path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+BATCH_ROWS = 1000
+
+
+def in_batches(df: DataFrame) -> DataFrame:
+    """df, with Arrow batches of at most BATCH_ROWS rows from here on in its session. Texts are long: batches of the
+    usual 10,000 rows are tens of MB, held several times over on both sides of the Python boundary."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key)) <= BATCH_ROWS:
+        df.sparkSession.conf.set(key, BATCH_ROWS)
+    return df
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only. lower() is the cheap way for texts of ASCII alone, where both agree."""
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))

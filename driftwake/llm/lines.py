@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwake.llm.common import cut, table, written
+from driftwake.llm.common import cut, in_batches, table, written
 
 MIN_WORDS = 5
 BLANK = " \t\r\x0b\x0c"
@@ -76,7 +76,7 @@ def line_table(docs: DataFrame) -> DataFrame:
                         put(x)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, LINE_TYPES)], names=[c.split()[0] for c in LINES.split(", ")])
 
-    return docs.mapInArrow(run, LINES)
+    return in_batches(docs).mapInArrow(run, LINES)
 
 
 def firsts(lines: DataFrame) -> DataFrame:

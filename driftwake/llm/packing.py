@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from driftwake.llm.common import cut, table
+from driftwake.llm.common import cut, in_batches, table
 
 WINDOW = 2048
 END = 1
@@ -72,7 +72,7 @@ def pieces(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_c
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, [pa.int64()] * 5 + [pa.int32(), pa.int64()])], names=[c.split()[0] for c in PIECES.split(", ")])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, PIECES)
+    return in_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))).mapInArrow(run, PIECES)
 
 
 class Capacities:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwake.llm.common import table
+from driftwake.llm.common import in_batches, table
 
 SAMPLE_ROWS = 4000
 SAMPLE_BYTES = 64 << 20
@@ -36,7 +36,7 @@ GRAMS = (3, 4)
 EPOCHS = 5
 RATE = 0.5
 KEEP = 0.7
-CACHED = 200_000
+CACHED = 150_000
 #: The bucket of a word that stands again right after itself, and how often it counts: as the n-grams of a usual word.
 AGAIN = zlib.crc32(b"\0again") % BUCKETS
 AGAIN_TIMES = 8
@@ -165,7 +165,7 @@ def score(docs: DataFrame, model: Model, columns: list[str], text_col: str = "te
             scores = pa.array([one(t.as_py()) for t in b.column(at)], pa.float64())
             yield pa.RecordBatch.from_arrays([*b.columns[:n], scores], names=[*columns, "score"])
 
-    rows = docs.select(*passed)
+    rows = in_batches(docs.select(*passed))
     schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes[:n])
     return rows.mapInArrow(run, f"{schema}, score double")
 

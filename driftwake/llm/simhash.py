@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwake.llm.common import cut, table
+from driftwake.llm.common import cut, in_batches, table
 from driftwake.llm.components import roots
 
 SHINGLE = 4
@@ -64,7 +64,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), *b.columns[2:]], names=["doc_id", "fp", *names])
 
     told = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *(c.alias(n) for c, n in zip(row, names)))
-    return told.mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", "fp", *names)))
+    return in_batches(told).mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", "fp", *names)))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
