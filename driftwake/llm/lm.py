@@ -9,8 +9,8 @@ the text has them, so each token is scored once. A batch of windows is one maske
 are added to embeddings, keys, values and queries of all ids are tables made once.
 
 What is counted is counted over all training documents: words for the base score, subword ids for the vocabulary
-and the shares of rare ids. The weights are fitted on a bounded sample of them (SAMPLE_ROWS, SAMPLE_BYTES), in
-the order of a hash of the id.
+and the shares of rare ids. Classes and weights are fitted on all of them too, whole texts of any length: partitions
+train on their own texts and their weights are averaged.
 
 Words with high counts (HEAD at most, so what is broadcast is bounded) are looked up where the text is read; all others
 meet their counts in a join. Both together give every word its exact count.
@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwake.llm.common import cut, table
+from driftwake.llm.common import cut, in_batches, table
 from driftwake.llm.packing import encoder
 
 BEFORE, STRIDE = 8, 16
@@ -45,10 +45,10 @@ CLASSES, SLOTS = 32, 64
 VOCABULARY = CLASSES * SLOTS
 END, RARE = 0, 1
 IDS = 50_256
-SAMPLE_ROWS, SAMPLE_BYTES = 3000, 6 << 20
 STEPS, EPOCHS, BATCH, RATE = 1800, 8, 256, 0.02  # as many epochs as make STEPS, EPOCHS at most
 HEAD = 500_000
 CACHED = 400_000
+WINDOWS = 16_384  # held, in a task, for training
 PART_CHARS = 2 << 20  # of texts that are scored together
 FLUSH = 400_000
 END_WORD = (0, 0)  # the end's name among words' names
@@ -162,13 +162,10 @@ class Model:
         return total / math.log(10)
 
 
-def families(tokens: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """vocabulary -> class * SLOTS + slot: halved again and again along the strongest direction of what stands before
-    and after each token, so that a class holds tokens of like use."""
-    near = np.zeros((VOCABULARY, 2 * VOCABULARY), np.float32)
-    np.add.at(near, (tokens[1:], tokens[:-1]), 1)
-    np.add.at(near, (tokens[:-1], VOCABULARY + tokens[1:]), 1)
-    near = np.sqrt(near)
+def families(pairs: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """pairs (token, next token) counted -> vocabulary -> class * SLOTS + slot: halved again and again along the
+    strongest direction of what stands before and after each token, so that a class holds tokens of like use."""
+    near = np.sqrt(np.concatenate((pairs.T, pairs), axis=1, dtype=np.float32))
     near /= np.linalg.norm(near, axis=1, keepdims=True) + 1e-6
     basis = near.T @ (near @ rng.standard_normal((2 * VOCABULARY, 32)).astype(np.float32))
     points = near @ np.linalg.qr(basis)[0]
@@ -186,9 +183,8 @@ def families(tokens: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     return place
 
 
-def train(texts: list[np.ndarray], counts: np.ndarray, seed: int = 1) -> Model:
-    """texts: subword ids (IDS for the end) of each training text; counts: of each id over all training documents."""
-    rng = np.random.default_rng(seed)
+def untrained(counts: np.ndarray, rng: np.random.Generator) -> tuple[Model, np.ndarray]:
+    """The model before any text is seen, and the prior of each token; counts: of each id over all training documents."""
     often = np.argsort(-counts, kind="stable")[: VOCABULARY - 2]
     often = often[counts[often] > 0]
     token_of = np.full(IDS + 1, RARE, np.uint16)
@@ -202,54 +198,204 @@ def train(texts: list[np.ndarray], counts: np.ndarray, seed: int = 1) -> Model:
     d = DIMENSIONS
     f = lambda *s, by=0.1: (rng.standard_normal(s) * by).astype(np.float32)
     w = {"e": f(VOCABULARY, d, by=0.3), "p": f(WIDTH, d), "q": f(d, d, by=0.25), "k": f(d, d, by=0.25), "v": f(d, d, by=0.25), "c": f(d, CLASSES), "cb": np.zeros(CLASSES, np.float32), "u": f(CLASSES, d, SLOTS), "ub": np.zeros((CLASSES, SLOTS), np.float32)}
-    if not texts:
-        w["c"][:] = w["u"][:] = 0
-        return Model(token_of, rare, np.arange(VOCABULARY, dtype=np.int32), w)
-    texts = [token_of[t] for t in texts]
-    tokens = np.concatenate(texts)
-    place = families(tokens, rng)
-    # the prior of each token, from all documents, is where the output starts
     prior = np.full(VOCABULARY, 0.5)
     prior[2 : 2 + len(often)] += counts[often]
     prior[END] += counts[IDS]
     prior[RARE] += counts[:IDS][rest[:IDS]].sum()
+    return Model(token_of, rare, np.arange(VOCABULARY, dtype=np.int32), w), prior
+
+
+def placed(model: Model, prior: np.ndarray, place: np.ndarray) -> Model:
+    """The model with its classes; the prior of each token is where the output starts."""
     by_place = np.empty(VOCABULARY)
     by_place[place] = prior
     by_place = by_place.reshape(CLASSES, SLOTS)
-    w["cb"] = np.log(by_place.sum(axis=1) / by_place.sum()).astype(np.float32)
-    w["ub"] = np.log(by_place / by_place.sum(axis=1, keepdims=True)).astype(np.float32)
-    # windows as score() cuts them, those that end a text filled with its end and left out of the loss
-    seen, target, weight, first = [], [], [], []
-    for t in texts:
-        x = np.concatenate((np.zeros(BEFORE + 1, np.uint16), t))
-        for a in range(0, len(t), STRIDE):
-            y = t[a : a + STRIDE]
-            s = np.zeros(WIDTH, np.uint16)
-            part = x[a : a + BEFORE + len(y)]
-            if a == 0:
-                part[:BEFORE] = END
-            s[: len(part)] = part
-            seen.append(s)
-            target.append(np.pad(y, (0, STRIDE - len(y))))
-            weight.append(np.arange(STRIDE) < len(y))
-            first.append(a == 0)
-    seen, target, weight, first = np.array(seen), np.array(target), np.array(weight), np.array(first)
-    m1, m2 = ({k: np.zeros_like(x) for k, x in w.items()} for _ in range(2))
-    per_epoch, step = -(-len(seen) // BATCH), 0
-    epochs = min(EPOCHS, -(-STEPS // per_epoch))
-    steps = epochs * per_epoch
-    for _ in range(epochs):
-        order = rng.permutation(len(seen))
+    model.weights["cb"] = np.log(by_place.sum(axis=1) / by_place.sum()).astype(np.float32)
+    model.weights["ub"] = np.log(by_place / by_place.sum(axis=1, keepdims=True)).astype(np.float32)
+    return Model(model.token_of, model.rare, place, model.weights)
+
+
+def windows(texts: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+    """seen, target, weight, first: windows as score() cuts them, those that end a text filled with its end and left
+    out of the loss. texts: tokens, each text whole."""
+    tokens, sizes = np.concatenate(texts), np.array([len(t) for t in texts])
+    starts = np.cumsum(sizes) - sizes
+    before = np.empty_like(tokens)
+    before[1:] = tokens[:-1]
+    before[starts] = END
+    n = -(-sizes // STRIDE)
+    doc = np.repeat(np.arange(len(sizes)), n)
+    nth = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+    at = (starts[doc] + nth * STRIDE)[:, None] + np.arange(-BEFORE, STRIDE)
+    inside = (at >= starts[doc, None]) & (at < (starts + sizes)[doc, None])
+    at = np.clip(at, 0, len(tokens) - 1)
+    return np.where(inside, before[at], END), np.where(inside, tokens[at], END)[:, BEFORE:], inside[:, BEFORE:], nth == 0
+
+
+@dataclass
+class Fit:
+    """Weights on their way: Adam's two moments beside them, and the steps so far of those planned."""
+
+    w: dict[str, np.ndarray]
+    place: np.ndarray
+    steps: float
+    m1: dict[str, np.ndarray] | None = None
+    m2: dict[str, np.ndarray] | None = None
+    step: float = 0
+
+    def __post_init__(self) -> None:
+        self.m1 = self.m1 or {k: np.zeros_like(x) for k, x in self.w.items()}
+        self.m2 = self.m2 or {k: np.zeros_like(x) for k, x in self.w.items()}
+
+    def learn(self, cut_: tuple[np.ndarray, ...], rng: np.random.Generator) -> None:
+        """One pass over all of some windows."""
+        order = rng.permutation(len(cut_[0]))
+        w, m1, m2 = self.w, self.m1, self.m2
         for a in range(0, len(order), BATCH):
             i = order[a : a + BATCH]
-            grads = gradients(w, place, seen[i], target[i], weight[i], first[i])
-            step += 1
-            rate = RATE * (1 - step / (steps + 1)) * min(1, step / 50)
+            grads = gradients(w, self.place, *(x[i] for x in cut_))
+            self.step += 1
+            rate = RATE * max(0.01, 1 - self.step / (self.steps + 1)) * min(1, self.step / 50) * min(1, len(i) / BATCH * 2)
             for k, g in grads.items():
                 m1[k] += 0.1 * (g - m1[k])
                 m2[k] += 0.01 * (g * g - m2[k])
-                w[k] -= (rate / (1 - 0.9**step)) * m1[k] / (np.sqrt(m2[k] / (1 - 0.99**step)) + 1e-6)
-    return Model(token_of, rare, place, w)
+                w[k] -= (rate / (1 - 0.9**self.step)) * m1[k] / (np.sqrt(m2[k] / (1 - 0.99**self.step)) + 1e-6)
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([x[k].ravel() for x in (self.w, self.m1, self.m2) for k in sorted(x)])
+
+    def filled(self, flat: np.ndarray, step: float) -> Fit:
+        """Another with these numbers."""
+        out, at = [{}, {}, {}], 0
+        for x in out:
+            for k in sorted(self.w):
+                x[k] = flat[at : at + self.w[k].size].reshape(self.w[k].shape).astype(np.float32)
+                at += self.w[k].size
+        return Fit(out[0], self.place, self.steps, out[1], out[2], step)
+
+
+def epochs_of(n: int) -> int:
+    """As many as make STEPS of n windows, EPOCHS at most."""
+    return min(EPOCHS, -(-STEPS // -(-n // BATCH)))
+
+
+def train(texts: list[np.ndarray], counts: np.ndarray, seed: int = 1) -> Model:
+    """In memory what train_all does over partitions. texts: subword ids (IDS for the end) of each training text."""
+    rng = np.random.default_rng(seed)
+    model, prior = untrained(counts, rng)
+    if not texts:
+        model.weights["c"][:] = model.weights["u"][:] = 0
+        return Model(model.token_of, model.rare, model.place, model.weights)
+    texts = [model.token_of[t] for t in texts]
+    model = placed(model, prior, families(followers(texts), rng))
+    cut_ = windows(texts)
+    epochs = epochs_of(len(cut_[0]))
+    fit = Fit(model.weights, model.place, epochs * -(-len(cut_[0]) // BATCH))
+    for _ in range(epochs):
+        fit.learn(cut_, rng)
+    return Model(model.token_of, model.rare, model.place, fit.w)
+
+
+def followers(texts: list[np.ndarray]) -> np.ndarray:
+    """(token, next token) -> how often; an end stands before each text."""
+    tokens = np.concatenate([np.zeros(1, np.uint16), *texts]).astype(np.int64)
+    return np.bincount(tokens[:-1] * VOCABULARY + tokens[1:], minlength=VOCABULARY**2).reshape(VOCABULARY, VOCABULARY)
+
+
+def encoded(batches: Iterator[pa.RecordBatch], token_of: np.ndarray, path: str) -> Iterator[list[np.ndarray]]:
+    """Tokens of all texts (first column), whole, a list at a time; a list has WINDOWS windows or one text more."""
+    encode, known, held, n = encoder(path).encode_ordinary, {}, [], 0
+    for b in batches:
+        for text in b.column(0):
+            own = []
+            for w in words(text.as_py()):
+                ids = known.get(w)
+                if ids is None:
+                    if len(known) > CACHED:
+                        known.clear()
+                    ids = known[w] = token_of[subwords(encode, w)].tolist()
+                own += ids
+            own.append(END)
+            held.append(np.array(own, np.uint16))
+            n += -(-len(own) // STRIDE)
+            if n >= WINDOWS:
+                yield held
+                held, n = [], 0
+    if held:
+        yield held
+
+
+def train_all(learnt: DataFrame, counts: np.ndarray, path: str, seed: int = 1) -> Model:
+    """learnt(doc_id, text): every text, whole, is trained on. Each partition takes its own texts from common weights, and
+    the weights (with their moments) are averaged by windows. The first epoch does so after 1, 2, 4 ... of 64 parts
+    of the texts, so that partitions don't part early."""
+    rng = np.random.default_rng(seed)
+    model, prior = untrained(counts, rng)
+    if not counts[IDS]:
+        return train([], counts, seed)
+    spark, token_of = learnt.sparkSession, model.token_of
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((VOCABULARY, VOCABULARY), np.int64)
+        for texts in encoded(batches, token_of, path):
+            total += followers(texts)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel()[at])], names=["at", "n"])
+
+    found = learnt.select("text").mapInArrow(follow, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    pairs = np.zeros(VOCABULARY**2)
+    pairs[found.column("at").to_numpy()] = found.column("n").to_numpy()  # VOCABULARY**2 rows at most
+    model = placed(model, prior, families(pairs.reshape(VOCABULARY, VOCABULARY), rng))
+    n = -(-int(counts.sum()) // STRIDE)  # windows, nearly
+    epochs, parts = epochs_of(n), max(1, learnt.rdd.getNumPartitions())
+    fit = Fit(model.weights, model.place, max(1, epochs * n / BATCH / parts))
+    part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(64))
+    turns = [(0, 1), *((1 << i, 2 << i) for i in range(6)), *[(0, 64)] * (epochs - 1)]
+    for turn, (a, b) in enumerate(turns):
+        shared = spark.sparkContext.broadcast(fit)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, turn=turn) -> Iterator[pa.RecordBatch]:
+            now, seen = shared.value.filled(shared.value.flat(), shared.value.step), 0
+            order = np.random.default_rng((seed, turn, TaskContext.get().partitionId()))
+            for texts in encoded(batches, token_of, path):
+                cut_ = windows(texts)
+                now.learn(cut_, order)
+                seen += len(cut_[0])
+            if seen:
+                yield averaged([(seen, now.step, now.flat().tobytes())])
+
+        def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums = None
+            for b in batches:
+                for row in zip(*(c.to_pylist() for c in b.columns)):
+                    sums = row if sums is None else mean(sums, row)
+            if sums:
+                yield averaged([sums])
+
+        own = learnt.filter((part >= a) & (part < b)).select("text").mapInArrow(run, FITTED)
+        if parts > 64:  # what comes to the driver doesn't grow with the partitions
+            own = own.repartition(16).mapInArrow(merge, FITTED)
+        sums = None
+        for row in own.collect():
+            sums = tuple(row) if sums is None else mean(sums, tuple(row))
+        if sums:
+            fit = fit.filled(np.frombuffer(sums[2], np.float32), sums[1])
+        shared.unpersist()
+    return Model(model.token_of, model.rare, model.place, fit.w)
+
+
+FITTED = "n long, step double, flat binary"
+
+
+def averaged(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.float64(), pa.binary()))], names=["n", "step", "flat"])
+
+
+def mean(a: tuple, b: tuple) -> tuple:
+    """Of two (windows, steps, numbers), by windows."""
+    n = a[0] + b[0]
+    x, y = (np.frombuffer(r[2], np.float32).astype(np.float64) * (r[0] / n) for r in (a, b))
+    return n, (a[1] * a[0] + b[1] * b[0]) / n, (x + y).astype(np.float32).tobytes()
 
 
 def gradients(w: dict, place: np.ndarray, seen: np.ndarray, target: np.ndarray, weight: np.ndarray, first: np.ndarray) -> dict:
@@ -448,7 +594,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     for r in of_ids.collect():  # one row a subword id
         ids[r["k1"]] = r["n"]
     top = head(of_words)
-    model = train(sample(learnt, path), ids)
+    model = train_all(learnt, ids, path)
     ends = float(ids[IDS])  # the end's count is the training documents'
     below = math.log10(total + 0.1 * (distinct + 1))
     end_score, end_known = math.log10(ends + 0.1) - below, int(ends > 0)
@@ -480,21 +626,5 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     )
 
 
-def sample(learnt: DataFrame, path: str) -> list[np.ndarray]:
-    """Subword ids of training texts, whole, in the order of a hash of the id; SAMPLE_ROWS and SAMPLE_BYTES at most."""
-    sizes = learnt.select("doc_id", F.xxhash64("doc_id").alias("h"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("n")).orderBy("h", "doc_id", "n").limit(SAMPLE_ROWS)
-    room, chosen = SAMPLE_BYTES, set()
-    for r in sizes.collect():
-        if r["n"] <= room:
-            room -= r["n"]
-            chosen.add((r["doc_id"], r["n"]))
-    if not chosen:
-        return []
-    picked = learnt.sparkSession.createDataFrame(sorted(chosen), "doc_id long, n int")
-    same = learnt.withColumn("n", F.coalesce(F.octet_length("text"), F.lit(0))).join(F.broadcast(picked), ["doc_id", "n"])
-    encode, texts = encoder(path).encode_ordinary, {(r["doc_id"], r["text"] or "") for r in same.select("doc_id", "text").collect()}
-    return [np.array([i for w in words(t) for i in subwords(encode, w)] + [IDS], np.int64) for _, t in sorted(texts)]
-
-
 def op6_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"))
