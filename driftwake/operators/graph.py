@@ -100,16 +100,16 @@ def cycles(edges: DataFrame) -> DataFrame:
     return both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.first("src")).alias("component")).join(both.filter("src <> dst").select(F.col("src").alias("node")).distinct(), "node", "left_semi")
 
 
-def communities(edges: DataFrame, rounds: int = 5) -> DataFrame:
+def communities(edges: DataFrame, rounds: int = 30) -> DataFrame:
     """G10. node, label: synchronous label propagation over undirected weighted edges(src, dst, weight); each round a node
     takes the label of the greatest weight round it, ties to the smaller. (An asynchronous order is not reproducible in
-    parallel; this is the defined form here.)"""
+    parallel; this is the defined form here.) It ends when no label changes, or after so many rounds."""
     both = edges.select("src", "dst", "weight").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")).filter("src <> dst").groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
     both = cut(both)
     labels = both.select(F.col("src").alias("node")).distinct().withColumn("label", F.col("node"))
-    for r in range(rounds):
+    for _ in range(rounds):
         votes = both.join(labels.withColumnRenamed("node", "dst"), "dst").groupBy("src", "label").agg(F.sum("weight").alias("w"))
-        labels = votes.groupBy(F.col("src").alias("node")).agg(F.min_by("label", F.struct(-F.col("w"), F.col("label"))).alias("label"))
-        if r % 3 == 2:
-            labels = cut(labels)
+        was, labels = labels, cut(votes.groupBy(F.col("src").alias("node")).agg(F.min_by("label", F.struct(-F.col("w"), F.col("label"))).alias("label")))
+        if not labels.join(was.withColumnRenamed("label", "was"), "node").filter("label <> was").head(1):
+            break
     return labels
