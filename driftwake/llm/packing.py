@@ -26,20 +26,22 @@ from driftwake.llm.common import cut, in_batches, table
 
 WINDOW = 2048
 END = 1
+SPECIAL = "<|endoftext|>"  # the vocabulary's one added token: one id wherever it stands in a text
 
 _encoders: dict[str, object] = {}
 
 
 def encoder(path: str):
     """The byte-level BPE whose ranks lie at path, once per Python worker. Its ids are those of the JSON file of
-    the same vocabulary (tests hold the two together); it is several times as fast."""
+    the same vocabulary, its special token included (tests hold the two together); it is several times as fast."""
     if path not in _encoders:
         import public_tokenizers
         import tiktoken
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _encoders[path] = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        special = {SPECIAL: len(ranks)} if len(ranks) not in ranks.values() else {}  # the id after the last rank
+        _encoders[path] = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
     return _encoders[path]
 
 
@@ -62,7 +64,7 @@ def pieces(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_c
         for batch in batches:
             out: list[list] = [[] for _ in range(7)]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.append(encode(text.as_py() or "", disallowed_special=()).astype("<u4"), np.uint32(END)).astype("<u4")
+                ids = np.append(encode(text.as_py() or "", allowed_special="all").astype("<u4"), np.uint32(END)).astype("<u4")
                 n, raw = len(ids), memoryview(ids.tobytes())
                 for start in range(0, n, window):
                     length = min(window, n - start)
