@@ -2,8 +2,9 @@
 
 A candidate is a run of at least `window` characters of [A-Za-z0-9+/_=-]. Within it, for each character class
 (hex, alnum, base64) every window is judged by the entropy of its characters, kept by incremental counts; windows
-over the class's threshold that mix kinds of characters join to spans. Allow-listed strings (UUIDs, dates, paths of
-words, runs of an alphabet, placeholders) are suppressed. The base spans are never suppressed.
+over the class's threshold that mix kinds of characters join to spans. Windows of allow-listed strings (UUIDs, dates,
+paths of words, runs of an alphabet, placeholders) are suppressed, one by one: a key beside such strings is still found.
+The base spans are never suppressed.
 
 Edge cases: a null text is empty; texts are scanned whole; each row is judged alone, so repeated rows and null ids
 give a row each; an empty table gives no rows; other columns are ignored.
@@ -14,13 +15,15 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwake.llm.common import table
+from driftwake.llm.common import in_batches, table
 
 KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_alnum", "entropy_base64")
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
@@ -35,21 +38,36 @@ CLASSES = {
     "entropy_alnum": (re.compile(r"[A-Za-z0-9]{20,}"), 20, 3.75),
     "entropy_base64": (re.compile(r"[A-Za-z0-9+/_=-]{24,}"), 24, 4.0),
 }
+#: What is allow-listed in a candidate: words and numbers between separators, and the separators; runs of an alphabet and
+#: placeholders; of a segment that says it is an example, all of it; UUIDs and dates.
 ALLOW = re.compile(
-    r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}"  # UUID
-    r"|\d{4}-\d\d-\d\d.*"  # dates and what hangs on them
-    r"|(?:[A-Za-z]+|\d+)(?:[/_=+-](?:[A-Za-z]+|\d+))*"  # words and numbers joined: paths, slugs, identifiers
-    r"|.*(?:EXAMPLE|example|XXXX|xxxx|0000000|1234567|abcdefg|ABCDEFG).*"  # placeholders, alphabets
+    r"(?<![A-Za-z0-9])(?:[A-Za-z]+|\d+)(?![A-Za-z0-9])|[/_=+-]"
+    r"|[Xx]{4,}|0{7,}|1234567(?:89?0?)?|abcdefg[h-z]*|ABCDEFG[H-Z]*"
 )
+EXAMPLE = re.compile(r"[A-Za-z0-9]*(?:EXAMPLE|example)[A-Za-z0-9]*")
+LONGER = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}|\d{4}-\d\d-\d\d(?:T[\d-]*)?")
+#: A window is suppressed if fewer of its characters than this are outside the allow-list.
+LEAST_OPEN = 6
+
+
+def open_places(candidate: str) -> bytearray:
+    """1 for each character outside the allow-list."""
+    out = bytearray(b"\1") * len(candidate)
+    for pattern in (ALLOW, EXAMPLE, LONGER):  # a UUID's parts are words or not, so these have a turn of its own
+        for m in pattern.finditer(candidate):
+            out[m.start() : m.end()] = bytes(m.end() - m.start())
+    return out
 
 
-def windows(text: str, size: int, bits: float) -> Iterator[tuple[int, int]]:
-    """Spans of text all of whose windows of `size` have at least `bits` of entropy and hold letters and digits.
+def windows(text: str, size: int, bits: float, open_: bytes | None = None) -> Iterator[tuple[int, int]]:
+    """Spans of text all of whose windows of `size` have at least `bits` of entropy, hold letters and digits and,
+    where open_ is given, at least LEAST_OPEN characters marked there.
 
     Entropy of a window is log2(size) - sum(c*log2(c))/size; moving by one changes two terms of the sum.
     """
     term = [0.0, 0.0, *(c * math.log2(c) for c in range(2, size + 2))]  # the new character comes before the old one goes
     counts: dict[str, int] = {}
+    opened, least = 0, LEAST_OPEN if open_ is not None else 0
     total, digits, letters, most = 0.0, 0, 0, (math.log2(size) - bits) * size
     begin = end = -1
     for i, c in enumerate(text):
@@ -58,6 +76,7 @@ def windows(text: str, size: int, bits: float) -> Iterator[tuple[int, int]]:
         total += term[n + 1] - term[n]
         digits += c.isdigit()
         letters += c.isalpha()
+        opened += open_[i] if least else 0
         if i >= size:
             gone = text[i - size]
             n = counts[gone]
@@ -65,7 +84,8 @@ def windows(text: str, size: int, bits: float) -> Iterator[tuple[int, int]]:
             total += term[n - 1] - term[n]
             digits -= gone.isdigit()
             letters -= gone.isalpha()
-        if i >= size - 1 and total <= most + 1e-9 and digits and letters:
+            opened -= open_[i - size] if least else 0
+        if i >= size - 1 and total <= most + 1e-9 and digits and letters and opened >= least:
             if begin >= 0 and i - size + 1 > end:
                 yield begin, end
                 begin = -1
@@ -93,17 +113,23 @@ def entropy_spans(text: str) -> list[tuple[int, int, int]]:
     out = []
     for m in CANDIDATE.finditer(text):
         found, at = m[0], m.start()
-        if found.isalpha() or found.isdigit() or ALLOW.fullmatch(found):
+        if found.isalpha() or found.isdigit():
+            continue
+        open_ = open_places(found)
+        if sum(open_) < LEAST_OPEN:
             continue
-        taken: list[tuple[int, int]] = []
+        taken: list[tuple[int, int]] = []  # of narrower classes, by start; an end is the furthest so far
         for kind, (runs, size, bits) in CLASSES.items():
+            new = []
             for run in runs.finditer(found):
-                for a, b in windows(run[0], size, bits):
+                for a, b in windows(run[0], size, bits, open_[run.start() : run.end()]):
                     a, b = a + run.start(), b + run.start()
-                    if ALLOW.fullmatch(found[a:b]) or any(x <= a and b <= y for x, y in taken):
-                        continue
-                    taken.append((a, b))  # a narrower class has it: wider ones need not repeat it
-                    out.append((at + a, KINDS.index(kind), at + b))
+                    i = bisect_right(taken, (a, len(found))) - 1
+                    if i < 0 or taken[i][1] < b:  # else a narrower class has it: wider ones need not repeat it
+                        new.append((a, b))
+                        out.append((at + a, KINDS.index(kind), at + b))
+            spans = sorted(taken + new)
+            taken = list(zip((a for a, _ in spans), accumulate((b for _, b in spans), max)))
     return out
 
 
@@ -128,7 +154,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                     column.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, ARROW)], schema=ARROW)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SCHEMA)
+    return in_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))).mapInArrow(run, SCHEMA)
 
 
 def op3_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:

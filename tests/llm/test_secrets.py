@@ -63,5 +63,28 @@ def test_entropy_finds_keys_and_lets_usual_strings_be():
         assert S.entropy_spans(quiet) == []
 
 
+def test_a_key_beside_allowed_strings_is_found():
+    _, key, _ = samples()
+    for around in ("example_key={}", "2024-01-01/{}", "path/to/xxxx/{}", "https://db/{}/1234567"):
+        text = around.format(key)
+        at = text.index(key)
+        assert any(a < at + 20 and b > at + 20 for a, _, b in S.entropy_spans(text)), text
+    split = key[:18] + "XXXX" + key[18:]
+    assert S.entropy_spans(split)
+
+
+def test_long_blobs_take_linear_time():
+    import time
+
+    rng = random.Random(5)
+    blob = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(400_000))
+    began = time.process_time()
+    S.entropy_spans(blob[:100_000])
+    short = time.process_time() - began
+    began = time.process_time()
+    S.entropy_spans(blob)
+    assert time.process_time() - began < 8 * short + 0.2
+
+
 def test_empty_table(spark):
     assert S.scan(cases.empty(spark)).collect() == []
