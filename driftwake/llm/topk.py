@@ -8,9 +8,12 @@ so far plus all bounds still open reaches the k-th best; shards' lists are merge
 Queries are met in blocks of at most QUERY_BLOCK, each broadcast alone, so what is broadcast has a fixed bound and the
 number of passes grows with the query set instead.
 
+A query row meets every row but itself: rows that repeat its id, or it as a whole, are candidates like any other. So
+the best k + 1 of all rows are sought, and one row of the query's own id and score is left out, if it is among them.
+
 Edge cases: vectors that are null or hold null or non-finite components take no part; shorter vectors count as if
-filled with zeros; repeated vec_ids are rows like any other, but a query never meets rows of its own id; repeated
-query rows are answered once; fewer candidates than k give all of them; an empty table gives no rows.
+filled with zeros; each query row is answered, also where its id or the whole row is repeated; rows with a null id take
+no part; fewer candidates than k give all of them; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,7 +32,8 @@ K = 10
 EVERY = 100
 SHARD_ROWS = 8192
 QUERY_BLOCK = 16384  # of 64 dimensions: 8 MB
-SHARDS_AT_ONCE = 512  # tasks a pass; each answers with k rows a query at most
+SHARDS_AT_ONCE = 512  # tasks a pass, or four a core if that is more; each answers with k rows a query at most
+PASSES_AT_ONCE = 16  # in one plan
 
 
 def quantised(rows: DataFrame, id_col: str, vec_col: str, scale: int = SCALE) -> DataFrame:
@@ -64,7 +68,7 @@ class Shard:
         self.postings = np.ascontiguousarray(vectors.T if exact else vectors.T.astype(np.float64))
         self.low, self.high = self.postings.min(axis=1), self.postings.max(axis=1)
 
-    def search(self, query_id: int, query: np.ndarray, k: int, held: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, query: np.ndarray, k: int, held: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """The best k of the shard and what is held from others."""
         q = query.astype(self.postings.dtype)
         bounds = np.maximum(q * self.low, q * self.high)
@@ -91,8 +95,7 @@ class Shard:
             part = self.postings[terms] if rows is None else self.postings[np.ix_(terms, rows)]
             scores = scores + q[terms] @ part
         ids = self.ids if rows is None else self.ids[rows]
-        other = ids != query_id
-        ids, scores = ids[other], scores[other].astype(np.int64)
+        scores = scores.astype(np.int64)
         if floor is not None:
             strong = scores >= floor
             ids, scores = ids[strong], scores[strong]
@@ -100,9 +103,11 @@ class Shard:
 
 
 def search(rows: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = SCALE) -> DataFrame:
-    """query_id, rank, vec_id, score: of each query row the k rows of other ids with the greatest inner products."""
+    """query_id, rank, vec_id, score: of each query row (queries are rows of `rows`) the k others with the greatest inner
+    products."""
     spark = rows.sparkSession
-    asked = cut(quantised(queries, id_col, vec_col, scale).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20))))
+    asked = quantised(queries, id_col, vec_col, scale).groupBy("vec_id", "v").agg(F.count("*").alias("copies"))
+    asked = cut(asked.withColumn("query", F.xxhash64("vec_id", "v")).withColumn("block", F.pmod("query", F.lit(1 << 20))))
     facts = asked.agg(F.count("*"), F.max(F.size("v")), F.max(F.array_max(F.transform("v", lambda x: F.abs(x))))).head()
     n = facts[0] or 0
     pool = quantised(rows, id_col, vec_col, scale)
@@ -111,32 +116,49 @@ def search(rows: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec_i
     most = pool.agg(F.max(F.size("v")), F.max(F.array_max(F.transform("v", lambda x: F.abs(x))))).head()
     width = max(facts[1] or 0, most[0] or 0)
     exact = width * float(facts[2] or 0) * float(most[1] or 0) >= 2.0**53  # else doubles hold every sum exactly
-    passes = -(-n // QUERY_BLOCK)
-    found = None
+    passes, tasks = -(-n // QUERY_BLOCK), max(SHARDS_AT_ONCE, 4 * spark.sparkContext.defaultParallelism)
+    done, found = [], None
     for p in range(passes):
-        block = asked.filter(F.floor(F.col("block") * passes / (1 << 20)) == p).orderBy("vec_id").toPandas()
-        qid = block["vec_id"].to_numpy(np.int64)
+        block = asked.filter(F.floor(F.col("block") * passes / (1 << 20)) == p).select("query", "vec_id", "v").toPandas()
+        key, own = block["query"].to_numpy(np.int64), block["vec_id"].to_numpy(np.int64)
         qv = matrix(pa.array(block["v"].tolist(), pa.list_(pa.int64())), width)
-        shared = spark.sparkContext.broadcast((qid, qv))
+        shared = spark.sparkContext.broadcast((key, own, qv))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, width=width, exact=exact) -> Iterator[pa.RecordBatch]:
-            qid, qv = shared.value
-            held = [(np.empty(0, np.int64), np.empty(0, np.int64))] * len(qid)
+            key, own, qv = shared.value
+            held = [(np.empty(0, np.int64), np.empty(0, np.int64))] * len(key)
             for b in batches:
                 if not b.num_rows:
                     continue
                 ids, vectors = b.column(0).to_numpy(), matrix(b.column(1), width)
                 for a in range(0, len(ids), SHARD_ROWS):
                     shard = Shard(ids[a : a + SHARD_ROWS], vectors[a : a + SHARD_ROWS], exact)
-                    held = [shard.search(i, v, k, h) for i, v, h in zip(qid, qv, held)]
+                    held = [shard.search(v, k + 1, h) for v, h in zip(qv, held)]
             sizes = [len(h[0]) for h in held]
             if sum(sizes):
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, sizes)), pa.array(np.concatenate([h[0] for h in held])), pa.array(np.concatenate([h[1] for h in held]))], names=["query_id", "vec_id", "score"])
+                ids, scores = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+                selves = np.einsum("ij,ij->i", qv, qv)
+                cols = (np.repeat(key, sizes), np.repeat(own, sizes), ids, scores, np.repeat(selves, sizes))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["query", "query_id", "vec_id", "score", "self"])
 
-        part = pool.coalesce(SHARDS_AT_ONCE).mapInArrow(run, "query_id long, vec_id long, score long")
+        part = pool.coalesce(tasks).mapInArrow(run, "query long, query_id long, vec_id long, score long, self long")
+        found = part if found is None else found.unionByName(part)
+        if p % PASSES_AT_ONCE == PASSES_AT_ONCE - 1:
+            done.append(cut(found))
+            found = None
+    for part in done:
         found = part if found is None else found.unionByName(part)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    order = Window.partitionBy("query", "query_id").orderBy(F.desc("score"), "vec_id")
+    merged = found.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= k + 1)
+    # of the rows that look like the query itself one is left out, and those after it move up
+    like = F.when((F.col("vec_id") == F.col("query_id")) & (F.col("score") == F.col("self")), F.col("at"))
+    itself = F.min(like).over(Window.partitionBy("query", "query_id"))
+    merged = merged.withColumn("itself", itself).filter(F.col("itself").isNull() | (F.col("at") != F.col("itself")))
+    ranked = merged.withColumn("rank", F.when(F.col("at") > F.col("itself"), F.col("at") - 1).otherwise(F.col("at"))).filter(F.col("rank") <= k)
+    answered = ranked.select("query", "query_id", "rank", "vec_id", "score")
+    again = asked.filter("copies > 1").select("query", F.col("vec_id").alias("query_id"), F.explode(F.sequence(F.lit(2).cast("long"), "copies")).alias("copy"))
+    more = answered.join(again, ["query", "query_id"]).drop("copy")
+    return answered.unionByName(more).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def op4_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
