@@ -18,10 +18,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share; only where it is unset (tests) is one made."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-    return spark.sparkContext.getCheckpointDir()
+    """The folder in spark.checkpoint.dir, which all executors share. Where it is unset one is made, but only if driver and
+    executors are one process; on a cluster a folder of the driver's would lose what executors write."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+    return sc.getCheckpointDir()
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -35,9 +45,31 @@ def written(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
     deletes it, once nothing that is still to run reads it."""
     spark = df.sparkSession
     home = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(home)
-    path = spark._jvm.org.apache.hadoop.fs.Path(home)
-    return spark.read.schema(df.schema).parquet(home), lambda: path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    try:
+        df.write.parquet(home)
+    except BaseException:
+        delete(spark, home)
+        raise
+    return spark.read.schema(df.schema).parquet(home), lambda: delete(spark, home)
+
+
+CROWD = 10_000
+
+
+def joined_to_one(rows: DataFrame, one: DataFrame, on: list[str], n: str, total: int) -> DataFrame:
+    """rows joined with one, which has a row a key and in n how many of the `total` rows have that key.
+
+    Keys of more than CROWD rows, or a ten-thousandth of all, are few (10,000 at most, whatever the table), so
+    their side is broadcast and their rows stay where they are; all others meet in a shuffle. rows is read twice."""
+    most = max(CROWD, total // 10_000)
+    if total <= most:
+        return rows.join(one.drop(n), on)
+    heavy = cut(one.filter(F.col(n) > most).drop(n))
+    if not heavy.head(1):
+        return rows.join(one.drop(n), on)
+    heavy = F.broadcast(heavy)
+    light = rows.join(heavy.select(*on), on, "left_anti").join(one.filter(F.col(n) <= most).drop(n), on)
+    return light.unionByName(rows.join(heavy, on))
 
 
 BATCH_ROWS = 1000

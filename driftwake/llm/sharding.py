@@ -1,5 +1,9 @@
 """Sharding by fixed virtual slots: records hash into thousands of slots, bytes are summed per slot,
-and a versioned slot-to-shard map is made from the sums and edited when rebalancing.
+and a versioned slot-to-shard map is made from the sums, stored, and edited when rebalancing. Readers pin a version:
+the rows' shards are those of the map as read back, and so are the shards after an edit, which moves few slots.
+
+The law is `bytes`. Equal texts are a group that may hold a third of all rows, so under this law they can't share a
+shard: a slot hashes the whole record (id, checksum and size), which spreads copies of a text over all slots.
 
 Edge cases: a null text has no bytes (size 1, crc32 0); null or repeated doc_ids are records like any
 other; identical rows are counted, placed together and returned as often as they came; an empty table
@@ -10,12 +14,13 @@ from __future__ import annotations
 
 import heapq
 import json
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from driftwake.llm.common import table
+from driftwake.llm.common import delete, shared_folder, table
 
 SLOTS = 4096
 SHARDS = 16
@@ -56,14 +61,16 @@ class SlotMap:
         held: list[list[int]] = [[] for _ in range(shards)]
         for slot, shard in enumerate(new.shard_of):
             held[shard].append(slot)
+        stuck: set[int] = set()  # shards that are over the mean by one heavy slot alone
         for _ in range(len(weights)):
-            low, high = min(range(shards), key=loads.__getitem__), max(range(shards), key=loads.__getitem__)
+            low, high = min(range(shards), key=loads.__getitem__), max(set(range(shards)) - stuck, key=loads.__getitem__)
             gap = min(mean - loads[low], loads[high] - mean)
-            if max(loads[high] - mean, mean - loads[low]) <= tolerance * mean:
+            if high == low or max(loads[high] - mean, mean - loads[low]) <= tolerance * mean:
                 break
             fits = [s for s in held[high] if 0 < weights[s] < loads[high] - loads[low]]
             if not fits:
-                break
+                stuck.add(high)
+                continue
             slot = min(fits, key=lambda s: (abs(weights[s] - gap), s))
             held[high].remove(slot)
             held[low].append(slot)
@@ -131,11 +138,41 @@ def shard(recs: DataFrame, slot_map: SlotMap, counts: list[int]) -> DataFrame:
     )
 
 
+def stored(spark: SparkSession, path: str, weights: list[int], shards: int = SHARDS) -> SlotMap:
+    """The last map under path, as it is if it has that many shards and fits the weights, else its next version; a
+    fresh one where there is none. What is returned has been read back."""
+    last = latest(spark, path)
+    now = SlotMap.load(spark, path, last) if last else SlotMap.fresh(weights, shards)
+    if last:
+        loads, mean = now.loads(weights), sum(weights) / now.shards
+        if now.shards != shards or max(loads) > 1.05 * mean:
+            now = now.rebalanced(weights, shards)
+    if now.version != last:
+        now.save(spark, path)
+    return SlotMap.load(spark, path, now.version)
+
+
+def latest(spark: SparkSession, path: str) -> int:
+    """The greatest version stored under path, 0 if none is."""
+    home = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = home.getFileSystem(spark._jsc.hadoopConfiguration())
+    return max([0, *(int(f.getPath().getName().removeprefix("version=")) for f in fs.listStatus(home))]) if fs.exists(home) else 0
+
+
 def op9_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Makes and stores version 1 for SHARDS shards, then version 2 with one shard more, each from the map as stored.
+    The maps are of this run alone, so its folder goes when both have been read."""
     recs = records(table(spark, sf_dir, "documents"))
     weights, counts = slot_weights(recs)
-    slot_map = SlotMap.fresh(weights, SHARDS)
-    return shard(recs, slot_map, counts).select(
+    home = f"{shared_folder(spark)}/slot-map-{uuid.uuid4().hex}"
+    try:
+        now = stored(spark, home, weights)
+        grown = stored(spark, home, weights, SHARDS + 1)
+    finally:
+        delete(spark, home)
+    moves = spark.createDataFrame([(s, to) for s, to in enumerate(grown.shard_of)], "virtual_slot int, next_shard int")
+    return shard(recs, now, counts).join(F.broadcast(moves), "virtual_slot").select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
-        F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", F.lit(slot_map.version).alias("map_version"),
+        F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", F.lit(now.version).alias("map_version"),
+        "next_shard", F.lit(grown.version).alias("next_version"),
     )

@@ -41,3 +41,27 @@ def test_map_is_balanced_and_edits_move_little(spark, tmp_path):
     assert max(loads) <= 1.011 * sum(loads) / 16
     grown.save(spark, str(tmp_path))
     assert H.SlotMap.load(spark, str(tmp_path), 2) == grown
+
+
+def test_query_reads_its_stored_maps(spark, tmp_path):
+    cases.frame(spark, cases.rows() + [(i, cases.prose(i, 10 + i % 50), "en", "s", 1) for i in range(1000, 3000)], clash=False).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = H.op9_virtual_slots(spark, str(tmp_path)).collect()
+    assert {(r.map_version, r.next_version) for r in rows} == {(1, 2)}
+    for column, shards in (("shard", 16), ("next_shard", 17)):
+        loads = [0] * shards
+        for r in rows:
+            loads[r[column]] += r["size"]
+        assert max(loads) < 1.2 * sum(loads) / shards + max(r["size"] for r in rows)
+    moved = [r for r in rows if r.shard != r.next_shard]
+    assert sum(r.next_shard == 16 for r in moved) > 0.8 * len(moved) > 0 and len(moved) < 0.2 * len(rows)
+
+
+def test_stored_maps_are_versions(spark, tmp_path):
+    weights = [100 + i % 7 for i in range(512)]
+    path = str(tmp_path / "maps")
+    assert H.latest(spark, path) == 0
+    first = H.stored(spark, path, weights, 4)
+    assert first.version == 1 and H.stored(spark, path, weights, 4) == first and H.latest(spark, path) == 1
+    heavier = [w * (5 if first.shard_of[i] == 0 else 1) for i, w in enumerate(weights)]
+    second = H.stored(spark, path, heavier, 4)
+    assert second.version == 2 and second.moved and H.SlotMap.load(spark, path, 1) == first
