@@ -1,10 +1,10 @@
 """Quality classifier: supervised subword embeddings.
 
-A document is the average of learned vectors, one a word and one a character n-gram of it, hashed to a fixed number of
-buckets; of word pairs, the one of a word and itself has a bucket of its own, whatever the word; a softmax over that average gives the label. Vectors and output are trained together by stochastic gradient
-descent in numpy, on a bounded sample of labelled rows (SAMPLE_ROWS, SAMPLE_BYTES; taken in the order of a hash of the
-id, so alike at every size). Scoring is linear in the vectors, so each bucket shrinks to one number: what is sent
-to the executors is one float a bucket, and every document is scored by whole text.
+A document is the average of learned vectors: one a word, one a pair of neighbouring words, and one a character n-gram of a
+word, hashed to a fixed number of buckets; a softmax over that average gives the label. Vectors and output are trained
+together by stochastic gradient descent in numpy, on a bounded sample of labelled rows (SAMPLE_ROWS, SAMPLE_BYTES; taken
+in the order of a hash of the id, so alike at every size). Scoring is linear in the vectors, so each bucket shrinks to
+one number: what is sent to the executors is one float a bucket, and every document is scored by whole text.
 
 Edge cases: a null text is empty; an empty text gets the score of no features; if the learnable labels lack a class,
 every score is the share of label 1 among them (1.0 where there are none); rows with null ids or labels teach nothing;
@@ -18,8 +18,6 @@ from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import islice
-from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -37,9 +35,8 @@ EPOCHS = 5
 RATE = 0.5
 KEEP = 0.7
 CACHED = 150_000
-#: The bucket of a word that stands again right after itself, and how often it counts: as the n-grams of a usual word.
-AGAIN = zlib.crc32(b"\0again") % BUCKETS
-AGAIN_TIMES = 8
+MIX = np.uint64(0x9E3779B97F4A7C15)
+PART_WORDS = 200_000  # of texts scored together
 
 
 def features(word: bytes) -> list[int]:
@@ -55,8 +52,30 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").lower().encode().split()
 
 
-def repeats(words_: list[bytes]) -> int:
-    return AGAIN_TIMES * sum(map(eq, words_, islice(words_, 1, None)))
+class Words(dict):
+    """Words by number: each one's hash, and what `facts` tells of it. New words wait until they are learnt together."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        self.new.append(word)
+        return n
+
+
+def pairs(hashes: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Buckets of neighbouring words; last: where a text's last word stands, which has no neighbour after it."""
+    x = (hashes[:-1] * MIX + hashes[1:]) * MIX
+    x ^= x >> np.uint64(29)
+    out = ((x * MIX) >> np.uint64(32)).astype(np.int64) % BUCKETS
+    out[last[last < len(out)]] = -1
+    return out
+
+
+def hashed(words_: list[bytes]) -> np.ndarray:
+    return np.fromiter((zlib.crc32(w) + 1 for w in words_), np.uint64, len(words_))
 
 
 @dataclass
@@ -65,44 +84,66 @@ class Model:
     bias: float
 
     def scorer(self):
-        """text -> probability of label 1. Sums of a word's buckets are kept, up to CACHED words at once."""
+        """texts -> probability of label 1 of each. Sums of a word's buckets are kept, up to CACHED words at once."""
         if self.weights is None:
-            return lambda text: self.bias
-        weight, cache = self.weights.tolist(), {}
-
-        def score(text: str | None) -> float:
-            found = words(text)
-            n = repeats(found)
-            total = n * weight[AGAIN]
-            for word, times in Counter(found).items():
-                known = cache.get(word)
-                if known is None:
-                    if len(cache) >= CACHED:
-                        cache.clear()
-                    f = features(word)
-                    known = cache[word] = (sum(map(weight.__getitem__, f)), len(f))
-                total += times * known[0]
-                n += times * known[1]
-            x = self.bias + (total / n if n else 0.0)
-            return float(1 / (1 + np.exp(-min(max(x, -60.0), 60.0))))
+            return lambda texts: [self.bias] * len(texts)
+        weight, known = self.weights.astype(np.float64), Words()
+        listed, sums, sizes, hashes = weight.tolist(), np.empty(0), np.empty(0), np.empty(0, np.uint64)
+
+        def part(found: list[list[bytes]]) -> np.ndarray:
+            nonlocal known, sums, sizes, hashes
+            if len(known) > CACHED:
+                known, sums, sizes, hashes = Words(), np.empty(0), np.empty(0), np.empty(0, np.uint64)
+            n = np.array([len(w) for w in found])
+            code = np.fromiter((known[w] for ws in found for w in ws), np.int64, int(n.sum()))
+            if known.new:
+                f = [features(w) for w in known.new]
+                sums = np.concatenate((sums, [sum(map(listed.__getitem__, x)) for x in f]))
+                sizes = np.concatenate((sizes, [len(x) for x in f]))
+                hashes = np.concatenate((hashes, hashed(known.new)))
+                known.new = []
+            doc = np.repeat(np.arange(len(found)), n)
+            total, count = np.bincount(doc, sums[code], len(found)), np.bincount(doc, sizes[code], len(found))
+            if len(code) > 1:
+                two = pairs(hashes[code], np.cumsum(n)[n > 0] - 1)
+                own = two >= 0
+                total += np.bincount(doc[:-1][own], weight[two[own]], len(found))
+                count += np.bincount(doc[:-1][own], minlength=len(found))
+            x = self.bias + np.divide(total, count, out=np.zeros(len(found)), where=count > 0)
+            return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
+
+        def score(texts: list[str | None]) -> list[float]:
+            out, found, size = [], [], 0
+            for t in texts:
+                found.append(words(t))
+                size += len(found[-1])
+                if size > PART_WORDS:
+                    out += part(found).tolist()
+                    found, size = [], 0
+            return out + (part(found).tolist() if found else [])
 
         return score
 
 
+def buckets(text: str | None, known: dict[bytes, array]) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of a text, and each one's share."""
+    found = words(text)
+    counts: Counter = Counter()
+    for word, times in Counter(found).items():
+        for f in known.get(word) or known.setdefault(word, array("i", features(word))):
+            counts[f] += times
+    if len(found) > 1:
+        counts.update(pairs(hashed(found), np.empty(0, np.int64)).tolist())
+    ids, n = np.fromiter(counts.keys(), np.int32, len(counts)), np.fromiter(counts.values(), np.float32, len(counts))
+    return ids, n / max(1.0, n.sum())
+
+
 def train(rows: list[tuple[str | None, int]], seed: int = 1) -> Model:
     labels = [int(bool(q)) for _, q in rows]
     if len(set(labels)) < 2:
         return Model(None, float(labels[0]) if labels else 1.0)
     known: dict[bytes, array] = {}
-    docs = []
-    for text, _ in rows:
-        found = words(text)
-        counts: Counter = Counter({AGAIN: n} if (n := repeats(found)) else {})
-        for word, times in Counter(found).items():
-            for f in known.get(word) or known.setdefault(word, array("i", features(word))):
-                counts[f] += times
-        ids, n = np.fromiter(counts.keys(), np.int32, len(counts)), np.fromiter(counts.values(), np.float32, len(counts))
-        docs.append((ids, n / max(1.0, n.sum())))
+    docs = [buckets(text, known) for text, _ in rows]
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / DIMENSIONS, 1 / DIMENSIONS, (BUCKETS, DIMENSIONS)).astype(np.float32)
     out, bias = np.zeros((2, DIMENSIONS), np.float32), np.zeros(2, np.float32)
@@ -152,9 +193,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str
     return train([(r["text"], r["y"]) for r in sorted(rows, key=lambda r: (r["id"], r["text"] or ""))])
 
 
-def score(docs: DataFrame, model: Model, columns: list[str], text_col: str = "text") -> DataFrame:
-    """The named columns of docs, and score (which replaces one of that name)."""
-    columns = [c for c in columns if c != "score"]
+def score(docs: DataFrame, model: Model, columns: list[str], text_col: str = "text", name: str = "score") -> DataFrame:
+    """The named columns of docs, and `name` (which replaces one of that name)."""
+    columns = [c for c in columns if c != name]
     shared = docs.sparkSession.sparkContext.broadcast(model)
     passed = [*columns, *([] if text_col in columns else [text_col])]
     at, n = passed.index(text_col), len(columns)
@@ -162,12 +203,12 @@ def score(docs: DataFrame, model: Model, columns: list[str], text_col: str = "te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = shared.value.scorer()
         for b in batches:
-            scores = pa.array([one(t.as_py()) for t in b.column(at)], pa.float64())
-            yield pa.RecordBatch.from_arrays([*b.columns[:n], scores], names=[*columns, "score"])
+            scores = pa.array(one(b.column(at).to_pylist()), pa.float64())
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], scores], names=[*columns, name])
 
-    rows = in_batches(docs.select(*passed))
+    rows = in_batches(docs.select(*(F.col(f"`{c}`") for c in passed)))
     schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes[:n])
-    return rows.mapInArrow(run, f"{schema}, score double")
+    return rows.mapInArrow(run, f"{schema}, `{name}` double" if n else f"`{name}` double")
 
 
 def op8_subwords(spark: SparkSession, sf_dir: str) -> DataFrame:
