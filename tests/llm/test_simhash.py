@@ -51,7 +51,7 @@ def clustered(seed, n):
 def test_links_connect_what_all_pairs_connect(spark, crowd):
     fps = clustered(crowd, 700)
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
-    df = spark.createDataFrame([(f,) for f in signed], "fp long").repartition(4)
+    df = spark.createDataFrame([(f, i) for i, f in enumerate(signed)], "fp long, id long").repartition(4)
     at = {f: i for i, f in enumerate(signed)}
     root = list(range(len(fps)))
 
@@ -60,18 +60,45 @@ def test_links_connect_what_all_pairs_connect(spark, crowd):
             x = root[x]
         return x
 
-    for a, b in S.near(df, 4, crowd).collect():
+    for a_id, a, b_id, b in S.near(df, 4, crowd).collect():
+        assert (a_id, b_id) == (at[a], at[b])
         assert ((a ^ b) & (1 << 64) - 1).bit_count() <= 4
         x, y = find(at[a]), find(at[b])
         root[max(x, y)] = min(x, y)
     assert [find(i) for i in range(len(fps))] == grouping(fps)
-    from driftwake.llm.components import roots
-
-    got = {r.node: r.root for r in roots(S.near(df, 4, crowd)).collect()}
-    parts = {}
-    for i, g in enumerate(grouping(fps)):
-        parts.setdefault(g, []).append(signed[i])
-    assert got == {x: min(p) for p in parts.values() if len(p) > 1 for x in p}
+    got = {r.id: r.root.id for r in S.grouped(df, 4).collect()}
+    assert got == dict(enumerate(grouping(fps)))
+
+
+def test_coordinates_discard_pairs():
+    """Of all pairs of random fingerprints nearly all are discarded by their coordinates in groups; of near ones none."""
+    rng = np.random.default_rng(2)
+    fps = rng.integers(0, 1 << 64, 2000, np.uint64)
+    masks = S.groups((1 << 64) - 1, 4)
+    assert sum(masks) == (1 << 64) - 1 and len(masks) == 6
+    tables = [S.confined(fps, m) for m in masks]
+    assert all(t.max() >= 8 and t.min() <= 2 for t in tables)  # distances spread within a group
+    i, j = np.triu_indices(len(fps), 1)
+    worst = np.stack([np.abs(t[:, i] - t[:, j]).max(axis=0) for t in tables])
+    distance = np.bitwise_count(fps[i] ^ fps[j])
+    assert (worst.sum(axis=0) <= distance).all()
+    meet = (worst == 0).sum(axis=0) >= 2
+    codes = np.stack([S.code(t) for t in tables])
+    assert (((codes[:, i] == codes[:, j]).sum(axis=0) >= 2) == meet).all()
+    assert meet.sum() < len(i) / 100_000 + 5  # at least 99.99 % are discarded before they meet
+    near = fps.copy()
+    for b in range(4):
+        near ^= np.uint64(1) << rng.integers(0, 64, len(near), np.uint64)
+    same = np.stack([S.code(S.confined(near, m)) for m in masks]) == codes
+    assert (same.sum(axis=0) >= 2).all()
+
+
+def test_whole_references_discard_within_a_meeting():
+    rng = np.random.default_rng(3)
+    fps = rng.integers(0, 1 << 64, 3000, np.uint64) & np.uint64((1 << 42) - 1)  # a crowd that agrees in 22 bits
+    left = S.survivors(0, S.coordinates(fps), np.arange(1, len(fps)), 4)
+    assert len(left) < len(fps) / 100
+    assert set(np.flatnonzero(np.bitwise_count(fps ^ fps[0]) <= 4).tolist()) - {0} <= set(left.tolist())
 
 
 def test_components_on_edge_cases(spark):
@@ -95,6 +122,16 @@ def test_one_of_each_and_empty(spark):
     assert S.components(cases.empty(spark)).collect() == [] and S.one_of_each(cases.empty(spark)).collect() == []
 
 
+def test_hubs_are_split(spark, monkeypatch):
+    from driftwake.llm import common, components
+
+    monkeypatch.setattr(common, "CROWD", 20)
+    monkeypatch.setattr(components, "CROWD", 20)
+    edges = [(0, i) for i in range(1, 300)] + [(500, i) for i in range(501, 800)] + [(299, 800), (799, 801)]
+    got = {r.node: r.root for r in components.roots(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 0 for i in [*range(300), 800]} | {i: 500 for i in [*range(500, 800), 801]}
+
+
 def test_chain_of_many_links(spark):
     from driftwake.llm.components import roots
 
