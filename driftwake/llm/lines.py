@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwake.llm.common import cut, in_batches, table, written
+from driftwake.llm.common import cut, in_batches, joined_to_one, table, written
 
 MIN_WORDS = 5
 BLANK = " \t\r\x0b\x0c"
@@ -176,10 +176,12 @@ def near_later(texts: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     rows = variants(texts)
     met = rows.groupBy("key").agg(F.min("k1").alias("a"), F.max("k1").alias("b")).filter("a <> b").select("key")
     rows = cut(rows.join(met, "key", "left_semi").join(texts.select("k1", "k2", "pos"), ["k1", "k2"]))
-    first = rows.groupBy("key", "place").agg(F.min(F.when(F.col("own"), F.col("pos"))).alias("own_pos"), F.min(F.when(~F.col("own"), F.col("pos"))).alias("cut_pos"))
+    first = rows.groupBy("key", "place").agg(F.min(F.when(F.col("own"), F.col("pos"))).alias("own_pos"), F.min(F.when(~F.col("own"), F.col("pos"))).alias("cut_pos"), F.count("*").alias("n"))
     partner = F.when((F.col("place") < 0) & ~F.col("own"), F.col("own_pos")).otherwise(F.col("cut_pos"))
-    pairs = rows.join(first, ["key", "place"]).withColumn("partner", partner).filter("partner < pos").select("k1", "k2", "partner").distinct()
-    told = texts.select("k1", "k2", "line").join(pairs, ["k1", "k2"]).join(texts.select(F.col("pos").alias("partner"), F.col("line").alias("earlier")), "partner")
+    pairs = cut(joined_to_one(rows, first, ["key", "place"], "n", rows.count()).withColumn("partner", partner).filter("partner < pos").select("k1", "k2", "partner").distinct())
+    asked = pairs.groupBy("partner").agg(F.count("*").alias("n"))
+    earlier = texts.select(F.col("pos").alias("partner"), F.col("line").alias("earlier")).join(asked, "partner")
+    told = joined_to_one(texts.select("k1", "k2", "line").join(pairs, ["k1", "k2"]), earlier, ["partner"], "n", pairs.count())
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -192,25 +194,29 @@ def near_later(texts: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return told.select("k1", "k2", "line", "earlier").mapInArrow(verify, "k1 long, k2 long").distinct()
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with text_col less its repeated and near-repeated lines, and two columns more: n_lines, n_dropped.
-    (Columns of docs with these two names are replaced.)"""
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", told: tuple[str, ...] = ("n_lines", "n_dropped")) -> DataFrame:
+    """docs with text_col less its repeated and near-repeated lines, and two columns more, named by told: lines of the text
+    and lines dropped. (Columns of docs with these names are replaced; with an empty told, none is and none is added.)"""
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
     lines, delete = written(line_table(base))
-    texts = cut(texts_of(base, cut(candidates(lines))))
-    gone = cut(near_later(texts))
-    stay = firsts(lines).join(gone, ["k1", "k2"], "left_anti")
-    kept = cut(stay.groupBy(F.col("pos.doc_id").alias("id"), F.col("pos.h").alias("h")).agg(F.collect_list("pos.no").alias("kept")))
-    delete()
+    try:
+        texts = cut(texts_of(base, cut(candidates(lines))))
+        gone = cut(near_later(texts))
+        stay = firsts(lines).join(gone, ["k1", "k2"], "left_anti")
+        kept = cut(stay.groupBy(F.col("pos.doc_id").alias("id"), F.col("pos.h").alias("h")).agg(F.collect_list("pos.no").alias("kept")))
+    finally:
+        delete()
     # columns of docs travel in a struct, where their names meet none of ours
-    whole = docs.select(F.struct(*(c for c in docs.columns if c not in ("n_lines", "n_dropped"))).alias("doc")).withColumn("key", F.xxhash64(F.col("doc")[text_col]))
+    whole = docs.select(F.struct(*(c for c in docs.columns if c not in told)).alias("doc")).withColumn("key", F.xxhash64(F.col("doc")[text_col]))
     joined = whole.join(kept, (F.col("h") == F.col("key")) & F.col("id").eqNullSafe(F.col("doc")[id_col].cast("long")), "left")
-    parts = F.split(F.col("doc")[text_col], "\n")
-    keep = F.coalesce("kept", F.array().cast("array<int>"))
-    rest = F.filter(parts, lambda x, i: (F.btrim(x, F.lit(BLANK)) == "") | F.array_contains(keep, i))
-    joined = joined.withColumn("rest", rest)
-    sizes = F.coalesce(F.size(parts), F.lit(0)).alias("n_lines"), F.coalesce(F.size(parts) - F.size("rest"), F.lit(0)).alias("n_dropped")
-    return joined.select(*((F.array_join("rest", "\n") if c == text_col else F.col("doc")[c]).alias(c) for c in docs.columns if c not in ("n_lines", "n_dropped")), *sizes)
+    # line numbers that stay, in order: the blank ones and the kept; lines are taken by number, so a text takes linear time
+    joined = joined.withColumn("parts", F.split(F.col("doc")[text_col], "\n"))
+    parts = F.col("parts")
+    numbered = F.transform(parts, lambda x, i: F.when(F.btrim(x, F.lit(BLANK)) == "", i))
+    stay = F.array_sort(F.concat(F.filter(numbered, F.isnotnull), F.coalesce("kept", F.array().cast("array<int>"))))
+    joined = joined.withColumn("rest", F.transform(stay, lambda i: F.get(parts, i)))
+    sizes = [c.alias(n) for n, c in zip(told, (F.coalesce(F.size(parts), F.lit(0)), F.coalesce(F.size(parts) - F.size("rest"), F.lit(0))))]
+    return joined.select(*((F.array_join("rest", "\n") if c == text_col else F.col("doc")[c]).alias(c) for c in docs.columns if c not in told), *sizes)
 
 
 def op10_deletions(spark: SparkSession, sf_dir: str) -> DataFrame:
