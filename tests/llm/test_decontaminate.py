@@ -55,5 +55,5 @@ def test_empty_tables(spark):
 
 def test_beyond_the_broadcast_bound(spark, monkeypatch):
     monkeypatch.setattr(D, "BROADCAST_ROWS", 0)
-    docs = [(r[0], r[1]) for r in cases.rows()[:11]]
+    docs = [(r[0], r[1]) for r in cases.rows()[:11]] + [(None, cases.prose(2, 300)), (None, None), (9, cases.prose(2, 300)), (9, cases.prose(2, 300))]
     assert run(spark, docs, ITEMS) == brute(docs, ITEMS)
