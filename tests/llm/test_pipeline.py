@@ -1,9 +1,9 @@
 import corpus_pipeline as C
-from driftwake.llm import decontaminate, quality, simhash
+from driftwake.llm import decontaminate, quality
 from tests.llm import cases
 from tests.llm.test_decontaminate import brute as contamination
 from tests.llm.test_lines import brute as line_dedup
-from tests.llm.test_simhash import grouping, slow
+from tests.llm.test_jaccard import brute as similar
 
 
 def write(spark, home, docs):
@@ -39,7 +39,8 @@ def test_each_stage_on_all_its_input(spark, tmp_path):
             assert sorted((r[:2] for r in after), key=str) == sorted(((k[1] if k[0] else None, t[1]) for k, t in zip(order, line_dedup([(k[1], k[2]) for k in order]))), key=str)
             assert all(r[4] == (None if r[1] is None else len(r[1])) for r in after)
         if name == "near_dedup":
-            assert len(after) == len(set(grouping([slow(r[1]) for r in before])))
+            known = [(i, r[1]) for i, r in enumerate(before)]
+            assert len(after) == len(similar(known))
         if name == "decontaminate":
             items = [(1, cases.prose(12, 42)[20:150]), (2, "never said here")]
             told = contamination([(r[0], r[1]) for r in before], items)
@@ -57,4 +58,17 @@ def test_empty_documents(spark, tmp_path):
 
 def test_stages_are_the_operators():
     assert [n for n, _ in C.STAGES] == ["quality", "lines", "near_dedup", "decontaminate", "pack"]
-    assert quality.KEEP == 0.7 and simhash.BOUND == 4 and decontaminate.WINDOW == 10
+    assert quality.KEEP == 0.7 and decontaminate.WINDOW == 10
+
+
+def test_columns_that_clash(spark, tmp_path):
+    write(spark, str(tmp_path), corpus())
+    docs = cases.frame(spark, corpus())
+    columns = docs.columns
+    assert {"score", "n_lines", "row"} <= set(columns)
+    for name, stage in C.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == columns, name
+    rows = docs.collect()
+    assert rows and all(r.score == r.n_lines == r.w == "clash" for r in rows)
+    assert C.STAGES[-1][1](spark, docs, str(tmp_path)).count() >= len(rows)
