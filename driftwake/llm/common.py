@@ -53,7 +53,7 @@ def written(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
     return spark.read.schema(df.schema).parquet(home), lambda: delete(spark, home)
 
 
-CROWD = 10_000
+CROWD = 1000
 
 
 def joined_to_one(rows: DataFrame, one: DataFrame, on: list[str], n: str, total: int) -> DataFrame:
