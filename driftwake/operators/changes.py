@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,20 +13,21 @@ from pyspark.sql import functions as F
 KINDS = ("removed", "renamed", "signature", "value", "body", "added")
 
 
-def snapshot_diff(before: DataFrame, after: DataFrame, key: str, levels: Sequence[tuple[str, Column | str]], keep: Sequence[str] = ()) -> DataFrame:
+def snapshot_diff(before: DataFrame, after: DataFrame, key: str | Sequence[str], levels: Sequence[tuple[str, Column | str]], keep: Sequence[str] = ()) -> DataFrame:
     """J1. One row for each key that differs: key, kind, and before/after structs of the columns in keep.
 
     levels: (kind, column) pairs, worst first; a column name compares null-safely, a Column is a condition over
-    `b.<name>` and `a.<name>`. Keys must be unique on each side (see last_wins). One full outer join on the key.
+    `b.<name>` and `a.<name>`. Keys must be unique on each side (see last_wins) and not null. One full outer join on the key.
     """
+    keys = [key] if isinstance(key, str) else list(key)
     b, a = before.alias("b"), after.alias("a")
-    has = F.col(f"b.{key}").isNotNull(), F.col(f"a.{key}").isNotNull()
+    has = F.col(f"b.{keys[0]}").isNotNull(), F.col(f"a.{keys[0]}").isNotNull()
     kind = F.when(has[0] & ~has[1], "removed").when(~has[0] & has[1], "added")
     for name, test in levels:
         kind = kind.when(~F.col(f"b.{test}").eqNullSafe(F.col(f"a.{test}")) if isinstance(test, str) else test, name)
     sides = [F.when(h, F.struct(*(F.col(f"{s}.{c}").alias(c) for c in keep))).alias(n) for h, s, n in ((has[0], "b", "before"), (has[1], "a", "after"))] if keep else []
-    out = b.join(a, F.col(f"b.{key}") == F.col(f"a.{key}"), "full_outer")
-    return out.select(F.coalesce(F.col(f"b.{key}"), F.col(f"a.{key}")).alias(key), kind.alias("kind"), *sides).filter("kind IS NOT NULL")
+    out = b.join(a, reduce(and_, (F.col(f"b.{k}") == F.col(f"a.{k}") for k in keys)), "full_outer")
+    return out.select(*(F.coalesce(F.col(f"b.{k}"), F.col(f"a.{k}")).alias(k) for k in keys), kind.alias("kind"), *sides).filter("kind IS NOT NULL")
 
 
 def last_wins(rows: DataFrame, key: Sequence[str], order: Sequence[Column]) -> DataFrame:

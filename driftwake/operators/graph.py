@@ -8,14 +8,20 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-THRESHOLD, MAX_HOPS = 0.1, 6
+from driftwake.values import MAX_HOPS, THRESHOLD
+
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share; only where it is unset (tests) is one made."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-    return spark.sparkContext.getCheckpointDir()
+    """The folder in spark.checkpoint.dir, which all executors share. Where it is unset one is made, but only if driver and
+    executors are one process; on a cluster a folder of the driver's would lose what executors write."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+    return sc.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -67,37 +73,88 @@ def reach(edges: DataFrame, start: DataFrame, hops: int | None = None, backward:
     return known
 
 
-def pairs_reached(edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """Transitive closure (src, dst) by doubling: log2 of the longest path rounds. For small graphs (components, classes)."""
-    now = cut(edges.select("src", "dst").distinct())
-    size = now.count()
-    for _ in range(rounds):
-        a, b = now.alias("a"), now.alias("b")
-        more = a.join(b, F.col("a.dst") == F.col("b.src")).select(F.col("a.src").alias("src"), F.col("b.dst").alias("dst"))
-        now = cut(now.unionByName(more).distinct())
-        if (n := now.count()) == size:
+def trimmed(edges: DataFrame) -> DataFrame:
+    """edges less those of nodes without a way in or a way out, which lie on no cycle; four layers a job."""
+    now, size = edges, None
+    while True:
+        for _ in range(4):
+            now = now.join(now.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(now.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
+        now = cut(now)
+        n = now.count()
+        if n in (0, size):
             return now
         size = n
-    raise RuntimeError(f"closure did not settle in {rounds} rounds")
+
+
+def spread(colours: DataFrame, steps: DataFrame) -> DataFrame:
+    """colours(node, colour): the least colour that reaches each node along steps(src, dst); three hops a job."""
+    while True:
+        now = colours
+        for _ in range(3):
+            come = steps.join(now.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node"), "colour")
+            now = now.unionByName(come).groupBy("node").agg(F.min("colour").alias("colour"))
+        now = cut(now)
+        if not now.join(colours.withColumnRenamed("colour", "was"), "node").filter("colour <> was").head(1):
+            return now
+        colours = now
 
 
 def cycles(edges: DataFrame) -> DataFrame:
     """G4/G5. node, component: strongly connected components of more than one node, named by their least node.
 
-    First nodes without a way in or out are peeled off, round by round: they lie on no cycle, and what is left is
-    small in call and import graphs. On the rest: reached and reached back.
-    """
-    now = cut(edges.filter("src <> dst").select("src", "dst").distinct())
-    size = now.count()
-    while size:
-        ends = now.select(F.col("src").alias("dst")).distinct(), now.select(F.col("dst").alias("src")).distinct()
-        now = cut(now.join(ends[0], "dst", "left_semi").join(ends[1], "src", "left_semi").select("src", "dst"))
-        if (n := now.count()) == size:
-            break
-        size = n
-    far = pairs_reached(now)
-    both = far.join(far.select(F.col("src").alias("dst"), F.col("dst").alias("src")), ["src", "dst"])
-    return both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.first("src")).alias("component")).join(both.filter("src <> dst").select(F.col("src").alias("node")).distinct(), "node", "left_semi")
+    Nodes on no cycle are trimmed. Then rounds of colouring: each node takes the least node that reaches it; within a
+    colour, what reaches the node of that name back is its component. Edges between colours lie on no cycle and go. Nothing
+    but edges and one row a node is ever held, whatever the components' sizes."""
+    now = edges.filter("src <> dst").select("src", "dst").distinct()
+    now = trimmed(cut(now))
+    out = None
+    while now.head(1):
+        nodes = now.select(F.col("src").alias("node")).unionByName(now.select(F.col("dst").alias("node"))).distinct()
+        colours = spread(nodes.withColumn("colour", F.col("node")), now)
+        one, two = colours.select(F.col("node").alias("src"), F.col("colour").alias("c")), colours.select(F.col("node").alias("dst"), F.col("colour").alias("d"))
+        inside = cut(now.join(one, "src").join(two, "dst").filter("c = d").select("src", "dst", F.col("c").alias("colour")))
+        back = reach_within(inside, colours.filter("node = colour"))
+        sizes = back.groupBy("colour").agg(F.count("*").alias("n")).filter("n > 1").select("colour")
+        found = back.join(sizes, "colour", "left_semi").select("node", F.col("colour").alias("component"))
+        out = found if out is None else out.unionByName(found)
+        rest = inside.join(back.select(F.col("node").alias("src")), "src", "left_anti").join(back.select(F.col("node").alias("dst")), "dst", "left_anti")
+        now = trimmed(cut(rest.select("src", "dst")))
+    if out is None:
+        return now.select(F.col("src").alias("node"), F.col("dst").alias("component"))
+    return out
+
+
+def reach_within(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """edges(src, dst, colour), start(node, colour) -> all nodes that reach start's of their colour, itself included."""
+    known = front = cut(start.select("node", "colour"))
+    while True:
+        new = front
+        steps = None
+        for _ in range(3):
+            new = edges.join(new.withColumnRenamed("node", "dst"), ["dst", "colour"]).select(F.col("src").alias("node"), "colour").distinct()
+            steps = new if steps is None else steps.unionByName(new)
+        front = cut(steps.distinct().join(known, ["node", "colour"], "left_anti"))
+        if not front.head(1):
+            return known
+        known = cut(known.unionByName(front))
+
+
+def shortest_rings(edges: DataFrame, start: DataFrame, hops: int = 8) -> DataFrame:
+    """G5/G6. node, ring: of each start node the shortest way along edges(src, dst) back to itself, of equally short ones the
+    least in order; null beyond `hops`. A walk keeps one way a (start, place): the least of the shortest."""
+    steps = edges.select("src", "dst").distinct()
+    walk = start.select("node", F.col("node").alias("at"), F.array("node").alias("ring"))
+    found = None
+    for hop in range(hops):
+        walk = walk.join(steps, F.col("at") == F.col("src")).select("node", F.col("dst").alias("at"), F.concat("ring", F.array("dst")).alias("ring"))
+        walk = walk.groupBy("node", "at").agg(F.min("ring").alias("ring"))
+        closed = walk.filter("at = node").select("node", "ring", F.lit(hop).alias("hop"))
+        found = closed if found is None else found.unionByName(closed)
+        walk = walk.filter("at <> node")
+        if hop % 3 == 2:
+            walk = cut(walk)
+    best = found.groupBy("node").agg(F.min_by("ring", "hop").alias("ring"))
+    return start.select("node").distinct().join(best, "node", "left")
 
 
 def communities(edges: DataFrame, rounds: int = 30) -> DataFrame:

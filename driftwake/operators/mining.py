@@ -26,27 +26,46 @@ def baskets(rows: DataFrame, basket: str, item: str, max_items: int = MAX_ITEMS,
     return both.join(totals, "item").withColumn("confidence", F.col("together") / F.col("total")).filter(F.col("confidence") >= confidence).select("item", "partner", "together", "total", "confidence")
 
 
-def similar_pairs(sets: DataFrame, key: str, items: str, least: float, ratio: float = 0.0) -> DataFrame:
-    """F8. (a, b, similarity) with a < b: pairs of sets whose Jaccard similarity is at least `least`.
-
-    An exact prefix-filtered self-join: items are ordered from the rarest; two sets that are similar enough share one
-    of the first |s| - ceil(least*|s|) + 1. Only those are joined. Equal sets are joined as one and expanded at the end.
-    """
-    base = sets.select(F.col(key).alias("k"), F.sort_array(F.array_distinct(items)).alias("s"))
-    grouped = base.groupBy("s").agg(F.sort_array(F.collect_list("k")).alias("ks")).filter(F.size("s") > 0)
-    same = cut(grouped.select(F.xxhash64("s").alias("g"), "s", "ks"))  # used five times below
-    freq = same.select(F.explode("s").alias("x")).groupBy("x").agg(F.count("*").alias("n"))
-    ordered = same.select("g", F.explode("s").alias("x"), F.size("s").alias("size")).join(freq, "x")
-    rank = Window.partitionBy("g").orderBy("n", "x")
-    prefix = ordered.withColumn("r", F.row_number().over(rank)).filter(F.col("r") <= F.col("size") - F.ceil(F.col("size") * least - 1e-9) + 1).select("g", "x", "size")
+HEAVY = 1000
+
+
+def similar_classes(sets: DataFrame, key: str, items: str, least: float, ratio: float = 0.0, by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """F8. (classes, links): equal sets are one class, named by its least key (classes: key, class); links (a, b, similarity)
+    are the pairs of classes, a < b, whose Jaccard similarity is at least `least` and whose sizes' ratio is at least `ratio`.
+    With `by`, sets meet only others of the same values. Empty sets are in no class.
+
+    An exact prefix-filtered self-join: in a common order of all items, two sets that are similar enough share one of their
+    first |s| - ceil(least * |s|) + 1; and where they first meet, enough of both must be left. The order is that of the
+    items themselves, with those that very many sets hold at the end, so that no item brings very many sets together; what
+    is told of those is bounded (a thousandth of all, HEAVY at least). Members of a class never multiply."""
+    by = list(by)
+    base = sets.select(*by, F.col(key).alias("key"), F.sort_array(F.array_distinct(items)).alias("s")).filter(F.size("s") > 0)
+    named = cut(base.groupBy(*by, "s").agg(F.min("key").alias("class"), F.count("*").alias("members")))
+    classes = base.join(named.select(*by, "s", "class"), [*by, "s"]).select("key", "class") if by else base.join(named.select("s", "class"), "s").select("key", "class")
+    counts = named.select(*by, F.explode("s").alias("x")).groupBy(*by, "x").agg(F.count("*").alias("n"))
+    most = max(HEAVY, named.count() // 1000)
+    often = cut(counts.filter(F.col("n") > most).select(*by, "x"))
+    if often.head(1):
+        last = named.select(*by, "class", F.explode("s").alias("x")).join(often, [*by, "x"]).groupBy(*by, "class").agg(F.array_sort(F.collect_list("x")).alias("last"))
+        ordered = named.join(last, [*by, "class"], "left").withColumn("s", F.when(F.col("last").isNull(), F.col("s")).otherwise(F.concat(F.array_except("s", "last"), "last"))).drop("last")
+    else:
+        ordered = named
+    size = F.size("s")
+    few = F.slice("s", 1, (size - F.ceil(size * least - 1e-9) + 1).cast("int"))
+    prefix = ordered.select(*by, "class", size.alias("size"), F.posexplode(few).alias("at", "x"))
     a, b = prefix.alias("a"), prefix.alias("b")
-    met = a.join(b, (F.col("a.x") == F.col("b.x")) & (F.col("a.g") < F.col("b.g")) & (F.least("a.size", "b.size") >= F.greatest("a.size", "b.size") * max(least, ratio) - 1e-9)).select(F.col("a.g").alias("g"), F.col("b.g").alias("h")).distinct()
-    far = met.join(same.select("g", "s", "ks"), "g").join(same.select(F.col("g").alias("h"), F.col("s").alias("t"), F.col("ks").alias("js")), "h")
+    needed = F.ceil((F.col("a.size") + F.col("b.size")) * (least / (1 + least)) - 1e-9)
+    left = F.least(F.col("a.size") - F.col("a.at"), F.col("b.size") - F.col("b.at"))
+    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in [*by, "x"]]
+    close = F.least("a.size", "b.size") >= F.greatest("a.size", "b.size") * max(least, ratio) - 1e-9
+    on = close & (left >= needed) & (F.col("a.class") < F.col("b.class"))
+    for c in same:
+        on = c & on
+    met = a.join(b, on).select(F.col("a.class").alias("a"), F.col("b.class").alias("b")).distinct()
+    far = met.join(named.select(F.col("class").alias("a"), F.col("s").alias("s")), "a").join(named.select(F.col("class").alias("b"), F.col("s").alias("t")), "b")
     shared = F.size(F.array_intersect("s", "t"))
-    scored = far.withColumn("similarity", shared / (F.size("s") + F.size("t") - shared)).filter(F.col("similarity") >= least)
-    apart = scored.select(F.explode("ks").alias("x"), "js", "similarity").select("x", F.explode("js").alias("y"), "similarity").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")
-    equal = same.filter(F.size("ks") > 1).select(F.posexplode("ks").alias("i", "a"), "ks").select("a", F.explode(F.slice("ks", F.col("i") + 2, F.size("ks"))).alias("b")).withColumn("similarity", F.lit(1.0))
-    return apart.unionByName(equal)
+    links = far.withColumn("similarity", shared / (F.size("s") + F.size("t") - shared)).filter(F.col("similarity") >= least).select("a", "b", "similarity")
+    return classes, links
 
 
 def majority(rows: DataFrame, by: Sequence[str], layout: str, who: str) -> DataFrame:
@@ -57,16 +76,22 @@ def majority(rows: DataFrame, by: Sequence[str], layout: str, who: str) -> DataF
     return rows.join(usual, list(by)).filter(~F.col(layout).eqNullSafe(F.col("usual")))
 
 
-def uncovered(members: DataFrame, covered: DataFrame, holder: str, member: str, added: Column) -> DataFrame:
+def uncovered(members: DataFrame, covered: DataFrame, holder: str, member: str, added: Column, by: Sequence[str] = ()) -> DataFrame:
     """J26. Holders that covered every old member and miss a new one: holder, missing (sorted).
 
-    members(member, and columns for `added`: is it new); covered(holder, member). Relational division by counting."""
-    marked = members.select(member, added.alias("_new"))
-    old = marked.filter("NOT _new").agg(F.count("*").alias("_old"))
-    new = marked.filter("_new").agg(F.array_sort(F.collect_list(member)).alias("_news"))
-    has = covered.select(holder, member).distinct().join(F.broadcast(marked), member).groupBy(holder).agg(F.count_if(~F.col("_new")).alias("_has"), F.collect_list(F.when(F.col("_new"), F.col(member))).alias("_got"))
-    out = has.crossJoin(F.broadcast(old)).crossJoin(F.broadcast(new)).filter("_has = _old")  # one row each
-    return out.select(holder, F.array_except("_news", "_got").alias("missing")).filter(F.size("missing") > 0)
+    members(member, and columns for `added`: is it new); covered(holder, member); with `by`, the holders of each group answer for
+    its members alone. Relational division by counting: what is joined is a row a group of counts and a row a (holder, member) that
+    is there, and what is missing is found by an anti-join."""
+    by = list(by)
+    marked = members.select(*by, member, added.alias("_new")).distinct()
+    old = marked.groupBy(*by).agg(F.count_if(~F.col("_new")).alias("_old"), F.count_if("_new").alias("_adds"))
+    has = covered.select(*by, holder, member).distinct()
+    held = has.join(marked, [*by, member])
+    counted = held.groupBy(*by, holder).agg(F.count_if(~F.col("_new")).alias("_has"), F.count_if("_new").alias("_got"))
+    due = (counted.join(old, by) if by else counted.join(F.broadcast(old))).filter("_has = _old AND _got < _adds").select(*by, holder)  # one row, where there is no group
+    new = marked.filter("_new").select(*by, member)
+    wanted = due.join(new, by) if by else due.join(new)
+    return wanted.join(has, [*by, holder, member], "left_anti").groupBy(*by, holder).agg(F.array_sort(F.collect_list(member)).alias("missing"))
 
 
 def unmentioned(words: DataFrame, defined: DataFrame, word: str) -> DataFrame:

@@ -1,193 +1,191 @@
 """The check: facts of two versions to changes, edges, affected code, findings and one verdict.
 
-All of it is one plan over fact tables; several pairs of versions go through it together, told apart by `pair`.
-"""
+Any number of pairs of versions goes through one plan: every table has a `pair`, and `side` (before, after) where it holds both. Facts
+are read once for each distinct text, whatever number of pairs hold it. Rules are those of the registry (rules/); which of them
+have anything to do is told by one small count of kinds of changes and facts, so a change that touches no constant never joins
+constants."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftwake.functions import text as T
 from driftwake.operators import changes as diffs
-from driftwake.operators import graph, mining, ranking, resolve
+from driftwake.operators import graph, ranking, spans
+from driftwake.rules import changes as _change_rules  # noqa: F401  registers
+from driftwake.rules import files as _file_rules  # noqa: F401  registers
+from driftwake.rules import registry
 from driftwake.sources import facts as sources
+from driftwake.sources import manifests
+from driftwake.values import COMMON_METHODS, GUESS, SEEDS, STEPS
 
-SEEDS = {"removed": 1.0, "renamed": 1.0, "signature": 0.95, "value": 0.8, "body": 0.6}
-STEPS = {"calls": 0.9, "reads": 0.85}
-GUESS = 0.5
-BLOCKING = ("signature-break", "removed-still-referenced", "undefined-name", "dependency-removed-still-used", "recursive-cycle", "leap-day-date")
-NEAR_TOKENS, NEAR_LEAST, NEAR_RATIO, NEAR_SHINGLE = 30, 0.82, 0.6, 4
+C = F.col
 
 
-def unsuppressed(findings: DataFrame, marks: DataFrame, path: str, line: str, rule: str, alone: str = "alone") -> DataFrame:
+def unsuppressed(findings: DataFrame, marks: DataFrame, path: str, line: str, rule: str, alone: str = "alone", by: Sequence[str] = ()) -> DataFrame:
     """P7. Findings that no mark names: on their own line, or, if the mark's line is nothing but a comment, on the line above."""
-    own = marks.select(path, line, rule)
-    above = marks.filter(alone).select(path, (F.col(line) + 1).alias(line), rule)
-    return findings.join(own.unionByName(above).distinct(), [path, line, rule], "left_anti")
+    own = marks.select(*by, path, line, rule)
+    above = marks.filter(alone).select(*by, path, (C(line) + 1).alias(line), rule)
+    return findings.join(own.unionByName(above).distinct(), [*by, path, line, rule], "left_anti")
 
 
 def definitions(facts: DataFrame) -> DataFrame:
     """Of a name defined twice the last in path order stands."""
-    d = sources.table(facts, "def")
-    return diffs.last_wins(d, ["snapshot", "name"], [F.desc("path"), F.desc("ord")])
+    return diffs.last_wins(sources.table(facts, "def"), ["pair", "side", "name"], [F.desc("path"), F.desc("ord")])
 
 
-def changed(defs: DataFrame, before: str, after: str) -> DataFrame:
-    """Name, kind, old_name, path, line, end_line, before and after (structs)."""
+def changed(defs: DataFrame, unreadable: DataFrame) -> DataFrame:
+    """Pair, name, kind, old_name, path, line, end_line, before and after (structs). What stood in a file that can no
+    longer be read is not known to have gone, nor is what stands in one that could not be read to be new."""
     keep = ["name", "kind", "path", "line", "end_line", "signature", "body", "value", "value_type", "params"]
-    sides = [defs.filter(F.col("snapshot") == s).drop("snapshot") for s in (before, after)]
-    value = F.when((F.col("a.kind") == "constant") & ~F.col("b.value").eqNullSafe(F.col("a.value")), True)
-    out = diffs.snapshot_diff(*sides, "name", [("signature", "signature"), ("value", value), ("body", "body")], keep)
-    out = graph.cut(out)
-    gone, new = (out.filter(F.col("kind") == k).select(f"{s}.*").filter("kind <> 'constant'") for k, s in (("removed", "before"), ("added", "after")))
-    pairs = diffs.unique_pairs(gone, new, ["kind", "signature", "body"], "name").select("old_key", "new_key")
-    one = out.join(pairs.select(F.col("old_key").alias("name")), "name", "left_anti").join(pairs, F.col("name") == F.col("new_key"), "left")
-    old = out.select(F.col("name").alias("_old"), F.col("before").alias("_before")).filter("_before IS NOT NULL")
-    one = one.join(old, F.col("old_key") == F.col("_old"), "left")
-    one = one.select("name", F.when(F.col("old_key").isNotNull(), "renamed").otherwise(F.col("kind")).alias("kind"), F.col("old_key").alias("old_name"), F.coalesce("_before", "before").alias("before"), "after")
+    sides = [defs.filter(C("side") == s).drop("side") for s in ("before", "after")]
+    value = F.when((C("a.kind") == "constant") & ~C("b.value").eqNullSafe(C("a.value")), True)
+    out = diffs.snapshot_diff(*sides, ["pair", "name"], [("signature", "signature"), ("value", value), ("body", "body")], keep)
+    blind = unreadable.select("pair", F.when(C("side") == "after", "removed").otherwise("added").alias("kind"), C("path").alias("where")).distinct()
+    out = out.withColumn("where", F.coalesce(C("before.path"), C("after.path"))).join(blind, ["pair", "kind", "where"], "left_anti").drop("where")
+    gone, new = (out.filter(C("kind") == k).select("pair", f"{s}.*").filter("kind <> 'constant'") for k, s in (("removed", "before"), ("added", "after")))
+    pairs = diffs.unique_pairs(gone, new, ["pair", "kind", "signature", "body"], "name").select("pair", "old_key", "new_key")
+    one = out.join(pairs.select("pair", C("old_key").alias("name")), ["pair", "name"], "left_anti").join(pairs.withColumnRenamed("new_key", "name"), ["pair", "name"], "left")
+    old = out.filter("kind = 'removed'").select("pair", C("name").alias("old_key"), C("before").alias("was"))
+    one = one.join(old, ["pair", "old_key"], "left")
     at = F.coalesce("after", "before")
-    return one.select("name", "kind", "old_name", at["path"].alias("path"), at["line"].alias("line"), at["end_line"].alias("end_line"), "before", "after")
+    kind = F.when(C("old_key").isNotNull(), "renamed").otherwise(C("kind"))
+    return one.select("pair", "name", kind.alias("kind"), C("old_key").alias("old_name"), at["path"].alias("path"), at["line"].alias("line"), at["end_line"].alias("end_line"), F.coalesce("was", "before").alias("before"), "after")
 
 
-def edges(facts: DataFrame, defs: DataFrame, snapshot: str) -> DataFrame:
-    """Src, dst, kind, path, line, guess, bound, positional, keywords, unpacked.
+def edges(facts: DataFrame, defs: DataFrame) -> DataFrame:
+    """Pair, side, src, dst, kind, path, line, guess, bound, positional, keywords, unpacked, smaller.
 
-    Names are looked up in both versions, so that a use of something deleted keeps its edge."""
-    w = Window.partitionBy("name").orderBy(F.desc(F.col("snapshot") == snapshot))
-    known = defs.select("snapshot", "name", "kind").withColumn("_n", F.row_number().over(w)).filter("_n = 1").select("name", F.col("kind").alias("def_kind"))
-    uses = sources.table(facts.filter(F.col("snapshot") == snapshot), "use").drop("snapshot").withColumn("id", F.monotonically_increasing_id())
-    uses = graph.cut(uses)  # ids must not change below
-    tried = uses.select("id", F.posexplode_outer(F.arrays_zip("candidates", "bound")).alias("pos", "c")).select("id", "pos", F.col("c.candidates").alias("name"), F.col("c.bound").alias("bound"))
-    first = tried.join(known, "name").groupBy("id").agg(F.min(F.struct("pos", "name", "bound", "def_kind")).alias("hit")).select("id", "hit.name", "hit.bound", "hit.def_kind")
-    methods = known.filter("def_kind = 'method'").select(F.substring_index("name", ".", -1).alias("method"), F.col("name").alias("member"))
-    left = uses.join(first.select("id"), "id", "left_anti").select("id", "method").filter("method IS NOT NULL")
-    guessed = resolve.unique_guess(left, methods, "method", "member", sources.COMMON_METHODS).filter("guess IS NOT NULL").select("id", F.col("guess").alias("name"), F.lit(True).alias("bound"), F.lit("method").alias("def_kind"), F.lit(True).alias("guess"))
-    found = first.withColumn("guess", F.lit(False)).unionByName(guessed)
-    out = uses.join(found.withColumnRenamed("name", "dst").withColumnRenamed("bound", "is_bound"), "id").filter((F.col("dst") != F.col("src")) & ((F.col("kind") == "calls") | (F.col("def_kind") == "constant")))
-    return out.select("src", "dst", "kind", "path", "line", "guess", F.col("is_bound").alias("bound"), "positional", "keywords", "unpacked")
+    Names are looked up in both versions, so that a use of something deleted keeps its edge. Each use meets one table of
+    names: full ones, and behind them (as a guess) methods that alone have their short name; of what it meets the
+    first in the use's own order stands."""
+    sided = defs.groupBy("pair", "name").agg(F.max(F.when(C("side") == "before", C("kind"))).alias("before"), F.max(F.when(C("side") == "after", C("kind"))).alias("after"))
+    known = sided.select("pair", "name", F.explode(F.array(F.struct(F.lit("before").alias("side"), F.coalesce("before", "after").alias("def_kind")), F.struct(F.lit("after").alias("side"), F.coalesce("after", "before").alias("def_kind")))).alias("x")).select("pair", "x.side", "name", "x.def_kind")
+    short = F.substring_index("name", ".", -1)
+    alone = known.filter("def_kind = 'method'").groupBy("pair", "side", short.alias("method")).agg(F.count("*").alias("n"), F.min("name").alias("name")).filter((C("n") == 1) & ~C("method").isin(*COMMON_METHODS))
+    names = known.select("pair", "side", C("name").alias("key"), "name", "def_kind", F.lit(False).alias("guess")).unionByName(alone.select("pair", "side", F.concat(F.lit("."), "method").alias("key"), "name", F.lit("method").alias("def_kind"), F.lit(True).alias("guess")))
+    uses = sources.table(facts, "use").distinct()
+    tries = F.concat(F.transform(F.arrays_zip("candidates", "bound"), lambda c: F.struct(c["candidates"].alias("key"), c["bound"].alias("bound"))), F.when(C("method").isNotNull(), F.array(F.struct(F.concat(F.lit("."), "method").alias("key"), F.lit(True).alias("bound")))).otherwise(F.array().cast("array<struct<key:string,bound:boolean>>")))
+    keep = ["pair", "side", "path", "src", "kind", "line", "candidates", "method", "positional", "keywords", "unpacked", "smaller"]
+    tried = uses.select(*keep, F.posexplode(tries).alias("pos", "t")).select(*keep, "pos", "t.key", "t.bound").join(names, ["pair", "side", "key"])
+    found = tried.groupBy(*keep).agg(F.min(F.struct("pos", "name", "bound", "def_kind", "guess")).alias("hit")).select(*keep, C("hit.name").alias("dst"), "hit.bound", "hit.def_kind", "hit.guess")
+    return found.filter((C("dst") != C("src")) & ((C("kind") == "calls") | (C("def_kind") == "constant"))).drop("candidates", "method", "def_kind")
 
 
 def affected(changes: DataFrame, edges_: DataFrame, defs_after: DataFrame) -> DataFrame:
-    """G1: name, path, line, hops, score: what the change did not touch and can break, the score unrounded."""
-    weight = F.element_at(F.create_map(*(F.lit(x) for kv in STEPS.items() for x in kv)), F.col("kind")) * F.when(F.col("guess"), GUESS).otherwise(1.0)
-    score = F.element_at(F.create_map(*(F.lit(x) for kv in SEEDS.items() for x in kv)), F.col("kind"))
-    names = changes.select(F.explode(F.array_compact(F.array("name", "old_name"))).alias("node"), F.when(F.col("kind") != "added", score).alias("score"))
-    steps = edges_.groupBy("src", "dst").agg(F.max(weight).alias("weight"))
+    """G1: pair, name, path, line, hops, score: what the change did not touch and can break, the score unrounded."""
+    table = lambda d: F.create_map(*(F.lit(x) for kv in d.items() for x in kv))
+    weight = F.element_at(table(STEPS), C("kind")) * F.when(C("guess"), GUESS).otherwise(1.0)
+    score = F.element_at(table(SEEDS), C("kind"))
+    names = changes.select(F.explode(F.array_compact(F.array("name", "old_name"))).alias("n"), "pair", F.when(C("kind") != "added", score).alias("score")).select(F.struct("pair", "n").alias("node"), "score")
+    steps = edges_.filter("side = 'after'").groupBy(F.struct("pair", C("src").alias("n")).alias("src"), F.struct("pair", C("dst").alias("n")).alias("dst")).agg(F.max(weight).alias("weight"))
     out = graph.propagate(steps, names.filter("score IS NOT NULL"), names)
-    at = defs_after.select(F.col("name").alias("node"), "path", "line")
-    return out.join(at, "node", "left").select(F.col("node").alias("name"), "path", "line", "hops", "score")
-
-
-def contract(p: Column, bound: Column, n: Column, keywords: Column) -> Column:
-    """P12 for a params struct; seen through an instance, the first parameter is filled already."""
-    shift = (bound & p["binds_first"] & (F.size(p["positional"]) > 0)).cast("int")
-    size = F.size(p["positional"])
-    positional = F.slice(p["positional"], shift + 1, F.greatest(size - shift, F.lit(0)))
-    return resolve.contract_problems(positional, F.least(p["defaults"], size - shift), F.greatest(p["positional_only"] - shift, F.lit(0)), p["varargs"], p["keyword_only"], p["keyword_required"], p["varkw"], n, keywords)
-
-
-def signature_breaks(changes: DataFrame, edges_: DataFrame) -> DataFrame:
-    """Calls that fit the old signature and do not fit the new one, one a line."""
-    c = changes.filter("kind = 'signature' AND before.params IS NOT NULL AND after.params IS NOT NULL").select(F.col("name").alias("dst"), "before", "after")
-    e = edges_.filter("kind = 'calls' AND NOT unpacked AND NOT guess").select("src", "dst", "path", "line", "bound", "positional", "keywords")
-    j = e.join(c, "dst")
-    now, was = (contract(F.col(s)["params"], F.col("bound"), F.col("positional"), F.col("keywords")) for s in ("after", "before"))
-    bad = j.filter((F.size(now) > 0) & (F.size(was) == 0))
-    said = F.concat("src", F.lit(" calls "), "dst", F.lit(" the old way: it now "), F.get(now, F.lit(0)))
-    return bad.groupBy("path", "line").agg(F.min(said).alias("message")).select(F.lit("signature-break").alias("rule"), F.lit("critical").alias("severity"), "message", "path", "line")
-
-
-def removed_uses(changes: DataFrame, edges_: DataFrame, imports: DataFrame, defs_after: DataFrame) -> DataFrame:
-    """Code that still names what went."""
-    gone = changes.filter("kind IN ('removed', 'renamed')").select(F.coalesce("old_name", "name").alias("dst")).join(defs_after.select(F.col("name").alias("dst")), "dst", "left_anti").distinct()
-    uses = edges_.select("dst", "path", "line", F.concat("src", F.lit(" still "), "kind", F.lit(" "), "dst").alias("message")).unionByName(imports.select(F.col("target").alias("dst"), "path", "line", F.concat("path", F.lit(" still imports "), "target").alias("message")))
-    return uses.join(gone, "dst").groupBy("path", "line").agg(F.min("message").alias("message")).select(F.lit("removed-still-referenced").alias("rule"), F.lit("critical").alias("severity"), "message", "path", "line")
-
-
-def reused_values(changes: DataFrame, old_edges: DataFrame, new_edges: DataFrame) -> DataFrame:
-    """A constant went or changed, and a new one of its scope takes over its value (and type), with other readers."""
-    scope = F.regexp_replace("name", r"\.[^.]*$", "")
-    lost = changes.filter("kind IN ('removed', 'value') AND before.kind = 'constant' AND before.value_type <> 'expr'").select(scope.alias("scope"), F.col("name").alias("old"), F.col("before.value").alias("value"), F.col("before.value_type").alias("type"))
-    got = changes.filter("kind = 'added' AND after.kind = 'constant'").select(scope.alias("scope"), F.col("name").alias("new"), F.col("after.value").alias("value"), F.col("after.value_type").alias("type"), "path", "line")
-    readers = lambda e, c: e.filter("kind = 'reads'").groupBy(F.col("dst").alias(c)).agg(F.array_sort(F.collect_set("src")).alias(f"{c}_readers"))
-    j = lost.join(got, ["scope", "value", "type"]).join(readers(old_edges, "old"), "old").join(readers(new_edges, "new"), "new")
-    return j.select(F.lit("reused-value").alias("rule"), F.lit("high").alias("severity"), F.concat("new", F.lit(" takes over the value that "), "old", F.lit(" had: "), "value").alias("message"), "path", "line")
-
-
-def environment_changes(env: DataFrame, before: str, after: str) -> DataFrame:
-    """A reader that lost one variable and gained one; a default that changed."""
-    b, a = env.filter(F.col("snapshot") == before), env.filter(F.col("snapshot") == after)
-    place = a.groupBy("reader", "var").agg(F.min("path").alias("path"), F.min("line").alias("line"))
-    renamed = mining.lost_and_gained(b, a, "reader", "var").withColumnRenamed("gained", "var").join(place, ["reader", "var"])
-    renamed = renamed.select(F.lit("env-var-renamed").alias("rule"), F.lit("high").alias("severity"), F.concat("reader", F.lit(" reads "), "var", F.lit(" where it read "), "lost").alias("message"), "path", "line")
-    shape = F.concat_ws("|", F.col("required").cast("string"), F.coalesce("default", F.lit("nothing")))
-    moved = mining.single_variant_change(b.withColumn("shape", shape), a.withColumn("shape", shape), ["reader", "var"], "shape").join(place, ["reader", "var"])
-    moved = moved.select(F.lit("env-var-default-changed").alias("rule"), F.lit("medium").alias("severity"), F.concat("var", F.lit(": "), "old", F.lit(" became "), "new").alias("message"), "path", "line")
-    return renamed.unionByName(moved)
-
-
-def import_cycles(imports: DataFrame, files: DataFrame, before: str, after: str) -> DataFrame:
-    """Modules that load each other in the new version and did not in the old one."""
-    mods = files.select("snapshot", "path", _module("path").alias("module")).distinct()
-    load = imports.filter("NOT late").join(mods, ["snapshot", "path"]).select("snapshot", "path", "line", F.col("module").alias("src"), F.explode(F.array(F.col("target"), F.regexp_replace("target", r"\.[^.]*$", ""))).alias("dst"))
-    load = load.join(mods.select("snapshot", F.col("module").alias("dst")), ["snapshot", "dst"])
-    rings = [graph.cycles(load.filter(F.col("snapshot") == s)) for s in (before, after)]
-    new = rings[1].join(rings[0].select("node"), "node", "left_anti")
-    at = load.filter(F.col("snapshot") == after).groupBy("src").agg(F.min(F.struct("path", "line")).alias("at"))
-    worst = new.join(at, F.col("node") == F.col("src")).groupBy("component").agg(F.min("at").alias("at"), F.array_sort(F.collect_set("node")).alias("nodes"))
-    return worst.select(F.lit("import-cycle").alias("rule"), F.lit("medium").alias("severity"), F.concat(F.lit("these load each other: "), F.concat_ws(", ", "nodes")).alias("message"), "at.path", "at.line")
-
-
-def call_circles(edges_before: DataFrame, edges_after: DataFrame) -> DataFrame:
-    """Functions that call each other in a circle in the new version and did not in the old one."""
-    certain = [e.filter("kind = 'calls' AND NOT guess") for e in (edges_before, edges_after)]
-    rings = [graph.cycles(e) for e in certain]
-    new = rings[1].join(rings[0].select("node"), "node", "left_anti")
-    at = certain[1].groupBy("src").agg(F.min(F.struct("path", "line")).alias("at"))
-    worst = new.join(at, F.col("node") == F.col("src")).groupBy("component").agg(F.min("at").alias("at"), F.array_sort(F.collect_set("node")).alias("nodes"))
-    return worst.select(F.lit("recursive-cycle").alias("rule"), F.lit("medium").alias("severity"), F.concat(F.lit("these call each other: "), F.concat_ws(", ", "nodes")).alias("message"), "at.path", "at.line")
-
-
-def near_duplicates(tokens: DataFrame, changes: DataFrame, after: str) -> DataFrame:
-    """F8: added functions that are nearly another one; the best match of each, each pair once."""
-    t = tokens.filter((F.col("snapshot") == after) & (F.size("tokens") >= NEAR_TOKENS)).select("name", "path", "line", "tokens")
-    from driftwake.functions.text import shingles
-
-    pairs = mining.similar_pairs(t.select("name", shingles(F.col("tokens"), NEAR_SHINGLE).alias("s")), "name", "s", NEAR_LEAST, NEAR_RATIO)
-    both = pairs.select(F.col("a").alias("name"), F.col("b").alias("other"), "similarity").unionByName(pairs.select(F.col("b").alias("name"), F.col("a").alias("other"), "similarity"))
-    best = both.join(changes.filter("kind = 'added'").select("name"), "name", "left_semi").groupBy("name").agg(F.max_by("other", F.struct("similarity", "other")).alias("other"), F.max("similarity").alias("similarity"))
-    once = best.groupBy(F.least("name", "other"), F.greatest("name", "other")).agg(F.min("name").alias("name"), F.max_by("other", "name").alias("other"))
-    return once.select("name", "other").join(t, "name").select(F.lit("near-duplicate").alias("rule"), F.lit("low").alias("severity"), F.concat("name", F.lit(" nearly repeats "), "other").alias("message"), "path", "line")
-
-
-def unreferenced(files: DataFrame, defs: DataFrame, changes: DataFrame, after: str) -> DataFrame:
-    """New private functions that nobody names (A5 over the new version's words)."""
-    from driftwake.functions.text import tokens
-
-    words = files.filter(F.col("snapshot") == after).select(F.explode(tokens(F.col("text"))).alias("word"))
-    own = defs.filter((F.col("snapshot") == after) & ~F.col("decorated")).select("name", F.substring_index("name", ".", -1).alias("word"), "kind", "path", "line")
-    quiet = mining.unmentioned(words, own.select("word"), "word")
-    new = own.filter(F.col("kind").isin("function", "method") & F.col("word").rlike("^_[^_]")).join(changes.filter("kind = 'added'").select("name"), "name", "left_semi")
-    return new.join(quiet.select("word"), "word", "left_semi").select(F.lit("new-unreferenced").alias("rule"), F.lit("low").alias("severity"), F.concat(F.lit("nothing uses "), "name").alias("message"), "path", "line")
-
-
-def dependencies(files: DataFrame, imports: DataFrame, before: str, after: str) -> DataFrame:
-    from driftwake.sources import manifests
-
-    modules = files.filter(F.col("path").endswith(".py")).select(_module("path").alias("module")).distinct()
-    return manifests.findings(manifests.third_party(imports, modules), manifests.declared(files), before, after)
-
-
-def _module(path: str) -> Column:
-    from driftwake.functions.text import module_name
-
-    return module_name(F.col(path))
+    return out.select("node.pair", C("node.n").alias("name"), "hops", "score").join(defs_after.select("pair", "name", "path", "line"), ["pair", "name"], "left").select("pair", "name", "path", "line", "hops", "score")
+
+
+class Context:
+    """What rules read. Tables are made when first asked for."""
+
+    def __init__(self, files: DataFrame, pairs: DataFrame, history: DataFrame | None = None):
+        sides = pairs.select("pair", F.explode(F.array(F.struct(F.lit("before").alias("side"), C("before").alias("snapshot")), F.struct(F.lit("after").alias("side"), C("after").alias("snapshot")))).alias("x")).select("pair", "x.side", "x.snapshot")
+        files = files.join(sides.select("snapshot").distinct(), "snapshot", "left_semi")
+        self.files = files.join(sides, "snapshot").select("pair", "side", "path", "text")
+        read = graph.cut(sources.facts(files))
+        self.facts = read.join(sides, "snapshot").select("pair", "side", "path", "fact", "data")
+        self.history = history
+        # one row a kind of fact, one a rule that the reader judged, one if there are manifests
+        judged = F.when(C("fact") == "finding", F.get_json_object("data", "$.rule"))
+        there = read.select("fact", judged.alias("rule")).unionByName(files.filter(C("path").rlike(manifests.MANIFEST)).select(F.lit("manifest").alias("fact"), F.lit(None).cast("string").alias("rule"))).distinct().collect()
+        self.facts_there, self.read_rules = {r[0] for r in there}, {r[1] for r in there}
+        self.has_manifest = "manifest" in self.facts_there
+        self._declared = lambda: graph.cut(manifests.declared(files).join(sides, "snapshot").drop("snapshot"))
+
+    def table(self, fact: str) -> DataFrame:
+        return sources.table(self.facts, fact)
+
+    @cached_property
+    def defs(self) -> DataFrame:
+        return graph.cut(definitions(self.facts))
+
+    def defs_of(self, side: str) -> DataFrame:
+        return self.defs.filter(C("side") == side)
+
+    @cached_property
+    def errors_of_files(self) -> DataFrame:
+        return self.table("error").filter("rule IS NULL")
+
+    @cached_property
+    def changes(self) -> DataFrame:
+        return graph.cut(changed(self.defs, self.errors_of_files))
+
+    @cached_property
+    def news(self) -> set[str]:
+        """What there is of kinds of change, and whether there are names missing, imports, calls or edited loops that were not there
+        before: a dozen words at most, in one job."""
+        def fresh(df: DataFrame, word: str) -> DataFrame:
+            keys = [c for c in df.columns if c != "side"]
+            return df.groupBy(*keys).agg(F.max("side").alias("last")).filter("last = 'after'").select(F.lit(word).alias("word"))
+
+        parts = [self.changes.select(C("kind").alias("word"))]
+        if "asked" in self.facts_there:
+            parts.append(fresh(self.table("asked").select("pair", "side", "path", "name").distinct(), "asked"))
+        if "import" in self.facts_there:
+            parts.append(fresh(self.table("import").select("pair", "side", "path", "target", "plain", "late").distinct(), "import"))
+        calls = self.edges.filter("kind = 'calls' AND NOT guess").select("pair", "side", "src", "dst").distinct()
+        parts.append(fresh(calls, "call"))
+        if "cost" in self.facts_there:
+            loops = self.table("cost").filter("side = 'after' AND (degree > 0 OR exists(calls, c -> c.degree > 0))").join(self.live.filter("kind IN ('body', 'signature')").select("pair", "name"), ["pair", "name"], "left_semi")
+            parts.append(loops.select(F.lit("loop").alias("word")))
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return {r[0] for r in out.distinct().collect()}
+
+    @cached_property
+    def kinds(self) -> set[str]:
+        return self.news & set(diffs.KINDS)
+
+    @cached_property
+    def live(self) -> DataFrame:
+        """P10. Definitions that the change wrote: pair, name, kind, path, line, end_line."""
+        return self.changes.filter("kind IN ('added', 'body', 'signature', 'value', 'renamed')").select("pair", "name", "kind", "path", "line", "end_line")
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        return graph.cut(edges(self.facts, self.defs))
+
+    @cached_property
+    def imports(self) -> DataFrame:
+        return self.table("import").filter("side = 'after'").drop("side")
+
+    @cached_property
+    def nodes(self) -> DataFrame:
+        return self.table("node").filter("side = 'after'").drop("side").join(self.edited_paths, ["pair", "path"], "left_semi")
+
+    @cached_property
+    def found_by_reader(self) -> DataFrame:
+        return self.table("finding")
+
+    @cached_property
+    def manifests(self) -> DataFrame:
+        return self._declared()
+
+    @cached_property
+    def edited_paths(self) -> DataFrame:
+        """U2, of each pair: files of the new version whose text is another, line endings apart."""
+        b, a = (self.files.filter(C("side") == s).select("pair", "path", F.regexp_replace("text", "\r\n?", "\n").alias(s)) for s in ("before", "after"))
+        return a.join(b, ["pair", "path"], "left").filter(~C("after").eqNullSafe(C("before"))).select("pair", "path")
 
 
 @dataclass
 class Report:
+    """Of one pair, or, with a column `pair`, of several."""
+
     changes: DataFrame
     edges: DataFrame
     affected: DataFrame
@@ -196,41 +194,40 @@ class Report:
     errors: DataFrame
     verdict: DataFrame
 
-
-def check(files: DataFrame, before: str = "before", after: str = "after", disabled: tuple[str, ...] = (), excluded: list[str] | None = None) -> Report:
-    """files(snapshot, path, text) of two versions to a report. Settings (P9) take rules and paths out before the verdict."""
-    from driftwake.functions.text import excluded as left_out
-
-    files = files.filter(F.col("snapshot").isin(before, after))
-    told = graph.cut(sources.facts(files))
-    defs = graph.cut(definitions(told))
-    now = defs.filter(F.col("snapshot") == after)
-    changes = graph.cut(changed(defs, before, after))
-    new_edges, old_edges = (graph.cut(edges(told, defs, s)) for s in (after, before))
-    imports = sources.table(told, "import")
-    spans = changes.filter("after IS NOT NULL").select(F.col("path").alias("p"), F.col("line").alias("a"), F.col("end_line").alias("z"))
-    # file rules speak only of what the change touched (J5); undefined names only of what was not missing before
-    single = sources.table(told, "finding")
-    missing = F.col("rule") == "undefined-name"
-    old_names = single.filter(missing & (F.col("snapshot") == before)).select("path", "message").distinct()
-    current = single.filter(F.col("snapshot") == after).drop("snapshot")
-    of_files = current.filter(~missing).join(spans, (F.col("path") == F.col("p")) & F.col("line").between(F.col("a"), F.col("z")), "left_semi")
-    of_names = current.filter(missing).join(old_names, ["path", "message"], "left_anti")
-    new_imports = imports.filter(F.col("snapshot") == after)
-    parts = [
-        of_files, of_names, signature_breaks(changes, new_edges), removed_uses(changes, new_edges, new_imports, now), reused_values(changes, old_edges, new_edges),
-        environment_changes(sources.table(told, "env"), before, after), import_cycles(imports, files, before, after), call_circles(old_edges, new_edges),
-        near_duplicates(sources.table(told, "tokens"), changes, after), unreferenced(files, defs, changes, after), dependencies(files, imports, before, after),
-    ]
-    found = parts[0].select("rule", "severity", "message", "path", "line")
-    for p in parts[1:]:
-        found = found.unionByName(p.select("rule", "severity", "message", "path", "line"))
+    def of(self, pair: str) -> Report:
+        return Report(*(df.filter(C("pair") == pair).drop("pair") for df in (self.changes, self.edges, self.affected, self.findings, self.suppressed, self.errors, self.verdict)))
+
+
+def checks(files: DataFrame, pairs: DataFrame, disabled: Sequence[str] = (), excluded: Sequence[str] = (), history: DataFrame | None = None, rules: dict | None = None) -> Report:
+    """files(snapshot, path, text) and pairs(pair, before, after), snapshots each -> a report with a column `pair`. Settings
+    take rules and paths out before the verdict; history(commit, path) lets co-change speak."""
+    ctx = Context(files, pairs, history)
+    rules = registry.RULES if rules is None else rules
+    of_files, of_changes, failed = registry.run(ctx, {k: r for k, r in rules.items() if k not in disabled})
+    empty = "pair string, rule string, severity string, message string, path string, line int"
+    found = files.sparkSession.createDataFrame([], empty)
+    if of_files is not None:  # file rules speak only of what the change touched (J5)
+        touched = ctx.live.select(F.struct("pair", "path").alias("at"), "line", "end_line")
+        inside = spans.in_spans(of_files.withColumn("at", F.struct("pair", "path")), touched, "at", "line", "line", "end_line").drop("at")
+        found = found.unionByName(inside)
+    if of_changes is not None:
+        found = found.unionByName(of_changes)
     found = graph.cut(found.distinct())
-    marks = sources.table(told.filter(F.col("snapshot") == after), "mark").select("path", "line", "rule", "alone")
-    kept = unsuppressed(found, marks, "path", "line", "rule")
-    gone = found.join(kept, ["rule", "path", "line", "message"], "left_anti")
-    paths = left_out(F.col("path"), excluded or [])
-    kept = kept.filter(~F.col("rule").isin(*disabled) & ~paths) if disabled else kept.filter(~paths)
-    kept = kept.withColumn("blocking", F.col("rule").isin(*BLOCKING)).withColumn("rank", ranking.rank(F.col("severity")))
-    errors = sources.table(told.filter(F.col("snapshot") == after), "error").drop("snapshot")
-    return Report(changes.filter(~paths), new_edges, affected(changes, new_edges, now), kept.orderBy("rank", "path", "line", "rule"), gone, errors, ranking.verdict(kept))
+    marks = ctx.table("mark").filter("side = 'after'").select("pair", "path", "line", "rule", "alone")
+    kept = unsuppressed(found, marks, "path", "line", "rule", by=["pair"])
+    gone = found.join(kept, ["pair", "rule", "path", "line", "message"], "left_anti")
+    paths = T.excluded(C("path"), list(excluded))
+    blocking = [r.id for r in rules.values() if r.blocking]
+    kept = kept.filter(~paths).withColumn("blocking", C("rule").isin(*blocking)).withColumn("rank", ranking.rank(C("severity")))
+    errors = ctx.table("error").filter("side = 'after'").select("pair", "path", "rule", "message")
+    if failed:
+        broken = files.sparkSession.createDataFrame([(None, r, m) for r, m in failed], "path string, rule string, message string")
+        errors = errors.unionByName(pairs.select("pair").join(F.broadcast(broken)))  # a row a rule that failed
+    verdict = pairs.select("pair").join(ranking.verdict(kept, ["pair"]), "pair", "left").withColumn("verdict", F.coalesce("verdict", F.lit("ok")))
+    return Report(ctx.changes.filter(~paths), ctx.edges.filter("side = 'after'").drop("side"), affected(ctx.changes, ctx.edges, ctx.defs_of("after")), kept.orderBy("rank", "path", "line", "rule"), gone, errors, verdict)
+
+
+def check(files: DataFrame, before: str = "before", after: str = "after", disabled: Sequence[str] = (), excluded: Sequence[str] | None = None, history: DataFrame | None = None, rules: dict | None = None) -> Report:
+    """files(snapshot, path, text) of two versions to a report."""
+    pairs = files.sparkSession.createDataFrame([("", before, after)], "pair string, before string, after string")
+    return checks(files, pairs, disabled, excluded or (), history, rules).of("")

@@ -182,12 +182,12 @@ def p12_contract_check(spark, read):
     return read("orders").select("o_orderkey", F.concat_ws("; ", p).alias("problems"))
 
 
-EDGES = """e AS (SELECT o_orderkey % 1500 AS src, o_custkey AS dst, max(CASE WHEN o_orderstatus = 'O' THEN 0.9 ELSE 0.85 END * CASE WHEN o_orderpriority = '1-URGENT' THEN 0.5 ELSE 1.0 END) AS w FROM orders WHERE o_orderkey % 7 = 0 GROUP BY 1, 2)"""
+EDGES = """e AS (SELECT o_orderkey % 1500 AS src, o_custkey AS dst, max(CASE WHEN o_orderstatus = 'O' THEN 0.9 ELSE 0.85 END * CASE WHEN o_orderpriority = '1-URGENT' THEN 0.5 ELSE 1.0 END) AS w FROM orders GROUP BY 1, 2)"""
 
 
-def order_edges(read, every: int = 7) -> DataFrame:
+def order_edges(read) -> DataFrame:
     w = F.when(C("o_orderstatus") == "O", 0.9).otherwise(0.85) * F.when(C("o_orderpriority") == "1-URGENT", 0.5).otherwise(1.0)
-    return read("orders").filter(mod("o_orderkey", every) == 0).select(mod("o_orderkey", 1500).alias("src"), C("o_custkey").alias("dst"), w.alias("w")).groupBy("src", "dst").agg(F.max("w").alias("weight"))
+    return read("orders").select(mod("o_orderkey", 1500).alias("src"), C("o_custkey").alias("dst"), w.alias("w")).groupBy("src", "dst").agg(F.max("w").alias("weight"))
 
 
 def hops_sql() -> str:
@@ -214,14 +214,14 @@ def g2_subgraph(spark, read):
 
 
 @query("""
-WITH RECURSIVE s AS (SELECT (user_id % 40) || event_type AS src, lead((user_id % 40) || event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS dst FROM events WHERE event_id % 17 = 0),
+WITH RECURSIVE s AS (SELECT user_id || event_type || (event_id % 7) AS src, lead(user_id || event_type || (event_id % 7)) OVER (PARTITION BY user_id ORDER BY event_id) AS dst FROM events),
 e AS (SELECT DISTINCT src, dst FROM s WHERE dst IS NOT NULL AND src <> dst), r(a, b) AS (SELECT src, dst FROM e UNION SELECT r.a, e.dst FROM r JOIN e ON e.src = r.b)
 SELECT x.a AS node, min(y.a) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY 1
 """)
 def g4_cycles(spark, read):
     from pyspark.sql import Window
 
-    e = read("events").filter(mod("event_id", 17) == 0).select("user_id", "event_id", F.concat(mod("user_id", 40).cast("string"), "event_type").alias("src"))
+    e = read("events").select("user_id", "event_id", F.concat(C("user_id").cast("string"), "event_type", mod("event_id", 7).cast("string")).alias("src"))
     steps = e.select("src", F.lead("src").over(Window.partitionBy("user_id").orderBy("event_id")).alias("dst")).filter("dst IS NOT NULL")
     return graph.cycles(steps)
 
@@ -287,14 +287,19 @@ def a5_unmentioned(spark, read):
 @query("""
 WITH w AS (SELECT doc_id, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 3], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 2)) AS i FROM w WHERE len(w) >= 30)),
-n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1), p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2)
-SELECT a, b, round(c / (x.n + y.n - c), 6) AS similarity FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c / (x.n + y.n - c) >= 0.82
+h AS (SELECT doc_id, md5(string_agg(g, chr(1) ORDER BY g)) AS h, count(*) AS n FROM s GROUP BY 1), c AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY h) AS c, n FROM h),
+k AS (SELECT s.doc_id, s.g FROM s JOIN c ON c.doc_id = s.doc_id AND c.c = s.doc_id), p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM k x JOIN k y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2)
+SELECT a, b, round(p.c / (x.n + y.n - p.c), 6) AS similarity FROM p JOIN c x ON x.doc_id = a JOIN c y ON y.doc_id = b WHERE p.c / (x.n + y.n - p.c) >= 0.82
+UNION ALL SELECT c AS a, doc_id AS b, 1.0::DOUBLE FROM c WHERE c <> doc_id
 """)
 def f8_near_duplicates(spark, read):
-    """Definitions of at least 30 tokens, by Jaccard similarity of their shingles of 4 tokens."""
+    """Definitions of at least 30 tokens, by Jaccard similarity of their shingles of 4 tokens: pairs of classes of equal sets, and
+    of each other member its class."""
     w = read("documents").select("doc_id", F.filter(F.split("text", r"\s+"), lambda x: x != "").alias("w")).filter(F.size("w") >= 30)
     s = w.select("doc_id", T.shingles(C("w"), 4).alias("s"))
-    return mining.similar_pairs(s, "doc_id", "s", 0.82, 0.6).withColumn("similarity", F.round("similarity", 6))
+    classes, links = mining.similar_classes(s, "doc_id", "s", 0.82, 0.6)
+    members = classes.filter(C("key") != C("class")).select(C("class").alias("a"), C("key").alias("b"), F.lit(1.0).alias("similarity"))
+    return links.withColumn("similarity", F.round("similarity", 6)).unionByName(members)
 
 
 SCAN = {"number": "[0-9]{4,}", "address": "[a-z]+@[a-z]+", "license": "(?i)licen[sc]e", "shout": "[A-Z]{3,}"}
@@ -350,44 +355,40 @@ HALF = "2024-01-16"
 
 
 @query(f"""
-WITH s AS (SELECT user_id, event_type || (event_id % 3) AS v, ts < TIMESTAMP '{HALF}' AS old FROM events WHERE event_id % 9 = 0),
+WITH s AS (SELECT user_id, event_type || (event_id % 3) AS v, ts < TIMESTAMP '{HALF}' AS old FROM events),
 b AS (SELECT DISTINCT user_id, v FROM s WHERE old), a AS (SELECT DISTINCT user_id, v FROM s WHERE NOT old),
 l AS (SELECT user_id, min(v) AS lost, count(*) AS n FROM b ANTI JOIN a USING (user_id, v) GROUP BY 1), g AS (SELECT user_id, min(v) AS gained, count(*) AS n FROM a ANTI JOIN b USING (user_id, v) GROUP BY 1)
 SELECT user_id, lost, gained FROM l JOIN g USING (user_id) WHERE l.n = 1 AND g.n = 1 AND user_id IN (SELECT user_id FROM a) AND user_id IN (SELECT user_id FROM b)
 """)
 def j24_env_compare(spark, read):
-    e = read("events").filter(mod("event_id", 9) == 0).select("user_id", "ts", F.concat("event_type", mod("event_id", 3).cast("string")).alias("v"))
+    e = read("events").select("user_id", "ts", F.concat("event_type", mod("event_id", 3).cast("string")).alias("v"))
     old = C("ts") < F.lit(HALF).cast("timestamp_ntz")
     return mining.lost_and_gained(e.filter(old), e.filter(~old), "user_id", "v")
 
 
 @query(f"""
-WITH s AS (SELECT user_id, event_type, event_id % 2 AS v, ts < TIMESTAMP '{HALF}' AS old FROM events WHERE event_id % 40 = 0 OR event_id % 41 = 0),
-b AS (SELECT user_id, event_type, min(v) AS old FROM s WHERE old GROUP BY 1, 2 HAVING count(DISTINCT v) = 1), a AS (SELECT user_id, event_type, min(v) AS new FROM s WHERE NOT old GROUP BY 1, 2 HAVING count(DISTINCT v) = 1)
-SELECT user_id, event_type, b.old, new FROM b JOIN a USING (user_id, event_type) WHERE b.old <> new
+WITH s AS (SELECT user_id, event_type, CAST(extract(hour FROM ts) AS INTEGER) AS hour, event_id % 2 AS v, ts < TIMESTAMP '{HALF}' AS old FROM events),
+b AS (SELECT user_id, event_type, hour, min(v) AS old FROM s WHERE old GROUP BY 1, 2, 3 HAVING count(DISTINCT v) = 1), a AS (SELECT user_id, event_type, hour, min(v) AS new FROM s WHERE NOT old GROUP BY 1, 2, 3 HAVING count(DISTINCT v) = 1)
+SELECT user_id, event_type, hour, b.old, new FROM b JOIN a USING (user_id, event_type, hour) WHERE b.old <> new
 """)
 def a11_variants(spark, read):
-    e = read("events").filter((mod("event_id", 40) == 0) | (mod("event_id", 41) == 0)).select("user_id", "event_type", "ts", mod("event_id", 2).alias("v"))
+    e = read("events").select("user_id", "event_type", F.hour("ts").alias("hour"), "ts", mod("event_id", 2).alias("v"))
     old = C("ts") < F.lit(HALF).cast("timestamp_ntz")
-    return mining.single_variant_change(e.filter(old), e.filter(~old), ["user_id", "event_type"], "v")
+    return mining.single_variant_change(e.filter(old), e.filter(~old), ["user_id", "event_type", "hour"], "v")
 
 
 @query("""
-WITH m AS (SELECT DISTINCT event_type AS t FROM events), c AS (SELECT DISTINCT user_id, event_type AS t FROM events WHERE event_id % 9 = 0)
-SELECT user_id, 'view' AS missing FROM c WHERE t <> 'view' GROUP BY 1 HAVING count(*) = (SELECT count(*) FROM m WHERE t <> 'view') AND user_id NOT IN (SELECT user_id FROM c WHERE t = 'view')
+WITH m AS (SELECT DISTINCT event_type AS t FROM events), c AS (SELECT DISTINCT user_id || '/' || (extract(day FROM ts) - 1) // 7 AS holder, event_type AS t FROM events)
+SELECT holder, 'view' AS missing FROM c WHERE t <> 'view' GROUP BY 1 HAVING count(*) = (SELECT count(*) FROM m WHERE t <> 'view') AND holder NOT IN (SELECT holder FROM c WHERE t = 'view')
 """)
 def j26_coverage(spark, read):
-    e = read("events").select("user_id", "event_id", "event_type")
-    found = mining.uncovered(e.select("event_type").distinct(), e.filter(mod("event_id", 9) == 0), "user_id", "event_type", C("event_type") == "view")
+    """Users' weeks that have seen every other type of event, and no view."""
+    week = F.floor((F.dayofmonth("ts") - 1) / 7).cast("string")
+    e = read("events").select(F.concat(C("user_id").cast("string"), F.lit("/"), week).alias("holder"), "event_type")
+    found = mining.uncovered(e.select("event_type").distinct(), e, "holder", "event_type", C("event_type") == "view")
     return found.withColumn("missing", F.concat_ws(",", "missing"))
 
 
-@query("SELECT l_orderkey, l_partkey, l_quantity FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity <= p_size AND l_quantity > p_size - 10")
-def j27_capacity(spark, read):
-    j = read("lineitem").join(read("part"), C("p_partkey") == C("l_partkey"))
-    return j.filter((C("l_quantity") <= C("p_size")) & (C("l_quantity") > C("p_size") - 10)).select("l_orderkey", "l_partkey", "l_quantity")
-
-
 @query("""
 WITH b AS (SELECT conv_id, turn, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations), a AS (SELECT conv_id, turn, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations WHERE turn % 3 <> 2)
 SELECT conv_id, turn, b.n AS next_before, a.n AS next_after FROM b JOIN a USING (conv_id, turn) WHERE b.n IS DISTINCT FROM a.n
@@ -428,11 +429,12 @@ def w9_budget(spark, read):
     return spans.within_budget(g, "size", [F.desc("size"), C("l_returnflag")], 300, 3, ["l_suppkey"])
 
 
-@query(f"SELECT DISTINCT user_id, event_type FROM events WHERE ts >= TIMESTAMP '{HALF}' AND event_id % 7 = 0 AND (user_id, event_type) NOT IN (SELECT (user_id, event_type) FROM events WHERE ts < TIMESTAMP '{HALF}' AND event_id % 7 = 0)")
+@query(f"SELECT DISTINCT user_id, event_type, props FROM events WHERE ts >= TIMESTAMP '{HALF}' AND (user_id, event_type, props) NOT IN (SELECT (user_id, event_type, props) FROM events WHERE ts < TIMESTAMP '{HALF}')")
 def u5_new_not_old(spark, read):
-    e = read("events").filter(mod("event_id", 7) == 0).select("user_id", "event_type", "ts")
+    e = read("events").select("user_id", "event_type", "props", "ts")
     old = C("ts") < F.lit(HALF).cast("timestamp_ntz")
-    return changes.only_in(e.filter(~old).select("user_id", "event_type").distinct(), e.filter(old), on=["user_id", "event_type"])
+    on = ["user_id", "event_type", "props"]
+    return changes.only_in(e.filter(~old).select(*on).distinct(), e.filter(old), on=on)
 
 
 @query("""

@@ -17,6 +17,7 @@ from driftwake.functions.text import distribution
 
 #: Modules whose distribution has another name. Fixed values.
 OTHER_NAMES = {"yaml": "pyyaml", "PIL": "pillow", "cv2": "opencv-python", "bs4": "beautifulsoup4", "sklearn": "scikit-learn", "dateutil": "python-dateutil", "dotenv": "python-dotenv", "jwt": "pyjwt", "serial": "pyserial", "git": "gitpython"}
+MANIFEST = r"(^|/)(pyproject\.toml|requirements[^/]*\.txt|setup\.cfg|setup\.py|Pipfile|environment\.ya?ml)$"
 NAME = re.compile(r"^\s*([A-Za-z0-9][A-Za-z0-9._-]*)")
 
 
@@ -57,7 +58,7 @@ def names_in(path: str, text: str) -> tuple[list[str], bool]:
 
 def declared(files: DataFrame) -> DataFrame:
     """snapshot, path, name, certain: a row a declared distribution; one with a null name tells of the manifest alone."""
-    found = files.filter(F.col("path").rlike(r"(^|/)(pyproject\.toml|requirements[^/]*\.txt|setup\.cfg|setup\.py|Pipfile|environment\.ya?ml)$")).select("snapshot", "path", "text")
+    found = files.filter(F.col("path").rlike(MANIFEST)).select("snapshot", "path", "text")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -74,25 +75,37 @@ def declared(files: DataFrame) -> DataFrame:
 def third_party(imports: DataFrame, modules: DataFrame) -> DataFrame:
     """imports with root and the distribution it should come from, less the standard library and the project's own."""
     root = F.substring_index("target", ".", 1)
-    own = modules.select(F.substring_index("module", ".", 1).alias("root")).distinct()
-    out = imports.withColumn("root", root).filter(~F.col("root").isin(*sorted(sys.stdlib_module_names))).join(own, "root", "left_anti")
+    keys = [c for c in modules.columns if c != "module"]
+    own = modules.select(*keys, F.substring_index("module", ".", 1).alias("root")).distinct()
+    out = imports.withColumn("root", root).filter(~F.col("root").isin(*sorted(sys.stdlib_module_names)) & ~F.col("root").startswith("_")).join(own, [*keys, "root"], "left_anti")
     name = F.col("root")
     for module, dist in OTHER_NAMES.items():
         name = F.when(F.col("root") == module, dist).otherwise(name)
     return out.withColumn("distribution", distribution(name))
 
 
-def findings(imports: DataFrame, declared_: DataFrame, before: str, after: str) -> DataFrame:
-    """New imports that no manifest declares; dependencies taken out and still imported. Silent where a
-    manifest is not certain, or there is none."""
-    now, old = (declared_.filter(F.col("snapshot") == s) for s in (after, before))
-    sure = now.agg(F.coalesce(F.bool_and("certain"), F.lit(False)).alias("sure"))
-    new = imports.filter(F.col("snapshot") == after).join(imports.filter(F.col("snapshot") == before).select("root").distinct(), "root", "left_anti")
-    missing = new.join(now.select(F.col("name").alias("distribution")), "distribution", "left_anti").crossJoin(F.broadcast(sure)).filter("sure")  # one row
-    lost = old.filter("name IS NOT NULL").select(F.col("name").alias("distribution")).distinct().join(now.select(F.col("name").alias("distribution")), "distribution", "left_anti")
-    still = imports.filter(F.col("snapshot") == after).join(lost, "distribution", "left_semi")
-    cols = lambda df, rule, severity, said: df.groupBy("path", "root").agg(F.min("line").alias("line")).select(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), F.concat("root", F.lit(said)).alias("message"), "path", "line")
-    return cols(missing, "dependency-undeclared", "high", " is imported and no manifest declares it").unionByName(cols(still, "dependency-removed-still-used", "critical", " is no longer declared and still imported"))
+TOOLING = r"(^|/)(tests?|docs?|examples?|scripts?|tools?|benchmarks?)/|(^|/)(conftest|setup|noxfile|tasks)\.py$"
+
+
+def findings(imports: DataFrame, declared_: DataFrame) -> DataFrame:
+    """U6 and U7, of each pair: new imports that no manifest declares (medium if only tooling needs them); dependencies taken
+    out and still imported. Silent where a manifest is not certain, or there is none.
+
+    imports(pair, side, path, line, root, distribution), declared_(pair, side, name, certain)."""
+    now, old = (declared_.filter(F.col("side") == s) for s in ("after", "before"))
+    sure = now.groupBy("pair").agg(F.bool_and("certain").alias("sure")).filter("sure").select("pair")
+    here, there = (imports.filter(F.col("side") == s) for s in ("after", "before"))
+    named = now.filter("name IS NOT NULL").select("pair", F.col("name").alias("distribution")).distinct()
+    new = here.join(there.select("pair", "root").distinct(), ["pair", "root"], "left_anti")
+    # A distribution may be named like a part of its module, or the other way round; manifests are short
+    missing = new.join(named, ["pair", "distribution"], "left_anti").join(sure, "pair", "left_semi")
+    near = named.withColumnRenamed("distribution", "listed")
+    missing = missing.join(near, (missing["pair"] == near["pair"]) & (F.col("listed").startswith(F.concat("distribution", F.lit("-"))) | F.col("distribution").startswith(F.concat("listed", F.lit("-")))), "left_anti")
+    lost = old.filter("name IS NOT NULL").select("pair", F.col("name").alias("distribution")).distinct().join(named, ["pair", "distribution"], "left_anti").join(sure, "pair", "left_semi")
+    still = here.join(lost, ["pair", "distribution"], "left_semi")
+    cols = lambda df, rule, severity, said: df.groupBy("pair", "path", "root").agg(F.min("line").alias("line")).select("pair", F.lit(rule).alias("rule"), severity.alias("severity"), F.concat("root", F.lit(said)).alias("message"), "path", "line")
+    undeclared = cols(missing, "dependency-undeclared", F.when(F.col("path").rlike(TOOLING), "medium").otherwise("high"), " is imported and no manifest declares it")
+    return undeclared.unionByName(cols(still, "dependency-removed-still-used", F.lit("critical"), " is no longer declared and still imported"))
 
 
 def settings(text: str, table: str = "driftwake") -> dict:

@@ -53,23 +53,41 @@ def debounced(stream: DataFrame, key: str, ts: str, rest: str) -> DataFrame:
     return s.select(key, "first", "last", "n")
 
 
-def admitted(stream: DataFrame, key: str, ts: str, most: int, seconds: int) -> DataFrame:
+def throttled(stream: DataFrame, key: str, ts: str, settle: str, every: str) -> DataFrame:
+    """T4. Bursts that have settled, at most one a period: key, period, first, last, n. Events closer than `settle` are one burst;
+    of a key's bursts that end in the same period of length `every`, the last is shared, with all their events counted. The
+    watermark lets go of a period once it can get no more, so state doesn't grow with the stream."""
+    bursts = stream.withWatermark(ts, every).groupBy(key, F.session_window(ts, settle).alias("_s")).agg(F.min(ts).alias("first"), F.max(ts).alias("last"), F.count("*").alias("n"))
+    return bursts.groupBy(key, F.window(F.window_time("_s"), every).alias("_w")).agg(F.max("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n")).select(key, F.col("_w.start").alias("period"), "first", "last", "n")
+
+
+def admitted(stream: DataFrame, key: str, ts: str, most: int, seconds: int, idle: bool = False) -> DataFrame:
     """T5, exactly: an event is admitted if fewer than `most` admitted ones of its key lie in the trailing window.
 
-    The state of a key is the times of its last admitted events in the window, `most` at most."""
+    The state of a key is the times of its last admitted events in the window, `most` at most. With `idle`, a key whose last one
+    is out of the window is forgotten (the stream then needs event times with a zone, and a watermark is set on them); that
+    changes no answer, as a forgotten key has no event in the window."""
+    if idle:
+        stream = stream.withWatermark(ts, f"{seconds} seconds")
     schema = stream.schema
 
     def step(k: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if idle and state.hasTimedOut:
+            state.remove()
+            return
         times = list(state.get[0]) if state.exists else []
-        for part in [pd.concat(list(parts))]:
-            part = part.sort_values([ts, *[c for c in part.columns if c != ts]], kind="stable")
-            keep = []
-            for t in part[ts].map(lambda x: pd.Timestamp(x).timestamp()):
-                times = [x for x in times if x > t - seconds]
-                keep.append(len(times) < most)
-                if keep[-1]:
-                    times.append(t)
-            yield part[keep]
-        state.update((times[-most:],))
-
-    return stream.groupBy(key).applyInPandasWithState(step, schema, "times array<double>", "append", "NoTimeout")
+        part = pd.concat(list(parts))  # the new events of one key in one batch, which files a trigger bound
+        part = part.sort_values([ts, *[c for c in part.columns if c != ts]], kind="stable")
+        keep, at = [], 0
+        for t in (part[ts].astype("int64") / 10 ** {"s": 0, "ms": 3, "us": 6, "ns": 9}[part[ts].dt.unit]).tolist():
+            while at < len(times) and times[at] <= t - seconds:  # times are in order: what is out of the window stays out
+                at += 1
+            keep.append(len(times) - at < most)
+            if keep[-1]:
+                times.append(t)
+        state.update((times[at:][-most:],))
+        if idle and times:
+            state.setTimeoutTimestamp(max(int(times[-1] * 1000) + seconds * 1000, state.getCurrentWatermarkMs() + 1))
+        yield part[keep]
+
+    return stream.groupBy(key).applyInPandasWithState(step, schema, "times array<double>", "append", "EventTimeTimeout" if idle else "NoTimeout")

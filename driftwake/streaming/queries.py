@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from driftwake.operators.graph import shared_folder
 from driftwake.streaming import feed
@@ -29,9 +30,26 @@ def t5_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feed.run_to_end(feed.admitted(s, "user_id", "ts", 3, 86400), _home(spark))
 
 
-QUERIES = {"t1_stream_latest": t1_stream_latest, "t3_debounce": t3_debounce, "t5_rate_limit": t5_rate_limit}
+def t4_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bursts of a day that can get no more events; the last day of each key may be open, so days are those before the end."""
+    s = feed.arrivals(spark, f"{sf_dir}/events.parquet").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    out = feed.run_to_end(feed.throttled(s, "user_id", "ts", "1 hour", "1 day"), _home(spark))
+    return out.filter("period < TIMESTAMP '2024-01-20'").select("user_id", F.col("period").cast("timestamp_ntz").alias("period"), "n")
+
+
+QUERIES = {"t4_throttle": t4_throttle, "t1_stream_latest": t1_stream_latest, "t3_debounce": t3_debounce, "t5_rate_limit": t5_rate_limit}
 
 ORACLE = {
+    "t5_rate_limit": """
+WITH RECURSIVE e AS (SELECT user_id, ts, event_id, epoch(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+r(user_id, n, kept, ok) AS (
+  SELECT user_id, n, [t], true FROM e WHERE n = 1
+  UNION ALL
+  SELECT e.user_id, e.n, CASE WHEN len(list_filter(kept, lambda x: x > e.t - 86400)) < 3 THEN list_append(list_filter(kept, lambda x: x > e.t - 86400), e.t) ELSE list_filter(kept, lambda x: x > e.t - 86400) END,
+    len(list_filter(kept, lambda x: x > e.t - 86400)) < 3
+  FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1)
+SELECT e.user_id, ts, event_id FROM r JOIN e USING (user_id, n) WHERE ok
+""",
     "t1_stream_latest": "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1",
     "t3_debounce": """
 WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),

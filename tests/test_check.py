@@ -67,9 +67,7 @@ def test_marks_settings(spark):
 THREADS = "import threading\nclass C:\n    def go(self):\n        threading.Thread(target=self.a).start()\n        threading.Thread(target=self.b).start()\n    def a(self):\n        self.n += 1\n    def b(self):\n        return self.n\n"
 
 
-@pytest.mark.parametrize(
-    ("text", "rules"),
-    [
+FILE_CASES = [
         ("def f(x):\n    assert (x, 'no')\n", {"assert-on-tuple"}), ("def f(x):\n    assert (), x\n", set()),
         ("try:\n    pass\nexcept:\n    raise\n", {"bare-except"}), ("def f(x):\n    return x == None\n", {"compare-to-none"}), ("def f(x):\n    return None == x\n", set()),
         ("def f():\n    return 1\n    g = 2\n", {"unreachable-code"}), ("def f():\n    return\n    yield\n", set()),
@@ -78,17 +76,159 @@ THREADS = "import threading\nclass C:\n    def go(self):\n        threading.Thre
         ("def f():\n    breakpoint()\n", {"debug-leftover"}), ("def f(a=dict()):\n    return a\n", {"mutable-default-argument"}), ("x = nope\n", {"undefined-name"}),
         ("def f(d):\n    return d.replace(year=d.year + 1)\n", {"leap-day-date"}), ("def f(d):\n    return d.replace(year=d.year + 4)\n", set()),
         ("from datetime import date\ndef f(d):\n    return date(d.year - 1, d.month, d.day)\n", {"leap-day-date"}), ("def f(d):\n    try:\n        return d.replace(year=d.year + 1)\n    except ValueError:\n        return d\n", set()),
-        ("import re\nP = re.compile(r'(a+)+$')\n", {"regex-catastrophic-backtracking"}), ("import re\nP = re.compile(r'.*.*.*=.*')\n", {"regex-catastrophic-backtracking"}),
+        ("import re\nP = re.compile(r'(a+)+$')\n", {"regex-catastrophic-backtracking"}), ("import re\nP = re.compile(r'(a+)+')\n", set()), ("import re\nP = re.compile(r'(\\w+\\s?)*$')\n", {"regex-catastrophic-backtracking"}), ("import re\nP = re.compile(r'.*.*.*=.*')\n", {"regex-catastrophic-backtracking"}),
         ("import re\nP = re.compile(r'(\\w+,)+x')\n", set()), ("import re\nP = re.compile(r'[a-z]+\\d+[a-z]+$')\n", set()),
         (THREADS, {"unsynchronized-shared-state"}), (THREADS.replace("self.n += 1", "with self.lock:\n            self.n += 1").replace("return self.n", "with self.lock:\n            return self.n"), set()),
- ("from m import *\nx = nope\n", set()),
-    ],
-)
-def test_file_rules_fire_and_stay_quiet(text, rules):
-    import json
-
-    got = {json.loads(d)["rule"] for f, d in facts.read_facts("m.py", text) if f == "finding"}
-    assert got == rules
+        ("def f(d, n=28):\n    try:\n        return d.replace(year=d.year + 1)\n    except KeyError:\n        return d\n", {"leap-day-date"}),
+        ("def f(order):\n    while order.filled < order.qty:\n        abs(order.symbol)\n", {"loop-without-progress"}), ("def f(order):\n    while order.filled < order.qty:\n        order.filled += abs(order.symbol)\n", set()),
+        ("def f(days: int, leap):\n    while days > 365:\n        if leap:\n            if days > 366:\n                days -= 366\n        else:\n            days -= 365\n", set()),
+        ("def f(days: int):\n    year = 1980\n    while days > 365:\n        if bool(year):\n            if days > 366:\n                days -= 366\n                year += 1\n        else:\n            days -= 365\n            year += 1\n", {"loop-without-progress"}),
+        ("def f(items):\n    while items:\n        items.pop()\n", set()), ("def f(it):\n    while it:\n        yield it\n", set()), ("def f(n: int):\n    while n > 10:\n        if n < 5:\n            pass\n        else:\n            n -= 1\n", set()),
+        ("class C:\n    def get(self, key):\n        return self.get(key)\n", {"recursive-cycle"}), ("def fact(n):\n    if n <= 1:\n        return 1\n    return n * fact(n - 1)\n", set()), ("class C:\n    @property\n    def name(self):\n        return self.name\n", {"recursive-cycle"}),
+        ("import threading\nclass C:\n    def go(self, xs):\n        for x in xs:\n            threading.Thread(target=self.work).start()\n    def work(self):\n        self.n += 1\n", {"unsynchronized-shared-state"}),
+        ("import threading\nclass C:\n    def go(self, xs):\n        for x in xs:\n            t = threading.Thread(target=self.work)\n            t.start()\n            t.join()\n    def work(self):\n        self.n += 1\n", set()),
+        ("def f():\n    x = lambda y: y + len([z for z in y])\n    return x\n", set()), ("def f(a):\n    return [b for b in a if c]\n", {"undefined-name"}), ("print 'old'\nx = nope\n", {"debug-leftover"}),
+        ("from __future__ import annotations\ndef f(a: Later) -> Other:\n    return a\n", set()), ("class C:\n    y = 1\n    z = [1 for _ in range(y)]\n    w = __name__\n", set()),
+        ("from m import *\nx = nope\n", set()),
+]
+
+
+@pytest.fixture(scope="module")
+def single(spark):
+    """What rules say of each file alone, wherever in it."""
+    from driftwake.rules import registry
+
+    pairs = spark.createDataFrame([("", "before", "after")], "pair string, before string, after string")
+    ctx = check.Context(files.in_memory(spark, {"after": {f"pkg{i}/m.py": t for i, (t, _) in enumerate(FILE_CASES)}}), pairs)
+    of_files, of_changes, failed = registry.run(ctx)
+    assert failed == []
+    out = {}
+    for r in of_files.unionByName(of_changes).collect():
+        out.setdefault(r.path, set()).add(r.rule)
+    return out
+
+
+@pytest.mark.parametrize("i", range(len(FILE_CASES)))
+def test_file_rules_fire_and_stay_quiet(single, i):
+    text, rules = FILE_CASES[i]
+    assert single.get(f"pkg{i}/m.py", set()) == rules, text
+
+
+def test_a_rule_that_raises_costs_itself_alone(spark, monkeypatch):
+    from driftwake.rules import deep, registry
+
+    rules = dict(registry.RULES)
+
+    @registry.change_rule("broken", "low", into=rules)
+    def broken(ctx):
+        return ctx.no_such_table
+
+    monkeypatch.setattr(facts.Reader, "marks", facts.Reader.marks)
+    report = check.check(files.in_memory(spark, {"before": BEFORE, "after": AFTER}), rules=rules)
+    assert [(e.rule, e.path) for e in report.errors.filter("rule IS NOT NULL").collect()] == [("broken", None)]
+    assert {r.rule for r in report.findings.collect()} >= {"signature-break"}
+
+    def boom(reader):
+        raise ValueError("no")
+
+    monkeypatch.setitem(deep.RULES, "leap-day-date", boom)
+    told = [f for f, _ in facts.read_facts("m.py", "def f(x=[]):\n    return x\n")]
+    assert told.count("error") == 1 and "def" in told and "node" in told
+
+
+def test_registry_refuses_odd_rules():
+    from driftwake.rules import registry
+
+    with pytest.raises(ValueError):
+        registry.rule("x", "fatal", into={})
+    with pytest.raises(ValueError):
+        registry.rule("bare-except", "low")
+
+
+def test_a_file_that_can_no_longer_be_read_removes_nothing(spark):
+    before = {"a.py": "def f():\n    return 1\n", "b.py": "from a import f\n\ndef g():\n    return f()\n"}
+    r = check.check(files.in_memory(spark, {"before": before, "after": before | {"a.py": "def f(:\n"}}))
+    assert r.findings.collect() == [] and [e.path for e in r.errors.collect()] == ["a.py"] and r.changes.collect() == []
+
+
+WEB = """import os, subprocess
+from flask import Flask, request
+app = Flask(__name__)
+
+def run(cmd):
+    return subprocess.run(cmd, shell=True)
+
+def build(name):
+    return "ls " + name
+
+def given():
+    return request.args["q"]
+
+class Runner:
+    def __init__(self, cmd):
+        os.system(cmd)
+
+@app.route("/")
+def far():
+    return run(build(request.args["n"]))
+
+@app.route("/g")
+def handed():
+    Runner(given())
+
+@app.route("/<name>")
+def near(name):
+    os.system(name)
+
+@app.route("/ok")
+def fine():
+    n = int(request.args["n"])
+    if request.args["v"] in ("a", "b"):
+        pass
+    v = request.args["v"]
+    if not v.isalnum():
+        raise ValueError(v)
+    os.system("sleep %d %s" % (n, v))
+
+def plain(name):
+    os.system(name)
+"""
+
+
+def test_input_reaches_sinks_across_functions(spark):
+    r = check.check(files.in_memory(spark, {"before": {}, "after": {"app.py": WEB}}))
+    got = {(x.line, x.severity): x.message for x in r.findings.filter("rule = 'unvalidated-input-reaches-sink'").collect()}
+    assert set(got) == {(6, "critical"), (16, "critical"), (28, "critical")}
+    assert "far() hands it to app.run()" in got[6, "critical"]
+    same = check.check(files.in_memory(spark, {"before": {"app.py": WEB}, "after": {"app.py": WEB + "\ndef more():\n    return 1\n"}}))
+    assert not [x for x in same.findings.collect() if x.rule == "unvalidated-input-reaches-sink"]
+
+
+def test_costs_that_grew(spark):
+    before = "def has(xs, y):\n    return y in xs\n\ndef work(xs):\n    for x in xs:\n        pass\n\ndef other(xs):\n    for x in xs:\n        work(x)\n"
+    after = before.replace("        pass", "        for y in xs:\n            pass")
+    r = check.check(files.in_memory(spark, {"before": {"m.py": before}, "after": {"m.py": after}}))
+    assert [(x.rule, x.severity, x.message) for x in r.findings.collect()] == [("complexity-regression", "medium", "m.work went from O(n) to O(n^2)")]
+
+
+def test_partners_in_the_history(spark):
+    history = spark.createDataFrame([(f"c{i}", p) for i in range(5) for p in ("schema.py", "parser.py")] + [("x", "other.py")], "commit string, path string")
+    texts = {"schema.py": "X = 1\n", "parser.py": "Y = 1\n", "other.py": "Z = 1\n"}
+    r = check.check(files.in_memory(spark, {"before": texts, "after": texts | {"schema.py": "X = 2\n"}}), history=history)
+    assert [(x.rule, x.severity, x.path) for x in r.findings.collect()] == [("co-change", "medium", "schema.py")]
+    both = check.check(files.in_memory(spark, {"before": texts, "after": texts | {"schema.py": "X = 2\n", "parser.py": "Y = 2\n"}}), history=history)
+    assert both.findings.collect() == []
+
+
+def test_circles_of_calls(spark):
+    ab = "def a(x):\n    return b(x)\n\n\ndef b(x):\n    return x + 1\n"
+    closed = ab.replace("return x + 1", "return a(x) + 1")
+    r = check.check(files.in_memory(spark, {"before": {"m.py": ab}, "after": {"m.py": closed}}))
+    assert [(x.rule, x.message) for x in r.findings.collect()] == [("recursive-cycle", "these call each other: m.a -> m.b -> m.a")]
+    bounded = ab.replace("(x)", "(x, depth)"), closed.replace("(x)", "(x, depth)")
+    assert check.check(files.in_memory(spark, {"before": {"m.py": bounded[0]}, "after": {"m.py": bounded[1]}})).findings.collect() == []
+    walker = "def walk(node):\n    for child in node.children:\n        visit(child)\n\n\ndef visit(node):\n    return node.name\n"
+    assert check.check(files.in_memory(spark, {"before": {"m.py": walker}, "after": {"m.py": walker.replace("return node.name", "return walk(node.body)")}})).findings.collect() == []
 
 
 def test_cycles_duplicates_values_and_unreferenced(spark):

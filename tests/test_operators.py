@@ -95,17 +95,60 @@ def test_cycles_and_reach(spark):
     assert rows(graph.reach(e, start, 1, backward=True)) == [(3, 1), (4, 0), (5, 1)]
 
 
-def test_similar_pairs_equal_brute_force(spark):
+def test_similar_classes_equal_brute_force(spark, monkeypatch):
     rng = random.Random(1)
     base = [rng.sample(range(60), 20) for _ in range(6)]
     sets = [(i, sorted(set(rng.choice(base)) ^ set(rng.sample(range(60), rng.randrange(4))))) for i in range(60)] + [(100, []), (101, [1])]
-    want = []
-    for (a, x), (b, y) in itertools.combinations(sets, 2):
-        x, y = set(x), set(y)
-        if x and y and len(x & y) / len(x | y) >= 0.8:
-            want.append((a, b, round(len(x & y) / len(x | y), 9)))
-    got = mining.similar_pairs(spark.createDataFrame(sets, "k int, s array<int>"), "k", "s", 0.8)
-    assert sorted((r.a, r.b, round(r.similarity, 9)) for r in got.collect()) == want
+    data = spark.createDataFrame([(i % 2, i, s) for i, s in sets], "g int, k int, s array<int>")
+    for heavy in (mining.HEAVY, 1):
+        monkeypatch.setattr(mining, "HEAVY", heavy)
+        for by in ([], ["g"]):
+            classes, links = mining.similar_classes(data, "k", "s", 0.8, by=by)
+            of = {r.key: r["class"] for r in classes.collect()}
+            want = {}
+            for i, x in sets:
+                if x:
+                    want.setdefault((i % 2 if by else 0, tuple(x)), i)
+            assert of == {i: want[i % 2 if by else 0, tuple(x)] for i, x in sets if x}
+            pairs = []
+            for (a, x), (b, y) in itertools.combinations([(i, set(x)) for (_, x), i in want.items()], 2):
+                if len(x & y) / len(x | y) >= 0.8 and (not by or a % 2 == b % 2):
+                    pairs.append((min(a, b), max(a, b), round(len(x & y) / len(x | y), 9)))
+            assert sorted((r.a, r.b, round(r.similarity, 9)) for r in links.collect()) == sorted(pairs)
+
+
+def test_uncovered_by_group(spark):
+    members = spark.createDataFrame([("e", "a", False), ("e", "b", False), ("e", "c", True), ("e", "d", True), ("f", "x", False), ("f", "y", True)], "g string, m string, new boolean")
+    covered = spark.createDataFrame([("e", 1, "a"), ("e", 1, "b"), ("e", 2, "a"), ("e", 3, "a"), ("e", 3, "b"), ("e", 3, "c"), ("e", 4, "a"), ("e", 4, "b"), ("e", 4, "c"), ("e", 4, "d"), ("f", 5, "x")], "g string, h int, m string")
+    got = mining.uncovered(members, covered, "h", "m", F.col("new"), by=["g"]).collect()
+    assert sorted((r.g, r.h, r.missing) for r in got) == [("e", 1, ["c", "d"]), ("e", 3, ["d"]), ("f", 5, ["y"])]
+
+
+def test_shortest_rings(spark):
+    e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("b", "a"), ("d", "e"), ("e", "f"), ("f", "d"), ("x", "y")], "src string, dst string")
+    got = {r.node: r.ring for r in graph.shortest_rings(e, spark.createDataFrame([("a",), ("c",), ("d",), ("x",)], "node string")).collect()}
+    assert got == {"a": ["a", "b", "a"], "c": ["c", "a", "b", "c"], "d": ["d", "e", "f", "d"], "x": None}
+
+
+def test_cycles_on_random_graphs(spark):
+    rng = random.Random(11)
+    edges = [(rng.randrange(120), rng.randrange(120)) for _ in range(150)] + [(200 + i, 200 + (i + 1) % 30) for i in range(30)]
+    far = {}
+    for n in {x for e in edges for x in e}:
+        seen, stack = set(), [n]
+        while stack:
+            x = stack.pop()
+            for a, b in edges:
+                if a == x and b not in seen:
+                    seen.add(b)
+                    stack.append(b)
+        far[n] = seen
+    want = {}
+    for n in far:
+        group = {m for m in far if m in far[n] and n in far[m]}
+        if len(group | {n}) > 1:
+            want[n] = min(group | {n})
+    assert {r.node: r.component for r in graph.cycles(spark.createDataFrame(edges, "src int, dst int")).collect()} == want
 
 
 def test_baskets_leave_sweeps_out(spark):
