@@ -40,6 +40,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def cut_in_loop(df: DataFrame) -> DataFrame:
+    """cut, for loops. A cut table passes on the optimizer's guess of its size, which each join squares; after some dozen
+    rounds that number alone has more digits than can be worked with. Here the guess is forgotten."""
+    spark, done = df.sparkSession, cut(df)._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(done.queryExecution().toRdd(), done.schema(), False), spark)
+
+
 def written(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
     """df as a Parquet table in the shared folder, for what is too large to keep uncompressed, and a call that
     deletes it, once nothing that is still to run reads it."""
@@ -64,10 +71,9 @@ def joined_to_one(rows: DataFrame, one: DataFrame, on: list[str], n: str, total:
     most = max(CROWD, total // 10_000)
     if total <= most:
         return rows.join(one.drop(n), on)
-    heavy = cut(one.filter(F.col(n) > most).drop(n))
-    if not heavy.head(1):
+    if (one.agg(F.max(n)).head()[0] or 0) <= most:
         return rows.join(one.drop(n), on)
-    heavy = F.broadcast(heavy)
+    heavy = F.broadcast(cut(one.filter(F.col(n) > most).drop(n)))
     light = rows.join(heavy.select(*on), on, "left_anti").join(one.filter(F.col(n) <= most).drop(n), on)
     return light.unionByName(rows.join(heavy, on))
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftwake.llm.common import CROWD, cut, joined_to_one
+from driftwake.llm.common import cut_in_loop, joined_to_one
 
 ROUNDS = 60
 
@@ -17,7 +17,7 @@ ROUNDS = 60
 def roots(edges: DataFrame) -> DataFrame:
     """edges(a, b), of any type with an order -> (node, root): the least node that each node of an edge reaches, itself
     included. Nodes with very many neighbours get their least one by a broadcast (see joined_to_one)."""
-    now = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    now = cut_in_loop(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = None
     for _ in range(ROUNDS):
         seen = now.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long")), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).head()
@@ -26,12 +26,11 @@ def roots(edges: DataFrame) -> DataFrame:
         mark, total = tuple(seen), 2 * seen[0]
         # large star: each node's larger neighbours go to the least of its neighbours and itself
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n"))
+        least = cut_in_loop(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n")))
         large = joined_to_one(both.filter("b > a"), least, ["a"], "n", total).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        if total > CROWD:
-            large = cut(large)
+        large = cut_in_loop(large)
         # small star: each node's smaller neighbours, and it, go to the least of them
-        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        least = cut_in_loop(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")))
         small = joined_to_one(large, least, ["a"], "n", total).filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = cut(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
+        now = cut_in_loop(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
     raise RuntimeError(f"components did not settle in {ROUNDS} rounds")

@@ -3,7 +3,7 @@
 A document is the average of learned vectors: one a word, one a pair of neighbouring words, and one a character n-gram of a
 word, hashed to a fixed number of buckets; a softmax over that average gives the label. Vectors and output are trained
 together by stochastic gradient descent in numpy, on a bounded sample of labelled rows (SAMPLE_ROWS, SAMPLE_BYTES; taken
-in the order of a hash of the id, so alike at every size). Scoring is linear in the vectors, so each bucket shrinks to
+in the order of a hash of the id, so alike at every size) by one task of an executor. Scoring is linear in the vectors, so each bucket shrinks to
 one number: what is sent to the executors is one float a bucket, and every document is scored by whole text.
 
 Edge cases: a null text is empty; an empty text gets the score of no features; if the learnable labels lack a class,
@@ -189,8 +189,18 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str
         return Model(None, 1.0)
     spark = docs.sparkSession
     ids = spark.createDataFrame(chosen, "id long, y int")
-    rows = texts.join(F.broadcast(ids), "id").collect()  # at most SAMPLE_BYTES of text
-    return train([(r["text"], r["y"]) for r in sorted(rows, key=lambda r: (r["id"], r["text"] or ""))])
+    sample = texts.join(F.broadcast(ids), "id").select("id", "y", "text").repartition(1)  # at most SAMPLE_BYTES of text
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))]
+        if rows:
+            model = train([(t, y) for _, y, t in sorted(rows, key=lambda r: (r[0], r[2] or ""))])
+            yield pa.RecordBatch.from_arrays([pa.array([None if model.weights is None else model.weights.tobytes()], pa.binary()), pa.array([model.bias])], names=["weights", "bias"])
+
+    found = sample.mapInArrow(learn, "weights binary, bias double").head()  # one number a bucket
+    if found is None:
+        return Model(None, 1.0)
+    return Model(None if found["weights"] is None else np.frombuffer(found["weights"], np.float32), found["bias"])
 
 
 def score(docs: DataFrame, model: Model, columns: list[str], text_col: str = "text", name: str = "score") -> DataFrame:

@@ -126,7 +126,6 @@ def test_hubs_are_split(spark, monkeypatch):
     from driftwake.llm import common, components
 
     monkeypatch.setattr(common, "CROWD", 20)
-    monkeypatch.setattr(components, "CROWD", 20)
     edges = [(0, i) for i in range(1, 300)] + [(500, i) for i in range(501, 800)] + [(299, 800), (799, 801)]
     got = {r.node: r.root for r in components.roots(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in [*range(300), 800]} | {i: 500 for i in [*range(500, 800), 801]}
