@@ -30,6 +30,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def cut_in_loop(df: DataFrame) -> DataFrame:
+    """cut, for loops. A cut table passes on the optimizer's guess of its size, which each join squares; after some dozen
+    rounds that number alone has more digits than can be worked with. Here the guess is forgotten."""
+    spark, done = df.sparkSession, cut(df)._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(done.queryExecution().toRdd(), done.schema(), False), spark)
+
+
 def propagate(edges: DataFrame, seeds: DataFrame, changed: DataFrame | None = None, threshold: float = THRESHOLD, hops: int = MAX_HOPS) -> DataFrame:
     """G1. node, hops, score: the best product of step weights along any chain of at most `hops` edges against their
     direction, from a seed's score. edges(src, dst, weight); seeds(node, score). Changed nodes (the seeds, if not given)
@@ -61,15 +68,15 @@ def reach(edges: DataFrame, start: DataFrame, hops: int | None = None, backward:
     distance, or to `hops`. Each round joins only what the last one found, less what is known."""
     a, b = ("dst", "src") if backward else ("src", "dst")
     steps = edges.select(F.col(a).alias("node"), F.col(b).alias("next")).distinct()
-    known = cut(start.select("node").distinct().withColumn("hops", F.lit(0)))
+    known = cut_in_loop(start.select("node").distinct().withColumn("hops", F.lit(0)))
     front, hop = known, 0
     while hops is None or hop < hops:
         hop += 1
         new = front.join(steps, "node").select(F.col("next").alias("node")).distinct().join(known, "node", "left_anti")
-        front = cut(new.withColumn("hops", F.lit(hop)))
+        front = cut_in_loop(new.withColumn("hops", F.lit(hop)))
         if not front.head(1):
             break
-        known = cut(known.unionByName(front)) if hop % 5 == 0 else known.unionByName(front)
+        known = cut_in_loop(known.unionByName(front)) if hop % 5 == 0 else known.unionByName(front)
     return known
 
 
@@ -79,7 +86,7 @@ def trimmed(edges: DataFrame) -> DataFrame:
     while True:
         for _ in range(4):
             now = now.join(now.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(now.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
-        now = cut(now)
+        now = cut_in_loop(now)
         n = now.count()
         if n in (0, size):
             return now
@@ -93,7 +100,7 @@ def spread(colours: DataFrame, steps: DataFrame) -> DataFrame:
         for _ in range(3):
             come = steps.join(now.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node"), "colour")
             now = now.unionByName(come).groupBy("node").agg(F.min("colour").alias("colour"))
-        now = cut(now)
+        now = cut_in_loop(now)
         if not now.join(colours.withColumnRenamed("colour", "was"), "node").filter("colour <> was").head(1):
             return now
         colours = now
@@ -106,19 +113,19 @@ def cycles(edges: DataFrame) -> DataFrame:
     colour, what reaches the node of that name back is its component. Edges between colours lie on no cycle and go. Nothing
     but edges and one row a node is ever held, whatever the components' sizes."""
     now = edges.filter("src <> dst").select("src", "dst").distinct()
-    now = trimmed(cut(now))
+    now = trimmed(cut_in_loop(now))
     out = None
     while now.head(1):
         nodes = now.select(F.col("src").alias("node")).unionByName(now.select(F.col("dst").alias("node"))).distinct()
         colours = spread(nodes.withColumn("colour", F.col("node")), now)
         one, two = colours.select(F.col("node").alias("src"), F.col("colour").alias("c")), colours.select(F.col("node").alias("dst"), F.col("colour").alias("d"))
-        inside = cut(now.join(one, "src").join(two, "dst").filter("c = d").select("src", "dst", F.col("c").alias("colour")))
+        inside = cut_in_loop(now.join(one, "src").join(two, "dst").filter("c = d").select("src", "dst", F.col("c").alias("colour")))
         back = reach_within(inside, colours.filter("node = colour"))
         sizes = back.groupBy("colour").agg(F.count("*").alias("n")).filter("n > 1").select("colour")
         found = back.join(sizes, "colour", "left_semi").select("node", F.col("colour").alias("component"))
         out = found if out is None else out.unionByName(found)
         rest = inside.join(back.select(F.col("node").alias("src")), "src", "left_anti").join(back.select(F.col("node").alias("dst")), "dst", "left_anti")
-        now = trimmed(cut(rest.select("src", "dst")))
+        now = trimmed(cut_in_loop(rest.select("src", "dst")))
     if out is None:
         return now.select(F.col("src").alias("node"), F.col("dst").alias("component"))
     return out
@@ -126,17 +133,17 @@ def cycles(edges: DataFrame) -> DataFrame:
 
 def reach_within(edges: DataFrame, start: DataFrame) -> DataFrame:
     """edges(src, dst, colour), start(node, colour) -> all nodes that reach start's of their colour, itself included."""
-    known = front = cut(start.select("node", "colour"))
+    known = front = cut_in_loop(start.select("node", "colour"))
     while True:
         new = front
         steps = None
         for _ in range(3):
             new = edges.join(new.withColumnRenamed("node", "dst"), ["dst", "colour"]).select(F.col("src").alias("node"), "colour").distinct()
             steps = new if steps is None else steps.unionByName(new)
-        front = cut(steps.distinct().join(known, ["node", "colour"], "left_anti"))
+        front = cut_in_loop(steps.distinct().join(known, ["node", "colour"], "left_anti"))
         if not front.head(1):
             return known
-        known = cut(known.unionByName(front))
+        known = cut_in_loop(known.unionByName(front))
 
 
 def shortest_rings(edges: DataFrame, start: DataFrame, hops: int = 8) -> DataFrame:
@@ -152,7 +159,7 @@ def shortest_rings(edges: DataFrame, start: DataFrame, hops: int = 8) -> DataFra
         found = closed if found is None else found.unionByName(closed)
         walk = walk.filter("at <> node")
         if hop % 3 == 2:
-            walk = cut(walk)
+            walk = cut_in_loop(walk)
     best = found.groupBy("node").agg(F.min_by("ring", "hop").alias("ring"))
     return start.select("node").distinct().join(best, "node", "left")
 
@@ -162,11 +169,11 @@ def communities(edges: DataFrame, rounds: int = 30) -> DataFrame:
     takes the label of the greatest weight round it, ties to the smaller. (An asynchronous order is not reproducible in
     parallel; this is the defined form here.) It ends when no label changes, or after so many rounds."""
     both = edges.select("src", "dst", "weight").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")).filter("src <> dst").groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
-    both = cut(both)
+    both = cut_in_loop(both)
     labels = both.select(F.col("src").alias("node")).distinct().withColumn("label", F.col("node"))
     for _ in range(rounds):
         votes = both.join(labels.withColumnRenamed("node", "dst"), "dst").groupBy("src", "label").agg(F.sum("weight").alias("w"))
-        was, labels = labels, cut(votes.groupBy(F.col("src").alias("node")).agg(F.min_by("label", F.struct(-F.col("w"), F.col("label"))).alias("label")))
+        was, labels = labels, cut_in_loop(votes.groupBy(F.col("src").alias("node")).agg(F.min_by("label", F.struct(-F.col("w"), F.col("label"))).alias("label")))
         if not labels.join(was.withColumnRenamed("label", "was"), "node").filter("label <> was").head(1):
             break
     return labels
