@@ -30,6 +30,14 @@ def snapshot_diff(before: DataFrame, after: DataFrame, key: str | Sequence[str],
     return out.select(*(F.coalesce(F.col(f"b.{k}"), F.col(f"a.{k}")).alias(k) for k in keys), kind.alias("kind"), *sides).filter("kind IS NOT NULL")
 
 
+LIVE = ("added", "body", "signature", "value", "renamed")
+
+
+def live(changes: DataFrame) -> DataFrame:
+    """P10. Changes of things that are there."""
+    return changes.filter(F.col("kind").isin(*LIVE))
+
+
 def last_wins(rows: DataFrame, key: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """W1. The last row of each key in the given order."""
     w = Window.partitionBy(*key).orderBy(*order)

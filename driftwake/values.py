@@ -35,3 +35,59 @@ SUFFIXES = {
 SEEDS = {"removed": 1.0, "renamed": 1.0, "signature": 0.95, "value": 0.8, "body": 0.6}
 STEPS = {"calls": 0.9, "reads": 0.85}
 GUESS, THRESHOLD, MAX_HOPS = 0.5, 0.1, 6
+
+#: Fixed values. Modules that newer Python versions no longer have.
+REMOVED_MODULES = (
+    "imp|distutils|asyncore|asynchat|smtpd|cgi|cgitb|crypt|imghdr|pipes|"
+    "telnetlib|nntplib|audioop|uu|xdrlib|msilib|nis|ossaudiodev|spwd|sndhdr|"
+    "sunau|chunk|mailcap|lib2to3"
+)
+
+#: Fixed values. Old constructs: (language, id, level, pattern). All ignore case in Fortran and COBOL.
+LEGACY = (
+    ("python", "py-removed-module", "removed", rf"^[ \t]*(?:import|from)\s+({REMOVED_MODULES})\b"),
+    ("python", "py-collections-abc", "removed", r"\bcollections\.(Mapping|MutableMapping|Sequence|MutableSequence|Set|MutableSet|Iterable|Iterator|Callable|Hashable|Sized|Container)\b"),
+    ("python", "py-utcnow", "deprecated", r"\bdatetime\.utcnow\s*\(|\butcnow\s*\(\)"),
+    ("c", "c-gets", "removed", r"\bgets\s*\("),
+    ("c", "c-unbounded-copy", "unsafe", r"\b(strcpy|strcat|sprintf|vsprintf)\s*\("),
+    ("c", "c-register", "obsolescent", r"\bregister\s+(?=\w)"),
+    ("cpp", "cpp-prestandard-header", "removed", r"#\s*include\s*<(iostream|fstream|iomanip|strstream|stream)\.h>"),
+    ("cpp", "cpp-auto-ptr", "removed", r"\bstd::auto_ptr\b|\bauto_ptr\s*<"),
+    ("cpp", "cpp-dynamic-exception-spec", "removed", r"\)\s*(?:const\s*)?throw\s*\(\s*[\w:, ]+\s*\)"),
+    ("cpp", "cpp-binders", "removed", r"\bstd::(bind1st|bind2nd|ptr_fun|mem_fun|mem_fun_ref)\b"),
+    ("cpp", "cpp-register", "removed", r"\bregister\s+(?=\w)"),
+    ("cpp", "c-gets", "removed", r"\bgets\s*\("),
+    ("cpp", "c-unbounded-copy", "unsafe", r"\b(strcpy|strcat|sprintf|vsprintf)\s*\("),
+    ("java", "java-boxing-constructor", "deprecated", r"\bnew\s+(Integer|Long|Short|Byte|Double|Float|Boolean|Character)\s*\("),
+    ("java", "java-legacy-collection", "obsolescent", r"\bnew\s+(Vector|Hashtable|Stack)\s*[<(]"),
+    ("java", "java-thread-stop", "removed", r"\.\s*(stop|suspend|resume)\s*\(\s*\)\s*;"),
+    ("java", "java-finalize", "deprecated", r"\bprotected\s+void\s+finalize\s*\(\s*\)"),
+    ("typescript", "js-new-buffer", "deprecated", r"\bnew\s+Buffer\s*\("),
+    ("typescript", "js-arguments-callee", "removed", r"\barguments\.callee\b"),
+    ("typescript", "js-escape", "deprecated", r"(?<![\w.])(escape|unescape)\s*\("),
+    ("fortran", "f-arithmetic-if", "obsolescent", r"^[ \t]*(?:\d+[ \t]+)?if\s*\(.*\)\s*\d+\s*,\s*\d+\s*,\s*\d+\s*$"),
+    ("fortran", "f-computed-goto", "obsolescent", r"^[ \t]*(?:\d+[ \t]+)?go\s*to\s*\(\s*\d+(?:\s*,\s*\d+)*\s*\)"),
+    ("fortran", "f-assign", "removed", r"^[ \t]*(?:\d+[ \t]+)?assign\s+\d+\s+to\s+\w+"),
+    ("fortran", "f-pause", "removed", r"^[ \t]*(?:\d+[ \t]+)?pause\b"),
+    ("fortran", "f-common", "obsolescent", r"^[ \t]*(?:\d+[ \t]+)?common\s*/"),
+    ("fortran", "f-equivalence", "obsolescent", r"^[ \t]*(?:\d+[ \t]+)?equivalence\s*\("),
+    ("fortran", "f-entry", "obsolescent", r"^[ \t]*(?:\d+[ \t]+)?entry\s+\w+"),
+    ("fortran", "f-block-data", "obsolescent", r"^[ \t]*block\s*data\b"),
+    ("fortran", "f-forall", "obsolescent", r"^[ \t]*(?:\w+[ \t]*:[ \t]*)?forall\s*\("),
+    ("cobol", "cobol-alter", "removed", r"\bALTER\s+[\w-]+\s+TO\b"),
+    ("cobol", "cobol-go-to-depending", "obsolescent", r"\bGO\s+TO\b[\w\s-]*\bDEPENDING\s+ON\b"),
+    ("cobol", "cobol-next-sentence", "obsolescent", r"\bNEXT\s+SENTENCE\b"),
+    ("cobol", "cobol-perform-thru", "obsolescent", r"\bPERFORM\s+[\w-]+\s+(?:THRU|THROUGH)\s+[\w-]+"),
+    ("cobol", "cobol-removed-verb", "removed", r"\b(EXAMINE|TRANSFORM|EXHIBIT|READY\s+TRACE|RESET\s+TRACE)\b"),
+    ("cobol", "cobol-go-to", "obsolescent", r"\bGO\s+TO\s+[\w-]+\s*\."),
+)
+
+#: Fixed values. What each level of an old construct weighs.
+URGENCY = {"removed": 4, "unsafe": 3, "deprecated": 2, "obsolescent": 1}
+
+#: Fixed values. How much a change travels along an edge of each kind, and against it.
+EDGE_WEIGHTS = (
+    ("contains", 0.30, 0.12), ("param_of", 0.55, 0.70), ("imports", 0.08, 0.55), ("binds", 0.20, 0.90), ("reexports", 0.15, 0.80), ("inherits", 0.12, 0.95), ("overrides", 0.50, 0.85),
+    ("annotates", 0.10, 0.65), ("calls", 0.22, 0.90), ("instantiates", 0.20, 0.90), ("decorates", 0.85, 0.15), ("raises", 0.35, 0.45), ("handles", 0.25, 0.50), ("reads", 0.06, 0.85),
+    ("writes", 0.80, 0.45), ("mutates", 0.88, 0.50), ("assigns_from", 0.30, 0.85), ("acquires", 0.45, 0.70), ("releases", 0.45, 0.60),
+)
