@@ -37,14 +37,26 @@ def delete(spark: SparkSession, folder: str) -> None:
 def cut(df: DataFrame) -> DataFrame:
     """Materialise df in the shared folder, so that lost executors cost no recomputation."""
     shared_folder(df.sparkSession)
-    return df.checkpoint()
+    out = df.checkpoint()
+    out.folder = out._jdf.logicalPlan().rdd().getCheckpointFile().get()
+    return out
 
 
 def cut_in_loop(df: DataFrame) -> DataFrame:
     """cut, for loops. A cut table passes on the optimizer's guess of its size, which each join squares; after some dozen
     rounds that number alone has more digits than can be worked with. Here the guess is forgotten."""
-    spark, done = df.sparkSession, cut(df)._jdf
-    return DataFrame(spark._jsparkSession.internalCreateDataFrame(done.queryExecution().toRdd(), done.schema(), False), spark)
+    spark, done = df.sparkSession, cut(df)
+    out = DataFrame(spark._jsparkSession.internalCreateDataFrame(done._jdf.queryExecution().toRdd(), done._jdf.schema(), False), spark)
+    out.folder = done.folder
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes what cut wrote for these tables, once nothing that is still to run reads them."""
+    for t in tables:
+        if getattr(t, "folder", None):
+            delete(t.sparkSession, t.folder)
+            t.folder = None
 
 
 def written(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:

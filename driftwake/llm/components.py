@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftwake.llm.common import cut_in_loop, joined_to_one
+from driftwake.llm.common import cut_in_loop, joined_to_one, release
 
 ROUNDS = 60
 
@@ -27,10 +27,10 @@ def roots(edges: DataFrame) -> DataFrame:
         # large star: each node's larger neighbours go to the least of its neighbours and itself
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = cut_in_loop(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n")))
-        large = joined_to_one(both.filter("b > a"), least, ["a"], "n", total).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = cut_in_loop(large)
+        large = cut_in_loop(joined_to_one(both.filter("b > a"), least, ["a"], "n", total).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
         # small star: each node's smaller neighbours, and it, go to the least of them
-        least = cut_in_loop(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")))
-        small = joined_to_one(large, least, ["a"], "n", total).filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = cut_in_loop(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
+        fewer = cut_in_loop(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")))
+        small = joined_to_one(large, fewer, ["a"], "n", total).filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        was, now = now, cut_in_loop(small.unionByName(fewer.select("a", F.col("m").alias("b"))).distinct())
+        release(was, least, large, fewer)
     raise RuntimeError(f"components did not settle in {ROUNDS} rounds")
