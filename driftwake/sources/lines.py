@@ -93,8 +93,8 @@ def close_matches(asked: DataFrame, known: DataFrame, most: int = 6, cutoff: flo
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         q = part["asked"].iloc[0]
-        found = difflib.get_close_matches(q, sorted(part["name"]), n=most, cutoff=cutoff)
-        return pd.DataFrame({"asked": [q] * len(found), "name": found, "ratio": [difflib.SequenceMatcher(None, x, q).ratio() for x in found]})
+        found = difflib.get_close_matches(q, sorted(map(str, part["name"])), n=most, cutoff=cutoff)
+        return pd.DataFrame([(q, x, difflib.SequenceMatcher(None, x, q).ratio()) for x in found], columns=["asked", "name", "ratio"])
 
     best = pairs.groupBy("asked", "part").applyInPandas(run, "asked string, name string, ratio double")
     ranked = best.withColumn("n", F.row_number().over(Window.partitionBy("asked").orderBy(F.desc("ratio"), F.desc("name")))).filter(C("n") <= most)
