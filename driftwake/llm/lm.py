@@ -46,6 +46,7 @@ VOCABULARY = CLASSES * SLOTS
 END, RARE = 0, 1
 IDS = 50_256
 STEPS, EPOCHS, BATCH, RATE = 1800, 8, 256, 0.02  # as many epochs as make STEPS, EPOCHS at most
+MANY = 4  # batches in one, once a partition has STEPS batches to go: fewer, larger products
 HEAD = 500_000
 CACHED = 400_000
 WINDOWS = 16_384  # held, in a task, for training
@@ -91,11 +92,6 @@ class Model:
         scale = np.float32(1 / math.sqrt(DIMENSIONS))
         self.tables = {c: w["e"] @ w[c] * (scale if c == "q" else 1) for c in "qkv"}
         self.places = {c: w["p"] @ w[c] * (scale if c == "q" else 1) for c in "qkv"}
-        ahead = np.arange(WIDTH)[None, :] > np.arange(BEFORE, WIDTH)[:, None]
-        later = np.where(ahead, np.float32(-1e4), np.float32(0))
-        first = later.copy()
-        first[:, :BEFORE] = -1e4  # a text's first window has nothing before it
-        self.masks = (later, first)
 
     def hidden(self, seen: np.ndarray, first: bool) -> np.ndarray:
         """seen (windows, WIDTH) -> (windows, STRIDE, DIMENSIONS)."""
@@ -103,7 +99,7 @@ class Model:
         k = self.tables["k"][seen] + self.places["k"]
         v = self.tables["v"][seen] + self.places["v"]
         a = q @ k.transpose(0, 2, 1)
-        a += self.masks[first]
+        a += MASKS[int(first)]
         np.minimum(a, np.float32(30), out=a)
         np.exp(a, out=a)
         o = a @ v
@@ -251,11 +247,12 @@ class Fit:
         """One pass over all of some windows."""
         order = rng.permutation(len(cut_[0]))
         w, m1, m2 = self.w, self.m1, self.m2
-        for a in range(0, len(order), BATCH):
-            i = order[a : a + BATCH]
+        batch = BATCH * (MANY if self.steps > STEPS else 1)
+        for a in range(0, len(order), batch):
+            i = order[a : a + batch]
             grads = gradients(w, self.place, *(x[i] for x in cut_))
-            self.step += 1
-            rate = RATE * max(0.01, 1 - self.step / (self.steps + 1)) * min(1, self.step / 50) * min(1, len(i) / BATCH * 2)
+            self.step += len(i) / BATCH if batch > BATCH else 1
+            rate = RATE * max(0.01, 1 - self.step / (self.steps + 1)) * min(1, self.step / 50) * min(1, len(i) / batch * 2)
             for k, g in grads.items():
                 m1[k] += 0.1 * (g - m1[k])
                 m2[k] += 0.01 * (g * g - m2[k])
@@ -303,26 +300,53 @@ def followers(texts: list[np.ndarray]) -> np.ndarray:
 
 
 def encoded(batches: Iterator[pa.RecordBatch], token_of: np.ndarray, path: str) -> Iterator[list[np.ndarray]]:
-    """Tokens of all texts (first column), whole, a list at a time; a list has WINDOWS windows or one text more."""
-    encode, known, held, n = encoder(path).encode_ordinary, {}, [], 0
+    """Tokens of all texts (first column), whole, a list at a time; a list has WINDOWS windows or one text more. Words are
+    numbered as they come; a list's texts are laid out from the words' tokens at once."""
+    encode = encoder(path).encode_ordinary
+    known: defaultdict = defaultdict()
+    known.default_factory = known.__len__  # a new word gets the next number
+    flat, where = np.empty(0, np.uint16), np.empty((0, 2), np.int64)
+    held: list[list[int]] = []
+    n = 0
+
+    def laid() -> list[np.ndarray]:
+        nonlocal flat, where
+        if len(known) > len(where):
+            parts = [subwords(encode, w) for w in islice(known, len(where), None)]
+            sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+            ids = np.fromiter(chain.from_iterable(parts), np.int64, int(sizes.sum()))
+            where = np.concatenate((where, np.stack([np.cumsum(sizes) - sizes + len(flat), sizes], axis=1)))
+            flat = np.concatenate((flat, token_of[ids].astype(np.uint16)))
+        counts = np.array([len(x) for x in held], np.int64)
+        code = np.fromiter(chain.from_iterable(held), np.int64, int(counts.sum()))
+        tokens, ends = tokens_of(code, counts, flat, where)
+        return np.split(tokens, np.cumsum(ends)[:-1])
+
     for b in batches:
         for text in b.column(0):
-            own = []
-            for w in words(text.as_py()):
-                ids = known.get(w)
-                if ids is None:
-                    if len(known) > CACHED:
-                        known.clear()
-                    ids = known[w] = token_of[subwords(encode, w)].tolist()
-                own += ids
-            own.append(END)
-            held.append(np.array(own, np.uint16))
-            n += -(-len(own) // STRIDE)
+            w = words(text.as_py())
+            held.append(list(map(known.__getitem__, w)))
+            n += 1 + len(w) * 2 // STRIDE  # about
             if n >= WINDOWS:
-                yield held
+                yield laid()
                 held, n = [], 0
+                if len(known) > CACHED:
+                    known.clear()
+                    flat, where = np.empty(0, np.uint16), np.empty((0, 2), np.int64)
     if held:
-        yield held
+        yield laid()
+
+
+def tokens_of(code: np.ndarray, counts: np.ndarray, flat: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of texts of words by number (counts words each), an end after each text; and how many each has."""
+    doc = np.repeat(np.arange(len(counts)), counts)
+    begins, length = where[code].T if len(code) else np.empty((2, 0), np.int64)
+    ends = np.bincount(doc, weights=length, minlength=len(counts)).astype(np.int64) + 1
+    tokens = np.full(int(ends.sum()), END, np.uint16)
+    target = np.cumsum(length) - length + doc  # each text before has left room for its end
+    put = np.arange(int(length.sum())) + np.repeat(doc, length)
+    tokens[put] = flat[put + np.repeat(begins - target, length)]
+    return tokens, ends
 
 
 def train_all(learnt: DataFrame, counts: np.ndarray, path: str, seed: int = 1) -> Model:
@@ -400,51 +424,80 @@ def mean(a: tuple, b: tuple) -> tuple:
 
 def gradients(w: dict, place: np.ndarray, seen: np.ndarray, target: np.ndarray, weight: np.ndarray, first: np.ndarray) -> dict:
     """Of the mean loss of a batch of windows."""
-    model = Model(None, None, place, w)
-    scale = np.float32(1 / math.sqrt(DIMENSIONS))
+    masks, d = MASKS, DIMENSIONS
+    scale = np.float32(1 / math.sqrt(d))
+    size = len(seen)
     x = w["e"][seen] + w["p"]
-    xq = x[:, BEFORE:]
-    q, k, v = xq @ w["q"] * scale, x @ w["k"], x @ w["v"]
-    a = q @ k.transpose(0, 2, 1) + np.where(first[:, None, None], model.masks[1], model.masks[0])
-    a = np.exp(np.minimum(a, 30))
+    rows, xq = x.reshape(-1, d), np.ascontiguousarray(x[:, BEFORE:])
+    rows_q = xq.reshape(-1, d)
+    q, k, v = (rows_q @ w["q"] * scale).reshape(size, STRIDE, d), (rows @ w["k"]).reshape(size, WIDTH, d), (rows @ w["v"]).reshape(size, WIDTH, d)
+    a = q @ k.transpose(0, 2, 1)
+    a += masks[first.astype(np.int8)]
+    np.exp(np.minimum(a, np.float32(30), out=a), out=a)
     a /= a.sum(axis=2, keepdims=True)
     h3 = xq + a @ v
-    h, n = h3[weight], np.float32(weight.sum())
-    at = place[target[weight]]
+    whole = bool(weight.all())
+    h, n = (h3.reshape(-1, d) if whole else h3[weight]), np.float32(weight.sum())
+    at = place[target.ravel() if whole else target[weight]]
     cls, slot = at // SLOTS, at % SLOTS
-    g = {key: np.zeros_like(x_) for key, x_ in w.items()}
-    z = np.exp(np.clip(h @ w["c"] + w["cb"], -30, 30))
-    z /= z.sum(axis=1, keepdims=True)
+    g = {}
+    z = softmax(h @ w["c"] + w["cb"])
     z[np.arange(len(z)), cls] -= 1
     z /= n
     g["c"], g["cb"] = h.T @ z, z.sum(axis=0)
     dh = z @ w["c"].T
     order = np.argsort(cls, kind="stable")
-    edges = np.searchsorted(cls[order], np.arange(CLASSES + 1))
+    edges = np.searchsorted(cls[order], np.arange(CLASSES + 1)).tolist()
+    hs, slots, back = h[order], slot[order], np.empty_like(h)
+    g["u"], g["ub"] = np.zeros_like(w["u"]), np.zeros_like(w["ub"])
+    count = np.arange(max(1, max(b - a for a, b in zip(edges, edges[1:]))))
     for c in range(CLASSES):
-        i = order[edges[c] : edges[c + 1]]
-        if len(i):
-            z = np.exp(np.clip(h[i] @ w["u"][c] + w["ub"][c], -30, 30))
-            z /= z.sum(axis=1, keepdims=True)
-            z[np.arange(len(i)), slot[i]] -= 1
+        i, j = edges[c], edges[c + 1]
+        if i < j:
+            z = softmax(hs[i:j] @ w["u"][c] + w["ub"][c])
+            z[count[: j - i], slots[i:j]] -= 1
             z /= n
-            g["u"][c], g["ub"][c] = h[i].T @ z, z.sum(axis=0)
-            dh[i] += z @ w["u"][c].T
-    do = np.zeros_like(h3)
-    do[weight] = dh
+            g["u"][c], g["ub"][c] = hs[i:j].T @ z, z.sum(axis=0)
+            back[i:j] = z @ w["u"][c].T
+    dh[order] += back
+    if whole:
+        do = dh.reshape(size, STRIDE, d)
+    else:
+        do = np.zeros_like(h3)
+        do[weight] = dh
     dv = a.transpose(0, 2, 1) @ do
-    da = do @ v.transpose(0, 2, 1)
-    ds = a * (da - (da * a).sum(axis=2, keepdims=True))
-    dq, dk = ds @ k * scale, ds.transpose(0, 2, 1) @ q
-    flat = lambda t: t.reshape(-1, DIMENSIONS)
-    g["q"], g["k"], g["v"] = flat(xq).T @ flat(dq), flat(x).T @ flat(dk), flat(x).T @ flat(dv)
-    dx = dk @ w["k"].T + dv @ w["v"].T
-    dx[:, BEFORE:] += do + dq @ w["q"].T
+    ds = do @ v.transpose(0, 2, 1)
+    ds -= (ds * a).sum(axis=2, keepdims=True)
+    ds *= a
+    dq, dk, dv = (ds @ k * scale).reshape(-1, d), (ds.transpose(0, 2, 1) @ q).reshape(-1, d), dv.reshape(-1, d)
+    g["q"], g["k"], g["v"] = rows_q.T @ dq, rows.T @ dk, rows.T @ dv
+    dx = (dk @ w["k"].T + dv @ w["v"].T).reshape(size, WIDTH, d)
+    dx[:, BEFORE:] += do + (dq @ w["q"].T).reshape(size, STRIDE, d)
     g["p"] = dx.sum(axis=0)
-    np.add.at(g["e"], seen.ravel(), flat(dx))
+    cells = (seen.ravel().astype(np.int64) * d)[:, None] + np.arange(d)
+    g["e"] = np.bincount(cells.ravel(), weights=dx.ravel(), minlength=VOCABULARY * d).astype(np.float32).reshape(VOCABULARY, d)
     return g
 
 
+def softmax(z: np.ndarray) -> np.ndarray:
+    np.clip(z, -30, 30, out=z)
+    np.exp(z, out=z)
+    z /= z.sum(axis=1, keepdims=True)
+    return z
+
+
+def attention_masks() -> np.ndarray:
+    """What a window's positions may see: of a later window, and (1) of a text's first, which has nothing before it."""
+    ahead = np.arange(WIDTH)[None, :] > np.arange(BEFORE, WIDTH)[:, None]
+    later = np.where(ahead, np.float32(-1e4), np.float32(0))
+    first = later.copy()
+    first[:, :BEFORE] = -1e4
+    return np.stack((later, first))
+
+
+MASKS = attention_masks()
+
+
 # ---- the corpus
 
 
@@ -565,13 +618,7 @@ class Scorer:
         facts, per = self.facts, lambda x: np.bincount(doc, weights=x, minlength=len(texts))
         inside = facts[code, 2] > 0
         base, known_n, rare = per(facts[code, 1]), per(inside), per(facts[code, 0])
-        begins, length = self.where[code].T
-        ends = np.bincount(doc, weights=length, minlength=len(texts)).astype(np.int64) + 1  # tokens of a text
-        tokens = np.full(int(ends.sum()), END, np.uint16)
-        target = np.cumsum(length) - length + doc  # each text before has left room for its end
-        shift = np.repeat(begins - target, length)  # each word's tokens lie together in flat
-        put = np.arange(int(length.sum())) + np.repeat(doc, length)
-        tokens[put] = self.flat[put + shift]
+        tokens, ends = tokens_of(code, sizes, self.flat, self.where)
         score = self.model.score(tokens, ends) + rare
         out = np.flatnonzero(~inside)
         key, times = np.unique(doc[out] * len(cache) + code[out], return_counts=True)
