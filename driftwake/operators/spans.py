@@ -20,14 +20,20 @@ def in_spans(points: DataFrame, spans: DataFrame, by: str, at: str, start: str =
     return p.join(s, (F.col(f"p.{by}") == F.col("s._by")) & F.col(f"p.{at}").between(F.col("s._start"), F.col("s._end")), "left_semi")
 
 
-def innermost(points: DataFrame, spans: DataFrame, by: str, at: str, point_key: str, width: Column, later_wins: bool = False, name: str = "name", start: str = "start", end: str = "end") -> DataFrame:
+def innermost(points: DataFrame, spans: DataFrame, by: str, at: str, point_key: str, width: Column, later_wins: bool = False, name: str = "name", start: str = "start", end: str = "end", block: float | None = None) -> DataFrame:
     """J6. Each point with the narrowest span that holds it (left: null where none does).
 
     Of equally narrow spans the first by (start, name) wins, or the last. The winner is taken by an aggregation
-    (min_by over a struct), which combines before the shuffle, rather than by a window over all candidates.
-    """
+    (min_by over a struct), which combines before the shuffle, rather than by a window over all candidates. With block, places are
+    numbers cut into blocks of that length, and points meet only spans of their own block; a span stands in each block it
+    touches, so a block should be about as long as most spans."""
     s = spans.select(F.col(by).alias("_by"), F.col(name).alias("_name"), F.col(start).alias("start"), F.col(end).alias("end"))
-    j = points.join(s, (F.col(by) == F.col("_by")) & F.col(at).between(F.col("start"), F.col("end")), "left")
+    on = (F.col(by) == F.col("_by")) & F.col(at).between(F.col("start"), F.col("end"))
+    if block:
+        nth = lambda c: F.floor(F.col(c) / block)
+        s = s.withColumn("_block", F.explode(F.sequence(nth("start"), nth("end"))))
+        on = on & (nth(at) == F.col("_block"))
+    j = points.join(s, on, "left")
     best = F.max_by if later_wins else F.min_by
     rank = F.struct(-width if later_wins else width, F.col("start"), F.col("_name"))
     return j.groupBy(point_key).agg(best("_name", rank).alias("span"))
@@ -66,7 +72,7 @@ def range_members(rows: DataFrame, by: str, at: str, first: Column, last: Column
 
 def trailing_count(rows: DataFrame, by: str, ts: str, seconds: int) -> DataFrame:
     """W6. rows with the number of the same key's rows in the trailing window, themselves included."""
-    w = Window.partitionBy(by).orderBy(F.col(ts).cast("timestamp").cast("long")).rangeBetween(-seconds, 0)
+    w = Window.partitionBy(by).orderBy(F.unix_micros(F.col(ts).cast("timestamp"))).rangeBetween(-seconds * 1_000_000, 0)
     return rows.withColumn("in_window", F.count("*").over(w))
 
 

@@ -11,7 +11,7 @@ from driftwake.functions import text as T
 from driftwake.operators import graph, ranking
 from driftwake.plans.check import Report
 
-DO_FIRST, CHANGES_SHOWN, AFFECTED_SHOWN = 8, 12, 10
+DO_FIRST, CHANGES_SHOWN, AFFECTED_SHOWN, FILES_SHOWN = 8, 12, 10, 200
 
 
 def python_round(x: float, digits: int = 2) -> float:
@@ -31,15 +31,16 @@ def brief(report: Report) -> dict:
     found, more = first(report.findings, DO_FIRST, "rank", ~F.col("blocking"), "path", "line", "rule")
     changed, more_changes = first(report.changes, CHANGES_SHOWN, kind, "path", "line")
     hit, more_hit = first(report.affected, AFFECTED_SHOWN, F.desc("score"), "hops", "name")
+    paths, more_paths = first(report.changes.select("path").distinct(), FILES_SHOWN, "path")
     return {
         "verdict": report.verdict.head()["verdict"],
         "counts": ranking.severity_counts(report.findings).head().asDict(),
-        "files_changed": [r["path"] for r in report.changes.select("path").distinct().orderBy("path").collect()],
+        "files_changed": [r["path"] for r in paths],
         "findings": [{k: r[k] for k in ("rule", "severity", "path", "line", "message")} for r in found],
         "changes": [{k: r[k] for k in ("kind", "name", "path", "line")} for r in changed],
         "affected": [{"name": r["name"], "path": r["path"], "line": r["line"], "hops": r["hops"], "score": python_round(r["score"])} for r in hit],
         "suppressed": report.suppressed.count(),
-        "omitted": {"findings": more, "changes": more_changes, "affected": more_hit},
+        "omitted": {"findings": more, "changes": more_changes, "affected": more_hit, "files": more_paths},
     }
 
 
@@ -64,8 +65,15 @@ def sarif(findings: DataFrame) -> DataFrame:
     return findings.select(F.to_json(result).alias("result"))
 
 
+SARIF_SHOWN = 5000
+
+
 def sarif_log(findings: DataFrame, tool: str = "driftwake") -> str:
-    results = [json.loads(r["result"]) for r in sarif(findings).collect()]
+    """One log of the gravest findings, SARIF_SHOWN at most, as readers of such logs bound them too; all of them are in sarif()."""
+    from driftwake.operators.ranking import rank
+
+    gravest = findings.orderBy(rank(F.col("severity")), "path", "line", "rule").limit(SARIF_SHOWN)
+    results = [json.loads(r["result"]) for r in sarif(gravest).collect()]
     return json.dumps({"version": "2.1.0", "$schema": "https://json.schemastore.org/sarif-2.1.0.json", "runs": [{"tool": {"driver": {"name": tool}}, "results": results}]})
 
 

@@ -142,7 +142,7 @@ def j6_innermost(spark, read):
     e = read("events").select("event_id", "user_id")
     widths = spark.createDataFrame([("day", 4000), ("six", 1000), ("hour", 200)], "name string, w long")
     s = e.groupBy("user_id").agg(F.min("event_id").alias("k")).crossJoin(F.broadcast(widths)).select("user_id", "name", F.greatest(C("k") - C("w"), F.lit(0)).alias("start"), (C("k") + C("w")).alias("end"))
-    return spans.innermost(e, s, "user_id", "event_id", "event_id", C("end") - C("start"))
+    return spans.innermost(e, s, "user_id", "event_id", "event_id", C("end") - C("start"), block=1000)
 
 
 @query("""
@@ -409,7 +409,7 @@ def w5_range_members(spark, read):
     return spans.range_members(read("conversations"), "conv_id", "turn", user, user, "role").withColumn("members", F.concat_ws(",", "members"))
 
 
-@query("SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY CAST(floor(epoch(ts)) AS BIGINT) RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW) AS in_window FROM events")
+@query("SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 86400 SECOND PRECEDING AND CURRENT ROW) AS in_window FROM events")
 def w6_rate_limit_window(spark, read):
     return spans.trailing_count(read("events").select("event_id", "user_id", "ts"), "user_id", "ts", 86400).select("event_id", "in_window")
 

@@ -23,8 +23,8 @@ def directory(spark: SparkSession, folder: str, snapshot: str) -> DataFrame:
     """S1/S9. A working tree by Spark's own reader, with each file's stamp; directories that scans leave out are left out."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     root = folder.rstrip("/").split("://")[-1].removeprefix("file:")
-    at = F.instr("path", root + "/")
-    path = F.expr(f"substring(path, instr(path, '{root}/') + {len(root) + 1})")
+    at = F.locate(root + "/", "path")
+    path = F.substr("path", at + len(root) + 1)
     df = raw.filter(at > 0).select(F.lit(snapshot).alias("snapshot"), path.alias("path"), "content", "modificationTime", "length")
     df = df.filter(~in_skipped_dir(F.col("path")) & language(F.col("path")).isNotNull())
     return df.select("snapshot", "path", F.regexp_replace(F.decode("content", "UTF-8"), "^﻿", "").alias("text"), "modificationTime", "length")
@@ -64,10 +64,22 @@ def git_history(spark: SparkSession, repository: str, most: int = 300) -> DataFr
     return lines.select(F.get("l", F.lit(0)).alias("commit"), F.explode(F.slice("l", 2, 100000)).alias("path"))
 
 
+def refs(spark: SparkSession, repository: str, prefix: str = "refs/wip/") -> DataFrame:
+    """S7. name, sha of the refs under a prefix: what a feed polls (T1) and keeps the last sha of."""
+    told = subprocess.run(["git", "-C", repository, "for-each-ref", "--format=%(refname) %(objectname)", prefix], capture_output=True, check=True).stdout.decode()
+    rows = [(line.split()[0].removeprefix(prefix), line.split()[1]) for line in told.splitlines()]
+    return spark.createDataFrame(rows, "name string, sha string")
+
+
+def moved(now: DataFrame, last: DataFrame) -> DataFrame:
+    """T2. Refs that are new or point elsewhere than at the last poll: all that has to be read again."""
+    return now.join(last.select("name", "sha"), ["name", "sha"], "left_anti")
+
+
 def changed_paths(files: DataFrame, before: str, after: str) -> DataFrame:
     """U2. Paths that differ between two snapshots, line endings apart."""
     side = lambda s, c: files.filter(F.col("snapshot") == s).select("path", F.regexp_replace("text", "\r\n", "\n").alias(c))
     return side(before, "b").join(side(after, "a"), "path", "full_outer").filter(~F.col("a").eqNullSafe(F.col("b"))).select("path")
 
 
-__all__ = ["FILES", "SKIPPED", "changed_paths", "changed_stamps", "directory", "git_history", "git_revision", "in_memory"]
+__all__ = ["FILES", "SKIPPED", "changed_paths", "changed_stamps", "directory", "git_history", "git_revision", "in_memory", "moved", "refs"]

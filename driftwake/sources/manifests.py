@@ -115,3 +115,15 @@ def settings(text: str, table: str = "driftwake") -> dict:
     if not all(isinstance(x, str) for k in ("disable", "exclude") for x in listed(k)) or got.get("fail-on", "block") not in ("ok", "review", "block", "never"):
         raise ValueError(f"[tool.{table}]: disable and exclude are lists of strings; fail-on is ok, review, block or never")
     return {"disabled": tuple(listed("disable")), "excluded": listed("exclude"), "fail_on": got.get("fail-on", "block")}
+
+
+def nearest_settings(files: DataFrame, folder: str, table: str = "driftwake") -> dict:
+    """S6. Settings of the nearest pyproject file from a folder up to the top that has the table; none where none has."""
+    at = folder.strip("/")
+    ups = [at.rsplit("/", i)[0] if i else at for i in range(at.count("/") + 1)] if at else []
+    paths = [*(f"{u}/pyproject.toml" for u in ups), "pyproject.toml"]
+    texts = {r["path"]: r["text"] for r in files.filter(F.col("path").isin(*paths)).select("path", "text").collect()}  # one a folder on the way up
+    for p in paths:
+        if p in texts and table in tomllib.loads(texts[p]).get("tool", {}):
+            return settings(texts[p], table)
+    return settings("")

@@ -40,6 +40,11 @@ def t4_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"t4_throttle": t4_throttle, "t1_stream_latest": t1_stream_latest, "t3_debounce": t3_debounce, "t5_rate_limit": t5_rate_limit}
 
 ORACLE = {
+    "t4_throttle": """
+WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 1 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g), b AS (SELECT user_id, max(ts) + INTERVAL 1 HOUR - INTERVAL 1 MICROSECOND AS last, count(*) AS n FROM s GROUP BY user_id, s)
+SELECT user_id, date_trunc('day', last)::TIMESTAMP AS period, CAST(sum(n) AS BIGINT) AS n FROM b WHERE last < TIMESTAMP '2024-01-20' GROUP BY 1, 2
+""",
     "t5_rate_limit": """
 WITH RECURSIVE e AS (SELECT user_id, ts, event_id, epoch(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
 r(user_id, n, kept, ok) AS (
