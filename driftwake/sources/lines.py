@@ -22,20 +22,22 @@ FIXED_FORM = (".f", ".for", ".f77", ".ftn", ".fpp")
 FAMILY = {"c": "c", "cpp": "c", "java": "c", "typescript": "c"}
 
 
-def mask(text: str, lang: str, path: str = "") -> str:
-    """F11. text with comments and what strings hold as blanks; quotes, line ends and all places stay."""
+def mask(text: str, lang: str, path: str = "", strings: bool = True) -> str:
+    """F11. text with comments (and, if asked, what strings hold) as blanks; quotes, line ends and all places stay."""
     comment = COMMENTS["fixed"] if lang == "fortran" and path.lower().endswith(FIXED_FORM) else COMMENTS.get(FAMILY.get(lang, lang))
-    strings = r"'[^'\n]*'|\"[^\"\n]*\"" if lang in ("fortran", "cobol") else STRINGS
+    quoted = r"'[^'\n]*'|\"[^\"\n]*\"" if lang in ("fortran", "cobol") else STRINGS
     blank = lambda s: re.sub(r"[^\n]", " ", s)
 
     def hide(m: re.Match) -> str:
         s = m[0]
         if s[0] not in "'\"":
             return blank(s)
+        if not strings:
+            return s
         q = 3 if len(s) >= 6 and s[:3] in ("'''", '"""') else 1
         return s[:q] + blank(s[q:-q]) + s[-q:]
 
-    return re.sub(f"{strings}|{comment}" if comment else strings, hide, text, flags=re.S)
+    return re.sub(f"{quoted}|{comment}" if comment else quoted, hide, text, flags=re.S)
 
 
 def masked(files: DataFrame) -> DataFrame:
