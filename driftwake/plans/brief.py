@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from driftwake.functions import text as T
 from driftwake.operators import graph, ranking
 from driftwake.plans.check import Report
+from driftwake.values import VAGUE
 
 DO_FIRST, CHANGES_SHOWN, AFFECTED_SHOWN, FILES_SHOWN = 8, 12, 10, 200
 
@@ -91,10 +92,25 @@ def uses_of(edges: DataFrame, name: str, outward: bool = False) -> DataFrame:
     return edges.filter(F.col(one) == name).groupBy(F.col(other).alias("name"), "kind").agg(F.array_sort(F.collect_set(place)).alias("sites"), F.bool_and("guess").alias("guess"))
 
 
+def look_for(defs: DataFrame) -> DataFrame:
+    """word and context of definitions(name, kind, path): the name that a test would use, and, where that is too short or common to
+    mean this one alone, the class or module that has to be named too."""
+    parts = F.split(F.regexp_replace(F.regexp_replace("name", r"^[^@]*@", ""), r"\(.*$", ""), r"\.")
+    word, owner = F.element_at(parts, -1), F.when(F.size(parts) > 1, F.element_at(parts, -2))
+    stem = F.regexp_replace(F.regexp_extract("path", r"([^/]+)$", 1), r"\..*$", "")
+    module = F.when(F.col("path").endswith(".py"), F.substring_index(T.module_name(F.col("path")), ".", -1)).otherwise(stem)
+    context = F.when((F.col("kind") == "method") & owner.isNotNull(), owner).otherwise(module)
+    special, vague = word.rlike("^__.*__$|^<"), (F.char_length(word) < 4) | F.lower(word).isin(*VAGUE)
+    return defs.withColumn("word", F.when(special, context).otherwise(word)).withColumn("context", F.when(special, "").when(vague, context).otherwise(""))
+
+
 def tests_to_run(files: DataFrame, wanted: DataFrame) -> DataFrame:
     """A7. Test files that name what changed or is reached: path, tier (0 changed, 1 reached), the words they name.
 
-    files(path, text) of one snapshot; wanted(word, tier)."""
-    words = files.filter(T.is_test_file(F.col("path"))).select("path", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("word"))
-    hit = words.join(wanted.groupBy("word").agg(F.min("tier").alias("tier")), "word")
+    files(path, text) of one snapshot; wanted(word, tier[, context]): a word with a context counts only where that is named too."""
+    words = files.filter(T.is_test_file(F.col("path"))).select("path", F.array_distinct(T.tokens(F.col("text"))).alias("words"))
+    if "context" not in wanted.columns:
+        wanted = wanted.withColumn("context", F.lit(""))
+    asked = wanted.groupBy("word", "context").agg(F.min("tier").alias("tier"))
+    hit = words.select("path", "words", F.explode("words").alias("word")).join(asked, "word").filter((F.col("context") == "") | F.array_contains("words", F.col("context")))
     return hit.groupBy("path").agg(F.min("tier").alias("tier"), F.array_sort(F.collect_set("word")).alias("names"))

@@ -156,6 +156,30 @@ def f12_legacy_scan(spark, read):
     return lines.scan(files).select("path", "line", "rule")
 
 
+HIDDEN = {"py": "m = import_module(name)\neval('1')", "c": "p = dlsym(h, n);\n(*fp)(x);", "java": 'Class.forName(n);\nx.invoke(y);', "js": "require(n);\nt[k](1);", "f90": "external f\nprocedure(g), pointer :: h", "cbl": "           CALL WS-PROG.\n           CALL 'FIXED'."}
+HIDING = {"py": [("py-import-by-name", 1), ("py-eval", 2)], "c": [("c-dlsym", 1), ("c-fn-pointer-call", 2)], "java": [("java-for-name", 1), ("java-reflect-invoke", 2)], "js": [("js-require-by-name", 1), ("js-index-call", 2)], "f90": [("f-external-dummy", 1), ("f-procedure-pointer", 2)], "cbl": [("cobol-call-by-name", 1)]}
+
+
+@query("SELECT 's' || s_suppkey || '.' || suffix AS path, CAST(line AS INTEGER) AS line, rule FROM supplier JOIN (VALUES " + ", ".join(f"({i}, '{k}', {n}, '{r}')" for i, k in enumerate(HIDDEN) for r, n in HIDING[k]) + ") AS v(i, suffix, line, rule) ON s_suppkey % 6 = i")
+def f12_hidden_calls(spark, read):
+    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), (mod("s_suppkey", 6) + 1).cast("int"))
+    files = read("supplier").select(cat("s", C("s_suppkey"), ".", pick(HIDDEN)).alias("path"), pick(HIDDEN.values()).alias("text"))
+    return lines.hidden_calls(files)
+
+
+@query("""
+WITH d AS (SELECT 'tests/test_' || doc_id || '.py' AS path, regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_-]*') AS w FROM documents WHERE doc_id % 3 <> 0), a(word, context, tier) AS (VALUES ('The', '', 1), ('la', 'de', 0), ('token', '', 0), ('and', 'The', 1)),
+h AS (SELECT path, word, tier FROM d, a WHERE list_contains(w, word) AND (context = '' OR list_contains(w, context)))
+SELECT path, CAST(min(tier) AS INTEGER) AS tier, string_agg(DISTINCT word, ',' ORDER BY word) AS names FROM h GROUP BY 1
+""")
+def a7_tests_to_run(spark, read):
+    from driftwake.plans import brief
+
+    files = read("documents").select(F.when(mod("doc_id", 3) == 0, cat("lib/m", C("doc_id"), ".py")).otherwise(cat("tests/test_", C("doc_id"), ".py")).alias("path"), "text")
+    wanted = spark.createDataFrame([("The", "", 1), ("la", "de", 0), ("token", "", 0), ("and", "The", 1)], "word string, context string, tier int")
+    return brief.tests_to_run(files, wanted).withColumn("names", F.concat_ws(",", "names"))
+
+
 @query("SELECT 's' || s_suppkey AS path, CASE s_suppkey % 3 WHEN 1 THEN 'replace' ELSE 'delete' END AS op, CAST(CASE s_suppkey % 3 WHEN 1 THEN 3 ELSE 2 END AS INTEGER) AS first, CAST(CASE s_suppkey % 3 WHEN 1 THEN 3 ELSE 1 END AS INTEGER) AS last FROM supplier WHERE s_suppkey % 3 <> 0")
 def f10_changed_lines(spark, read):
     s, n = read("supplier"), mod("s_suppkey", 3)

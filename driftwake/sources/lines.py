@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftwake.functions.text import language
-from driftwake.values import LEGACY, URGENCY
+from driftwake.values import HIDDEN_CALLS, LEGACY, URGENCY
 
 C = F.col
 STRINGS = r"'''(?:\\.|[^\\])*?'''|\"\"\"(?:\\.|[^\\])*?\"\"\"|'(?:\\.|[^'\\\n])*'|\"(?:\\.|[^\"\\\n])*\""
@@ -60,6 +60,11 @@ def scan(files: DataFrame, rules=LEGACY) -> DataFrame:
     return lines.select("path", (C("at") + 1).alias("line"), F.explode(hit).alias("h")).select("path", "line", "h.*").distinct()
 
 
+def hidden_calls(files: DataFrame) -> DataFrame:
+    """F12. path, line, rule: places where what is called is only known when it runs."""
+    return scan(files, HIDDEN_CALLS).drop("level")
+
+
 def legacy_summary(markers: DataFrame, uses: DataFrame) -> DataFrame:
     """A15. path, markers, a count a level, dependents, priority: urgency times the root of one more than the files that use it.
     markers(path, level), uses(src_path, dst_path)."""

@@ -14,10 +14,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftwake.functions.text import distribution
+from driftwake.values import OTHER_NAMES
 
-#: Modules whose distribution has another name. Fixed values.
-OTHER_NAMES = {"yaml": "pyyaml", "PIL": "pillow", "cv2": "opencv-python", "bs4": "beautifulsoup4", "sklearn": "scikit-learn", "dateutil": "python-dateutil", "dotenv": "python-dotenv", "jwt": "pyjwt", "serial": "pyserial", "git": "gitpython"}
-MANIFEST = r"(^|/)(pyproject\.toml|requirements[^/]*\.txt|setup\.cfg|setup\.py|Pipfile|environment\.ya?ml)$"
+MANIFEST = r"(^|/)(pyproject\.toml|requirements[^/]*\.(txt|in)|requirements/[^/]+\.(txt|in)|setup\.cfg|setup\.py|Pipfile|environment\.ya?ml)$"
 NAME = re.compile(r"^\s*([A-Za-z0-9][A-Za-z0-9._-]*)")
 
 
@@ -32,7 +31,7 @@ def names_in(path: str, text: str) -> tuple[list[str], bool]:
             specs = [*p.get("dependencies", []), *(x for v in p.get("optional-dependencies", {}).values() for x in v), *(x for v in d.get("dependency-groups", {}).values() for x in v if isinstance(x, str))]
             specs += [k for g in [poetry, *poetry.get("group", {}).values()] for k in (*g.get("dependencies", {}), *g.get("dev-dependencies", {})) if k != "python"]
             return specs, "dependencies" not in p.get("dynamic", [])
-        if re.fullmatch(r"requirements.*\.txt", base):
+        if re.fullmatch(r"requirements.*\.(txt|in)", base) or re.search(r"(^|/)requirements/[^/]+\.(txt|in)$", path):
             lines = [x.split("#")[0].strip() for x in text.splitlines()]
             return [x for x in lines if x and not x.startswith("-")], not any(x.startswith(("-r", "-c")) for x in lines)
         if base == "setup.cfg":
@@ -80,7 +79,7 @@ def third_party(imports: DataFrame, modules: DataFrame) -> DataFrame:
     out = imports.withColumn("root", root).filter(~F.col("root").isin(*sorted(sys.stdlib_module_names)) & ~F.col("root").startswith("_")).join(own, [*keys, "root"], "left_anti")
     name = F.col("root")
     for module, dist in OTHER_NAMES.items():
-        name = F.when(F.col("root") == module, dist).otherwise(name)
+        name = F.when(F.lower("root") == module, dist).otherwise(name)
     return out.withColumn("distribution", distribution(name))
 
 

@@ -91,3 +91,51 @@ EDGE_WEIGHTS = (
     ("annotates", 0.10, 0.65), ("calls", 0.22, 0.90), ("instantiates", 0.20, 0.90), ("decorates", 0.85, 0.15), ("raises", 0.35, 0.45), ("handles", 0.25, 0.50), ("reads", 0.06, 0.85),
     ("writes", 0.80, 0.45), ("mutates", 0.88, 0.50), ("assigns_from", 0.30, 0.85), ("acquires", 0.45, 0.70), ("releases", 0.45, 0.60),
 )
+
+#: Fixed values. Modules whose distribution has another name (names of modules in lower case).
+OTHER_NAMES = {
+    "pil": "pillow", "yaml": "pyyaml", "sklearn": "scikit-learn", "cv2": "opencv-python",
+    "bs4": "beautifulsoup4", "dateutil": "python-dateutil", "dotenv": "python-dotenv",
+    "jwt": "pyjwt", "openssl": "pyopenssl", "attr": "attrs", "git": "gitpython",
+    "serial": "pyserial", "crypto": "pycryptodome", "magic": "python-magic",
+    "mysqldb": "mysqlclient", "psycopg2": "psycopg2-binary", "skimage": "scikit-image",
+    "docx": "python-docx", "zmq": "pyzmq", "usb": "pyusb", "gi": "pygobject",
+    "ruamel": "ruamel-yaml", "socks": "pysocks", "faiss": "faiss-cpu",
+    "google": "google-api-python-client", "multipart": "python-multipart",
+    "jose": "python-jose", "slugify": "python-slugify", "telegram": "python-telegram-bot",
+    "pkg_resources": "setuptools",
+}
+
+#: Fixed values. Names too vague to look for alone in a test.
+VAGUE = COMMON_METHODS + (
+    "main", "init", "setup", "process", "handle", "test", "value", "data",
+    "name", "result", "item", "call", "apply", "execute", "build", "make",
+    "new", "reset", "next", "save", "check", "parse", "render", "create",
+)
+
+_NOT_LITERAL = r"\(\s*(?:(?![\s\"'`)])|[rbuf]*[\"'][^\"'\n]*[\"']\s*(?:\+|%|\.format\b)|f[\"']|`)"
+_POINTER_CALL = r"(?:^|[=;{}(),!&|?:+\-]|\breturn)\s*\(\s*\*\s*\w+(?:\[[^\]]*\])?\s*\)\s*\("
+
+#: Fixed values. Calls that no reader can follow: (language, id, level, pattern), the level being the same for all.
+HIDDEN_CALLS = (
+    ("python", "py-import-by-name", "hidden", r"\b(?:importlib\.)?import_module" + _NOT_LITERAL + r"|\b__import__" + _NOT_LITERAL),
+    ("python", "py-load-source", "hidden", r"\bimp\.load_(?:source|module|compiled)\s*\(|\bspec_from_file_location\s*\("),
+    ("python", "py-getattr-call", "hidden", r"\bgetattr\s*\([^,()]+,\s*(?![\s\"'])[^()]*?(?:\([^()]*\))?[^()]*\)\s*\("),
+    ("python", "py-eval", "hidden", r"(?<![.\w])(?<!def )(?:eval|exec)\s*\("),
+    ("python", "py-entry-points", "hidden", r"\bentry_points\s*\(|\biter_entry_points\s*\("),
+    ("typescript", "js-require-by-name", "hidden", r"\brequire" + _NOT_LITERAL),
+    ("typescript", "js-import-by-name", "hidden", r"(?<![.\w])import" + _NOT_LITERAL),
+    ("typescript", "js-eval", "hidden", r"(?<![.\w])(?:eval|Function)\s*\("),
+    ("typescript", "js-index-call", "hidden", r"\b\w+\[(?![\"'`\d])[^\]]+\]\s*\("),
+    ("java", "java-for-name", "hidden", r"\bClass\.forName\s*\(|\.loadClass\s*\("),
+    ("java", "java-reflect-invoke", "hidden", r"\.getMethod\s*\(|\.getDeclaredMethod\s*\(|\.invoke\s*\("),
+    ("java", "java-service-loader", "hidden", r"\bServiceLoader\.load\s*\("),
+    ("c", "c-dlsym", "hidden", r"\b(?:dlsym|GetProcAddress)\s*\("),
+    ("c", "c-fn-pointer-call", "hidden", _POINTER_CALL + r"|\b\w+\s*->\s*\w+\s*\("),
+    ("cpp", "c-dlsym", "hidden", r"\b(?:dlsym|GetProcAddress)\s*\("),
+    ("cpp", "c-fn-pointer-call", "hidden", _POINTER_CALL),
+    ("fortran", "f-procedure-pointer", "hidden", r"\bprocedure\s*\([^)]*\)\s*,\s*pointer\b"),
+    ("fortran", "f-external-dummy", "hidden", r"^\s*external\s+\w+"),
+    ("cobol", "cobol-call-by-name", "hidden", r"(?<![\w-])CALL\s+(?![\"'])[A-Z][\w-]*"),
+    ("cobol", "cobol-cics-link", "hidden", r"\bEXEC\s+CICS\s+(?:LINK|XCTL)\b"),
+)

@@ -42,6 +42,19 @@ def test_tests_to_run(spark):
     assert [(r.path, r.tier, r.names) for r in got] == [("tests/test_a.py", 0, ["helper", "parse"])]
 
 
+def test_vague_names_need_their_context(spark):
+    defs = spark.createDataFrame([("pay.charge_all", "function", "pay.py"), ("pay.Job.run", "method", "pay.py"), ("pay.get", "function", "pay.py"), ("pay.Job.__init__", "method", "pay.py"), ("java@Pay.sum(int)", "method", "src/Pay.java")], "name string, kind string, path string")
+    assert [(r.word, r.context) for r in brief.look_for(defs).collect()] == [("charge_all", ""), ("run", "Job"), ("get", "pay"), ("Job", ""), ("sum", "Pay")]
+    f = spark.createDataFrame([("tests/test_a.py", "Job().run()"), ("tests/test_b.py", "run()")], "path string, text string")
+    got = brief.tests_to_run(f, spark.createDataFrame([("run", 0, "Job")], "word string, tier int, context string")).collect()
+    assert [r.path for r in got] == ["tests/test_a.py"]
+
+
+def test_nearest_settings(spark):
+    f = spark.createDataFrame([("pyproject.toml", "[tool.driftwake]\ndisable = 'a'\n"), ("x/pyproject.toml", "[project]\nname = 'x'\n"), ("x/y/pyproject.toml", "[tool.driftwake]\ndisable = 'b'\n")], "path string, text string")
+    assert [manifests.nearest_settings(f, d)["disabled"] for d in ("x/y/z", "x", "")] == [("b",), ("a",), ("a",)]
+
+
 def test_manifests_and_settings(spark):
     toml = '[project]\ndependencies = ["Requests>=2", "PyYAML"]\n[tool.driftwake]\ndisable = "bare-except"\n'
     code = {"a.py": "import requests\nimport yaml\nimport os\n"}
