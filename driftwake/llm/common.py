@@ -78,9 +78,9 @@ CROWD = 1000
 def joined_to_one(rows: DataFrame, one: DataFrame, on: list[str], n: str, total: int) -> DataFrame:
     """rows joined with one, which has a row a key and in n how many of the `total` rows have that key.
 
-    Keys of more than CROWD rows, or a ten-thousandth of all, are few (10,000 at most, whatever the table), so
+    Keys of more than CROWD rows, or a thousandth of all, are few (1,000 at most, whatever the table), so
     their side is broadcast and their rows stay where they are; all others meet in a shuffle. rows is read twice."""
-    most = max(CROWD, total // 10_000)
+    most = max(CROWD, total // 1000)
     if total <= most:
         return rows.join(one.drop(n), on)
     if (one.agg(F.max(n)).head()[0] or 0) <= most:

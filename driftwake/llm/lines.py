@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwake.llm.common import cut, in_batches, joined_to_one, table, written
+from driftwake.llm.common import cut, in_batches, joined_to_one, release, table, written
 
 MIN_WORDS = 5
 BLANK = " \t\r\x0b\x0c"
@@ -91,7 +91,7 @@ def marked(numbers: DataFrame, of: str) -> np.ndarray:
     return bits
 
 
-def candidates(lines: DataFrame) -> DataFrame:
+def candidates(lines: DataFrame, spent: list[DataFrame]) -> DataFrame:
     """k1, k2, front, back: distinct lines that share a half with another, and which.
 
     Shared halves are found first, on two numbers a row. Rows go to the join with them only if their bucket is
@@ -102,6 +102,7 @@ def candidates(lines: DataFrame) -> DataFrame:
         F.struct(F.col("other").alias("half"), F.col("other_front").alias("front")),
     )).alias("x")).select("k1", "k2", "x.half", "x.front")
     shared = cut(halves.groupBy("half").agg(F.min("k1").alias("a"), F.max("k1").alias("b")).filter("a <> b").select("half"))
+    spent.append(shared)
     buckets = F.broadcast(shared.select(F.pmod("half", F.lit(BUCKETS)).alias("bucket")).distinct())  # BUCKETS rows at most
     perhaps = halves.withColumn("bucket", F.pmod("half", F.lit(BUCKETS))).join(buckets, "bucket", "left_semi").drop("bucket")
     return perhaps.join(shared, "half", "left_semi").groupBy("k1", "k2").agg(F.max("front").alias("front"), F.max(~F.col("front")).alias("back"))
@@ -171,14 +172,15 @@ def within_one(a: list[bytes], b: list[bytes]) -> bool:
     return i + j >= max(len(a), len(b)) - 1
 
 
-def near_later(texts: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """texts(k1, k2, pos, front, back, line) -> (k1, k2) of lines one edit from an earlier one."""
+def near_later(texts: DataFrame, spent: list[DataFrame], min_words: int = MIN_WORDS) -> DataFrame:
+    """texts(k1, k2, pos, front, back, line) -> (k1, k2) of lines one edit from an earlier one; spent gets what was cut for it."""
     rows = variants(texts)
     met = rows.groupBy("key").agg(F.min("k1").alias("a"), F.max("k1").alias("b")).filter("a <> b").select("key")
     rows = cut(rows.join(met, "key", "left_semi").join(texts.select("k1", "k2", "pos"), ["k1", "k2"]))
     first = rows.groupBy("key", "place").agg(F.min(F.when(F.col("own"), F.col("pos"))).alias("own_pos"), F.min(F.when(~F.col("own"), F.col("pos"))).alias("cut_pos"), F.count("*").alias("n"))
     partner = F.when((F.col("place") < 0) & ~F.col("own"), F.col("own_pos")).otherwise(F.col("cut_pos"))
     pairs = cut(joined_to_one(rows, first, ["key", "place"], "n", rows.count()).withColumn("partner", partner).filter("partner < pos").select("k1", "k2", "partner").distinct())
+    spent += [rows, pairs]
     asked = pairs.groupBy("partner").agg(F.count("*").alias("n"))
     earlier = texts.select(F.col("pos").alias("partner"), F.col("line").alias("earlier")).join(asked, "partner")
     told = joined_to_one(texts.select("k1", "k2", "line").join(pairs, ["k1", "k2"]), earlier, ["partner"], "n", pairs.count())
@@ -199,13 +201,20 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", told:
     and lines dropped. (Columns of docs with these names are replaced; with an empty told, none is and none is added.)"""
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
     lines, delete = written(line_table(base))
+    spent: list[DataFrame] = []
     try:
-        texts = cut(texts_of(base, cut(candidates(lines))))
-        gone = cut(near_later(texts))
+        wanted = cut(candidates(lines, spent))
+        texts = cut(texts_of(base, wanted))
+        release(wanted, *spent)
+        spent = []
+        gone = cut(near_later(texts, spent))
+        release(texts, *spent)
+        spent = [gone]
         stay = firsts(lines).join(gone, ["k1", "k2"], "left_anti")
         kept = cut(stay.groupBy(F.col("pos.doc_id").alias("id"), F.col("pos.h").alias("h")).agg(F.collect_list("pos.no").alias("kept")))
     finally:
         delete()
+        release(*spent)
     # columns of docs travel in a struct, where their names meet none of ours
     whole = docs.select(F.struct(*(c for c in docs.columns if c not in told)).alias("doc")).withColumn("key", F.xxhash64(F.col("doc")[text_col]))
     joined = whole.join(kept, (F.col("h") == F.col("key")) & F.col("id").eqNullSafe(F.col("doc")[id_col].cast("long")), "left")
