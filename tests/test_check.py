@@ -123,7 +123,6 @@ def test_a_rule_that_raises_costs_itself_alone(spark, monkeypatch):
     def broken(ctx):
         return ctx.no_such_table
 
-    monkeypatch.setattr(facts.Reader, "marks", facts.Reader.marks)
     report = check.check(files.in_memory(spark, {"before": BEFORE, "after": AFTER}), rules=rules)
     assert [(e.rule, e.path) for e in report.errors.filter("rule IS NOT NULL").collect()] == [("broken", None)]
     assert {r.rule for r in report.findings.collect()} >= {"signature-break"}
