@@ -24,6 +24,13 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def over_cores(df: DataFrame) -> DataFrame:
+    """df over as many partitions as there are cores, where it has fewer: a small table may be one file of one row group, and
+    work on its texts would then be one task's. Large tables are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, materialised in the shared folder, so that lineage ends and lost executors cost no recomputation."""
     shared_folder(df.sparkSession)

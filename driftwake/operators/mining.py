@@ -26,7 +26,7 @@ def baskets(rows: DataFrame, basket: str, item: str, max_items: int = MAX_ITEMS,
     return both.join(totals, "item").withColumn("confidence", F.col("together") / F.col("total")).filter(F.col("confidence") >= confidence).select("item", "partner", "together", "total", "confidence")
 
 
-HEAVY = 1000
+HEAVY = 10
 
 
 def similar_classes(sets: DataFrame, key: str, items: str, least: float, ratio: float = 0.0, by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
@@ -36,14 +36,17 @@ def similar_classes(sets: DataFrame, key: str, items: str, least: float, ratio:
 
     An exact prefix-filtered self-join: in a common order of all items, two sets that are similar enough share one of their
     first |s| - ceil(least * |s|) + 1; and where they first meet, enough of both must be left. The order is that of the
-    items themselves, with those that very many sets hold at the end, so that no item brings very many sets together; what
-    is told of those is bounded (a thousandth of all, HEAVY at least). Members of a class never multiply."""
+    items themselves, with those that many sets hold (a thousandth of all, HEAVY at least) at the end, so that no item brings many
+    sets together. Members of a class never multiply; keys are distinct."""
     by = list(by)
     base = sets.select(*by, F.col(key).alias("key"), F.sort_array(F.array_distinct(items)).alias("s")).filter(F.size("s") > 0)
-    named = cut(base.groupBy(*by, "s").agg(F.min("key").alias("class"), F.count("*").alias("members")))
-    classes = base.join(named.select(*by, "s", "class"), [*by, "s"]).select("key", "class") if by else base.join(named.select("s", "class"), "s").select("key", "class")
+    base = cut(base.withColumns({"_h": F.xxhash64("s"), "_g": F.hash("s"), "_n": F.size("s")}))  # 96 bits and the size tell sets apart
+    alike = [*by, "_h", "_g", "_n"]
+    firsts = base.groupBy(*alike).agg(F.min("key").alias("class"))
+    classes = base.select(*alike, "key").join(firsts, alike).select("key", "class")
+    named = base.join(firsts.select(F.col("class").alias("key")), "key", "left_semi").select(*by, F.col("key").alias("class"), "s")
     counts = named.select(*by, F.explode("s").alias("x")).groupBy(*by, "x").agg(F.count("*").alias("n"))
-    most = max(HEAVY, named.count() // 1000)
+    most = max(HEAVY, base.count() // 1000)
     often = cut(counts.filter(F.col("n") > most).select(*by, "x"))
     if often.head(1):
         last = named.select(*by, "class", F.explode("s").alias("x")).join(often, [*by, "x"]).groupBy(*by, "class").agg(F.array_sort(F.collect_list("x")).alias("last"))

@@ -282,7 +282,7 @@ m AS (SELECT word, count(*) AS mentions FROM w GROUP BY 1)
 SELECT word, coalesce(mentions, 0) AS mentions, definitions FROM d LEFT JOIN m USING (word) WHERE coalesce(mentions, 0) <= definitions
 """)
 def a5_unmentioned(spark, read):
-    words = read("documents").select(T.tokens(C("text")).alias("w"))
+    words = graph.over_cores(read("documents").select("text")).select(T.tokens(C("text")).alias("w"))
     return mining.unmentioned(words.select(F.explode("w").alias("word")), words.select(F.get("w", F.lit(0)).alias("word")).filter("word IS NOT NULL"), "word")
 
 
@@ -297,7 +297,7 @@ UNION ALL SELECT c AS a, doc_id AS b, 1.0::DOUBLE FROM c WHERE c <> doc_id
 def f8_near_duplicates(spark, read):
     """Definitions of at least 30 tokens, by Jaccard similarity of their shingles of 4 tokens: pairs of classes of equal sets, and
     of each other member its class."""
-    w = read("documents").select("doc_id", F.filter(F.split("text", r"\s+"), lambda x: x != "").alias("w")).filter(F.size("w") >= 30)
+    w = graph.over_cores(read("documents").select("doc_id", "text")).select("doc_id", F.filter(F.split("text", r"\s+"), lambda x: x != "").alias("w")).filter(F.size("w") >= 30)
     s = w.select("doc_id", T.shingles(C("w"), 4).alias("s"))
     classes, links = mining.similar_classes(s, "doc_id", "s", 0.82, 0.6)
     members = classes.filter(C("key") != C("class")).select(C("class").alias("a"), C("key").alias("b"), F.lit(1.0).alias("similarity"))
@@ -309,7 +309,7 @@ SCAN = {"number": "[0-9]{4,}", "address": "[a-z]+@[a-z]+", "license": "(?i)licen
 
 @query("WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) " + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS rule, count(*) AS lines FROM l WHERE regexp_matches(line, '{v}') GROUP BY 1" for k, v in SCAN.items()))
 def f12_line_scan(spark, read):
-    lines = read("documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    lines = graph.over_cores(read("documents").select("doc_id", "text")).select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
     hit = F.filter(F.array(*(F.when(C("line").rlike(v), F.lit(k)) for k, v in SCAN.items())), lambda x: x.isNotNull())
     return lines.select("doc_id", F.explode(hit).alias("rule")).groupBy("doc_id", "rule").agg(F.count("*").alias("lines"))
 
