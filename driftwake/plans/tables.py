@@ -236,16 +236,16 @@ def g7_reach(spark, read):
     return graph.reach(graph.cut(order_edges(read)), start, backward=True).select("node")
 
 
-def labels_sql() -> str:
+def labels_sql(rounds: int = 30) -> str:
     steps = ["l0 AS (SELECT DISTINCT s AS node, s AS label FROM u)"]
-    steps += [f"l{i} AS (SELECT node, label FROM (SELECT u.s AS node, l.label, row_number() OVER (PARTITION BY u.s ORDER BY sum(u.w) DESC, l.label) AS n FROM u JOIN l{i - 1} l ON l.node = u.d GROUP BY u.s, l.label) WHERE n = 1)" for i in range(1, 6)]
-    return f"WITH e AS (SELECT o_custkey AS s, o_orderkey % 1500 AS d, CAST(count(*) AS BIGINT) AS w FROM orders GROUP BY 1, 2), u AS (SELECT s, d, CAST(sum(w) AS BIGINT) AS w FROM (SELECT s, d, w FROM e UNION ALL SELECT d, s, w FROM e) WHERE s <> d GROUP BY 1, 2), {', '.join(steps)} SELECT node, label FROM l5"
+    steps += [f"l{i} AS (SELECT node, label FROM (SELECT u.s AS node, l.label, row_number() OVER (PARTITION BY u.s ORDER BY sum(u.w) DESC, l.label) AS n FROM u JOIN l{i - 1} l ON l.node = u.d GROUP BY u.s, l.label) WHERE n = 1)" for i in range(1, rounds + 1)]
+    return f"WITH e AS (SELECT o_custkey AS s, o_orderkey % 1500 AS d, CAST(count(*) AS BIGINT) AS w FROM orders GROUP BY 1, 2), u AS (SELECT s, d, CAST(sum(w) AS BIGINT) AS w FROM (SELECT s, d, w FROM e UNION ALL SELECT d, s, w FROM e) WHERE s <> d GROUP BY 1, 2), {', '.join(steps)} SELECT node, label FROM l{rounds}"
 
 
 @query(labels_sql())
 def g10_communities(spark, read):
     e = read("orders").groupBy(C("o_custkey").alias("src"), mod("o_orderkey", 1500).alias("dst")).agg(F.count("*").alias("weight"))
-    return graph.communities(e, 5)
+    return graph.communities(e)
 
 
 @query("""
