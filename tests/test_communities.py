@@ -26,3 +26,12 @@ def test_labels_settle_on_a_long_graph(spark):
     assert want != brute(edges, 5)
     got = graph.communities(spark.createDataFrame(edges, "src long, dst long, weight long"))
     assert {r.node: r.label for r in got.collect()} == want
+
+
+def test_labels_that_swing_end_as_after_all_rounds(spark):
+    """In a star the middle and its leaves swap labels for ever; an odd count of rounds and an even one end differently."""
+    edges = [(9, i, 1) for i in range(4)] + [(20, 21, 2), (21, 22, 1), (22, 20, 1)]
+    assert brute(edges, 3) != brute(edges, 30)
+    for rounds in (0, 3, 30):
+        got = graph.communities(spark.createDataFrame(edges, "src long, dst long, weight long"), rounds)
+        assert {r.node: r.label for r in got.collect()} == brute(edges, rounds), rounds
