@@ -7,7 +7,7 @@ constants."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -19,6 +19,7 @@ from driftwake.operators import changes as diffs
 from driftwake.operators import graph, ranking, spans
 from driftwake.rules import changes as _change_rules  # noqa: F401  registers
 from driftwake.rules import files as _file_rules  # noqa: F401  registers
+from driftwake.rules import languages as _language_rules  # noqa: F401  registers
 from driftwake.rules import registry
 from driftwake.sources import facts as sources
 from driftwake.sources import manifests
@@ -103,11 +104,18 @@ class Context:
         there = read.select("fact", judged.alias("rule")).unionByName(files.filter(C("path").rlike(manifests.MANIFEST)).select(F.lit("manifest").alias("fact"), F.lit(None).cast("string").alias("rule"))).distinct().collect()
         self.facts_there, self.read_rules = {r[0] for r in there}, {r[1] for r in there}
         self.has_manifest = "manifest" in self.facts_there
+        self._kept: dict = {}
         self._declared = lambda: graph.cut(manifests.declared(files).join(sides, "snapshot").drop("snapshot"))
 
     def table(self, fact: str) -> DataFrame:
         return sources.table(self.facts, fact)
 
+    def kept(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """A table that several rules share, made by the first that asks."""
+        if name not in self._kept:
+            self._kept[name] = make()
+        return self._kept[name]
+
     @cached_property
     def defs(self) -> DataFrame:
         return graph.cut(definitions(self.facts))

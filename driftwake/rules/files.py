@@ -114,6 +114,7 @@ READ = {
     "leap-day-date": (True, "move the date with a calendar, or say what February 29 becomes"),
     "loop-without-progress": (True, "let every way round the loop change what it tests"),
     "regex-catastrophic-backtracking": (False, "let no two unbounded parts match the same text"),
+    "unreachable-statement": (True, "put what belongs together in braces: what is indented below an if need not be in it"),
     "unsynchronized-shared-state": (False, "hold one lock round all uses"),
 }
 

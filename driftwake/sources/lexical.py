@@ -1,5 +1,5 @@
 """Facts of C, C++, Java, TypeScript/JavaScript, Fortran and COBOL texts, read lexically: definitions with their parameters, and calls
-with the number of their arguments.
+with the number of their arguments; of C also declarations, switches and what can't be reached (declarations.py, flow.py).
 
 There is no preprocessor, no type and no overload here: names are those of a language's own scope (`java@Class.method`, `c@name`,
 `fortran@name`, `cobol@PROGRAM.PARAGRAPH`), Fortran's in lower case, COBOL's in upper. Comments and what strings hold are masked first.
@@ -11,6 +11,7 @@ import hashlib
 import json
 import re
 
+from driftwake.sources import declarations, flow
 from driftwake.sources.lines import FIXED_FORM, mask
 
 KEYWORDS = {"if", "for", "while", "switch", "catch", "return", "sizeof", "new", "delete", "throw", "else", "do", "synchronized", "function", "typeof", "await", "super", "this", "defined", "static_assert", "constructor", "case"}
@@ -81,6 +82,7 @@ def braces(path: str, text: str, lang: str) -> list[tuple[str, str]]:
     code, facts = mask(text, lang), Facts()
     bare = mask(text, lang, strings=False)  # comments alone are gone: what bodies say
     line = lambda at: code.count("\n", 0, at) + 1
+    plain = declarations.DIRECTIVE.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), code) if lang == "c" else ""
     stack: list[tuple] = []
     inside = lambda: any(s[0] == "fn" for s in stack)
     for m in OPEN.finditer(code):
@@ -90,6 +92,9 @@ def braces(path: str, text: str, lang: str) -> list[tuple[str, str]]:
                 if kind == "fn":
                     body = code[start : m.start()]
                     facts.define(name, "method" if extra[1] else "function", line(at), line(m.start()), extra[0], bare[start : m.start()], contract(parts(extra[0]), lang))
+                    if lang == "c":
+                        facts.out += declarations.switches(name, plain[start : m.start()], line(start))
+                        facts.out += flow.unreachable(name, plain[start : m.start()], text[start : m.start()], line(start))
                     for c in CALL.finditer(body):
                         said = re.split(r"\.|->|::", c[1])
                         args = enclosed(body, c.end() - 1)
@@ -113,7 +118,7 @@ def braces(path: str, text: str, lang: str) -> list[tuple[str, str]]:
             stack.append(("fn", f"{lang}@{full}", m.start(), m.end(), (m["params"], owner)))
         else:
             stack.append(("block", "", m.start(), m.end(), None))
-    return facts.out
+    return facts.out + (declarations.read(text) if lang == "c" else [])
 
 
 UNIT = re.compile(r"^\s*(?:(?:recursive|pure|elemental|integer|real|logical|double\s+precision|character|complex)[\w\s()*=]*?\s)?(subroutine|function|program)\s+(\w+)\s*(?:\(([^)]*)\))?", re.I)
