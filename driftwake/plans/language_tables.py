@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftwake.operators import records
+from driftwake.operators import copybooks, records
 from driftwake.plans import check
 from driftwake.plans.tables import mod, query
 from driftwake.rules import registry
@@ -141,3 +141,144 @@ def c_unhandled_new_member(spark, read):
     code = lambda snapshot: file(cases, cat("s/", C("e"), "_", C("s"), ".c"), cat('#include "', C("e"), '.h"\nvoid f', C("e"), "_", C("s"), "(enum s", C("e"), " x) {\n  switch (x) {\n", C("body"), "\n  default: b();\n  }\n}\n"), snapshot)
     both = enum(d.filter("source <> 'src3'"), "before").unionByName(code("before")).unionByName(enum(d, "after")).unionByName(code("after"))
     return check.check(both, rules={"unhandled-new-member": registry.RULES["unhandled-new-member"]}).findings.select("path", "line", "severity")
+
+
+# ---- COBOL
+
+
+def area(*parts):
+    """A line of fixed form."""
+    return cat("       ", *parts)
+
+
+def alone(both: DataFrame, rule: str) -> DataFrame:
+    return check.check(both, rules={rule: registry.RULES[rule]}).findings.select("path", "line", "severity")
+
+
+def books(part: DataFrame, n, snapshot: str) -> DataFrame:
+    """A copybook for each rest of keys by 100: fields in groups by brand, of characters, packed digits or both in a table."""
+    r = part.withColumn("r", mod("p_partkey", 100)).withColumn("g", C("p_brand"))
+    pic = F.when(mod("p_partkey", 3) == 0, cat("PIC S9(", n, ") COMP-3")).when(mod("p_partkey", 3) == 1, cat("PIC X(", n, ")")).otherwise(cat("PIC 9(", n, ")V99 OCCURS 3 TIMES"))
+    field = area("     10 F", C("p_partkey"), " ", pic, ".")
+    groups = joined(r, ["r", "g"], "p_partkey", field)
+    tag = F.upper(F.regexp_replace("g", "[^A-Za-z0-9]", "-"))
+    whole = joined(groups, ["r"], "g", F.concat(area("   05 G-", tag, "."), F.lit("\n"), C("body")))
+    return file(whole, cat("b/B", C("r"), ".cpy"), F.concat(area("01 REC-", C("r"), "."), F.lit("\n"), C("body"), F.lit("\n")), snapshot)
+
+
+WIDE = "CASE p_partkey % 3 WHEN 0 THEN {0} // 2 + 1 WHEN 1 THEN {0} ELSE {0} + 2 END"
+N = "p_size % 9 + 1"
+
+
+@query(f"""
+WITH f AS (SELECT p_partkey % 100 AS r, p_brand AS g, p_partkey AS p, CAST({WIDE.format(f"({N})")} AS BIGINT) AS w, CASE WHEN p_partkey % 3 = 2 THEN 3 ELSE 1 END AS times FROM part)
+SELECT 'REC-' || r AS record, 'F' || p AS name, w AS size, CAST(coalesce(sum(w * times) OVER (PARTITION BY r ORDER BY g, p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM f
+""")
+def cobol_layout(spark, read):
+    """Sizes and offsets of a record's fields, from the texts of copybooks."""
+    known = facts.facts(books(read("part"), mod("p_size", 9) + 1, "after"))
+    none = spark.createDataFrame([], "snapshot string, book string, path string")
+    opened = copybooks.opened(facts.table(known, "item"), facts.table(known, "copy"), none, ["snapshot"])
+    return copybooks.laid_out(opened, ["snapshot"]).filter("name LIKE 'F%' AND name NOT LIKE 'FILLER%'").select("record", "name", "size", "offset")
+
+
+@query(f"""
+WITH f AS (SELECT p_partkey % 100 AS r, {WIDE.format(f"({N})")} AS was, {WIDE.format(f"(CASE WHEN p_partkey % 97 = 0 THEN {N} + 1 ELSE {N} END)")} AS now, p_partkey % 97 = 0 AS other FROM part)
+SELECT DISTINCT 'b/B' || r || '.cpy' AS path, CAST(first AS INTEGER) AS line, 'critical' AS severity FROM (SELECT r, bool_or(other) AS hit, sum(now - was) AS moved, 1 AS first FROM f GROUP BY r) WHERE hit AND r % 3 <> 0 AND moved > 0
+UNION ALL SELECT 'b/B' || r || '.cpy', CAST(2 + n AS INTEGER), 'critical' FROM (SELECT r, min(n) FILTER (other) AS n, bool_or(other) AS hit, sum(now - was) AS moved
+  FROM (SELECT *, i + g AS n FROM (SELECT p_partkey % 100 AS r, row_number() OVER (PARTITION BY p_partkey % 100 ORDER BY p_brand, p_partkey) AS i, dense_rank() OVER (PARTITION BY p_partkey % 100 ORDER BY p_brand) AS g,
+    {WIDE.format(f"({N})")} AS was, {WIDE.format(f"(CASE WHEN p_partkey % 97 = 0 THEN {N} + 1 ELSE {N} END)")} AS now, p_partkey % 97 = 0 AS other FROM part)) GROUP BY r) WHERE hit AND r % 3 <> 0 AND moved = 0
+""".replace("CAST(2 + n AS INTEGER)", "CAST(1 + n AS INTEGER)"))
+def cobol_copybook_layout_changed(spark, read):
+    """The rule, from text to finding: every 97th field is a character or digit longer; every third book is copied by nobody."""
+    p = read("part")
+    n = mod("p_size", 9) + 1
+    new = F.when(mod("p_partkey", 97) == 0, n + 1).otherwise(n)
+    r = p.select(mod("p_partkey", 100).alias("r")).distinct().filter("r % 3 <> 0")
+    uses = lambda snapshot: file(r, cat("u/P", C("r"), ".cbl"), F.concat_ws("\n", area("IDENTIFICATION DIVISION."), area("PROGRAM-ID. P", C("r"), "."), area("DATA DIVISION."), area("WORKING-STORAGE SECTION."), area("COPY B", C("r"), "."), area("PROCEDURE DIVISION."), area("MAIN-ONE."), area("    GOBACK.")), snapshot)
+    both = books(p, n, "before").unionByName(books(p, new, "after")).unionByName(uses("before")).unionByName(uses("after"))
+    return alone(both, "copybook-layout-changed")
+
+
+def program(df: DataFrame, name, data, procedure, path, snapshot: str) -> DataFrame:
+    text = F.concat_ws("\n", area("IDENTIFICATION DIVISION."), area("PROGRAM-ID. ", name, "."), area("DATA DIVISION."), area("WORKING-STORAGE SECTION."), data, area("PROCEDURE DIVISION."), procedure)
+    return file(df, path, text, snapshot)
+
+
+def moving(part: DataFrame, digits, snapshot: str) -> DataFrame:
+    r = part.withColumn("r", mod("p_partkey", 50))
+    data = joined(r, ["r"], "p_partkey", F.concat(area("01 A", C("p_partkey"), " PIC 9(", digits, ")."), F.lit("\n"), area("01 B", C("p_partkey"), " PIC 9(5).")))
+    code = joined(r, ["r"], "p_partkey", area("    MOVE A", C("p_partkey"), " TO B", C("p_partkey"), ".")).withColumnRenamed("body", "code")
+    return program(data.join(code, "r"), cat("M", C("r")), C("body"), F.concat(area("MAIN-ONE."), F.lit("\n"), C("code"), F.lit("\n")), cat("m/M", C("r"), ".cbl"), snapshot)
+
+
+@query("""
+WITH f AS (SELECT p_partkey % 50 AS r, row_number() OVER (PARTITION BY p_partkey % 50 ORDER BY p_partkey) AS i, count(*) OVER (PARTITION BY p_partkey % 50) AS n, p_size % 7 + 1 AS was, (p_size % 7 + 1) + CASE WHEN p_partkey % 5 = 0 THEN 3 ELSE 0 END AS now FROM part)
+SELECT 'm/M' || r || '.cbl' AS path, CAST(4 + 2 * n + 2 + i AS INTEGER) AS line, 'high' AS severity FROM f WHERE greatest(now - 5, 0) > greatest(was - 5, 0)
+""")
+def cobol_move_truncates(spark, read):
+    """The rule, from text to finding: every fifth field is three digits wider, its receiver is not."""
+    p = read("part")
+    n = mod("p_size", 7) + 1
+    return alone(moving(p, n, "before").unionByName(moving(p, n + F.when(mod("p_partkey", 5) == 0, 3).otherwise(0), "after")), "move-truncates")
+
+
+def talks(read, keep, snapshot: str, main, text) -> DataFrame:
+    """A program a conversation, with a paragraph a turn."""
+    c = read("conversations").select("conv_id", "turn", "role")
+    body = joined(c.filter(keep), ["conv_id"], "turn", F.concat(area("T", C("turn"), "."), F.lit("\n"), area("    ", text, ".")))
+    ends = c.filter("turn % 3 <> 2").groupBy("conv_id").agg(F.min("turn").alias("a"), F.max("turn").alias("z"))
+    return program(body.join(ends, "conv_id"), cat("C", C("conv_id")), area("01 A PIC X."), F.concat_ws("\n", *main, C("body"), F.lit("")), cat("c/C", C("conv_id"), ".cbl"), snapshot)
+
+
+@query("""
+WITH e AS (SELECT conv_id, min(turn) AS a, max(turn) AS z FROM conversations WHERE turn % 3 <> 2 GROUP BY 1)
+SELECT DISTINCT 'c/C' || conv_id || '.cbl' AS path, CAST(8 AS INTEGER) AS line, 'high' AS severity FROM conversations JOIN e USING (conv_id) WHERE turn % 3 = 2 AND turn > a AND turn < z
+""")
+def cobol_perform_thru_range_changed(spark, read):
+    """The rule, from text to finding: every third turn comes in between."""
+    main = [area("MAIN-ONE."), area("    PERFORM T", C("a"), " THRU T", C("z"), "."), area("    GOBACK.")]
+    make = lambda keep, s: talks(read, keep, s, main, F.lit("DISPLAY A"))
+    return alone(make("turn % 3 <> 2", "before").unionByName(make("true", "after")), "perform-thru-range-changed")
+
+
+TALK = "SELECT conv_id AS c, turn AS t, turn % 5 = 3 AS leaves FROM conversations"
+
+
+@query(f"""
+WITH a AS ({TALK}), b AS (SELECT * FROM a WHERE t % 4 <> 2),
+fa AS (SELECT c, t, lead(t) OVER w AS next, leaves, coalesce(sum(CASE WHEN leaves THEN 1 ELSE 0 END) OVER (PARTITION BY c ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s, row_number() OVER w AS i FROM a WINDOW w AS (PARTITION BY c ORDER BY t)),
+fb AS (SELECT c, t, lead(t) OVER w AS next, leaves, coalesce(sum(CASE WHEN leaves THEN 1 ELSE 0 END) OVER (PARTITION BY c ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM b WINDOW w AS (PARTITION BY c ORDER BY t))
+SELECT 'c/C' || fa.c || '.cbl' AS path, CAST(6 + 2 * i AS INTEGER) AS line, 'medium' AS severity FROM fa JOIN b USING (c, t) LEFT JOIN fb ON fb.c = fa.c AND fb.t = fa.t AND fb.s = 0 AND NOT fb.leaves AND fb.next IS NOT NULL
+WHERE fa.s = 0 AND NOT fa.leaves AND fa.next IS NOT NULL AND fa.next IS DISTINCT FROM fb.next AND NOT (fb.next IS NOT NULL AND fb.next NOT IN (SELECT t FROM a x WHERE x.c = fa.c))
+""")
+def cobol_fall_through_changed(spark, read):
+    """The rule, from text to finding: every fourth turn comes in between, some turns leave."""
+    text = F.when(mod("turn", 5) == 3, "GOBACK").otherwise("DISPLAY A")
+    make = lambda keep, s: talks(read, keep, s, [], text)
+    return alone(make("turn % 4 <> 2", "before").unionByName(make("true", "after")), "fall-through-changed")
+
+
+@query("""
+WITH s AS (SELECT s_suppkey AS k, s_nationkey % 4 AS given, s_nationkey % 5 AS size FROM supplier WHERE s_suppkey % 2 = 0)
+SELECT 'x/A' || k || '.cbl' AS path, CAST(9 AS INTEGER) AS line, 'critical' AS severity FROM s WHERE (given <> 2) OR (size < 3)
+""")
+def cobol_call_using_mismatch(spark, read):
+    """The rule, from text to finding: a caller a supplier, which before handed over what is taken, and now another number or size."""
+    s = read("supplier").select(C("s_suppkey").alias("k"), mod("s_nationkey", 4).alias("given"), mod("s_nationkey", 5).alias("size"))
+    two = F.lit("ARG-A ARG-B")
+    args = F.when(mod("k", 2) == 1, two).when(C("given") == 0, "").when(C("given") == 1, "ARG-A").when(C("given") == 2, two).otherwise("ARG-A ARG-B ARG-A")
+    size = F.when(mod("k", 2) == 1, F.lit(3)).otherwise(C("size") + F.when(C("size") == 0, 1).otherwise(0))
+    call = lambda a: area("    CALL 'TAKER'", F.when(a != "", F.concat(F.lit(" USING "), a)).otherwise(""), ".")
+    make = lambda a, n, snapshot: program(s, cat("A", C("k")), F.concat(area("01 ARG-A PIC X(", n, ")."), F.lit("\n"), area("01 ARG-B PIC X(9).")), F.concat_ws("\n", area("MAIN-ONE."), call(a), area("    GOBACK.")), cat("x/A", C("k"), ".cbl"), snapshot)
+    taker = F.concat_ws("\n", area("IDENTIFICATION DIVISION."), area("PROGRAM-ID. TAKER."), area("DATA DIVISION."), area("LINKAGE SECTION."), area("01 L-A PIC X(3)."), area("01 L-B PIC X(9)."), area("PROCEDURE DIVISION USING L-A L-B."), area("MAIN-ONE."), area("    GOBACK."))
+    one = s.orderBy("k").limit(1)
+    takers = file(one, F.lit("x/TAKER.cbl"), taker, "before").unionByName(file(one, F.lit("x/TAKER.cbl"), taker, "after"))
+    return alone(make(two, F.lit(3), "before").unionByName(make(args, size, "after")).unionByName(takers), "call-using-mismatch")
+
+
+@query("SELECT 'c/C' || conv_id || '.cbl' AS path, CAST(min(5 + 2 * i) AS INTEGER) AS line, 'low' AS severity FROM (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations) WHERE role = 'assistant' AND turn % 4 = 3 GROUP BY 1")
+def cobol_legacy_construct_introduced(spark, read):
+    """The rule, from text to finding: some turns of the assistant jump now."""
+    jump = F.when((C("role") == "assistant") & (mod("turn", 4) == 3), "IF A = SPACE GO TO T0").otherwise("DISPLAY A")
+    return alone(talks(read, "true", "before", [], F.lit("DISPLAY A")).unionByName(talks(read, "true", "after", [], jump)), "legacy-construct-introduced")

@@ -1,5 +1,6 @@
 """Facts of C, C++, Java, TypeScript/JavaScript, Fortran and COBOL texts, read lexically: definitions with their parameters, and calls
-with the number of their arguments; of C also declarations, switches and what can't be reached (declarations.py, flow.py).
+with the number of their arguments; of C also declarations, switches and what can't be reached (declarations.py, flow.py), of COBOL data and
+the order of procedures (cobol.py).
 
 There is no preprocessor, no type and no overload here: names are those of a language's own scope (`java@Class.method`, `c@name`,
 `fortran@name`, `cobol@PROGRAM.PARAGRAPH`), Fortran's in lower case, COBOL's in upper. Comments and what strings hold are masked first.
@@ -11,6 +12,7 @@ import hashlib
 import json
 import re
 
+from driftwake.sources import cobol as divisions
 from driftwake.sources import declarations, flow
 from driftwake.sources.lines import FIXED_FORM, mask
 
@@ -178,7 +180,7 @@ def cobol(path: str, text: str) -> list[tuple[str, str]]:
                 facts.call(src, line(m.start() + a + c.start()), [f"cobol@{c[1]}"], None, args)
             for c in re.finditer(r"\bPERFORM\s+([A-Z][\w-]*)", said):
                 facts.call(src, line(m.start() + a + c.start()), [f"{name}.{c[1]}"], None, [])
-    return facts.out
+    return facts.out + divisions.read(text)
 
 
 def read(path: str, text: str, lang: str) -> list[tuple[str, str]]:
