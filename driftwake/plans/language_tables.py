@@ -10,7 +10,7 @@ from driftwake.operators import copybooks, records
 from driftwake.plans import check
 from driftwake.plans.tables import mod, query
 from driftwake.rules import registry
-from driftwake.sources import facts
+from driftwake.sources import facts, lines
 
 C = F.col
 
@@ -282,3 +282,29 @@ def cobol_legacy_construct_introduced(spark, read):
     """The rule, from text to finding: some turns of the assistant jump now."""
     jump = F.when((C("role") == "assistant") & (mod("turn", 4) == 3), "IF A = SPACE GO TO T0").otherwise("DISPLAY A")
     return alone(talks(read, "true", "before", [], F.lit("DISPLAY A")).unionByName(talks(read, "true", "after", [], jump)), "legacy-construct-introduced")
+
+
+# ---- patterns over whole texts
+
+
+@query("""
+WITH o AS (SELECT o_custkey AS c, o_orderkey % 4 AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders)
+SELECT 'w/' || c || '.py' AS path, CAST(2 * i - 1 AS INTEGER) AS line, 'py-import-by-name' AS rule FROM o WHERE k = 1
+""")
+def f12_hidden_over_lines(spark, read):
+    """A call by name whose argument stands on the next line, beside ones that hand over a literal there, or stand in a comment."""
+    said = F.array(F.lit("m = import_module(\n    'a.b')"), F.lit("m = import_module(\n    name)"), F.lit("m = 1\nn = 2"), F.lit("# import_module(name)\nn = 2"))
+    body = joined(read("orders"), ["o_custkey"], "o_orderkey", F.element_at(said, (mod("o_orderkey", 4) + 1).cast("int")))
+    return lines.hidden_calls(body.select(cat("w/", C("o_custkey"), ".py").alias("path"), C("body").alias("text")))
+
+
+@query("""
+WITH e AS (SELECT user_id AS u, event_id % 3 AS k, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events)
+SELECT 'g/' || u || '.cbl' AS path, CAST(2 * i - 1 AS INTEGER) AS line, 'cobol-go-to-depending' AS rule FROM e WHERE k = 0
+UNION ALL SELECT 'g/' || u || '.cbl', CAST(2 * i - 1 AS INTEGER), 'cobol-go-to' FROM e WHERE k = 1
+""")
+def f12_legacy_over_lines(spark, read):
+    """Jumps by number and plain ones, each over two lines."""
+    said = F.array(F.concat(area("    GO TO A-ONE B-ONE"), F.lit("\n"), area("      DEPENDING ON K.")), F.concat(area("    GO TO A-ONE"), F.lit("\n"), area("      .")), F.concat(area("    MOVE A"), F.lit("\n"), area("      TO B.")))
+    body = joined(read("events"), ["user_id"], "event_id", F.element_at(said, (mod("event_id", 3) + 1).cast("int")))
+    return lines.scan(body.select(cat("g/", C("user_id"), ".cbl").alias("path"), C("body").alias("text"))).select("path", "line", "rule")

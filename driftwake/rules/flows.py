@@ -2,7 +2,9 @@
 
 Flow facts say, for each function, which of its sources, parameters and results of calls reach which sinks, arguments and
 returns. Three fixpoints over joins put them together: what a call gives back (parameters that reach their function's return, sources
-that it returns), then which parameters a source reaches, with the functions on the way, then the sinks that these reach."""
+that it returns), then which parameters a source reaches, with the functions on the way, then the sinks that these reach. Of all ways to a
+state the shortest is kept, and the shortest through a function that the change wrote: it alone makes a finding. The
+MOST gravest of a pair are told, then by path, line and kind."""
 
 from __future__ import annotations
 
@@ -10,9 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftwake.functions.text import is_test_path
-from driftwake.operators import graph
+from driftwake.operators import graph, ranking
 
-ROUNDS = 40
 MOST = 20
 C = F.col
 #: How grave input of a kind is where a request brings it; what the program's own user brings is a level lower, and counts only for LOCAL.
@@ -40,15 +41,21 @@ def arguments(flows: DataFrame, calls: DataFrame) -> DataFrame:
     return j.withColumn("param", param).filter("param IS NOT NULL").drop("params")
 
 
-def settled(now: DataFrame, step, keys: list[str]) -> DataFrame:
-    """now with all that step(now) adds, until it adds nothing; at most ROUNDS times."""
-    now = graph.cut(now.dropDuplicates(keys))
-    for _ in range(ROUNDS):
-        new = graph.cut(step(now).dropDuplicates(keys).join(now, keys, "left_anti"))
+def settled(start: DataFrame, step, keys: list[str], best=None) -> DataFrame:
+    """start with all that step adds, until it adds nothing: there are no more rows than keys. step(new, now) gets what the last round
+    found and all so far. Of rows with equal keys in a round the one with the least `best` stays; one of an earlier round goes before."""
+    def one(df: DataFrame) -> DataFrame:
+        if best is None:
+            return df.dropDuplicates(keys)
+        rest = [c for c in df.columns if c not in keys]
+        return df.groupBy(*keys).agg(F.min_by(F.struct(*rest), best).alias("r")).select(*keys, "r.*").select(df.columns)
+
+    now = new = graph.cut_in_loop(one(start))
+    while True:
+        new = graph.cut_in_loop(one(step(new, now)).join(now, keys, "left_anti"))
         if not new.head(1):
-            break
-        now = graph.cut(now.unionByName(new))
-    return now
+            return now
+        now = graph.cut_in_loop(now.unionByName(new))
 
 
 def both(a: Column, b: Column) -> Column:
@@ -64,11 +71,12 @@ def grounded(flows: DataFrame, calls: DataFrame) -> DataFrame:
     waiting = every.filter("origin = 'call'").select("pair", "path", "owner", C("name").cast("int").alias("of"), "target", "line", "kind", "sink", "callee", "param", "call", C("cleared").alias("c0"))
     keys = ["pair", "owner", "origin", "name", "target", "line", "kind", "sink", "callee", "param", "call", "cleared"]
 
-    def step(now: DataFrame) -> DataFrame:
-        passes = now.filter("origin = 'param' AND target = 'return'").select("pair", C("owner").alias("callee"), C("name").alias("param"), C("cleared").alias("c1")).distinct()
-        handed = now.filter("target = 'arg'").select("pair", "owner", "origin", "name", C("call").alias("of"), "callee", "param", C("cleared").alias("c2")).join(passes, ["pair", "callee", "param"])
-        through = waiting.join(handed.drop("callee", "param"), ["pair", "owner", "of"]).withColumn("cleared", both(both(C("c0"), C("c1")), C("c2")))
-        gives = now.filter("origin NOT IN ('param', 'call') AND target = 'return'").select("pair", C("owner").alias("gives"), "origin", "name", C("cleared").alias("c1"))
+    def step(new: DataFrame, now: DataFrame) -> DataFrame:
+        passes = lambda df: df.filter("origin = 'param' AND target = 'return'").select("pair", C("owner").alias("callee"), C("name").alias("param"), C("cleared").alias("c1")).distinct()
+        handed = lambda df: df.filter("target = 'arg'").select("pair", "owner", "origin", "name", C("call").alias("of"), "callee", "param", C("cleared").alias("c2"))
+        met = handed(new).join(passes(now), ["pair", "callee", "param"]).unionByName(handed(now).join(passes(new), ["pair", "callee", "param"]))
+        through = waiting.join(met.drop("callee", "param"), ["pair", "owner", "of"]).withColumn("cleared", both(both(C("c0"), C("c1")), C("c2")))
+        gives = new.filter("origin NOT IN ('param', 'call') AND target = 'return'").select("pair", C("owner").alias("gives"), "origin", "name", C("cleared").alias("c1"))
         named = of_calls.join(gives, ["pair", "gives"])
         given = waiting.join(named.select("pair", "owner", "of", "origin", "name", "c1"), ["pair", "owner", "of"]).withColumn("cleared", both(C("c0"), C("c1")))
         return through.select(now.columns).unionByName(given.select(now.columns))
@@ -88,29 +96,31 @@ def findings(ctx) -> DataFrame | None:
     if there != {"sink", "source"}:
         return None
     ground = grounded(told, graph.cut(resolved(told, ctx.defs_of("after"))))
+    edited = ctx.live.select("pair", C("name").alias("owner")).distinct().withColumn("wrote", F.lit(True))
+    ground = graph.cut(ground.join(edited, ["pair", "owner"], "left").withColumn("wrote", F.coalesce("wrote", F.lit(False))))
     source = "origin NOT IN ('param', 'call')"
-    hand = ground.filter("origin = 'param' AND target = 'arg'").select("pair", "owner", C("name").alias("param"), C("callee").alias("next"), C("param").alias("next_param"), C("cleared").alias("c1"))
-    first = ground.filter(source + " AND target = 'arg'").select("pair", C("callee").alias("owner"), "param", "origin", "name", "cleared", F.array("owner").alias("via"))
-
-    def step(now: DataFrame) -> DataFrame:
-        on = now.join(hand, ["pair", "owner", "param"]).filter(~F.array_contains("via", C("owner")))
-        return on.select("pair", C("next").alias("owner"), C("next_param").alias("param"), "origin", "name", both(C("cleared"), C("c1")).alias("cleared"), F.concat("via", F.array("owner")).alias("via"))
-
-    reached = settled(first, step, ["pair", "owner", "param", "origin", "name", "cleared"])
-    sinks = ground.filter("target = 'sink'").select("pair", "path", "owner", "origin", "name", "line", "kind", "sink", "cleared")
-    direct = sinks.filter(source).withColumn("via", F.array().cast("array<string>"))
-    far = sinks.filter("origin = 'param'").select("pair", "path", "owner", C("name").alias("param"), "line", "kind", "sink", C("cleared").alias("c1")).join(reached, ["pair", "owner", "param"]).withColumn("cleared", both(C("cleared"), C("c1")))
+    hand = ground.filter("origin = 'param' AND target = 'arg'").select("pair", "owner", C("name").alias("param"), C("callee").alias("next"), C("param").alias("next_param"), C("cleared").alias("c1"), "wrote")
+    # touched: an edited function is on the way. Ways with one and without are states of their own, so neither hides the other
+    first = ground.filter(source + " AND target = 'arg'").select("pair", C("callee").alias("owner"), "param", "origin", "name", "cleared", C("wrote").alias("touched"), F.array("owner").alias("via"))
+
+    def step(new: DataFrame, now: DataFrame) -> DataFrame:
+        on = new.join(hand, ["pair", "owner", "param"])
+        return on.select("pair", C("next").alias("owner"), C("next_param").alias("param"), "origin", "name", both(C("cleared"), C("c1")).alias("cleared"), (C("touched") | C("wrote")).alias("touched"), F.concat("via", F.array("owner")).alias("via"))
+
+    reached = settled(first, step, ["pair", "owner", "param", "origin", "name", "cleared", "touched"], C("via"))
+    sinks = ground.filter("target = 'sink'").select("pair", "path", "owner", "origin", "name", "line", "kind", "sink", "cleared", "wrote")
+    direct = sinks.filter(source).withColumn("touched", F.lit(False)).withColumn("via", F.array().cast("array<string>"))
+    far = sinks.filter("origin = 'param'").select("pair", "path", "owner", C("name").alias("param"), "line", "kind", "sink", C("cleared").alias("c1"), "wrote").join(reached, ["pair", "owner", "param"]).withColumn("cleared", both(C("cleared"), C("c1")))
     every = direct.unionByName(far.select(direct.columns)).filter(~F.array_contains("cleared", C("kind")) & ((C("origin") != "local") | C("kind").isin(*LOCAL)))
-    edited = ctx.live.select("pair", C("name").alias("edited")).distinct()
-    touched = every.withColumn("fn", F.explode(F.concat("via", F.array("owner")))).join(edited, (C("fn") == C("edited")) & (every["pair"] == edited["pair"]), "left_semi").drop("fn").distinct()
+    touched = every.filter("wrote OR touched").drop("wrote", "touched").distinct()
     level = F.lit("low")
     for kind, severity in GRAVE.items():
         level = F.when(C("kind") == kind, F.when(C("origin") == "local", LOWER[severity]).otherwise(severity)).otherwise(level)
-    rank = F.struct(F.when(C("origin") == "web", 0).when(C("origin") == "network", 1).otherwise(2).alias("o"), F.size("via").alias("hops"), "name")
+    rank = F.struct(F.when(C("origin") == "web", 0).when(C("origin") == "network", 1).otherwise(2).alias("o"), F.size("via").alias("hops"), "name", "via", "owner", "sink")
     best = touched.groupBy("pair", "path", "line", "kind").agg(F.min_by(F.struct("origin", "name", "owner", "sink", "via"), rank).alias("b"), F.countDistinct("name").alias("sources"))
     best = best.select("pair", "path", "line", "kind", "sources", "b.*").withColumn("severity", level)
     way = F.array_join(F.concat("via", F.array("owner")), "() hands it to ")
     more = F.when(C("sources") > 1, F.concat(F.lit(" ("), (C("sources") - 1).cast("string"), F.lit(" more sources)"))).otherwise("")
     said = F.concat("name", F.lit(" reaches "), "sink", F.lit("() in "), way, F.lit("()"), more)
-    place = F.row_number().over(Window.partitionBy("pair").orderBy("severity", "path", "line", "kind"))
+    place = F.row_number().over(Window.partitionBy("pair").orderBy(ranking.rank(C("severity")), "path", "line", "kind"))  # the gravest
     return best.withColumn("place", place).filter(C("place") <= MOST).select("pair", "severity", said.alias("message"), "path", "line")

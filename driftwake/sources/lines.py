@@ -1,12 +1,15 @@
 """Texts line by line: comments and strings masked, line patterns, differences, close names, statements.
 
-Masking, differences and close matches are sequential in a text, so they run over Arrow batches; all else is column functions."""
+Masking, patterns over whole texts, differences and close matches are sequential in a text, so they run over Arrow batches; all else is
+column functions."""
 
 from __future__ import annotations
 
+import bisect
 import difflib
 import re
 from collections.abc import Iterator
+from re import _parser as parser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -18,6 +21,7 @@ from driftwake.values import HIDDEN_CALLS, LEGACY, URGENCY
 C = F.col
 STRINGS = r"'''(?:\\.|[^\\])*?'''|\"\"\"(?:\\.|[^\\])*?\"\"\"|'(?:\\.|[^'\\\n])*'|\"(?:\\.|[^\"\\\n])*\""
 COMMENTS = {"python": r"\#[^\n]*", "c": r"//[^\n]*|/\*.*?\*/", "fortran": r"![^\n]*", "fixed": r"![^\n]*|(?m:^[cC*][^\n]*)", "cobol": r"(?m:^.{6}[*/][^\n]*)|\*>[^\n]*"}
+LEAD = re.compile(r"(?:[=;{}(),!&|?:+\-][ \t]*\n\s*)?")
 FIXED_FORM = (".f", ".for", ".f77", ".ftn", ".fpp")
 FAMILY = {"c": "c", "cpp": "c", "java": "c", "typescript": "c"}
 
@@ -52,12 +56,52 @@ def masked(files: DataFrame) -> DataFrame:
     return rows.mapInPandas(run, rows.schema)
 
 
+def needed(pattern: str) -> list[str]:
+    """Texts of which one stands in whatever the pattern matches, the longest that can be told; empty if none can."""
+    def of(seq) -> set[str]:
+        found, run = [], ""
+        for op, about in [*seq, (None, None)]:
+            if op is parser.LITERAL:
+                run += chr(about)
+                continue
+            found.append({run} if run else set())
+            run = ""
+            if op is parser.SUBPATTERN:
+                found.append(of(about[3]))
+            elif op is parser.BRANCH:
+                ways = [of(b) for b in about[1]]
+                found.append(set().union(*ways) if all(ways) else set())
+            elif op is parser.MAX_REPEAT and about[0]:
+                found.append(of(about[2]))
+        return max((f for f in found if f), key=lambda f: min(map(len, f)), default=set())
+
+    return sorted(of(parser.parse(pattern)))
+
+
 def scan(files: DataFrame, rules=LEGACY) -> DataFrame:
-    """F12. path, line, rule, level: each rule once a line, on code without comments and strings. Rules are (language, id, level,
-    pattern); all of a line's are tried in one pass."""
-    lines = masked(files).select("path", "lang", F.posexplode(F.split("text", "\n")).alias("at", "row"))
-    hit = F.array_compact(F.array(*(F.when((C("lang") == lang) & C("row").rlike(("(?i)" if lang in ("fortran", "cobol") else "") + pattern), F.struct(F.lit(id_).alias("rule"), F.lit(level).alias("level"))) for lang, id_, level, pattern in rules)))
-    return lines.select("path", (C("at") + 1).alias("line"), F.explode(hit).alias("h")).select("path", "line", "h.*").distinct()
+    """F12. path, line, rule, level: each rule once a line, on code without comments and strings; a line is that of a match's start (of the
+    name that a K&R definition defines; a sign that only ends the line before is no start). Rules are (language, id, level, pattern). Patterns are tried on whole texts, for what they look for
+    may stand over several lines, and only where a text holds a literal that they need."""
+    rows = files.select("path", "text").withColumn("lang", language(C("path"))).filter("lang IS NOT NULL")
+    known: dict[str, list] = {}
+    for lang, id_, level, pattern in rules:
+        known.setdefault(lang, []).append((id_, level, pattern, needed(pattern)))
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ready = {lang: [(i, level, re.compile(p, re.M | (re.I if lang in ("fortran", "cobol") else 0)), [n.lower() for n in need]) for i, level, p, need in own] for lang, own in known.items()}
+        for part in parts:
+            out = []
+            for path, text, lang in zip(part["path"], part["text"], part["lang"]):
+                code = mask(text or "", lang, path)
+                low, starts = code.lower(), [0, *(i + 1 for i, c in enumerate(code) if c == "\n")]
+                for id_, level, pattern, need in ready.get(lang, ()):
+                    if need and not any(n in low for n in need):
+                        continue
+                    places = {m.start(1) if id_ == "c-kr-definition" else m.start() + len(LEAD.match(m[0])[0]) for m in pattern.finditer(code)}
+                    out += [(path, n, id_, level) for n in {bisect.bisect_right(starts, at) for at in places}]
+            yield pd.DataFrame(out, columns=["path", "line", "rule", "level"])
+
+    return rows.mapInPandas(run, "path string, line int, rule string, level string").distinct()
 
 
 def hidden_calls(files: DataFrame) -> DataFrame:

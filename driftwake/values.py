@@ -51,6 +51,7 @@ LEGACY = (
     ("c", "c-gets", "removed", r"\bgets\s*\("),
     ("c", "c-unbounded-copy", "unsafe", r"\b(strcpy|strcat|sprintf|vsprintf)\s*\("),
     ("c", "c-register", "obsolescent", r"\bregister\s+(?=\w)"),
+    ("c", "c-kr-definition", "removed", r"^[A-Za-z_][\w \t\*]*?\b([A-Za-z_]\w*)\s*\(\s*[A-Za-z_]\w*(?:\s*,\s*[A-Za-z_]\w*)*\s*\)[ \t]*\n(?:[ \t]*[A-Za-z_][\w \t\*\[\]]*;[ \t]*(?:/\*.*?\*/)?[ \t]*\n)+[ \t]*\{"),
     ("cpp", "cpp-prestandard-header", "removed", r"#\s*include\s*<(iostream|fstream|iomanip|strstream|stream)\.h>"),
     ("cpp", "cpp-auto-ptr", "removed", r"\bstd::auto_ptr\b|\bauto_ptr\s*<"),
     ("cpp", "cpp-dynamic-exception-spec", "removed", r"\)\s*(?:const\s*)?throw\s*\(\s*[\w:, ]+\s*\)"),
