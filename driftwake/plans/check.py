@@ -20,6 +20,7 @@ from driftwake.operators import graph, ranking, spans
 from driftwake.rules import changes as _change_rules  # noqa: F401  registers
 from driftwake.rules import cobol as _cobol_rules  # noqa: F401  registers
 from driftwake.rules import files as _file_rules  # noqa: F401  registers
+from driftwake.rules import fortran as _fortran_rules  # noqa: F401  registers
 from driftwake.rules import languages as _language_rules  # noqa: F401  registers
 from driftwake.rules import registry
 from driftwake.sources import facts as sources

@@ -308,3 +308,65 @@ def f12_legacy_over_lines(spark, read):
     said = F.array(F.concat(area("    GO TO A-ONE B-ONE"), F.lit("\n"), area("      DEPENDING ON K.")), F.concat(area("    GO TO A-ONE"), F.lit("\n"), area("      .")), F.concat(area("    MOVE A"), F.lit("\n"), area("      TO B.")))
     body = joined(read("events"), ["user_id"], "event_id", F.element_at(said, (mod("event_id", 3) + 1).cast("int")))
     return lines.scan(body.select(cat("g/", C("user_id"), ".cbl").alias("path"), C("body").alias("text"))).select("path", "line", "rule")
+
+
+# ---- Fortran
+
+
+@query("""
+WITH a AS (SELECT c_nationkey AS b, c_mktsegment AS l, 'u' || c_custkey AS u, c_custkey FROM customer), o AS (SELECT * FROM a WHERE c_custkey % 3 <> 0),
+ca AS (SELECT b, l, count(*) AS n, min(u) AS f FROM a GROUP BY 1, 2), xa AS (SELECT b, l AS usual FROM (SELECT *, row_number() OVER (PARTITION BY b ORDER BY n DESC, f) AS r FROM ca) WHERE r = 1),
+co AS (SELECT b, l, count(*) AS n, min(u) AS f FROM o GROUP BY 1, 2), xo AS (SELECT b, l AS usual FROM (SELECT *, row_number() OVER (PARTITION BY b ORDER BY n DESC, f) AS r FROM co) WHERE r = 1)
+SELECT 'f/' || u || '.f90' AS path, CAST(2 AS INTEGER) AS line, 'critical' AS severity FROM a JOIN xa USING (b) WHERE l <> usual AND u NOT IN (SELECT u FROM o JOIN xo USING (b) WHERE l <> usual)
+""")
+def fortran_common_layout_mismatch(spark, read):
+    """The rule, from text to finding: a unit a customer, a block a nation, laid out as the segment says; every third unit is new."""
+    c = read("customer")
+    said = {"AUTOMOBILE": "x, y", "BUILDING": "i, y", "FURNITURE": "x(2), y", "HOUSEHOLD": "x, y, z", "MACHINERY": "j, k(3)"}
+    names = F.element_at(F.create_map(*(F.lit(v) for kv in said.items() for v in kv)), C("c_mktsegment"))
+    make = lambda df, s: file(df, cat("f/u", C("c_custkey"), ".f90"), cat("subroutine u", C("c_custkey"), "\n  common /b", C("c_nationkey"), "/ ", F.coalesce(names, F.lit("q")), "\nend subroutine\n"), s)
+    return alone(make(c.filter(mod("c_custkey", 3) != 0), "before").unionByName(make(c, "after")), "common-layout-mismatch")
+
+
+@query("""
+WITH e AS (SELECT user_id AS u, event_id % 5 AS v, event_type IN ('click', 'view') AS w, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+f AS (SELECT u, v, min_by(w, event_id) AS w, min_by(i, event_id) AS i FROM e GROUP BY 1, 2), o AS (SELECT user_id AS u, event_id % 5 AS v, min_by(event_type IN ('click', 'view'), event_id) AS w FROM events WHERE event_id % 3 = 0 GROUP BY 1, 2)
+SELECT 'g/s' || u || '.f90' AS path, CAST(1 + i AS INTEGER) AS line, 'medium' AS severity FROM f WHERE NOT w AND (u, v) NOT IN (SELECT (u, v) FROM o WHERE NOT w)
+""")
+def fortran_reads_unset_local(spark, read):
+    """The rule, from text to finding: a routine a user, a statement an event, which sets a variable or adds it up."""
+    e = read("events").select("event_id", C("user_id").alias("u"), "event_type")
+    v = cat("v", mod("event_id", 5))
+    text = F.when(C("event_type").isin("click", "view"), cat("  ", v, " = 1.0")).otherwise(cat("  call add(", v, " + 0.5)"))
+    make = lambda df, s: file(joined(df, ["u"], "event_id", text), cat("g/s", C("u"), ".f90"), cat("subroutine s", C("u"), "\n", C("body"), "\nend subroutine\n"), s)
+    return alone(make(e.filter(mod("event_id", 3) == 0), "before").unionByName(make(e, "after")), "reads-unset-local")
+
+
+@query("SELECT 'h/c' || s_suppkey || '.f90' AS path, CAST(2 AS INTEGER) AS line, 'critical' AS severity FROM supplier WHERE s_suppkey % 2 = 0 AND s_nationkey % 4 <> 2")
+def fortran_implicit_interface(spark, read):
+    """implicit-interface-arg-mismatch, from text to finding: a caller a supplier, some of which hand over another number of arguments now."""
+    s = read("supplier").select(C("s_suppkey").alias("k"), mod("s_nationkey", 4).cast("int").alias("n"))
+    args = lambda n: F.array_join(F.transform(F.sequence(F.lit(1), n + 1), lambda x: F.concat(F.lit("x"), x.cast("string"))), ", ")
+    now = F.when(mod("k", 2) == 0, C("n")).otherwise(2)
+    make = lambda n, snapshot: file(s, cat("h/c", C("k"), ".f90"), cat("subroutine c", C("k"), "\n  call taker(", args(n), ")\nend subroutine\n"), snapshot)
+    one = s.orderBy("k").limit(1)
+    taker = lambda snapshot: file(one, F.lit("h/taker.f90"), F.lit("subroutine taker(a, b, c)\n  c = a + b\nend subroutine\n"), snapshot)
+    return alone(make(F.lit(2), "before").unionByName(make(now, "after")).unionByName(taker("before")).unionByName(taker("after")), "implicit-interface-arg-mismatch")
+
+
+@query("SELECT 'k/r' || p_partkey % 300 || '.f90' AS path, CAST(min(i) + 1 + max(total) AS INTEGER) AS line, 'high' AS severity, 'a' || p_partkey AS name FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey % 300 ORDER BY p_partkey) AS i, count(*) OVER (PARTITION BY p_partkey % 300) AS total FROM part) WHERE p_size % 3 = 0 AND p_partkey % 4 = 0 GROUP BY p_partkey")
+def fortran_intent_out(spark, read):
+    """intent-out-read-before-write, from text to finding: arguments a part, some of which are read now before they are set."""
+    p = read("part").select("p_partkey", "p_size", mod("p_partkey", 300).alias("r"))
+    name = cat("a", C("p_partkey"))
+    given = joined(p, ["r"], "p_partkey", cat("  real, intent(", F.when(mod("p_size", 3) == 0, "out").otherwise("inout"), ") :: ", name)).withColumnRenamed("body", "given")
+    names = joined(p, ["r"], "p_partkey", name, ", ").withColumnRenamed("body", "names")
+
+    def make(changed, snapshot: str) -> DataFrame:
+        body = joined(p, ["r"], "p_partkey", cat("  ", name, " = ", F.when(changed, name).otherwise("0.0"), " + 1.0"))
+        return file(body.join(given, "r").join(names, "r"), cat("k/r", C("r"), ".f90"), cat("subroutine r", C("r"), "(", C("names"), ")\n", C("given"), "\n", C("body"), "\nend subroutine\n"), snapshot)
+
+    both = make(F.lit(False), "before").unionByName(make(mod("p_partkey", 4) == 0, "after"))
+    rule = "intent-out-read-before-write"
+    found = check.check(both, rules={rule: registry.RULES[rule]}).findings
+    return found.select("path", "line", "severity", F.regexp_extract("message", r"argument (\w+)", 1).alias("name"))

@@ -1,6 +1,6 @@
 """Facts of C, C++, Java, TypeScript/JavaScript, Fortran and COBOL texts, read lexically: definitions with their parameters, and calls
 with the number of their arguments; of C also declarations, switches and what can't be reached (declarations.py, flow.py), of COBOL data and
-the order of procedures (cobol.py).
+the order of procedures (cobol.py), of Fortran storage and accesses (fortran.py).
 
 There is no preprocessor, no type and no overload here: names are those of a language's own scope (`java@Class.method`, `c@name`,
 `fortran@name`, `cobol@PROGRAM.PARAGRAPH`), Fortran's in lower case, COBOL's in upper. Comments and what strings hold are masked first.
@@ -14,6 +14,7 @@ import re
 
 from driftwake.sources import cobol as divisions
 from driftwake.sources import declarations, flow
+from driftwake.sources import fortran as storage
 from driftwake.sources.lines import FIXED_FORM, mask
 
 KEYWORDS = {"if", "for", "while", "switch", "catch", "return", "sizeof", "new", "delete", "throw", "else", "do", "synchronized", "function", "typeof", "await", "super", "this", "defined", "static_assert", "constructor", "case"}
@@ -155,7 +156,7 @@ def fortran(path: str, text: str) -> list[tuple[str, str]]:
             now = None
         elif now:
             now[3].append((n, s))
-    return facts.out
+    return facts.out + storage.read(path, text)
 
 
 def cobol(path: str, text: str) -> list[tuple[str, str]]:
