@@ -80,9 +80,9 @@ FILE_CASES = [
         ("import re\nP = re.compile(r'(\\w+,)+x')\n", set()), ("import re\nP = re.compile(r'[a-z]+\\d+[a-z]+$')\n", set()),
         (THREADS, {"unsynchronized-shared-state"}), (THREADS.replace("self.n += 1", "with self.lock:\n            self.n += 1").replace("return self.n", "with self.lock:\n            return self.n"), set()),
         ("def f(d, n=28):\n    try:\n        return d.replace(year=d.year + 1)\n    except KeyError:\n        return d\n", {"leap-day-date"}),
-        ("def f(order):\n    while order.filled < order.qty:\n        abs(order.symbol)\n", {"loop-without-progress"}), ("def f(order):\n    while order.filled < order.qty:\n        order.filled += abs(order.symbol)\n", set()),
-        ("def f(days: int, leap):\n    while days > 365:\n        if leap:\n            if days > 366:\n                days -= 366\n        else:\n            days -= 365\n", set()),
-        ("def f(days: int):\n    year = 1980\n    while days > 365:\n        if bool(year):\n            if days > 366:\n                days -= 366\n                year += 1\n        else:\n            days -= 365\n            year += 1\n", {"loop-without-progress"}),
+        ("def f(tank):\n    while tank.level < tank.full:\n        abs(tank.tag)\n", {"loop-without-progress"}), ("def f(tank):\n    while tank.level < tank.full:\n        tank.level += abs(tank.tag)\n", set()),
+        ("def f(left: int, wide):\n    while left > 12:\n        if wide:\n            if left > 20:\n                left -= 20\n        else:\n            left -= 12\n", set()),
+        ("def f(left: int):\n    boxes = 3\n    while left > 12:\n        if bool(boxes):\n            if left > 20:\n                left -= 20\n                boxes += 1\n        else:\n            left -= 12\n            boxes += 1\n", {"loop-without-progress"}),
         ("def f(items):\n    while items:\n        items.pop()\n", set()), ("def f(it):\n    while it:\n        yield it\n", set()), ("def f(n: int):\n    while n > 10:\n        if n < 5:\n            pass\n        else:\n            n -= 1\n", set()),
         ("class C:\n    def get(self, key):\n        return self.get(key)\n", {"recursive-cycle"}), ("def fact(n):\n    if n <= 1:\n        return 1\n    return n * fact(n - 1)\n", set()), ("class C:\n    @property\n    def name(self):\n        return self.name\n", {"recursive-cycle"}),
         ("import threading\nclass C:\n    def go(self, xs):\n        for x in xs:\n            threading.Thread(target=self.work).start()\n    def work(self):\n        self.n += 1\n", {"unsynchronized-shared-state"}),
