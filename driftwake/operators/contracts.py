@@ -85,9 +85,10 @@ def typed_breaks(old: Column, new: Column) -> Column:
     return F.concat(F.array_compact(F.array(count)), F.coalesce(types, F.array().cast("array<string>")), F.array_compact(F.array(gives, fixed, static)), raises)
 
 
-def rebound_calls(old: DataFrame, new: DataFrame) -> DataFrame:
-    """J15. Calls that stand where they stood in an unedited function and mean another overload now: src, line, was, now.
+def rebound_calls(old: DataFrame, new: DataFrame, edited: DataFrame | None = None) -> DataFrame:
+    """J15. Calls that stand where they stood and mean another overload now: src, line, was, now; none in edited(src), whose writer meant them.
     Sites are (src, start, line, col, dst); start is where the function begins, so a function that moved as a whole still matches."""
+    new = new if edited is None else new.join(edited.select("src").distinct(), "src", "left_anti")
     stem = lambda c: F.regexp_replace(c, r"\(.*$", "")
     o = old.select("src", (C("line") - C("start")).alias("at"), "col", C("dst").alias("was"))
     n = new.select("src", (C("line") - C("start")).alias("at"), "col", "line", C("dst").alias("now"))

@@ -16,9 +16,12 @@ def baskets(rows: DataFrame, basket: str, item: str, max_items: int = MAX_ITEMS,
     """A4. item, partner, together, total, confidence: items that come together in at least `support` baskets, and
     in that share of the item's baskets. Baskets of more than `max_items` say nothing of their items (they are sweeps).
 
-    Pairs are made inside a basket's array, at most max_items squared each, so no basket meets another in a join.
+    Pairs are made inside a basket's array, at most max_items squared each, so no basket meets another in a join. Baskets are
+    counted before any is gathered, so one of all items is never held.
     """
-    sets = rows.groupBy(basket).agg(F.array_sort(F.collect_set(item)).alias("s")).filter(F.size("s") <= max_items)
+    held = rows.select(basket, item).distinct()
+    small = held.groupBy(basket).agg(F.count(item).alias("n")).filter(F.col("n") <= max_items).select(basket)
+    sets = held.join(small, basket, "left_semi").groupBy(basket).agg(F.array_sort(F.collect_set(item)).alias("s"))
     totals = sets.select(F.explode("s").alias("item")).groupBy("item").agg(F.count("*").alias("total"))
     pairs = sets.select(F.explode(F.flatten(F.transform("s", lambda x, i: F.transform(F.filter("s", lambda y: y > x), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("p"))
     counted = pairs.groupBy("p.a", "p.b").agg(F.count("*").alias("together")).filter(F.col("together") >= support)
