@@ -173,3 +173,34 @@ def test_lm_empty_and_no_training(spark):
     i = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 10 == 0)
     r = lm.score(cases.frame(spark, [(i, "a b", "", "", 1)])).head()
     assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (True, 3, 0, 0) and r.score < 0
+
+
+def test_quality_score_by_hand():
+    """A score from the weights: each word's own bucket, those of its n-grams and those of pairs of neighbours, averaged, one by one."""
+    import math
+    import zlib
+
+    import numpy as np
+
+    from driftwake.llm import quality as Q
+
+    rng = np.random.default_rng(7)
+    model = Q.Model(rng.standard_normal(Q.BUCKETS).astype(np.float32), 0.3)
+    texts = ["One two two three", "", None, "ñandú  İx a", "word " * 50, "a\x00b c", "lonely"]
+
+    def pair(a: bytes, b: bytes) -> int:
+        mask, mix = (1 << 64) - 1, int(Q.MIX)
+        x = (((zlib.crc32(a) + 1) * mix + zlib.crc32(b) + 1) * mix) & mask
+        x ^= x >> 29
+        return ((x * mix & mask) >> 32) % Q.BUCKETS
+
+    for text, got in zip(texts, model.scorer()(texts)):
+        said = (text or "").lower().encode().split()
+        found = []
+        for w in said:
+            marked = f"<{w.decode()}>"
+            found.append(zlib.crc32(w) % Q.BUCKETS)
+            found += [zlib.crc32(marked[i : i + n].encode(), n) % Q.BUCKETS for n in Q.GRAMS for i in range(len(marked) - n + 1)]
+        found += [pair(a, b) for a, b in zip(said, said[1:])]
+        x = 0.3 + (sum(float(model.weights[i]) for i in found) / len(found) if found else 0.0)
+        assert abs(got - 1 / (1 + math.exp(-x))) < 1e-9
