@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from driftwake.functions import text as T
-from driftwake.operators import changes, contracts, layouts, nodes
+from driftwake.operators import changes, contracts, layouts, nodes, roles
 from driftwake.plans import tools, worklist
 from driftwake.plans.tables import EDGES, mod, order_edges, query
 from driftwake.sources import lines
@@ -660,3 +660,35 @@ def u8_first_of_each(spark, read):
 def w7_ranges(spark, read):
     d = read("documents").select(mod("doc_id", 50).alias("part"), mod("n_chars", 400).alias("n")).distinct()
     return worklist.ranges(d, "part", "n")
+
+
+WORDS = ("api", "db_client", "Utils", "my_cache", "run.py", "plain", "settings", "_core_", "service_a", "handlers", "tests", "x")
+SAID = ("interface", "data_access", "util", "state", "entrypoint", None, "config", "domain", "orchestration", "interface", "test", None)
+
+
+@query(f"""
+WITH h(i, hint) AS (VALUES {", ".join(f"({i}, {'NULL' if s is None else repr(s)})" for i, s in enumerate(SAID))}),
+p AS (SELECT p_partkey AS k, hint, p_partkey % 12 = 10 AS tests, p_size % 11 = 0 AS guard, CASE p_partkey % 7 WHEN 1 THEN 'redis' WHEN 2 THEN 'socket' WHEN 3 THEN 'argparse' END AS imp, p_size % 13 = 0 AS dec, p_size % 2 AS st,
+  p_size % 3 = 0 AS ret, p_size % 4 = 0 AS mut, p_size % 5 < 3 AS par, p_partkey % 5 = 0 AS rg, p_partkey % 17 = 0 AS op, p_partkey % 19 = 0 AS ex, p_partkey % 3 AS calls FROM part JOIN h ON p_partkey % 12 = i),
+a AS (SELECT *, CASE WHEN guard THEN 'entrypoint' ELSE hint END AS s FROM p), b AS (SELECT *, CASE WHEN imp = 'redis' AND (s IS NULL OR s IN ('domain', 'util', 'orchestration')) THEN 'data_access' ELSE s END AS s1 FROM a),
+c AS (SELECT *, CASE WHEN imp = 'socket' AND (s1 IS NULL OR s1 IN ('domain', 'util')) THEN 'io_boundary' ELSE s1 END AS s2 FROM b),
+m AS (SELECT *, CASE WHEN tests THEN 'test' WHEN dec THEN 'interface' WHEN s2 IS NULL AND imp = 'argparse' THEN 'config' ELSE coalesce(s2, CASE WHEN st > 0 THEN 'domain' ELSE 'unknown' END) END AS module FROM c),
+f AS (SELECT *, CASE WHEN dec THEN 'interface' ELSE module END AS f1 FROM m),
+g AS (SELECT *, CASE WHEN ex THEN 'entrypoint' WHEN (op OR imp IS NOT DISTINCT FROM 'socket') AND f1 IN ('domain', 'util', 'unknown', 'orchestration') THEN 'io_boundary' ELSE f1 END AS layer FROM f)
+SELECT k AS p_partkey, module, layer, CASE WHEN mut AND ret THEN 'accessor' WHEN mut THEN 'consumer' WHEN ret AND par AND NOT rg THEN 'transformer' WHEN ret AND layer IN ('data_access', 'io_boundary') THEN 'source' WHEN ret THEN 'transformer'
+  WHEN layer IN ('data_access', 'io_boundary') THEN 'sink' WHEN calls > 0 AND st = 0 THEN 'control' ELSE 'consumer' END AS role FROM g
+""")
+def f17_roles(spark, read):
+    """Layers and roles by evidence, a module and a function a part."""
+    n = lambda c, k: mod(c, k) == 0
+    word = F.element_at(F.array(*map(F.lit, WORDS)), (mod("p_partkey", 12) + 1).cast("int"))
+    strings = lambda *c: F.array_compact(F.array(*c)).cast("array<string>")
+    root = F.when(mod("p_partkey", 7) == 1, "redis").when(mod("p_partkey", 7) == 2, "socket").when(mod("p_partkey", 7) == 3, "argparse")
+    s = read("part").select(
+        "p_partkey", F.array(F.lit("app"), word).alias("parts"), F.array(F.lit("app"), word).alias("path"), strings(root).alias("imported"), strings(F.when(n("p_size", 13), "web.Route")).alias("decorators"), n("p_size", 11).alias("main_guard"),
+        n("p_partkey", 17).alias("opens"), n("p_partkey", 19).alias("exits"), n("p_size", 3).alias("returns"), (mod("p_size", 5) < 3).alias("params"), F.lit(None).cast("boolean").alias("writes_global"), n("p_partkey", 5).alias("reads_global"),
+        n("p_size", 4).alias("mutates"), mod("p_partkey", 3).alias("calls"), mod("p_size", 2).alias("statements"),
+    )
+    told = s.withColumn("module", roles.module_label()["layer"])
+    label = roles.callable_label(C("module"))
+    return told.select("p_partkey", "module", label["layer"].alias("layer"), label["role"].alias("role"))

@@ -140,3 +140,22 @@ HIDDEN_CALLS = (
     ("cobol", "cobol-call-by-name", "hidden", r"(?<![\w-])CALL\s+(?![\"'])[A-Z][\w-]*"),
     ("cobol", "cobol-cics-link", "hidden", r"\bEXEC\s+CICS\s+(?:LINK|XCTL)\b"),
 )
+
+#: Fixed values. What parts of a name say of a layer, in the order in which they are asked.
+LAYER_NAMES = (
+    (("test", "tests", "conftest"), "test"),
+    (("main", "__main__", "cli", "app", "entry", "manage", "run", "worker", "daemon"), "entrypoint"),
+    (("api", "routes", "router", "views", "handlers", "endpoints", "controllers", "rpc", "serializers"), "interface"),
+    (("service", "services", "usecase", "usecases", "workflow", "orchestrator", "pipeline", "coordinator", "manager"), "orchestration"),
+    (("repository", "repositories", "dao", "db", "database", "store", "storage", "client", "gateway", "adapter", "queries", "models"), "data_access"),
+    (("cache", "registry", "pool", "session", "state"), "state"),
+    (("config", "settings", "constants", "conf", "env", "flags"), "config"),
+    (("util", "utils", "helpers", "common", "shared", "lib", "tools", "misc"), "util"),
+    (("domain", "core", "logic", "rules", "model", "entities"), "domain"),
+)
+
+#: Fixed values. Modules whose import says what a module does, and decorators of what others call.
+STORE_MODULES = ("sqlite3", "sqlalchemy", "psycopg", "psycopg2", "pymysql", "asyncpg", "redis", "pymongo", "boto3", "requests", "httpx", "urllib", "urllib3", "aiohttp", "kafka", "pika", "elasticsearch", "grpc")
+OUTSIDE_MODULES = ("subprocess", "socket", "shutil", "mmap", "ctypes", "select", "fcntl", "signal")
+CONFIG_MODULES = ("configparser", "dotenv", "tomllib", "argparse")
+CALLED_BY_OTHERS = ("route", "get", "post", "put", "patch", "delete", "websocket", "app", "api", "command", "group", "task", "endpoint", "rpc", "handler", "listener", "subscribe")

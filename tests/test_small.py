@@ -26,3 +26,19 @@ def test_an_edited_functions_calls_are_its_writers(spark):
     edited = spark.createDataFrame([("g",)], "src string")
     assert [tuple(r) for r in contracts.rebound_calls(sites("h(int)"), sites("h(long)"), edited).collect()] == [("f", 12, "h(int)", "h(long)")]
     assert contracts.rebound_calls(sites("h(int)"), sites("h(long)")).count() == 2
+
+
+def test_roles_have_reasons(spark):
+    from driftwake.operators import roles
+
+    schema = "parts array<string>, path array<string>, imported array<string>, decorators array<string>, main_guard boolean, opens boolean, exits boolean, returns boolean, params boolean, writes_global boolean, reads_global boolean, mutates boolean, container boolean, constant boolean, calls int, statements int"
+    row = lambda parts, **k: tuple({"parts": parts, "path": parts, **k}.get(c.split()[0]) for c in schema.split(", "))
+    rows = [row(["app", "db", "cache"]), row(["app"]), row(["app", "my_client"]), row(None), row(["a", "b"], statements=2), row(["x", "test_y.py"]), row(["a", "logic"], imported=["redis", "os"]), row(["a", "b"], decorators=["app.route"], main_guard=True)]
+    df = spark.createDataFrame(rows, schema)
+    got = [r[0] for r in df.select(roles.module_label()).collect()]
+    assert [r["layer"] for r in got] == ["state", "entrypoint", "data_access", "unknown", "domain", "test", "data_access", "interface"]
+    assert all(r["evidence"] for r in got)
+    one = spark.createDataFrame([row(["a"], constant=True), row(["a"], container=True), row(["a"])], schema)
+    from pyspark.sql import functions as F
+
+    assert [r[0] for r in one.select(roles.variable_label(F.lit("domain"))["layer"]).collect()] == ["config", "state", "domain"]
