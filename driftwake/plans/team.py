@@ -41,8 +41,13 @@ def edits(files: DataFrame, base: str, members: DataFrame) -> DataFrame:
     """name, path, text: what each of members(name) changed against the base; a null text is a deletion."""
     old = files.filter(C("snapshot") == base).select("path", _lines().alias("was"))
     own = files.join(members.select(C("name").alias("snapshot")), "snapshot", "left_semi").select(C("snapshot").alias("name"), "path", _lines().alias("text"))
-    every = members.select("name").join(old.select("path", "was"))  # each member has the base's files or not
-    return every.join(own, ["name", "path"], "full_outer").filter(~C("was").eqNullSafe(C("text"))).select("name", "path", "text")
+    changed = own.join(old, "path", "left").filter(~C("was").eqNullSafe(C("text"))).select("name", "path", "text")
+    # who lacks a file of the base: of each path the team less those who have it
+    team = members.agg(F.collect_set("name").alias("team"))  # one row, of people
+    have = own.groupBy("path").agg(F.collect_set("name").alias("have"))
+    lack = F.array_except("team", F.coalesce("have", F.array().cast("array<string>")))
+    gone = old.select("path").join(have, "path", "left").join(F.broadcast(team)).select(F.explode(lack).alias("name"), "path", F.lit(None).cast("string").alias("text"))
+    return changed.unionByName(gone)
 
 
 def joint_files(files: DataFrame, base: str, members: DataFrame) -> tuple[DataFrame, DataFrame]:
