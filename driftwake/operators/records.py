@@ -85,7 +85,7 @@ def constants(rows: DataFrame, keys: list[str]) -> DataFrame:
     while True:
         ready = open_.filter("size(names) = 0").select(*keys, "owner", "name", (numbers("expr") + C("plus")).alias("value"))
         new = cut_in_loop(ready)
-        known = new if known is None else cut_in_loop(known.unionByName(new))
+        known = new if known is None else known.unionByName(new)  # of written parts, as many as constants are deep
         if not new.head(1):
             return known
         # names mean what any owner says; of several the least, so that rounds do not depend on order
@@ -148,11 +148,11 @@ def sized(records: DataFrame, aliases: DataFrame, values: DataFrame, keys: list[
         told = whole.join(kinds, [*keys, "owner"], "left").withColumn("l", F.expr(LAYOUT))
         total = F.when(C("kind").isNull(), C("fields")[0]["size"] * C("fields")[0]["n"]).otherwise((F.ceil(C("l.most") / (C("l.align") * 8)) * C("l.align")).cast("long"))
         new = cut_in_loop(told.select(*keys, C("owner").alias("type"), total.alias("t_size"), F.when(C("kind").isNull(), C("fields")[0]["align"]).otherwise(C("l.align")).alias("t_align"), F.when(C("kind").isNotNull(), C("l.out")).alias("out")))
-        layouts = new if layouts is None else cut_in_loop(layouts.unionByName(new))
+        layouts = new if layouts is None else layouts.unionByName(new)  # of written parts, as many as types are deep
         fresh = new.select(*keys, "type", "t_size", "t_align")
         if known is None:
             fresh = fresh.unionByName(empty)
-        known = fresh if known is None else cut_in_loop(known.unionByName(fresh))
+        known = fresh if known is None else known.unionByName(fresh)
         if not new.head(1):
             break
         by = fresh.withColumnRenamed("type", "base")

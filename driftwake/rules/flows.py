@@ -51,11 +51,15 @@ def settled(start: DataFrame, step, keys: list[str], best=None) -> DataFrame:
         return df.groupBy(*keys).agg(F.min_by(F.struct(*rest), best).alias("r")).select(*keys, "r.*").select(df.columns)
 
     now = new = graph.cut_in_loop(one(start))
+    rounds = 0
     while True:
         new = graph.cut_in_loop(one(step(new, now)).join(now, keys, "left_anti"))
         if not new.head(1):
             return now
-        now = graph.cut_in_loop(now.unionByName(new))
+        rounds += 1
+        now = now.unionByName(new)  # of written parts
+        if rounds % 8 == 0:
+            now = graph.cut_in_loop(now)
 
 
 def both(a: Column, b: Column) -> Column:
