@@ -13,6 +13,7 @@ from driftwake.plans.check import Report
 from driftwake.values import VAGUE
 
 DO_FIRST, CHANGES_SHOWN, AFFECTED_SHOWN, FILES_SHOWN = 8, 12, 10, 200
+FEW_WORDS = 100_000
 
 
 def python_round(x: float, digits: int = 2) -> float:
@@ -108,9 +109,15 @@ def tests_to_run(files: DataFrame, wanted: DataFrame) -> DataFrame:
     """A7. Test files that name what changed or is reached: path, tier (0 changed, 1 reached), the words they name.
 
     files(path, text) of one snapshot; wanted(word, tier[, context]): a word with a context counts only where that is named too."""
-    words = files.filter(T.is_test_file(F.col("path"))).select("path", F.array_distinct(T.tokens(F.col("text"))).alias("words"))
     if "context" not in wanted.columns:
         wanted = wanted.withColumn("context", F.lit(""))
-    asked = wanted.groupBy("word", "context").agg(F.min("tier").alias("tier"))
-    hit = words.select("path", "words", F.explode("words").alias("word")).join(asked, "word").filter((F.col("context") == "") | F.array_contains("words", F.col("context")))
+    asked = graph.cut(wanted.groupBy("word", "context").agg(F.min("tier").alias("tier")))
+    few = (lambda df: F.broadcast(df)) if asked.count() <= FEW_WORDS else (lambda df: df)
+    # words that anything asks for, one row each; a row of files is known by its path and the hash of its text
+    needed = asked.select(F.explode(F.array("word", "context")).alias("word")).distinct()
+    words = files.filter(T.is_test_file(F.col("path"))).select("path", F.xxhash64("text").alias("own"), F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("word"))
+    said = graph.cut(words.join(few(needed), "word", "left_semi"))
+    hit = said.join(few(asked), "word")
+    within = hit.filter("context <> ''").join(said.select("path", "own", F.col("word").alias("context")), ["path", "own", "context"], "left_semi")
+    hit = hit.filter("context = ''").select("path", "tier", "word").unionByName(within.select("path", "tier", "word"))
     return hit.groupBy("path").agg(F.min("tier").alias("tier"), F.array_sort(F.collect_set("word")).alias("names"))

@@ -66,3 +66,16 @@ def test_manifests_and_settings(spark):
     assert manifests.names_in("setup.py", "setup(install_requires=['x', 'y>1'])") == (["x", "y>1"], True)
     with pytest.raises(ValueError):
         manifests.settings("[tool.driftwake]\ndisable = [1]\n")
+
+
+def test_words_of_tests_meet_where_they_are_read(spark):
+    f = spark.createDataFrame([("tests/test_a.py", "run Job run"), ("tests/test_a.py", "run"), ("tests/test_b.py", "Job"), ("tests/test_c.py", "run x Job")], "path string, text string")
+    wanted = spark.createDataFrame([("run", 1, "Job"), ("x", 0, "")], "word string, tier int, context string")
+    whole = brief.tests_to_run(f, wanted)
+    assert "array_contains" not in whole._jdf.queryExecution().analyzed().toString()  # no row carries all the words of its file
+    got = {(r.path, r.tier, tuple(r.names)) for r in whole.collect()}
+    few, brief.FEW_WORDS = brief.FEW_WORDS, 0
+    try:
+        assert {(r.path, r.tier, tuple(r.names)) for r in brief.tests_to_run(f, wanted).collect()} == got == {("tests/test_a.py", 1, ("run",)), ("tests/test_c.py", 0, ("run", "x"))}
+    finally:
+        brief.FEW_WORDS = few
