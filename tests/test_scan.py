@@ -58,3 +58,14 @@ def test_a_circle_of_calls_ends(spark):
     rule = "unvalidated-input-reaches-sink"
     report = check.check(files.in_memory(spark, {"before": {}, "after": {"m.py": text}}), rules={rule: registry.RULES[rule]})
     assert [(r["line"], r["severity"]) for r in report.findings.collect()] == [(10, "critical")]
+
+
+def test_lines_are_not_shuffled_to_few_names(spark, monkeypatch):
+    f = spark.createDataFrame([("a.py", "run it\nrunning\nrun run"), ("a.py", "run that"), ("b.cbl", "       MOVE RUN-ALL TO X.")], "path string, text string")
+    names = spark.createDataFrame([("run",), ("RUN-ALL",), ("run",)], "name string")
+    few = lines.mentions(f, names)
+    assert "SortMergeJoin" not in few._jdf.queryExecution().executedPlan().toString()
+    got = sorted(map(tuple, few.collect()))
+    assert got == [("RUN-ALL", "b.cbl", 1), ("run", "a.py", 1), ("run", "a.py", 3)]
+    monkeypatch.setattr(lines, "FEW_NAMES", 0)
+    assert sorted(map(tuple, lines.mentions(f, names).collect())) == got
