@@ -2,7 +2,7 @@
 
 COPY ... REPLACING is opened in rounds: each joins what is still to be copied with the books of its scope, until no copy is left; a
 book within itself is not opened again. An item keeps its place as an array of ordinals, one a level of copying, so no text is
-ever spliced. A record (a level 01 or 77, or what stands before one in a book) is then one array; levels are its tree (an item's
+ever spliced. A record (a level 01 or 77, or what stands before one in a book) is then read in one pass; levels are its tree (an item's
 parent is the last before it with a smaller level), and sizes and offsets are sums over it: of elementary items times how often they
 occur, without what redefines; an item that redefines begins where the item before it that does not redefine does.
 
@@ -11,6 +11,9 @@ without elementary items have no size; copies within copies take the inner repla
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +21,7 @@ from driftwake.operators.graph import cut_in_loop
 
 C = F.col
 ABOUT = ["level", "name", "pic", "usage", "bytes", "kind", "whole", "fraction", "occurs", "redefines"]
+BATCH = 10_000
 
 
 def replaced(name: Column, pairs: Column) -> Column:
@@ -52,32 +56,72 @@ def opened(items: DataFrame, copies: DataFrame, books: DataFrame, keys: list[str
     return out
 
 
-#: The passes over a record's items, in the order of their places; each adds to what the one before knows.
-PASSES = (
-    # tree: parent, and where what it holds ends
-    "transform(xs, (x, i) -> named_struct('i', i, 'x', x, 'parent', array_max(transform(filter(ys, y -> y.i < i AND y.level < x.level), y -> y.i)), 'stop', coalesce(array_min(transform(filter(ys, y -> y.i > i AND y.level <= x.level), y -> y.i)), size(xs))))",
-    # above: itself and what holds it; how often it occurs in the record, and how many redefine on the way
-    "transform(xs, x -> named_struct('i', x.i, 'x', x.x, 'parent', x.parent, 'stop', x.stop, 'above', filter(xs, a -> a.i <= x.i AND a.stop > x.i)))",
-    "transform(xs, x -> named_struct('i', x.i, 'x', x.x, 'parent', x.parent, 'stop', x.stop, 'path', transform(x.above, a -> a.i), 'names', transform(x.above, a -> a.x.name), 'times', aggregate(x.above, 1L, (n, a) -> n * a.x.occurs), 'over', aggregate(x.above, 0, (n, a) -> n + if(a.x.redefines IS NULL, 0, 1))))",
-    # size: of one occurrence
-    "transform(xs, x -> named_struct('i', x.i, 'x', x.x, 'parent', x.parent, 'path', x.path, 'names', x.names, 'size', if(x.x.bytes IS NOT NULL, cast(x.x.bytes as long), aggregate(filter(xs, e -> e.i > x.i AND e.i < x.stop AND e.x.bytes IS NOT NULL AND e.over = x.over), cast(null as long), (n, e) -> coalesce(n, 0L) + e.x.bytes * cast(e.times / x.times as long)))))",
-    # begin: in what holds it, after all that stands before it there and does not redefine
-    "transform(xs, x -> named_struct('i', x.i, 'x', x.x, 'path', x.path, 'names', x.names, 'size', x.size, 'begin', aggregate(filter(xs, s -> s.parent <=> x.parent AND s.x.redefines IS NULL AND s.i < if(x.x.redefines IS NULL, x.i, coalesce(array_max(transform(filter(xs, t -> t.parent <=> x.parent AND t.x.redefines IS NULL AND t.i < x.i), t -> t.i)), 0))), 0L, (n, s) -> n + coalesce(s.size, 0L) * s.x.occurs)))",
-    "transform(xs, x -> named_struct('x', x.x, 'names', x.names, 'size', x.size, 'offset', aggregate(filter(xs, a -> array_contains(x.path, a.i)), 0L, (n, a) -> n + a.begin)))",
-)
+def record(rows: list[tuple]) -> Iterator[tuple]:
+    """(level, name, bytes, occurs, redefines) of a record's items in order -> (record, field, offset, size) of each: up the tree for
+    sizes, down it for offsets."""
+    n, parents, stack = len(rows), [], []
+    for i, (level, *_) in enumerate(rows):
+        while stack and rows[stack[-1]][0] >= level:
+            stack.pop()
+        parents.append(stack[-1] if stack else None)
+        stack.append(i)
+    inner: list[int | None] = [None] * n  # bytes of what an item holds, without what redefines
+    for i in range(n - 1, -1, -1):
+        own, held, parent = rows[i][2], inner[i], parents[i]
+        if parent is not None and rows[i][4] is None and (own is not None or held is not None):
+            inner[parent] = (inner[parent] or 0) + rows[i][3] * ((own or 0) + (held or 0))
+    ends: dict[int | None, tuple[int, int]] = {}  # of a parent: where its next item begins, and where its last that does not redefine began
+    told: list[tuple] = []
+    for i, (_, name, bytes_, occurs, redefines) in enumerate(rows):
+        size, parent = inner[i] if bytes_ is None else bytes_, parents[i]
+        after, last = ends.get(parent, (0, 0))
+        begin = after if redefines is None else last
+        if redefines is None:
+            ends[parent] = (begin + (size or 0) * occurs, begin)
+        top, field, offset = (name, name, begin) if parent is None else (told[parent][0], f"{told[parent][1]}.{name}", told[parent][2] + begin)
+        told.append((top, field, offset, size))
+    return iter(told)
 
 
 def laid_out(items: DataFrame, keys: list[str]) -> DataFrame:
     """keys, path, program, record, field (names from the record down), name, offset and size (bytes; size of one occurrence), pic, usage,
-    kind, whole, occurs, redefines, origin, line. items: what opened gives."""
+    kind, whole, occurs, redefines, origin, line. items: what opened gives. A unit's items come to one task in the order of their places,
+    which holds a record at a time; work on a record grows with its items."""
     unit = [*keys, "path", "program"]
-    all_ = items.groupBy(*unit).agg(F.array_sort(F.collect_list(F.struct("place", *ABOUT, "origin", "line"))).alias("all"))
-    # records of a unit: a running count of those that begin one
-    count = F.expr("aggregate(all, named_struct('n', 0, 'out', cast(array() as array<int>)), (acc, x) -> named_struct('n', acc.n + if(x.level IN (1, 77), 1, 0), 'out', concat(acc.out, array(acc.n + if(x.level IN (1, 77), 1, 0)))))")
-    flat = all_.withColumn("nth", count["out"]).select(*unit, F.explode(F.arrays_zip("all", "nth")).alias("z")).select(*unit, C("z.nth").alias("nth"), C("z.all").alias("x"))
-    out = flat.groupBy(*unit, "nth").agg(F.array_sort(F.collect_list("x")).alias("xs"))
-    out = out.withColumn("ys", F.expr("transform(xs, (x, i) -> named_struct('i', i, 'level', x.level))"))
-    for p in PASSES:  # each written: folded into one expression, a pass would be worked out once for each mention in the next
-        out = cut_in_loop(out.withColumn("xs", F.expr(p)))
-    x = out.select(*unit, F.explode("xs").alias("r")).select(*unit, "r.*")
-    return x.select(*unit, C("names")[0].alias("record"), F.array_join("names", ".").alias("field"), C("x.name").alias("name"), "offset", "size", "x.pic", "x.usage", "x.kind", "x.whole", "x.occurs", "x.redefines", "x.origin", "x.line")
+    about = ["pic", "usage", "kind", "whole", "occurs", "redefines", "origin", "line"]
+    need = ["level", "name", "bytes", "occurs", "redefines"]
+    rows = items.select(*unit, "place", *ABOUT, "origin", "line").repartition(*unit).sortWithinPartitions(*unit, "place", *ABOUT)
+    of = {f.name: f.dataType.simpleString() for f in rows.schema}
+    schema = ", ".join([*(f"`{c}` {of[c]}" for c in unit), "record string, field string, name string, offset long, size long", *(f"`{c}` {of[c]}" for c in about)])
+    columns = [*unit, "record", "field", "name", "offset", "size", *about]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, types = None, [], None  # of a record: (unit, what record needs, the rest)
+
+        def batch(done: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), types)], names=columns)
+
+        def told() -> list[tuple]:
+            return [(*now, *t[:2], own[1], *t[2:], *rest) for t, (own, rest) in zip(record([own for own, _ in held]), held)]
+
+        done: list[tuple] = []
+        for b in batches:
+            if types is None:
+                known = b.schema
+                types = [known.field(c).type if c in known.names else pa.int64() if c in ("offset", "size") else pa.string() for c in columns]
+            each = [list(zip(*(b.column(c).to_pylist() for c in cs))) for cs in (unit, need, about)]
+            for who, own, rest in zip(*each):
+                if held and (who != now or own[0] in (1, 77)):
+                    done += told()
+                    held = []
+                    if len(done) >= BATCH:
+                        yield batch(done)
+                        done = []
+                now = who
+                held.append((own, rest))
+        if held:
+            done += told()
+        if done:
+            yield batch(done)
+
+    return rows.mapInArrow(run, schema)

@@ -178,3 +178,13 @@ def test_checks_of_texts(spark):
     assert report.errors.collect() == []
     got = sorted((int(r["pair"]), r["rule"], r["path"], r["line"]) for r in report.findings.collect())
     assert got == sorted((i, *hit) for i, (_, _, hits) in enumerate(CHECKS) for hit in hits)
+
+
+def test_work_on_a_record_grows_with_its_items():
+    """A record of 200,000 items, which nested passes over all pairs would not end."""
+    groups = [row for i in range(50_000) for row in ((5, f"G{i}", None, 2, None), (10, "A", 3, 1, None), (10, "B", 9, 1, "A"), (10, "C", 1, 4, None))]
+    told = list(copybooks.record([(1, "R", None, 1, None), *groups]))
+    assert told[0] == ("R", "R", 0, 50_000 * 14)
+    assert told[-4:] == [("R", "R.G49999", 49_999 * 14, 7), ("R", "R.G49999.A", 49_999 * 14, 3), ("R", "R.G49999.B", 49_999 * 14, 9), ("R", "R.G49999.C", 49_999 * 14 + 3, 1)]
+    lines = cobol.Text("\n".join(f"       01 A{i} PIC X." for i in range(200)))
+    assert [json.loads(d)["line"] for _, d in lines.read()] == list(range(1, 201))
