@@ -42,3 +42,11 @@ def test_roles_have_reasons(spark):
     from pyspark.sql import functions as F
 
     assert [r[0] for r in one.select(roles.variable_label(F.lit("domain"))["layer"]).collect()] == ["config", "state", "domain"]
+
+
+def test_texts_are_read_on_all_cores(spark):
+    from driftwake.sources import facts, files
+
+    known = facts.facts(files.in_memory(spark, {"v": {f"a{i}.py": f"x = {i}\n" for i in range(64)}}))
+    assert known.rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism
+    assert known.select("path").distinct().count() == 64
