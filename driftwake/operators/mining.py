@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from driftwake.operators.graph import cut
 
@@ -30,6 +33,88 @@ def baskets(rows: DataFrame, basket: str, item: str, max_items: int = MAX_ITEMS,
 
 
 HEAVY = 10
+BUCKETS, BLOCK = 1 << 20, 1 << 10
+CELL = 1 << 19
+BROADCAST_ROWS = 400_000
+
+
+def frequencies(sets: DataFrame) -> np.ndarray:
+    """For each of BUCKETS classes of items, by their low bits: how many of the sets' (s) items fall into it. A task adds up its own
+    sets; blocks of sums are shuffled."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(BUCKETS, np.int64)
+        for b in batches:
+            n += np.bincount(b.column(0).flatten().to_numpy() & (BUCKETS - 1), minlength=BUCKETS)
+        if n.any():
+            ends = pa.array(range(0, BUCKETS + 1, BLOCK), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(range(0, BUCKETS, BLOCK), pa.int32()), pa.ListArray.from_arrays(ends, pa.array(n))], names=["block", "n"])
+
+    def add(block: pa.Table) -> pa.Table:
+        n = np.concatenate([c.flatten().to_numpy() for c in block.column("n").chunks]).reshape(-1, BLOCK).sum(axis=0)
+        return pa.table({"block": block.column("block")[:1], "n": pa.array([n.astype(np.int64).tobytes()])})
+
+    out = np.zeros((BUCKETS // BLOCK, BLOCK), np.int64)
+    for r in sets.select("s").mapInArrow(count, "block int, n array<long>").groupBy("block").applyInArrow(add, "block int, n binary").collect():
+        out[r[0] // BLOCK] = np.frombuffer(r[1], np.int64)
+    return out.ravel()
+
+
+def prefixes(sets: DataFrame, least: float, often: np.ndarray) -> DataFrame:
+    """sets(i, s) -> i, size, s: of each set, in the common order, the items of which two sets that are similar enough share one."""
+    shared = sets.sparkSession.sparkContext.broadcast(np.clip(often, HEAVY, (1 << 31) - 1).astype(np.int32))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, size = b.column(1).flatten().to_numpy(), np.diff(b.column(1).offsets.to_numpy())
+            row = np.repeat(np.arange(len(size)), size)
+            x = x[np.argsort((row << 32) + shared.value[x & (BUCKETS - 1)], kind="stable")]
+            few = size - np.ceil(size * least - 1e-9).astype(int) + 1
+            keep = np.arange(len(x)) - np.repeat(np.cumsum(size) - size, size) < few[row]
+            ends = pa.array(np.concatenate(([0], np.cumsum(few))), pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int32()), pa.ListArray.from_arrays(ends, pa.array(x[keep]))], names=["i", "size", "s"])
+
+    return sets.select("i", "s").mapInArrow(run, "i long, size int, s array<long>")
+
+
+def compared(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """pairs(a, b), sets(i, s) -> a, b, similarity: those at least so similar. Sets are dealt to blocks of some CELL items, those
+    with the same least neighbour together, and a set goes once to each pair of blocks in which it is asked for, not once a pair."""
+    ways = pairs.select(F.col("a").alias("i"), "b").unionByName(pairs.select(F.col("b").alias("i"), F.col("a").alias("b")))
+    ids = cut(ways.groupBy("i").agg(F.min("b").alias("hub")).select("i", F.least("i", "hub").alias("hub")))
+    few = ids.count() <= BROADCAST_ROWS
+    asked = sets.select("i", "s").join(F.broadcast(ids) if few else ids, "i")
+    hubs = cut(asked.groupBy("hub").agg(F.sum(F.size("s")).alias("n")))
+    blocks = max(8, 2 * (hubs.agg(F.sum("n")).head()[0] or 0) // CELL)
+    large = F.broadcast(hubs.filter(F.col("n") > CELL).select("hub", F.ceil(F.col("n") / CELL).alias("parts")))
+    block = F.pmod(F.xxhash64("hub", F.pmod(F.hash("i"), F.coalesce("parts", F.lit(1)))), F.lit(blocks))
+    place = cut(ids.join(large, "hub", "left").select("i", block.alias("block")))
+    x, y = (place.select(F.col("i").alias(i), F.col("block").alias(c)) for i, c in (("a", "x"), ("b", "y")))
+    x, y = (F.broadcast(x), F.broadcast(y)) if few else (x, y)
+    dealt = pairs.join(x, "a").join(y, "b").select((F.col("x") * blocks + F.col("y")).alias("cell"), "a", "b")
+    sent = dealt.select(F.col("cell").alias("there"), F.explode(F.array("a", "b")).alias("i")).distinct()
+    sent = asked.join(F.broadcast(sent) if few and sent.count() <= BROADCAST_ROWS else sent, "i").select("there", "i", "s")
+
+    def cell(left: pa.Table, right: pa.Table) -> pa.Table:
+        left, ids, chunks = left.sort_by("a"), right.column("i").to_numpy(), right.column("s").chunks
+        if not left.num_rows:
+            return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64())], names=["a", "b", "similarity"])
+        size = np.concatenate([np.diff(c.offsets.to_numpy()) for c in chunks])
+        x = np.unique(np.concatenate([c.flatten().to_numpy() for c in chunks]), return_inverse=True)[1]
+        begin, order = np.cumsum(size) - size, np.argsort(ids)
+        a, b = (order[np.searchsorted(ids, left.column(c).to_numpy(), sorter=order)] for c in ("a", "b"))
+        mark, both = np.zeros(int(x.max()) + 1, bool), np.empty(len(a), np.int64)
+        edges = [0, *(np.flatnonzero(np.diff(a)) + 1), len(a)]
+        for lo, hi in zip(edges, edges[1:]):
+            mine = x[begin[a[lo]] : begin[a[lo]] + size[a[lo]]]
+            mark[mine] = True
+            for k in range(lo, hi):
+                both[k] = np.count_nonzero(mark[x[begin[b[k]] : begin[b[k]] + size[b[k]]]])
+            mark[mine] = False
+        similarity = both / (size[a] + size[b] - both)
+        return pa.table({"a": left.column("a"), "b": left.column("b"), "similarity": similarity}).filter(pa.array(similarity >= least))
+
+    return dealt.groupBy("cell").cogroup(sent.groupBy("there")).applyInArrow(cell, "a long, b long, similarity double")
 
 
 def similar_classes(sets: DataFrame, key: str, items: str, least: float, ratio: float = 0.0, by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
@@ -38,39 +123,36 @@ def similar_classes(sets: DataFrame, key: str, items: str, least: float, ratio:
     With `by`, sets meet only others of the same values. Empty sets are in no class.
 
     An exact prefix-filtered self-join: in a common order of all items, two sets that are similar enough share one of their
-    first |s| - ceil(least * |s|) + 1; and where they first meet, enough of both must be left. The order is that of the
-    items themselves, with those that many sets hold (a thousandth of all, HEAVY at least) at the end, so that no item brings many
-    sets together. Members of a class never multiply; keys are distinct."""
-    by = list(by)
-    base = sets.select(*by, F.col(key).alias("key"), F.sort_array(F.array_distinct(items)).alias("s")).filter(F.size("s") > 0)
+    first |s| - ceil(least * |s|) + 1; and with all that they share there, enough must be left of both. Rare items come
+    first, so that none brings many sets together; how rare one is, beyond HEAVY, is told by what shares a bucket with it. Members of
+    a class never multiply; keys are distinct.
+
+    Items are known by 64 bits (longs by themselves), sets by a number. Whole sets are written once and stay where they are: what
+    meets are prefixes, and only sets that have met are sent to be compared."""
+    kind, groups = sets.schema[items].dataType, [F.col(c) for c in by]
+    own = F.col(items) if not by and kind.elementType == LongType() and not kind.containsNull else F.transform(items, lambda x: F.xxhash64(*groups, x))
+    # numbered ahead of the filter, which would else be worked out on the texts a second time
+    base = sets.select(F.monotonically_increasing_id().alias("i"), F.col(key).alias("key"), F.sort_array(F.array_distinct(own)).alias("s")).filter(F.size("s") > 0)
     base = cut(base.withColumns({"_h": F.xxhash64("s"), "_g": F.hash("s"), "_n": F.size("s")}))  # 96 bits and the size tell sets apart
-    alike = [*by, "_h", "_g", "_n"]
-    firsts = base.groupBy(*alike).agg(F.min("key").alias("class"))
+    alike = ["_h", "_g", "_n"]
+    firsts = cut(base.groupBy(*alike).agg(F.min("key").alias("class"), F.min_by("i", "key").alias("i")))
     classes = base.select(*alike, "key").join(firsts, alike).select("key", "class")
-    named = base.join(firsts.select(F.col("class").alias("key")), "key", "left_semi").select(*by, F.col("key").alias("class"), "s")
-    counts = named.select(*by, F.explode("s").alias("x")).groupBy(*by, "x").agg(F.count("*").alias("n"))
-    most = max(HEAVY, base.count() // 1000)
-    often = cut(counts.filter(F.col("n") > most).select(*by, "x"))
-    if often.head(1):
-        last = named.select(*by, "class", F.explode("s").alias("x")).join(often, [*by, "x"]).groupBy(*by, "class").agg(F.array_sort(F.collect_list("x")).alias("last"))
-        ordered = named.join(last, [*by, "class"], "left").withColumn("s", F.when(F.col("last").isNull(), F.col("s")).otherwise(F.concat(F.array_except("s", "last"), "last"))).drop("last")
-    else:
-        ordered = named
-    size = F.size("s")
-    few = F.slice("s", 1, (size - F.ceil(size * least - 1e-9) + 1).cast("int"))
-    prefix = ordered.select(*by, "class", size.alias("size"), F.posexplode(few).alias("at", "x"))
+    few = firsts.count() <= BROADCAST_ROWS
+    one = firsts.select("i")
+    prefix = prefixes(base, least, frequencies(base)).join(F.broadcast(one) if few else one, "i", "left_semi").select("i", "size", F.posexplode("s").alias("at", "x"))
     a, b = prefix.alias("a"), prefix.alias("b")
-    needed = F.ceil((F.col("a.size") + F.col("b.size")) * (least / (1 + least)) - 1e-9)
-    left = F.least(F.col("a.size") - F.col("a.at"), F.col("b.size") - F.col("b.at"))
-    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in [*by, "x"]]
     close = F.least("a.size", "b.size") >= F.greatest("a.size", "b.size") * max(least, ratio) - 1e-9
-    on = close & (left >= needed) & (F.col("a.class") < F.col("b.class"))
-    for c in same:
-        on = c & on
-    met = a.join(b, on).select(F.col("a.class").alias("a"), F.col("b.class").alias("b")).distinct()
-    far = met.join(named.select(F.col("class").alias("a"), F.col("s").alias("s")), "a").join(named.select(F.col("class").alias("b"), F.col("s").alias("t")), "b")
-    shared = F.size(F.array_intersect("s", "t"))
-    links = far.withColumn("similarity", shared / (F.size("s") + F.size("t") - shared)).filter(F.col("similarity") >= least).select("a", "b", "similarity")
+    enough = F.ceil((F.col("a.size") + F.col("b.size")) * (least / (1 + least)) - 1e-9)
+    fits = F.least("a.at", "b.at") + F.least(F.col("a.size") - F.col("a.at"), F.col("b.size") - F.col("b.at")) >= enough  # before, and from there on
+    both = a.join(b, (F.col("a.x") == F.col("b.x")) & close & fits & (F.col("a.i") < F.col("b.i"))).groupBy(F.col("a.i").alias("a"), F.col("b.i").alias("b"), F.col("a.size").alias("m"), F.col("b.size").alias("n"))
+    shared = both.agg(F.count("*").alias("shared"), (F.max("a.at") + 1).alias("p"), (F.max("b.at") + 1).alias("q"))
+    # the prefix that ends first is known in both; what may be shared beside is in what is left behind it of one and behind the last place met of the other
+    rest = lambda c: F.ceil(F.col(c) * least - 1e-9) - 1
+    most_shared = F.col("shared") + F.greatest(F.least(rest("m"), F.col("n") - F.col("q")), F.least(F.col("m") - F.col("p"), rest("n")))
+    met = cut(shared.filter(most_shared >= F.ceil((F.col("m") + F.col("n")) * (least / (1 + least)) - 1e-9)).select("a", "b"))
+    far = compared(met, base, least)
+    x, y = (firsts.select(F.col("i").alias(i), F.col("class").alias(c)) for i, c in (("a", "x"), ("b", "y")))
+    links = far.join(x, "a").join(y, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")
     return classes, links
 
 

@@ -297,8 +297,8 @@ UNION ALL SELECT c AS a, doc_id AS b, 1.0::DOUBLE FROM c WHERE c <> doc_id
 def f8_near_duplicates(spark, read):
     """Definitions of at least 30 tokens, by Jaccard similarity of their shingles of 4 tokens: pairs of classes of equal sets, and
     of each other member its class."""
-    w = graph.over_cores(read("documents").select("doc_id", "text")).select("doc_id", F.filter(F.split("text", r"\s+"), lambda x: x != "").alias("w")).filter(F.size("w") >= 30)
-    s = w.select("doc_id", T.shingles(C("w"), 4).alias("s"))
+    w = graph.over_cores(read("documents").select("doc_id", "text")).select("doc_id", F.filter(F.split("text", r"\s+"), lambda x: x != "").alias("w"))
+    s = w.select("doc_id", F.when(F.size("w") >= 30, T.shingles(C("w"), 4)).alias("s"))
     classes, links = mining.similar_classes(s, "doc_id", "s", 0.82, 0.6)
     members = classes.filter(C("key") != C("class")).select(C("class").alias("a"), C("key").alias("b"), F.lit(1.0).alias("similarity"))
     return links.withColumn("similarity", F.round("similarity", 6)).unionByName(members)

@@ -179,3 +179,15 @@ def test_text_functions(spark):
     assert one(T.short_hash(F.lit("a"), F.lit("b"))) == __import__("hashlib").sha1(b"a\0b").hexdigest()[:12]
     assert len(one(T.shingles(F.split(F.lit("a b c d e"), " "), 4))) == 2 and one(T.shingles(F.split(F.lit("a"), " "), 4)) == []
     assert math.isclose(one(F.lit(0.95) * 0.9), 0.855)
+
+
+def test_similar_classes_send_each_set_once(spark):
+    """Sets of a cluster go to one place to be compared, whatever the number of pairs; a set that shares but a few items with others is sent nowhere."""
+    import numpy as np
+
+    pairs = spark.createDataFrame([(i, j) for i in range(40) for j in range(i)], "b long, a long")
+    sets = spark.createDataFrame([(i, list(range(i, i + 100))) for i in range(41)], "i long, s array<long>")
+    got = mining.compared(pairs, sets, 0.8)
+    assert sorted((r.a, r.b, round(r.similarity, 9)) for r in got.collect()) == [(j, i, round((100 - i + j) / (100 + i - j), 9)) for j in range(40) for i in range(j + 1, 40) if (100 - i + j) / (100 + i - j) >= 0.8]
+    few = mining.prefixes(sets, 0.8, np.zeros(mining.BUCKETS, np.int64)).collect()
+    assert len(few) == 41 and all((r.size, r.s) == (100, list(range(r.i, r.i + 21))) for r in few)
