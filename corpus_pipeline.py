@@ -34,7 +34,8 @@ def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five-word shingles, similarity 0.8 or more."""
+    """One document of each group of near-duplicates: SimHash fingerprints by pivots, and beyond their four bits shared minima, all
+    held against the true similarity of five-word shingles, 0.8 or more."""
     return jaccard.one_of_each(docs)
 
 

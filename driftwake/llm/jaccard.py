@@ -1,7 +1,8 @@
 """Near-duplicates by the true similarity of their shingles: texts whose sets of five-word shingles have a Jaccard
 similarity of at least 0.8, and whatever chains of such pairs connect.
 
-Equal sets are one node. Nodes meet under BANDS keys of ROWS minima each; a meeting's least node is its hub. First each node
+Equal sets are one node. SimHash fingerprints of the sets are searched by pivots as in simhash.py, within its four bits, and what links
+there is held against the texts' true similarity like all else. What lies farther apart nodes find otherwise: they meet under BANDS keys of ROWS minima each; a meeting's least node is its hub. First each node
 is held against its hubs alone, by the texts' true similarity: that joins what copies of one text make, however many
 they are. Only meetings that then still hold more than one component are searched further: their nodes are dealt to
 groups of at most 2 * CROWD so that each two that met are in one group, and within a group those of different components are
@@ -10,9 +11,8 @@ compared until they are joined or found apart. No task holds more than that many
 A pair of similarity 0.8 meets nowhere with a probability of (1 - 0.8**ROWS)**BANDS = 5e-9, a more similar one still less;
 nothing that is less similar is linked.
 
-This stands where the SimHash stage of the pipeline is asked for. 64-bit SimHashes of texts that are similar by 0.8 differ
-in ten bits on average, so bits few enough to search by (four, in simhash.py) link one such pair in thirty, and bits
-enough to link them leave no block of bits to meet by.
+Fingerprints alone don't do: those of texts that are similar by 0.8 differ in ten bits on average, so bits few enough to search by
+(four, in simhash.py) link one such pair in thirty, and bits enough to link them leave no block of bits to meet by.
 
 Edge cases: a text of fewer than SHINGLE words is one shingle; null and empty texts have the empty set and are equal to each
 other; rows with null ids take part; an empty table gives no rows.
@@ -27,9 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftwake.llm import simhash
 from driftwake.llm.common import cut, in_batches, joined_to_one, release, written
 from driftwake.llm.components import roots
-from driftwake.llm.simhash import mixed
+from driftwake.llm.simhash import majority, mixed
 
 SHINGLE = 5
 BANDS, ROWS = 48, 5
@@ -78,26 +79,28 @@ def keys(own: np.ndarray) -> np.ndarray:
     return out
 
 
-TOLD = "doc_id long, r0 long, r1 long, node long, keys array<long>"
+TOLD = "doc_id long, r0 long, r1 long, node long, fp long, keys array<long>"
 
 
 def nodes(rows: DataFrame) -> DataFrame:
-    """rows(doc_id, r0, r1, text) -> doc_id, r0, r1, node (names the set of shingles), keys (none of the empty set)."""
+    """rows(doc_id, r0, r1, text) -> doc_id, r0, r1, node (names the set of shingles), fp (its SimHash), keys (none of the
+    empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         known = Words()
         for b in batches:
-            names, met, ends = [], [], [0]
+            names, prints, met, ends = [], [], [], [0]
             for t in b.column(3):
                 own = shingles(t.as_py(), known)
                 names.append(xxhash.xxh3_64_intdigest(own.tobytes()))
+                prints.append(majority(own))
                 if len(own):
                     met.append(keys(own).view(np.int64))
                 ends.append(ends[-1] + BANDS * bool(len(own)))
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(met) if met else [], pa.int64()))
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(np.array(names, np.uint64).view(np.int64)), lists], names=["doc_id", "r0", "r1", "node", "keys"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (names, prints)), lists], names=["doc_id", "r0", "r1", "node", "fp", "keys"])
 
     return in_batches(rows).mapInArrow(run, TOLD)
 
@@ -178,14 +181,22 @@ def within(rows: DataFrame) -> DataFrame:
 BROADCAST_ROWS = 400_000
 
 
-def near(rows: DataFrame, sets: DataFrame, crowd: int = CROWD) -> DataFrame:
+def by_fingerprint(sets: DataFrame) -> DataFrame:
+    """sets(node, fp) -> (hub, node): nodes of one fingerprint, and links that connect what chains of fingerprints within four bits connect."""
+    own = cut(sets.groupBy("fp").agg(F.min("node").alias("id")))
+    equal = sets.select("node", "fp").join(own, "fp").filter("node <> id").select(F.col("id").alias("hub"), "node")
+    return equal.unionByName(simhash.near(own).select(F.col("a_id").alias("hub"), F.col("b_id").alias("node"))).distinct()
+
+
+def near(rows: DataFrame, sets: DataFrame, crowd: int = CROWD, linked: DataFrame | None = None) -> DataFrame:
     """rows(r0, r1, text) and sets(node, keys, r0, r1 of a row that has it) -> (a, b): links that connect just what chains of similar
-    pairs connect."""
+    pairs connect. linked(hub, node): pairs that are held against each other beside those that keys bring together."""
     met = sets.select("node", F.explode("keys").alias("key"))
     hubs = cut(met.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last"), F.count("*").alias("n")).filter("hub < last").drop("last"))
     few = hubs.count() <= BROADCAST_ROWS
     meet = met.join(F.broadcast(hubs.drop("n")), "key") if few else joined_to_one(met, hubs, ["key"], "n", BANDS * sets.count())
-    edges = cut(meet.filter("hub <> node").select("hub", "node").distinct())
+    edges = meet.filter("hub <> node").select("hub", "node")
+    edges = cut((edges if linked is None else edges.unionByName(linked)).distinct())
     busy = cut(edges.select(F.explode(F.array("hub", "node")).alias("node")).distinct())
     one = sets.join(busy, "node", "left_semi").select("node", "r0", "r1")
     texts, delete = written(rows.select("r0", "r1", "text").join(one, ["r0", "r1"]).dropDuplicates(["node"]).select("node", "text"))
@@ -231,8 +242,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     a, b = F.xxhash64(id_col, text_col), F.xxhash64(F.lit(1), id_col, text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), a.alias("r0"), b.alias("r1"), F.col(text_col).alias("text"))
     least = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "r0", "r1")).alias("least")
-    sets = cut(nodes(rows).groupBy("node").agg(F.first("keys").alias("keys"), least))  # equal sets have equal keys
-    links = near(rows, sets.select("node", "keys", "least.r0", "least.r1"))
+    sets = cut(nodes(rows).groupBy("node").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"), least))  # equal sets have equal keys
+    links = near(rows, sets.select("node", "keys", "least.r0", "least.r1"), linked=by_fingerprint(sets))
     groups = sets.select("node", "least").join(roots(links), "node", "left").select(F.coalesce("root", "node").alias("root"), "least")
     stay = groups.groupBy("root").agg(F.min("least").alias("least")).select("least.r0", "least.r1")
     whole = docs.select(F.struct(*docs.columns).alias("doc"), a.alias("r0"), b.alias("r1"))  # no name of docs meets ours

@@ -41,6 +41,14 @@ FEW_BITS = 12  # so few free bits make 4,096 fingerprints at most
 SEED = 42
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are 1 in over half of the hashes."""
+    count = np.zeros(64, np.int64)
+    for a in range(0, len(hashes), 65536):
+        count += np.unpackbits(hashes[a : a + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(count * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
 def fingerprint(text: str | None, size: int = SHINGLE) -> int:
     import xxhash
 
@@ -53,10 +61,7 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
     size = min(size, len(words))
     digest = xxhash.xxh64_intdigest
     hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[: len(words) - size + 1].tolist(), ends[size - 1 :].tolist())], np.uint64)
-    count = np.zeros(64, np.int64)
-    for a in range(0, len(hashes), 65536):
-        count += np.unpackbits(hashes[a : a + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(count * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
+    return majority(hashes)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row: list[Column] = ()) -> DataFrame:

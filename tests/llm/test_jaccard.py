@@ -86,3 +86,20 @@ def test_crowd_repeated_rows_and_empty(spark):
     got = J.one_of_each(cases.frame(spark, rows)).collect()
     assert sorted((r.doc_id for r in got), key=str) == [0, None]
     assert J.one_of_each(cases.empty(spark)).collect() == []
+
+
+def test_fingerprints_link_by_themselves(spark):
+    """Without keys to meet under, near copies are found by their SimHash; what is near by fingerprint but not similar stays apart."""
+    from pyspark.sql import functions as F
+
+    base = [cases.prose(s, 4000, 3000).split() for s in range(6)]
+    rows = [(2 * s + k, " ".join(w[:2000] + ["changed"] * k + w[2000 + k :])) for s, w in enumerate(base) for k in (0, 1)]
+    docs = spark.createDataFrame([(i, i, i, t) for i, t in rows], "doc_id long, r0 long, r1 long, text string")
+    sets = spark.createDataFrame(J.nodes(docs).collect(), J.TOLD)
+    bare = sets.select("node", F.array().cast("array<long>").alias("keys"), "r0", "r1")
+    of = {r.node: r.doc_id for r in sets.select("node", "doc_id").collect()}
+    assert J.near(docs, bare).collect() == []
+    found = J.near(docs, bare, linked=J.by_fingerprint(sets)).collect()
+    assert sorted(sorted((of[r.a], of[r.b])) for r in found) == [[2 * s, 2 * s + 1] for s in range(6)]
+    far = spark.createDataFrame([(sets.filter(f"doc_id = {a}").head().node, sets.filter(f"doc_id = {b}").head().node) for a, b in ((0, 2), (4, 5))], "hub long, node long")
+    assert [sorted((of[r.a], of[r.b])) for r in J.near(docs, bare, linked=far).collect()] == [[4, 5]]
