@@ -50,3 +50,14 @@ def test_texts_are_read_on_all_cores(spark):
     known = facts.facts(files.in_memory(spark, {"v": {f"a{i}.py": f"x = {i}\n" for i in range(64)}}))
     assert known.rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism
     assert known.select("path").distinct().count() == 64
+
+
+def test_facts_leave_a_task_by_bytes():
+    import pyarrow as pa
+
+    texts = [f"def f{i}():\n    return '{'x' * 50_000}'\n" for i in range(200)]
+    part = pa.RecordBatch.from_arrays([pa.array([f"a{i}.py" for i in range(200)]), pa.array(texts), pa.array([["v"]] * 200)], names=["path", "text", "snapshots"])
+    got = list(facts.read_batches(iter([part])))
+    want = [(["v"], f"a{i}.py", *f) for i, t in enumerate(texts) for f in facts.read_facts(f"a{i}.py", t)]
+    assert [tuple(r.values()) for b in got for r in b.to_pylist()] == want
+    assert len(got) > 5 and max(b.nbytes for b in got) < 2 * facts.BYTES_HELD
