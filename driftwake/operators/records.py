@@ -15,10 +15,14 @@ from __future__ import annotations
 import ast
 import operator
 import re
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from driftwake.operators.graph import cut_in_loop
 
@@ -115,16 +119,56 @@ def measured(fields: DataFrame, values: DataFrame, keys: list[str]) -> DataFrame
     return fields.join(sums, row, "left").withColumn("n", F.when(C("ds").isNull(), F.lit(1).cast("long")).otherwise(product)).withColumn("lost", C("bits").isNotNull() & C("width").isNull()).drop("ds")
 
 
-LAYOUT = """
-aggregate(fields, named_struct('pos', 0L, 'align', 1L, 'most', 0L, 'out', cast(array() as array<struct<field:string,at:int,offset:long,size:long,type:string>>)),
-  (acc, f) -> CASE
-    WHEN kind = 'union' THEN named_struct('pos', 0L, 'align', greatest(acc.align, f.align), 'most', greatest(acc.most, coalesce(f.width, f.size * f.n * 8)),
-      'out', concat(acc.out, array(named_struct('field', f.name, 'at', f.at, 'offset', 0L, 'size', coalesce(f.width, f.size * f.n * 8), 'type', f.said))))
-    ELSE named_struct(
-      'pos', {start} + coalesce(f.width, f.size * f.n * 8), 'align', if(f.width = 0, acc.align, greatest(acc.align, f.align)), 'most', greatest(acc.most, {start} + coalesce(f.width, f.size * f.n * 8)),
-      'out', concat(acc.out, array(named_struct('field', f.name, 'at', f.at, 'offset', {start}, 'size', coalesce(f.width, f.size * f.n * 8), 'type', f.said)))) END)
-""".replace("{start}", """(CASE WHEN f.width IS NULL OR f.width = 0 THEN cast(ceil(acc.pos / (f.align * 8)) as long) * f.align * 8
-  WHEN acc.pos % (f.size * 8) + f.width > f.size * 8 THEN cast(ceil(acc.pos / (f.size * 8)) as long) * f.size * 8 ELSE acc.pos END)""")
+PLACE = StructType([StructField("field", StringType()), StructField("at", IntegerType()), StructField("offset", LongType()), StructField("size", LongType()), StructField("type", StringType())])
+PLACED = StructType([StructField("most", LongType()), StructField("align", LongType()), StructField("out", ArrayType(PLACE))])
+PLACES = pa.struct([("field", pa.string()), ("at", pa.int32()), ("offset", pa.int64()), ("size", pa.int64()), ("type", pa.string())])
+FIELDS_HELD = 20_000
+
+
+def offsets(kind: str | None, fields: Iterable[tuple]) -> tuple[list[int], list[int], int, int]:
+    """Of a record's fields (size, align, n, width) in order: where each begins and how long it is, the end of the last one, and the record's
+    alignment; one pass. In bits, but for sizes and alignments that are given."""
+    starts, lengths, pos, most, whole = [], [], 0, 0, 1
+    for size, align, n, width in fields:
+        bits = size * n * 8 if width is None else width
+        unit = 8 * (size if width else align)
+        if kind == "union":
+            start = 0
+        elif not width or pos % unit + width > unit:
+            start = -(-pos // unit) * unit
+        else:
+            start = pos
+        pos = start + bits
+        most = max(most, pos)
+        if kind == "union" or width != 0:
+            whole = max(whole, align)
+        starts.append(start)
+        lengths.append(bits)
+    return starts, lengths, most, whole
+
+
+def placed(rows: DataFrame) -> DataFrame:
+    """rows(kind, fields, ...) with l (PLACED): records leave FIELDS_HELD fields at a time, and one is held whole."""
+    schema = StructType([*rows.schema.fields, StructField("l", PLACED)])
+    names = rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            done, start, held = [], 0, 0
+            for i in range(b.num_rows):
+                f = b.column("fields")[i].values
+                x, bits, most, align = offsets(b.column("kind")[i].as_py(), zip(*(f.field(c).to_pylist() for c in ("size", "align", "n", "width"))))
+                out = pa.StructArray.from_arrays([f.field("name"), f.field("at"), pa.array(x, pa.int64()), pa.array(bits, pa.int64()), f.field("said")], fields=list(PLACES))
+                done.append((most, align, out))
+                held += len(f)
+                if held >= FIELDS_HELD or i + 1 == b.num_rows:
+                    ends = pa.array(np.cumsum([0, *(len(d[2]) for d in done)]), pa.int32())
+                    outs = pa.ListArray.from_arrays(ends, pa.concat_arrays([d[2] for d in done]))
+                    l = pa.StructArray.from_arrays([pa.array([d[0] for d in done], pa.int64()), pa.array([d[1] for d in done], pa.int64()), outs], names=["most", "align", "out"])
+                    yield pa.RecordBatch.from_arrays([*b.slice(start, len(done)).columns, l], names=[*names, "l"])
+                    done, start, held = [], i + 1, 0
+
+    return rows.mapInArrow(run, schema)
 
 
 def sized(records: DataFrame, aliases: DataFrame, values: DataFrame, keys: list[str]) -> DataFrame:
@@ -145,7 +189,7 @@ def sized(records: DataFrame, aliases: DataFrame, values: DataFrame, keys: list[
         # what has no part left without a size, and was not known before
         waiting = parts if known is None else parts.join(known.select(*keys, C("type").alias("owner")), [*keys, "owner"], "left_anti")
         whole = waiting.groupBy(*keys, "owner").agg(F.count_if(C("size").isNull() | C("n").isNull() | C("lost")).alias("open"), F.array_sort(F.collect_list(F.struct("at", "name", "size", "align", "n", "width", "said"))).alias("fields")).filter("open = 0")
-        told = whole.join(kinds, [*keys, "owner"], "left").withColumn("l", F.expr(LAYOUT))
+        told = placed(whole.join(kinds, [*keys, "owner"], "left"))
         total = F.when(C("kind").isNull(), C("fields")[0]["size"] * C("fields")[0]["n"]).otherwise((F.ceil(C("l.most") / (C("l.align") * 8)) * C("l.align")).cast("long"))
         new = cut_in_loop(told.select(*keys, C("owner").alias("type"), total.alias("t_size"), F.when(C("kind").isNull(), C("fields")[0]["align"]).otherwise(C("l.align")).alias("t_align"), F.when(C("kind").isNotNull(), C("l.out")).alias("out")))
         layouts = new if layouts is None else layouts.unionByName(new)  # of written parts, as many as types are deep
