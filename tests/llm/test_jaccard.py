@@ -103,3 +103,22 @@ def test_fingerprints_link_by_themselves(spark):
     assert sorted(sorted((of[r.a], of[r.b])) for r in found) == [[2 * s, 2 * s + 1] for s in range(6)]
     far = spark.createDataFrame([(sets.filter(f"doc_id = {a}").head().node, sets.filter(f"doc_id = {b}").head().node) for a, b in ((0, 2), (4, 5))], "hub long, node long")
     assert [sorted((of[r.a], of[r.b])) for r in J.near(docs, bare, linked=far).collect()] == [[4, 5]]
+
+
+def test_rounds_of_components_hold_few_edges_in_few_partitions(spark, monkeypatch):
+    from driftwake.llm import components
+
+    held, cut = [], components.cut_in_loop
+    monkeypatch.setattr(components, "cut_in_loop", lambda df: held.append(cut(df)) or held[-1])
+    keys = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    was = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        edges = [(i, i + 1) for i in range(30) if i != 12] + [(40, i) for i in range(41, 60)]
+        got = {r["node"]: r["root"] for r in components.roots(spark.createDataFrame(edges, "a long, b long")).collect()}
+        assert got == {i: 0 if i <= 12 else 13 if i <= 30 else 40 for e in edges for i in e}
+        assert max(df.rdd.getNumPartitions() for df in held[1:]) == 1
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
