@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftwake.operators import copybooks, records
+from driftwake.operators import copybooks, graph, records
 from driftwake.plans import check
 from driftwake.plans.tables import mod, query
 from driftwake.rules import registry
@@ -51,7 +51,7 @@ SELECT 'struct r' || r AS name, 'f' || p AS field, CAST(pos AS BIGINT) AS "offse
 """)
 def c_layout(spark, read):
     """Layouts of records in headers: types, typedefs, arrays of a macro's length."""
-    known = facts.facts(headers(read("part"), C("p_size"), "after"))
+    known = graph.cut(facts.facts(headers(read("part"), C("p_size"), "after")))
     values = records.constants(facts.table(known, "constant").select("snapshot", "owner", "name", "expr", "plus").distinct(), ["snapshot"])
     out = records.sized(facts.table(known, "record"), facts.table(known, "alias"), values, ["snapshot"])
     each = out.select("name", F.explode("fields").alias("f"), C("size").alias("whole"))
@@ -85,7 +85,7 @@ EXPLICIT = "CASE WHEN o_orderkey % 4 = 0 THEN o_orderkey % 1000 + 16 WHEN o_orde
 @query(f"SELECT 'enum e' || c AS owner, 'M' || m AS name, CAST(value AS BIGINT) AS value FROM ({VALUES.format(EXPLICIT)})")
 def c_enum_values(spark, read):
     """Values of enumerators, said or counted on from the last that is, by way of a macro."""
-    known = facts.facts(enums(read("orders"), F.lit(False), "after"))
+    known = graph.cut(facts.facts(enums(read("orders"), F.lit(False), "after")))
     values = records.constants(facts.table(known, "constant").select("snapshot", "owner", "name", "expr", "plus").distinct(), ["snapshot"])
     return values.filter("owner IS NOT NULL").select("owner", "name", "value")
 

@@ -278,3 +278,10 @@ def test_a_record_of_many_fields_is_laid_out_in_one_pass():
         return time.process_time() - t
 
     assert seconds(100_000) < 60
+
+
+def test_layouts_from_a_table_read_each_text_once(spark):
+    from driftwake.plans import language_tables
+
+    found = language_tables.c_layout(spark, lambda name: spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet"))
+    assert "MapInArrow" not in found._jdf.queryExecution().toString()  # what was read is kept
