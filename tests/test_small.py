@@ -61,3 +61,28 @@ def test_facts_leave_a_task_by_bytes():
     want = [(["v"], f"a{i}.py", *f) for i, t in enumerate(texts) for f in facts.read_facts(f"a{i}.py", t)]
     assert [tuple(r.values()) for b in got for r in b.to_pylist()] == want
     assert len(got) > 5 and max(b.nbytes for b in got) < 2 * facts.BYTES_HELD
+
+
+def test_a_rule_alone_reads_what_it_needs(spark):
+    import json
+
+    from driftwake.plans import check, rule_tables
+    from driftwake.rules import registry
+    from driftwake.sources import files
+
+    for rule, cases in rule_tables.CASES.items():
+        asked = check.asked_of_reader({rule: registry.RULES[rule]})
+        for text in (t for c in cases for t in rule_tables.several(c[1]).values()):
+            every, some = (facts.read_facts("m.py", text, a) for a in (None, asked))
+            told = [(f, d) for f, d in every if f == "finding" and json.loads(d)["rule"] == rule]
+            assert [x for x in some if x[0] == "finding"] == told and set(some) <= set(every)
+            assert {x for x in every if x[0] in ("def", "use", "import", "mark")} <= set(some)
+    every = check.asked_of_reader(registry.RULES)
+    assert all(set(facts.read_facts("m.py", t, every)) == set(facts.read_facts("m.py", t)) for t in ("def f(x=[]):\n    while x:\n        print(g)\n",))
+    assert check.asked_of_reader({"own": registry.RULES["env-var-renamed"]}) is None
+    two = files.in_memory(spark, {"before": {}, "after": {"m.py": "def f(x):\n    assert (x, 'no')\n\ndef g():\n    return f(1)\n"}})
+    ctx = check.Context(two, spark.createDataFrame([("", "before", "after")], "pair string, before string, after string"), rules={"assert-on-tuple": registry.RULES["assert-on-tuple"]})
+    assert {"def", "use", "node"} <= ctx.facts_there and not {"tokens", "asked", "given", "cost", "flow"} & ctx.facts_there
+    report = check.check(two, rules={"assert-on-tuple": registry.RULES["assert-on-tuple"]})
+    assert not {"edges", "affected"} & set(vars(report))  # made when asked for
+    assert [r.rule for r in report.findings.collect()] == ["assert-on-tuple"] and report.edges.count() == 1
