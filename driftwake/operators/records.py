@@ -84,7 +84,7 @@ def last_of(rows: DataFrame, by: list[str]) -> DataFrame:
 
 def constants(rows: DataFrame, keys: list[str]) -> DataFrame:
     """keys, owner, name, value. rows: keys, owner (null: a macro), name, expr, plus (added to what expr gives)."""
-    open_ = rows.select(*keys, "owner", "name", "expr", "plus", F.array_distinct(F.regexp_extract_all("expr", F.lit(f"({NAME})"), F.lit(1))).alias("names"))
+    open_ = cut_in_loop(rows.select(*keys, "owner", "name", "expr", "plus", F.array_distinct(F.regexp_extract_all("expr", F.lit(f"({NAME})"), F.lit(1))).alias("names")))  # read four times a round
     known = None
     while True:
         ready = open_.filter("size(names) = 0").select(*keys, "owner", "name", (numbers("expr") + C("plus")).alias("value"))

@@ -86,3 +86,13 @@ def test_a_rule_alone_reads_what_it_needs(spark):
     report = check.check(two, rules={"assert-on-tuple": registry.RULES["assert-on-tuple"]})
     assert not {"edges", "affected"} & set(vars(report))  # made when asked for
     assert [r.rule for r in report.findings.collect()] == ["assert-on-tuple"] and report.edges.count() == 1
+
+
+def test_what_was_read_stays_where_it_is(spark):
+    from driftwake.plans import check
+    from driftwake.sources import files
+
+    two = files.in_memory(spark, {"before": {"m.py": "x = 1\n"}, "after": {"m.py": "x = 2\n"}})
+    ctx = check.Context(two, spark.createDataFrame([("", "before", "after")], "pair string, before string, after string"))
+    assert "rightHint=(strategy=broadcast)" in ctx.facts._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.side, r.path) for r in ctx.facts.collect()} == {("before", "m.py"), ("after", "m.py")}
