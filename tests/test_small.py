@@ -96,3 +96,17 @@ def test_what_was_read_stays_where_it_is(spark):
     ctx = check.Context(two, spark.createDataFrame([("", "before", "after")], "pair string, before string, after string"))
     assert "rightHint=(strategy=broadcast)" in ctx.facts._jdf.queryExecution().optimizedPlan().toString()
     assert {(r.side, r.path) for r in ctx.facts.collect()} == {("before", "m.py"), ("after", "m.py")}
+
+
+def test_reach_broadcasts_no_steps(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from driftwake.operators import graph
+
+    plans, real = [], graph.cut_in_loop
+    monkeypatch.setattr(graph, "cut_in_loop", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), real(df))[1])
+    edges = spark.range(1, 40).select(F.col("id").alias("src"), F.floor(F.col("id") / 3).alias("dst")).filter("dst > 0")
+    got = {r.node: r.hops for r in graph.reach(edges, spark.range(2, 3).withColumnRenamed("id", "node"), backward=True).collect()}
+    assert got == {2: 0, 6: 1, 7: 1, 8: 1} | {i: 2 for i in range(18, 27)}
+    joined = [p for p in plans if "Join" in p]
+    assert joined and all("SortMergeJoin" in p and "BroadcastHashJoin" not in p for p in joined)
