@@ -60,6 +60,13 @@ def test_a_circle_of_calls_ends(spark):
     assert [(r["line"], r["severity"]) for r in report.findings.collect()] == [(10, "critical")]
 
 
+def test_each_sink_of_a_pair_is_told(spark):
+    text = WEB + "".join(f"\n@app.route('/{i}')\ndef h{i}():\n    os.system(request.args['d'])\n" for i in range(45))
+    rule = "unvalidated-input-reaches-sink"
+    report = check.check(files.in_memory(spark, {"before": {}, "after": {"m.py": text}}), rules={rule: registry.RULES[rule]})
+    assert sorted((r["line"], r["severity"]) for r in report.findings.collect()) == [(7 + 4 * i, "critical") for i in range(45)]
+
+
 def test_lines_are_not_shuffled_to_few_names(spark, monkeypatch):
     f = spark.createDataFrame([("a.py", "run it\nrunning\nrun run"), ("a.py", "run that"), ("b.cbl", "       MOVE RUN-ALL TO X.")], "path string, text string")
     names = spark.createDataFrame([("run",), ("RUN-ALL",), ("run",)], "name string")
