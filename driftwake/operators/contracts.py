@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 C = F.col
+#: Rows of a symbol that make a cell of pairs, about so many at most of who takes it and of who gives it; takers that go together.
+TAKERS, GIVERS, TOGETHER = 4096, 65_536, 256
 BREAK = "struct<hard:boolean,test:string,name:string,at:int,names:array<string>,text:string>"
 
 
@@ -96,9 +98,32 @@ def rebound_calls(old: DataFrame, new: DataFrame, edited: DataFrame | None = Non
 
 
 def linked_by_symbol(imports: DataFrame, exports: DataFrame, most: float = 0.8) -> DataFrame:
-    """J16. src, dst, symbol, confidence: code of one language that takes what code of another gives, by the symbol both name."""
+    """J16. src, dst, symbol, confidence: code of one language that takes what code of another gives, by the symbol both name.
+
+    The pairs of a symbol are a rectangle, so a symbol that many name is dealt out as cells of TAKERS by GIVERS, and a task holds the givers of
+    one. Rows come by TOGETHER takers, a giver at a time: files of columns pack what repeats like that to little."""
+    spark = imports.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    i = imports.select("symbol", C("node").alias("src"), "lang", F.least("confidence", F.lit(most)).alias("confidence"))
     e = exports.select("symbol", C("node").alias("dst"), C("lang").alias("to"))
-    return imports.select("symbol", C("node").alias("src"), "lang", "confidence").join(e, "symbol").filter("lang <> to").select("src", "dst", "symbol", F.least("confidence", F.lit(most)).alias("confidence"))
+    across, down = (F.broadcast(shares(df, size, n)) for df, size, n in ((i, TAKERS, "across"), (e, GIVERS, "down")))  # a row for `size` rows at most
+
+    def dealt(df: DataFrame, own: str, other: str) -> DataFrame:
+        """A row is in one share of its own side, and meets all shares of the other."""
+        at = df.join(across, "symbol", "left").join(down, "symbol", "left").fillna(1, ["across", "down"])
+        at = at.withColumns({own: F.pmod(F.xxhash64(*df.columns), own), other: F.explode(F.sequence(F.lit(0).cast("long"), C(other) - 1))})
+        return at.repartition(tasks, "symbol", "across", "down")  # of few rows come many, so the number of tasks stands
+
+    cell = ["symbol", "across", "down"]
+    takers = dealt(i, "across", "down").groupBy(*cell, "lang").agg(F.array_sort(F.collect_list(F.struct("confidence", "src"))).alias("all"))
+    some = F.transform(F.sequence(F.lit(1), F.size("all"), F.lit(TOGETHER)), lambda at: F.slice("all", at, TOGETHER))
+    met = takers.select(*cell, "lang", F.explode(some).alias("some")).hint("merge").join(dealt(e, "down", "across"), cell).filter("lang <> to")
+    return met.select("dst", "symbol", F.inline("some")).select("src", "dst", "symbol", "confidence")
+
+
+def shares(df: DataFrame, size: int, name: str) -> DataFrame:
+    """symbol, name: how many shares of about `size` rows make up those of a symbol, where one does not."""
+    return df.groupBy("symbol").agg(F.ceil(F.count("*") / size).alias(name)).filter(C(name) > 1)
 
 
 def through_arguments(passed: DataFrame, dummies: DataFrame, calls: DataFrame) -> DataFrame:
