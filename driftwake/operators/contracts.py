@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 C = F.col
 #: Rows of a symbol that make a cell of pairs, about so many at most of who takes it and of who gives it; takers that go together.
-TAKERS, GIVERS, TOGETHER = 4096, 65_536, 256
+TAKERS, GIVERS, TOGETHER = 4096, 1024, 256
 BREAK = "struct<hard:boolean,test:string,name:string,at:int,names:array<string>,text:string>"
 
 
@@ -108,16 +108,15 @@ def linked_by_symbol(imports: DataFrame, exports: DataFrame, most: float = 0.8)
     e = exports.select("symbol", C("node").alias("dst"), C("lang").alias("to"))
     across, down = (F.broadcast(shares(df, size, n)) for df, size, n in ((i, TAKERS, "across"), (e, GIVERS, "down")))  # a row for `size` rows at most
 
-    def dealt(df: DataFrame, own: str, other: str) -> DataFrame:
-        """A row is in one share of its own side, and meets all shares of the other."""
-        at = df.join(across, "symbol", "left").join(down, "symbol", "left").fillna(1, ["across", "down"])
-        at = at.withColumns({own: F.pmod(F.xxhash64(*df.columns), own), other: F.explode(F.sequence(F.lit(0).cast("long"), C(other) - 1))})
-        return at.repartition(tasks, "symbol", "across", "down")  # of few rows come many, so the number of tasks stands
-
+    own = lambda df, shares_, n: df.join(shares_, "symbol", "left").withColumn(n, F.pmod(F.xxhash64(*df.columns), F.coalesce(n, F.lit(1))))  # noqa: E731  a row is in one share of its side
+    all_of = lambda df, shares_, n: df.join(shares_, "symbol", "left").withColumn(n, F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(n, F.lit(1)) - 1)))  # noqa: E731  and meets all of the other
     cell = ["symbol", "across", "down"]
-    takers = dealt(i, "across", "down").groupBy(*cell, "lang").agg(F.array_sort(F.collect_list(F.struct("confidence", "src"))).alias("all"))
+    takers = own(i, across, "across").groupBy("symbol", "across", "lang").agg(F.array_sort(F.collect_list(F.struct("confidence", "src"))).alias("all"))
     some = F.transform(F.sequence(F.lit(1), F.size("all"), F.lit(TOGETHER)), lambda at: F.slice("all", at, TOGETHER))
-    met = takers.select(*cell, "lang", F.explode(some).alias("some")).hint("merge").join(dealt(e, "down", "across"), cell).filter("lang <> to")
+    takers = all_of(takers.select("symbol", "across", "lang", F.explode(some).alias("some")), down, "down")
+    givers = all_of(own(e, down, "down"), across, "across")
+    # of few rows come many, so the number of tasks stands; a join makes all rows of one on the left at once, TOGETHER by GIVERS
+    met = takers.repartition(tasks, *cell).hint("merge").join(givers.repartition(tasks, *cell), cell).filter("lang <> to")
     return met.select("dst", "symbol", F.inline("some")).select("src", "dst", "symbol", "confidence")
 
 
